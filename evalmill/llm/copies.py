@@ -22,19 +22,19 @@ from pyspark.sql import types as T
 from evalmill.llm import folding
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _text_key(texts: pd.Series) -> pd.Series:
     return pd.Series(folding.fold_hashes(pa.array(texts, pa.large_string())).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _json_key(lines: pd.Series) -> pd.Series:
     hashes = folding.json_hashes(lines.tolist())
     return pd.Series([None if h is None else h - (1 << 64) if h >= 1 << 63 else h for h in hashes], dtype="Int64")
 
 
 def _pairwise(compare):
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def equal(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in a:
             yield pd.Series([compare(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True)])
@@ -45,12 +45,12 @@ def _pairwise(compare):
 _same_text, _same_json = _pairwise(folding.same), _pairwise(folding.same_json)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(folding.folded, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded_json(lines: pd.Series) -> pd.Series:
     return lines.map(lambda x: folding.folded_json(folding.parse_json(x)[1]), na_action="ignore")
 

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import copies, splits, tokens, topn
+from evalmill.llm import copies, pairs, splits, tokens, topn, truncation
 from evalmill.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "candidates"), "line_no", "bank", "completion", "completion_token_count").select("line_no")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, d, "candidates"), "line_no", "bank", "completion", "completion_token_count")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.hidden_copies(*(table(spark, d, t) for t in ("tasks", "candidates", "raw_records")))
 
@@ -30,12 +38,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "candidates"), "id", topn.practical_score(), ["candidate_index", "line_no"], 3)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, d, "tasks"), table(spark, d, "candidates"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_report, p4_found, p6_ids)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_report, p4_found, p5_found, p6_ids)
 }
 
 _TASKS = """
