@@ -17,16 +17,20 @@ _CLOSED_FENCE = r"```\s*[\p{So}\p{Sk}]*$"
 
 def bare(text: Column) -> Column:
     """The text without the white space and ellipses that stand at its end."""
-    return F.regexp_replace(text, _BREAK, "")
+    last = F.right(text, F.lit(1))
+    kept = F.when(last == ".", F.right(text, F.lit(2)) != "..").otherwise(last.rlike(r"[\p{L}\p{N}>)+*/(]"))
+    return F.when(kept, text).otherwise(F.regexp_replace(text, _BREAK, ""))
 
 
 def has_content(text: Column) -> Column:
-    """Whether more than tags, fences, punctuation and a placeholder is left of a text; false for null."""
-    # the short way round: nearly every text has a long word or number, no placeholder is that long
+    """Whether more than tags, fences, punctuation and a placeholder is left of a text; false for null.
+
+    Two words in a row, or a number with an operator, settle it for nearly every text; only the rest is stripped.
+    """
     core = F.lower(F.regexp_replace(text, rf"</?\w+>|```|[{_INVISIBLE}]", ""))
     words = F.regexp_replace(core, r"[^\p{L}\p{N}]", "")
-    short = ~core.isin(*PLACEHOLDERS) & ~words.isin("", *PLACEHOLDERS) | core.rlike(r"^[(+*/<\[{]+$")
-    return F.coalesce(F.when(F.length(text) > 64, text.rlike(r"[\p{L}\p{N}]{2}") & (short | text.rlike(r"[\p{L}\p{N}]{10}"))).otherwise(short), F.lit(False))
+    left = (~core.isin(*PLACEHOLDERS) & ~words.isin("", *PLACEHOLDERS)) | core.rlike(r"^[(+*/<\[{]+$")
+    return F.coalesce(F.when(text.rlike(r"[\p{L}\p{N}]\s[\p{L}\p{N}]|[0-9][-+*/)]"), F.lit(True)).otherwise(left), F.lit(False))
 
 
 def unfinished(text: Column) -> Column:
