@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalmill.llm import copies, pairs, splits, tokens, topn, truncation
+from evalmill.llm import copies, garbling, leaks, pairs, splits, tokens, topn, truncation
 from evalmill.session import table
 
 
@@ -42,12 +42,32 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, d, "tasks"), table(spark, d, "candidates"))
 
 
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defect_report(table(spark, d, "tasks"), table(spark, d, "candidates"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbling.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbling.garbled(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_report, p4_found, p5_found, p6_ids)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_report, p4_found, p5_found, p5_report, p6_ids, p7_found, p7_report, p8_found, p8_restored)
 }
 
 _TASKS = """
