@@ -27,6 +27,8 @@ LEAD_IN = 40
 LEAST_TRIGRAMS, MOST_AGREEING = 8, 0.02
 #: An open end counts as cut where at most this share of the same last characters stands at the end of a text.
 MOST_ENDING = 0.5
+#: Added to the number of times that last characters stand anywhere, so that a few endings make no habit.
+FEW = 4
 END_BITS = 16
 
 _WHO = r"(?:i|we|this assistant|the assistant)"
@@ -215,7 +217,7 @@ def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     fields = ["prompt_low", "prompt_mid", "prompt_high", "prompt"]
     both = tasks.select(F.lower(tails.bare(F.col("completion"))).alias("t")).unionByName(candidates.select(F.lower(tails.bare(F.col("completion"))).alias("t")))
     counts = end_counts(both, "t")
-    ending = counts[:, 1] / np.maximum(counts[:, 0], 1)
+    ending = counts[:, 1] / (counts[:, 0] + FEW)
     prompts = tasks.select(F.col("id").alias("task"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields))).alias("p")).select("task", "p.field", "p.text").where("text is not null and task is not null").distinct()
     facts = _prompts(prompts, ["task", "field"], "text").groupBy("task").agg(
         F.collect_set(F.struct("field", "n", "hash", "lang")).alias("prompts")
