@@ -27,7 +27,7 @@ def has_content(text: Column) -> Column:
 
     Two words in a row, or a number with an operator, settle it for nearly every text; only the rest is stripped.
     """
-    core = F.lower(F.regexp_replace(text, rf"</?\w+>|```|[{_INVISIBLE}]", ""))
+    core = F.lower(F.regexp_replace(bare(text), rf"</?\w+>|```|[{_INVISIBLE}]", ""))
     words = F.regexp_replace(core, r"[^\p{L}\p{N}]", "")
     left = (~core.isin(*PLACEHOLDERS) & ~words.isin("", *PLACEHOLDERS)) | core.rlike(r"^[(+*/<\[{]+$")
     return F.coalesce(F.when(text.rlike(r"[\p{L}\p{N}]\s[\p{L}\p{N}]|[0-9][-+*/)]"), F.lit(True)).otherwise(left), F.lit(False))

@@ -16,7 +16,7 @@ def test_ends_of_texts(spark):
 
 def test_content(spark):
     empty = [None, "", " \n\t", "​", "null", "N/A", "n/a", "None", "-", "...", "<answer></answer>", "<answer> </answer>\n", "<a></a>\n<b>-</b>", "```\n```"]
-    full = ["(", "T", "<answer>(", "<answer>5</answer>", "nothing to see", "中", "no answer " * 50]
+    full = ["(", "T", "<answer>(", "<answer>( [...]", "<answer>5</answer>", "nothing to see", "中", "no answer " * 50]
     df = spark.createDataFrame([(t, i < len(full)) for i, t in enumerate(full + empty)], "t string, full boolean")
     assert df.where(tails.has_content(F.col("t")) != F.col("full")).count() == 0
 
