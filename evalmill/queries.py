@@ -1,4 +1,596 @@
-"""The queries of the engine's own operators and their SQL."""
+"""The queries of the engine's own operators and, where SQL can say the same, their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Averages and ratios are rounded to six digits on both sides, since engines add in different orders.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evalmill.functions import arrays as A
+from evalmill.functions import keys as K
+from evalmill.functions import measures as M
+from evalmill.functions import text as X
+from evalmill.functions import verifier as V
+from evalmill.operators import audit, banks, control, diagnosis, generate, inference, pairing, sampling
+from evalmill.session import table
+from evalmill.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c.name, digits).alias(c.name) if isinstance(c.dataType, (T.DoubleType, T.FloatType)) else F.col(c.name) for c in df.schema))
+
+
+def _m(x: str) -> str:
+    return f"(CASE WHEN metrics.{x} IS NULL OR isnan(metrics.{x}) THEN 0.0::DOUBLE ELSE metrics.{x} END)"
+
+
+_SCORE = f"3.0*{_m('valid_expression')} + 2.0*{_m('uses_allowed_numbers')} + 1.5*{_m('number_multiset_f1')} + {_m('uses_allowed_ops')} + {_m('numeric_distance_reward')} - 2.0*{_m('reward_hacking_candidate')}"
+_AUX = " + ".join(f"0.2*{_m(k)}" for k in M.AUXILIARY)
+#: c: every candidate with the metrics as columns; b: those delivered once; u: with positions.
+_BASE = f"""WITH c AS (SELECT * EXCLUDE (metrics, allowed_ops), allowed_ops AS task_ops, metrics IS NULL AS no_metrics, metrics.expression AS m_expression, metrics.error AS m_error, {_SCORE} AS score, {', '.join(f'{_m(x)} AS {x}' for x in (*files.METRICS, 'reward_hacking_candidate'))} FROM candidates),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY bank, id, candidate_index ORDER BY line_no) = 1),
+u AS (SELECT *, row_number() OVER (PARTITION BY bank, id ORDER BY candidate_index, line_no) - 1 AS pos FROM b)"""
+_UNITS = (
+    _BASE
+    + """, f AS (SELECT bank, id, min_by(difficulty, pos) AS difficulty, min(CASE WHEN exact_correct = 1 THEN pos END) AS first_exact, count(*) FILTER (exact_correct = 1) AS exact, count(*) FILTER (valid_expression = 1) AS legal,
+  max(numeric_distance_reward) AS best_distance, coalesce(bool_or(clipped), false) AS clipped, coalesce(bool_or(clipped AND number_multiset_f1 >= 0.9), false) AS clipped_legalish, coalesce(bool_or(clipped AND unclosed), false) AS clipped_unclosed,
+  count(DISTINCT e) AS distinct_all, count(DISTINCT e) FILTER (has_extractable_answer_span = 1) AS distinct_span, count(DISTINCT e) FILTER (valid_expression = 1) AS distinct_legal
+ FROM (SELECT *, coalesce(completion_token_count >= 256, false) AS clipped, nullif(regexp_replace(extracted_expression, '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]+', '', 'g'), '') AS e,
+   regexp_matches(lower(coalesce(completion, '')), '<answer(?:[^<]|<[^/]|</[^a]|</a[^n]|</an[^s]|</ans[^w]|</answ[^e]|</answe[^r]|</answer[^>])*$') AND position('<answer' IN lower(coalesce(completion, ''))) > 0 AS unclosed FROM u WHERE pos < 8)
+ GROUP BY bank, id HAVING count(*) = 8)"""
+)
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "candidates")
+
+
+# ---- selection
+
+
+@query(_BASE + " SELECT bank, id, candidate_index, line_no, round(score, 6) AS score FROM u WHERE pos < 8 QUALIFY row_number() OVER (PARTITION BY bank, id ORDER BY score DESC, candidate_index, line_no) = 1")
+def best_of_n_select(s, d):
+    return rounded(banks.select_best(_candidates(s, d), 8).select("bank", "id", "candidate_index", "line_no", "score"))
+
+
+@query(_BASE + " SELECT bank, id, candidate_index, line_no FROM u WHERE pos < 8 QUALIFY row_number() OVER (PARTITION BY bank, id ORDER BY exact_correct DESC, score DESC, candidate_index, line_no) = 1")
+def best_of_n_oracle(s, d):
+    return banks.select_best(_candidates(s, d), 8, oracle=True).select("bank", "id", "candidate_index", "line_no")
+
+
+def _report_sql(by: str = "") -> str:
+    # selections of each n, then means
+    m = ", ".join(f"round(avg({p}.{c}), 6) AS {name}_{c}" for p, name in (("p", "practical"), ("o", "oracle")) for c in M.SELECTED)
+    g = f"{by}, " if by else ""
+    return (
+        _BASE
+        + f""", n AS (SELECT unnest([1, 4, 8]) AS n), r AS (SELECT u.*, n.n FROM u JOIN n ON u.pos < n.n), w AS (SELECT bank, id, {g}n, sum(coalesce(completion_token_count, 0)) AS tokens FROM r GROUP BY bank, id, {g}n HAVING count(*) = n),
+p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bank, id, {g}n ORDER BY score DESC, candidate_index, line_no) = 1), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bank, id, {g}n ORDER BY exact_correct DESC, score DESC, candidate_index, line_no) = 1)
+SELECT {'w.' + by + ', ' if by else ''}w.n, count(*) AS units, sum(w.tokens)::BIGINT AS tokens, round(100.0 * w.n / 8, 6) AS seconds, {m}, round(w.n / greatest(avg(p.exact_correct), 1e-12), 6) AS cost_practical, round(w.n / greatest(avg(o.exact_correct), 1e-12), 6) AS cost_oracle
+FROM w JOIN p USING (bank, id, {g}n) JOIN o USING (bank, id, {g}n) GROUP BY {'w.' + by + ', ' if by else ''}w.n"""
+    )
+
+
+@query(_report_sql())
+def best_of_n_report(s, d):
+    return rounded(banks.best_of_n(_candidates(s, d), seconds=100.0))
+
+
+@query(_report_sql("difficulty"))
+def best_of_n_by_tier(s, d):
+    return rounded(banks.best_of_n(_candidates(s, d), by=["difficulty"], seconds=100.0))
+
+
+@query(
+    _BASE
+    + """, n AS (SELECT bank, id, count(*) AS rows_, count(DISTINCT candidate_index) AS distinct_, max(candidate_index) AS top FROM candidates GROUP BY bank, id), low AS (SELECT bank, id, count(DISTINCT candidate_index) AS l FROM candidates JOIN banks USING (bank) WHERE candidate_index < n_candidates AND candidate_index < 64 GROUP BY bank, id)
+SELECT n.bank, count(*) AS units, sum(rows_)::BIGINT AS "rows", sum(rows_ - distinct_)::BIGINT AS repeated, count(*) FILTER (coalesce(l, 0) < least(n_candidates, 64)) AS incomplete, count(*) FILTER (distinct_ <> top + 1) AS gaps FROM n LEFT JOIN banks USING (bank) LEFT JOIN low ON low.bank = n.bank AND low.id = n.id GROUP BY n.bank"""
+)
+def bank_integrity(s, d):
+    return banks.integrity(_candidates(s, d), table(s, d, "banks"))
+
+
+@query(_UNITS + ", k AS (SELECT unnest(range(1, 9)) AS n) SELECT difficulty, n::INT AS n, count(*) FILTER (first_exact + 1 = n) AS newly, count(*) FILTER (first_exact + 1 <= n) AS solved, round(count(*) FILTER (first_exact + 1 <= n) / count(*), 6) AS rate FROM f, k GROUP BY difficulty, n")
+def solve_curve(s, d):
+    return rounded(banks.solve_curve(banks.full_units(_candidates(s, d)), ["difficulty"]))
+
+
+@query(
+    _UNITS
+    + """ SELECT difficulty, count(*) AS units, count(*) FILTER (first_exact IS NULL) AS unsolved, count(*) FILTER (first_exact IS NULL AND clipped) AS any_clip, count(*) FILTER (first_exact IS NULL AND clipped_legalish) AS legalish, count(*) FILTER (first_exact IS NULL AND clipped_unclosed) AS unclosed,
+ count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS either, round(coalesce(count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) / nullif(count(*) FILTER (first_exact IS NULL), 0), 0), 6) AS share FROM f GROUP BY difficulty"""
+)
+def clip_recovery(s, d):
+    return rounded(banks.clip_recovery(banks.full_units(_candidates(s, d)), ["difficulty"]))
+
+
+@query(_UNITS + " SELECT difficulty, count(*) AS units, round(avg(distinct_all), 6) AS avg_distinct_all, round(avg(distinct_span), 6) AS avg_distinct_span, round(avg(distinct_legal), 6) AS avg_distinct_legal, round(avg(legal), 6) AS avg_legal FROM f GROUP BY difficulty")
+def diversity(s, d):
+    return rounded(banks.diversity(banks.full_units(_candidates(s, d)), ["difficulty"]))
+
+
+@query(_UNITS + ", k AS (SELECT unnest([8, 16, 32, 64, 256, 1024]) AS n) SELECT n::INT AS n, round(avg(1 - pow(1 - exact / 8.0::DOUBLE, n)), 6) AS predicted, round(avg((exact > 0)::INT), 6) AS asymptote FROM f, k GROUP BY n")
+def n_extrapolation(s, d):
+    return rounded(banks.extrapolation(banks.full_units(_candidates(s, d))))
+
+
+@query(_UNITS + " SELECT difficulty, count(*) AS unsolved, count(*) FILTER (legal > 0) AS any_legal, count(*) FILTER (best_distance >= 0.5) AS near, round(avg(best_distance), 6) AS avg_best_distance FROM f WHERE first_exact IS NULL GROUP BY difficulty")
+def near_mass(s, d):
+    return rounded(banks.near_mass(banks.full_units(_candidates(s, d)), ["difficulty"]))
+
+
+@query(
+    _UNITS
+    + """ SELECT difficulty, bank, count(*) AS units, count(*) FILTER (first_exact IS NOT NULL) AS solved, count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS clip_bound, round(avg(distinct_legal), 6) AS avg_distinct_legal, (2 * grouping(difficulty) + grouping(bank))::BIGINT AS level
+FROM f GROUP BY GROUPING SETS ((), (difficulty), (bank))"""
+)
+def headroom_report(s, d):
+    return rounded(banks.headroom(_candidates(s, d)))
+
+
+@query(
+    _BASE
+    + """ SELECT bank, difficulty, count(*) AS candidates, count(*) FILTER (valid_expression >= 1) AS legal, round(count(*) FILTER (valid_expression >= 1) / count(*), 6) AS legality, count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) AS exact_legal,
+ round(coalesce(count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) / nullif(count(*) FILTER (valid_expression >= 1), 0), 0), 6) AS exact_given_legal, round(avg(coalesce(completion_token_count, 0)), 6) AS tokens, round(avg(coalesce(completion_token_count >= 256, false)::INT), 6) AS clip_rate FROM b GROUP BY bank, difficulty"""
+)
+def candidate_stats(s, d):
+    return rounded(banks.candidate_stats(_candidates(s, d), ["bank", "difficulty"]))
+
+
+_RUNS = _report_sql("bank").replace("SELECT w.bank, w.n,", ", per AS (SELECT w.bank, w.n,", 1) + ")"
+
+
+@query(
+    _RUNS
+    + """ SELECT method, n, count(*) AS runs, round(coalesce(avg(practical_exact_correct), 'inf'::DOUBLE), 6) AS practical_exact_correct_mean, round(coalesce(stddev_samp(practical_exact_correct), 0), 6) AS practical_exact_correct_std,
+ round(coalesce(avg(cost) FILTER (cost < 1e11), 'inf'::DOUBLE), 6) AS cost_mean, round(coalesce(stddev_samp(cost) FILTER (cost < 1e11), 0), 6) AS cost_std FROM (SELECT *, cost_practical AS cost FROM per) JOIN banks USING (bank) GROUP BY method, n"""
+)
+def mean_std_over_runs(s, d):
+    per = rounded(banks.best_of_n(_candidates(s, d), by=["bank"], seconds=100.0)).join(table(s, d, "banks").select("bank", "method"), "bank")
+    per = per.withColumn("cost", F.when(F.col("cost_practical") >= 1e11, float("inf")).otherwise(F.col("cost_practical")))
+    return rounded(banks.seeds_mean_std(per, ["method", "n"], ["practical_exact_correct", "cost"]))
+
+
+@query(_report_sql("bank").replace("SELECT w.bank, w.n,", ", per AS (SELECT w.bank, w.n,", 1) + ") SELECT bank, units, round(oracle_exact_correct * units)::BIGINT AS oracle, round(practical_exact_correct * units)::BIGINT AS reranked, (round(oracle_exact_correct * units) - round(practical_exact_correct * units))::BIGINT AS gap FROM per WHERE n = 8")
+def selection_saturation(s, d):
+    return banks.saturation(_candidates(s, d))
+
+
+# ---- diagnosis
+
+_CLASS = """CASE WHEN exact_correct > 0 THEN 'exact_correct' WHEN has_extractable_answer_span <= 0 THEN 'no_answer_span' WHEN parse_ok <= 0 THEN 'parse_failure' WHEN uses_no_extra_numbers <= 0 THEN 'illegal_extra_or_repeated_number' WHEN uses_all_required_numbers <= 0 THEN 'missing_required_number'
+ WHEN uses_allowed_ops <= 0 THEN 'illegal_operator' WHEN evaluates_without_exception <= 0 THEN 'evaluation_error' WHEN valid_expression > 0 THEN 'legal_but_wrong_value' WHEN (length(coalesce(completion, '')) - length(replace(coalesce(completion, ''), '</answer>', ''))) / 9 > 1 THEN 'repeated_answer_tag' ELSE 'other_invalid' END"""
+
+
+@query(_BASE + f" SELECT bank, label, count(*) AS \"rows\", round(count(*) / sum(count(*)) OVER (PARTITION BY bank), 6) AS share FROM (SELECT bank, {_CLASS} AS label FROM c) GROUP BY bank, label")
+def taxonomy_counts(s, d):
+    return rounded(diagnosis.taxonomy(_candidates(s, d), ["bank"]))
+
+
+@query(_BASE + f" SELECT label, line_no, id, target, substring(completion, 1, 240) AS completion, m_expression AS expression, m_error AS error FROM (SELECT *, {_CLASS} AS label FROM c) QUALIFY row_number() OVER (PARTITION BY label ORDER BY line_no) = 1")
+def taxonomy_examples(s, d):
+    return diagnosis.taxonomy_examples(_candidates(s, d))
+
+
+@query(_BASE + " SELECT difficulty, count(*) AS \"rows\", " + ", ".join(f"round(avg({x}), 6) AS {x}" for x in M.SELECTED) + ", grouping(difficulty)::BIGINT AS level FROM c GROUP BY ROLLUP (difficulty)")
+def eval_by_difficulty(s, d):
+    return rounded(diagnosis.rollup_means(_candidates(s, d), M.SELECTED))
+
+
+@query(
+    _BASE
+    + f""", e AS (SELECT bank, correct AS p, {' + '.join(f'0.2*{k}' for k in M.AUXILIARY)} AS a, contains_open_answer_tag AS o, contains_close_answer_tag AS cl, has_extractable_answer_span AS sp, parse_ok, uses_allowed_numbers, uses_allowed_ops, exact_correct, format FROM c)
+SELECT bank, count(*) AS "rows", round(avg(p), 6) AS primary_mean, round(coalesce(stddev_samp(p), 0), 6) AS primary_std, round(avg(a), 6) AS auxiliary_mean, round(coalesce(stddev_samp(a), 0), 6) AS auxiliary_std, round(avg(p + a), 6) AS total_mean, round(coalesce(stddev_samp(p + a), 0), 6) AS total_std,
+ round(avg(o), 6) AS open_tag, round(avg(cl), 6) AS close_tag, round(avg(sp), 6) AS span, round(avg(parse_ok), 6) AS parseable, round(avg(uses_allowed_numbers), 6) AS numbers, round(avg(uses_allowed_ops), 6) AS operators, round(avg(exact_correct), 6) AS exact, round(avg(sp) - avg(parse_ok), 6) AS tag_only,
+ round(avg((sp > 0 AND parse_ok = 0)::INT), 6) AS tag_only_observed, round(avg(parse_ok) - avg(exact_correct), 6) AS parseable_but_wrong, round(avg(exact_correct) / greatest(avg(parse_ok), 1e-12), 6) AS correct_given_parseable, round(avg((format > 0)::INT), 6) AS format_nonzero, coalesce(stddev_samp(format), 0) > 1e-9 AS format_varies FROM e GROUP BY bank"""
+)
+def run_health(s, d):
+    return rounded(diagnosis.reward_health(_candidates(s, d), ["bank"]))
+
+
+@query(f"SELECT count(*) AS batches, round(avg((s > 1e-9)::INT), 6) AS varying FROM (SELECT coalesce(stddev_samp({_m('correct')} + {_AUX}), 0) AS s FROM candidates GROUP BY bank, line_no // 16)")
+def run_health_batch_variance(s, d):
+    return rounded(diagnosis.batch_variance(_candidates(s, d).withColumn("batch", F.floor(F.col("line_no") / 16)), ["bank", "batch"], M.total_reward()))
+
+
+_GROUPS = f"""WITH g AS (SELECT bank, line_no // 16 AS batch, line_no, {_m('correct')} + ({_AUX}) AS r FROM candidates), p AS (SELECT *, (row_number() OVER (PARTITION BY bank, batch ORDER BY line_no) - 1) // 4 AS grp FROM g),
+q AS (SELECT *, row_number() OVER (PARTITION BY bank, batch, grp ORDER BY line_no) - 1 AS i, avg(r) OVER (PARTITION BY bank, batch, grp) AS mean FROM p)"""
+
+
+def _grouped(s, d):
+    rows = _candidates(s, d).select("bank", F.floor(F.col("line_no") / 16).cast("long").alias("batch"), "line_no", F.round(M.total_reward(), 9).alias("r"))
+    return diagnosis.positional_groups(rows, ["bank", "batch"], ["line_no"], 4)
+
+
+@query(_GROUPS + ' SELECT bank, batch::BIGINT AS batch, grp::BIGINT AS grp, count(*) AS "rows", round(stddev_pop(r), 6) AS spread FROM p GROUP BY ALL')
+def positional_groups(s, d):
+    return rounded(_grouped(s, d).groupBy("bank", "batch", "grp").agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("r").alias("spread")))
+
+
+@query(_GROUPS.replace(" AS r FROM candidates)", ", 9) AS r FROM candidates)").replace(f"line_no, {_m('correct')}", f"line_no, round({_m('correct')}", 1) + ' SELECT bank, batch::BIGINT AS batch, grp::BIGINT AS grp, count(*) AS "rows", arg_max(i, (r, -i))::INT AS top, round(stddev_pop(r), 6) AS spread, array_to_string(list(i ORDER BY i) FILTER (r > mean + 1e-12), \',\') AS positive FROM q GROUP BY ALL')
+def group_advantage(s, d):
+    g = diagnosis.group_structure(_grouped(s, d), ["bank", "batch", "grp"], ["line_no"], F.col("r"))
+    return rounded(g.withColumn("positive", F.nullif(F.array_join(F.col("positive").cast("array<string>"), ","), F.lit(""))))
+
+
+_DIFF = f"WITH c AS (SELECT bank, line_no // 16 AS batch, avg({_m('format')}) AS a, avg({_m('valid_expression')}) AS b FROM candidates GROUP BY ALL), s AS (SELECT bank, abs(a - lag(a) OVER w) AS x, abs(b - lag(b) OVER w) AS y FROM c WINDOW w AS (PARTITION BY bank ORDER BY batch))"
+
+
+@query(_DIFF + " SELECT bank, count(*) AS steps, round(avg(x + y), 6) AS mean_l1, round(max(greatest(x, y)), 6) AS max_linf FROM s WHERE x IS NOT NULL GROUP BY bank")
+def weight_diff_l1_linf(s, d):
+    b = _candidates(s, d).groupBy("bank", F.floor(F.col("line_no") / 16).alias("batch")).agg(F.avg(M.metric("format")).alias("a"), F.avg(M.metric("valid_expression")).alias("b"))
+    return rounded(diagnosis.consecutive_change(b, ["bank"], ["batch"], ["a", "b"]))
+
+
+@query(f"WITH b AS (SELECT bank, line_no // 16 AS batch, avg({_m('correct')}) AS p FROM candidates GROUP BY ALL), l AS (SELECT bank, list(p ORDER BY batch) AS v FROM b GROUP BY bank) SELECT bank, len(v)::INT AS steps, round(list_sum(list_transform(v, lambda x, i: x * 0.1 * pow(0.9, len(v) - i))), 6) AS ema FROM l")
+def ema_fold(s, d):
+    b = _candidates(s, d).groupBy("bank", F.floor(F.col("line_no") / 16).alias("batch")).agg(F.avg(M.primary_reward()).alias("p"))
+    return rounded(control.ema(b, "bank", "batch", "p"))
+
+
+@query("SELECT user_id, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last FROM events GROUP BY user_id")
+def first_last(s, d):
+    return diagnosis.first_last(table(s, d, "events"), ["user_id"], "event_id", "value")
+
+
+_OOD = _BASE.replace("FROM candidates)", "FROM candidates JOIN (SELECT bank, method FROM banks) USING (bank))", 1)
+
+
+@query(
+    _OOD
+    + """, st AS (SELECT method, count(*) AS candidates, count(*) FILTER (valid_expression > 0) / count(*) AS legal_rate, avg(number_multiset_f1) AS f1_mean, coalesce(count(*) FILTER (exact_correct > 0) / nullif(count(*) FILTER (valid_expression > 0), 0), 0) AS exact_given_legal, count(*) FILTER (exact_correct > 0) / count(*) AS exact_rate,
+ avg(coalesce(contains(extracted_expression, '/'), false)::INT) AS division_rate, avg(coalesce(completion_token_count >= 256, false)::INT) AS truncation_rate, avg(coalesce(completion_token_count, 0)) AS mean_tokens FROM b GROUP BY method),
+so AS (SELECT method, count(*) AS units, count(*) FILTER (e > 0) AS oracle FROM (SELECT method, bank, id, max(exact_correct) AS e FROM u WHERE pos < 8 GROUP BY ALL) GROUP BY method), a AS (SELECT * FROM st JOIN so USING (method)), z AS (SELECT * FROM a WHERE method = 'static')
+SELECT a.method, a.candidates, a.units, round(a.legal_rate, 6) AS legal_rate, round(a.f1_mean, 6) AS f1_mean, round(a.exact_given_legal, 6) AS exact_given_legal, round(a.exact_rate, 6) AS exact_rate, a.oracle, round(a.division_rate, 6) AS division_rate, round(a.truncation_rate, 6) AS truncation_rate, round(a.mean_tokens, 6) AS mean_tokens,
+ round(a.legal_rate - z.legal_rate, 6) AS legal_vs_base, round(a.division_rate - z.division_rate, 6) AS division_vs_base, a.oracle - z.oracle AS oracle_vs_base FROM a, z"""
+)
+def ood_vs_base(s, d):
+    return rounded(diagnosis.out_of_distribution(_candidates(s, d).join(table(s, d, "banks").select("bank", "method"), "bank"), "method", base="static"))
+
+
+_SHIFT = _BASE + """, w AS (SELECT difficulty, count(*) FILTER (prompt_field = 'prompt_high') AS nh, count(*) FILTER (prompt_field = 'prompt_mid') AS nm, avg((valid_expression > 0)::INT) FILTER (prompt_field = 'prompt_high') AS lh, avg((valid_expression > 0)::INT) FILTER (prompt_field = 'prompt_mid') AS lm,
+ coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_high' AND p), 0) AS fh, coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_mid' AND p), 0) AS fm FROM (SELECT *, evaluates_without_exception > 0 OR valid_expression > 0 OR (m_expression IS NOT NULL AND number_multiset_f1 > 0) AS p FROM b) GROUP BY difficulty)"""
+
+
+@query(_SHIFT + " SELECT difficulty, round(lh, 6) AS legal_strong, round(lm, 6) AS legal_weak, round(lh - lm, 6) AS legal_loss, round(fh, 6) AS f1_strong, round(fm, 6) AS f1_weak, round(fh - fm, 6) AS f1_loss FROM w WHERE nh > 0 AND nm > 0")
+def prompt_shift_pivot(s, d):
+    return rounded(diagnosis.prompt_shift(_candidates(s, d), ["difficulty"]))
+
+
+@query(
+    _BASE
+    + ", k AS (SELECT line_no // 16 AS batch, bank, valid_expression AS ref, unnest(["
+    + ", ".join(f"{{'name': '{x}', 'v': {x}}}" for x in M.AUXILIARY)
+    + """]) AS x FROM c), p AS (SELECT bank, batch, x.name AS name, stddev_pop(x.v) AS s, sum(x.v) AS t, count(*) AS n, bool_and(x.v = ref) AS same FROM k GROUP BY ALL)
+SELECT name, round(avg(s), 6) AS mean_spread, round(avg((s > 1e-9)::INT), 6) AS varying, round(sum(t) / sum(n), 6) AS mean, bool_and(same) AND name <> 'valid_expression' AS same_as_reference, avg(s) > 0.01 AND NOT (bool_and(same) AND name <> 'valid_expression') AS kept FROM p GROUP BY name"""
+)
+def aux_prune(s, d):
+    return rounded(diagnosis.prune_components(_candidates(s, d).withColumn("batch", F.floor(F.col("line_no") / 16)), ["bank", "batch"], M.AUXILIARY))
+
+
+@query("SELECT bank, count(*) AS \"rows\", round(avg(completion_token_count), 6) AS mean, median(completion_token_count) AS median, round(avg((completion_token_count >= 256)::INT), 6) AS capped FROM candidates WHERE completion_token_count IS NOT NULL GROUP BY bank")
+def completion_lengths(s, d):
+    return rounded(diagnosis.length_stats(_candidates(s, d), ["bank"]))
+
+
+_KEY = "(list_sort(numbers), target, list_sort(list_distinct(allowed_ops)))"
+
+
+@query(
+    _BASE
+    + f""", g AS (SELECT DISTINCT {_KEY} AS k, replace(solution, ' ', '') AS s FROM tasks WHERE lower(trim(split)) = 'train' AND solution IS NOT NULL AND numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL), e AS (SELECT {_KEY.replace('allowed_ops', 'task_ops')} AS k, replace(m_expression, ' ', '') AS s FROM c WHERE exact_correct > 0)
+SELECT count(*) AS exact_on_known, count(*) FILTER (EXISTS (SELECT 1 FROM g WHERE g.k = e.k AND g.s = e.s)) AS verbatim, count(*) FILTER (NOT EXISTS (SELECT 1 FROM g WHERE g.k = e.k AND g.s = e.s)) AS novel FROM e WHERE EXISTS (SELECT 1 FROM g WHERE g.k = e.k)"""
+)
+def verbatim_vs_novel(s, d):
+    return diagnosis.verbatim_and_novel(_candidates(s, d), table(s, d, "tasks"))
+
+
+# ---- comparisons and tests
+
+_OUT = _OOD + ", s AS (SELECT method, id, exact_correct, difficulty FROM u WHERE pos < 8 QUALIFY row_number() OVER (PARTITION BY bank, id ORDER BY score DESC, candidate_index, line_no) = 1), t AS (SELECT method, id, max((exact_correct > 0)::INT) AS outcome, avg(exact_correct) AS rate, min(difficulty) AS difficulty FROM s GROUP BY method, id), pr AS (SELECT a.method, a.id, a.difficulty, a.outcome AS arm, z.outcome AS base FROM t a JOIN t z USING (id) WHERE z.method = 'static' AND a.method <> 'static')"
+
+
+def _pairs(s, d):
+    rows = _candidates(s, d)
+    t = banks.select_best(rows, 8).join(table(s, d, "banks").select("bank", "method"), "bank").groupBy("method", "id").agg(F.max((F.col("exact_correct") > 0).cast("int")).alias("outcome"), F.avg("exact_correct").alias("rate"))
+    tiers = rows.where("difficulty is not null").groupBy("id").agg(F.min("difficulty").alias("difficulty"))
+    p = t.where("method <> 'static'").select("method", "id", F.col("outcome").alias("arm")).join(t.where("method = 'static'").select("id", F.col("outcome").alias("base")), "id")
+    return p.join(tiers, "id")
+
+
+_COUNTS = "count(*) AS n, count(*) FILTER (arm > 0 AND base > 0) AS \"both\", count(*) FILTER (arm > 0 AND base = 0) AS arm_only, count(*) FILTER (arm = 0 AND base > 0) AS base_only, count(*) FILTER (arm = 0 AND base = 0) AS neither, round((count(*) FILTER (arm > 0) - count(*) FILTER (base > 0)) / count(*), 6) AS delta"
+
+
+@query(_OUT + f" SELECT method, {_COUNTS} FROM pr GROUP BY method")
+def paired_2x2(s, d):
+    return rounded(pairing.paired_counts(_pairs(s, d), ["method"]))
+
+
+_SUB = ", sb AS (SELECT *, unnest(list_filter([CASE WHEN difficulty = 'easy' THEN 'easy' END, CASE WHEN difficulty IN ('easy', 'medium') THEN 'easy_medium' END, 'all'], lambda x: x IS NOT NULL)) AS subset FROM pr)"
+
+
+@query(_OUT + _SUB + f" SELECT method, subset, {_COUNTS} FROM sb GROUP BY method, subset")
+def tier_subset_pairs(s, d):
+    return rounded(pairing.paired_counts(pairing.in_subsets(_pairs(s, d)), ["method", "subset"]))
+
+
+@query(_OUT + _SUB + f", q AS (SELECT subset, {_COUNTS} FROM sb GROUP BY subset), o AS (SELECT max(delta) FILTER (subset = 'easy') AS easy, max(delta) FILTER (subset = 'all') AS \"all\" FROM q) SELECT easy, \"all\", round(CASE WHEN \"all\" <> 0 THEN easy / \"all\" END, 6) AS ratio FROM o")
+def dilution(s, d):
+    return rounded(pairing.dilution(rounded(pairing.paired_counts(pairing.in_subsets(_pairs(s, d)), ["subset"]))))
+
+
+@query(_OOD + " SELECT method, split, difficulty, count(*) AS n, round(avg((exact_correct > 0)::INT), 6) AS rate FROM (SELECT b.method, b.difficulty, b.exact_correct, banks.split FROM b JOIN banks USING (bank)) GROUP BY GROUPING SETS ((method, split, difficulty), (method, difficulty))")
+def tier_rates_grouping_sets(s, d):
+    rows = banks.once(banks.measured(_candidates(s, d), ["difficulty"])).join(table(s, d, "banks").select("bank", "method", "split"), "bank")
+    return rounded(pairing.tier_rates(rows.withColumn("e", F.col("exact_correct") > 0), ["method"], ["split"], "difficulty", "e"))
+
+
+@query(_OUT + ", q AS (SELECT method, count(*) FILTER (arm > 0 AND base = 0) AS b, count(*) FILTER (arm = 0 AND base > 0) AS c FROM pr GROUP BY method) SELECT method, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) END, 6) AS p FROM q")
+def mcnemar_exact(s, d):
+    q = pairing.paired_counts(_pairs(s, d), ["method"]).select("method", F.col("arm_only").alias("b"), F.col("base_only").alias("c"))
+    return rounded(q.withColumn("p", F.when(F.col("b") + F.col("c") <= 1000, inference.mcnemar_p(F.col("b"), F.col("c"))).otherwise(inference.mcnemar_large("b", "c"))))
+
+
+def two_proportion_z(s, d):
+    stats = banks.candidate_stats(_candidates(s, d).join(table(s, d, "banks").select("bank", "method"), "bank"), ["method"])
+    z = stats.where("method = 'static'").select(F.col("exact_legal").alias("k0"), F.col("legal").alias("n0"))
+    j = stats.crossJoin(F.broadcast(z))  # one row
+    return rounded(j.select("method", inference.two_proportion_p(F.col("exact_legal"), F.col("legal"), F.col("k0"), F.col("n0")).alias("p")))
+
+
+QUERIES["two_proportion_z"] = two_proportion_z
+
+
+@query(_OUT + ", q AS (SELECT method AS name, round(exp(-abs(sum(arm - base)) / 3.0), 6) AS p FROM pr GROUP BY method), h AS (SELECT name, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p) AS step FROM q) SELECT name, p, round(max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 6) AS adjusted, max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h")
+def holm_adjust(s, d):
+    q = _pairs(s, d).groupBy(F.col("method").alias("name")).agg(F.round(F.exp(-F.abs(F.sum(F.col("arm") - F.col("base"))) / 3.0), 6).alias("p"))
+    return rounded(inference.holm(q))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY event_type")
+def percentile_interval(s, d):
+    return rounded(inference.percentile_interval(table(s, d, "events"), "value", ["event_type"]))
+
+
+_EFFECT = _OUT + ", ef AS (SELECT method AS key, round(avg(arm - base), 6)::DOUBLE AS effect FROM pr GROUP BY method)"
+
+
+def _effects(s, d):
+    return rounded(_pairs(s, d).groupBy(F.col("method").alias("key")).agg(F.avg((F.col("arm") - F.col("base")).cast("double")).alias("effect")))
+
+
+@query(_EFFECT + ", z AS (SELECT list(effect ORDER BY effect) AS v FROM ef WHERE abs(effect) > 1e-15), fl AS (SELECT v, unnest(range(0, (1 << len(v))::BIGINT)) AS code FROM z) SELECT max(len(v))::INT AS nonzero, count(*) AS assignments, round(avg((abs(list_sum(list_transform(v, lambda x, i: x * (1 - 2 * ((code >> (i - 1)) & 1))))) >= abs(list_sum(v)) - 1e-12)::INT), 6) AS p FROM fl")
+def sign_flip_exact(s, d):
+    return rounded(inference.sign_flip_exact(_effects(s, d)))
+
+
+@query(
+    _EFFECT
+    + """, pl AS (SELECT row_number() OVER (ORDER BY key) - 1 AS place, effect FROM ef), n AS (SELECT count(*) AS n FROM pl), sl AS (SELECT d.range AS draw, sl.range AS slot, n FROM range(0, 500) d, n, range(0, 100) sl WHERE sl.range < n)
+SELECT draw, round(avg(effect), 6) AS mean FROM (SELECT draw, ('0x' || substring(md5('17:' || draw || ':' || slot), 1, 8))::BIGINT % n AS place FROM sl) JOIN pl USING (place) GROUP BY draw"""
+)
+def clustered_diff_hash_bootstrap(s, d):
+    return rounded(inference.hash_bootstrap(_effects(s, d), "key", "effect", 500))
+
+
+# ---- audits, keys, samples
+
+
+@query(f"SELECT lower(trim(split)) AS split, count(*) AS \"groups\", sum(c)::BIGINT AS \"rows\", sum(c - 1)::BIGINT AS extra FROM (SELECT split, count(*) AS c FROM (SELECT lower(trim(split)) AS split, {_KEY} AS k FROM tasks WHERE numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL) GROUP BY split, k HAVING count(*) > 1) GROUP BY split")
+def semantic_key_dups(s, d):
+    t = table(s, d, "tasks").withColumn("split", audit.split_name())
+    return audit.duplicate_groups(t, K.semantic_key(), ["split"])
+
+
+_VALID = "coalesce(id IS NOT NULL AND difficulty IS NOT NULL AND len(numbers) > 0 AND len(list_filter(numbers, lambda x: x IS NULL)) = 0 AND target IS NOT NULL AND len(allowed_ops) > 0 AND len(list_filter(allowed_ops, lambda o: o NOT IN ('+', '-', '*', '/'))) = 0 AND length(solution) > 0, false)"
+
+
+@query(
+    f"""WITH t AS (SELECT lower(trim(split)) AS split, id, {_VALID} AS ok, CASE WHEN numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL THEN {_KEY} END AS k FROM tasks), i AS (SELECT split, sum(c)::BIGINT AS "rows", count(id) AS ids, count(*) FILTER (c > 1) AS repeated_ids, sum(bad)::BIGINT AS invalid FROM (SELECT split, id, count(*) AS c, count(*) FILTER (NOT ok) AS bad FROM t GROUP BY split, id) GROUP BY split),
+k AS (SELECT split, count(*) FILTER (c > 1) AS repeated_keys FROM (SELECT split, k, count(*) AS c FROM t WHERE k IS NOT NULL GROUP BY split, k) GROUP BY split) SELECT i.*, coalesce(repeated_keys, 0) AS repeated_keys FROM i LEFT JOIN k ON i.split IS NOT DISTINCT FROM k.split"""
+)
+def split_audit(s, d):
+    return audit.split_audit(table(s, d, "tasks"))
+
+
+@query(
+    f"""WITH x AS (SELECT k, g, count(*) AS c FROM (SELECT {_KEY} AS k, lower(trim(split)) AS g FROM tasks WHERE split IS NOT NULL AND numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL) GROUP BY k, g), t AS (SELECT lower(trim(split)) AS g, count(*) AS t FROM tasks WHERE split IS NOT NULL GROUP BY 1)
+SELECT a.g AS "left", b.g AS "right", count(*) AS keys, sum(a.c)::BIGINT AS left_rows, sum(b.c)::BIGINT AS right_rows, sum(a.c * b.c)::BIGINT AS pairs, round(sum(a.c) / any_value(t.t), 6) AS left_share FROM x a JOIN x b ON a.k = b.k AND a.g < b.g JOIN t ON t.g = a.g GROUP BY a.g, b.g"""
+)
+def overlap_matrix(s, d):
+    t = table(s, d, "tasks")
+    return rounded(audit.overlap_matrix(t, audit.split_name(), K.semantic_key()))
+
+
+@query(
+    f"""WITH k AS (SELECT {_KEY} AS k, lower(trim(split)) = 'train' AS tr, split IS NOT NULL AS sp FROM tasks WHERE numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL), l AS (SELECT k, count(*) AS l FROM k WHERE tr GROUP BY k), r AS (SELECT k, count(*) AS r FROM k WHERE sp AND NOT tr GROUP BY k),
+b AS (SELECT count(*) AS keys, coalesce(sum(l), 0)::BIGINT AS left_rows, coalesce(sum(r), 0)::BIGINT AS right_rows, coalesce(sum(l * r), 0)::BIGINT AS pairs FROM l JOIN r USING (k)) SELECT *, round(left_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) = 'train'), 6) AS left_share, round(right_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) <> 'train'), 6) AS right_share FROM b"""
+)
+def train_overlap(s, d):
+    t = table(s, d, "tasks")
+    return rounded(audit.overlap_stats(t.where(audit.split_name() == "train"), t.where(audit.split_name() != "train")))
+
+
+@query("WITH o AS (SELECT id, bool_or(coalesce(lower(trim(split)) = 'validation', false)) AS ok FROM tasks GROUP BY id), i AS (SELECT id, count(*) AS c FROM candidates WHERE bank IN (SELECT bank FROM banks WHERE split = 'validation') GROUP BY id) SELECT coalesce(sum(c), 0)::BIGINT AS ids, count(*) AS distinct_ids, count(*) FILTER (c > 1) AS repeated, count(*) FILTER (ok IS NULL) AS missing, count(*) FILTER (NOT ok) AS wrong_split FROM i LEFT JOIN o USING (id)")
+def frozen_id_audit(s, d):
+    ids = _candidates(s, d).join(table(s, d, "banks").where("split = 'validation'").select("bank"), "bank", "left_semi").select("id")
+    return audit.frozen_ids(ids, table(s, d, "tasks"), audit.split_name() == "validation")
+
+
+@query("WITH h AS (SELECT lower(trim(split)) AS split, difficulty, count(*) AS c FROM tasks WHERE split IS NOT NULL AND difficulty IS NOT NULL GROUP BY ALL), q AS (SELECT unnest(['train', 'train', 'validation']) AS split, unnest(['easy', 'medium', 'hard']) AS difficulty, unnest([100, 200, 300]) AS quota) SELECT coalesce(h.split, q.split) AS split, coalesce(h.difficulty, q.difficulty) AS difficulty, coalesce(c, 0) AS \"rows\", coalesce(quota, 0)::INT AS quota FROM h FULL JOIN q ON h.split = q.split AND h.difficulty = q.difficulty WHERE coalesce(c, 0) <> coalesce(quota, 0)")
+def quota_check(s, d):
+    quotas = s.createDataFrame([("train", "easy", 100), ("train", "medium", 200), ("validation", "hard", 300)], "split string, difficulty string, quota int")
+    return audit.quota_check(table(s, d, "tasks").where("split is not null and difficulty is not null"), [audit.split_name(), F.col("difficulty")], quotas, ["split", "difficulty"])
+
+
+@query("SELECT t.id, count(*) FILTER (NOT (c.numbers IS NOT DISTINCT FROM t.numbers)) AS numbers, count(*) FILTER (NOT (c.target IS NOT DISTINCT FROM t.target)) AS target FROM candidates c JOIN (SELECT id, arg_max({'numbers': numbers, 'target': target}, line_no).numbers AS numbers, arg_max({'numbers': numbers, 'target': target}, line_no).target AS target FROM tasks GROUP BY id) t ON c.id = t.id GROUP BY t.id")
+def payload_equality(s, d):
+    last = table(s, d, "tasks").groupBy("id").agg(F.max_by(F.struct("numbers", "target"), "line_no").alias("t"))
+    j = _candidates(s, d).select("id", "numbers", "target").join(last, "id")
+    return j.groupBy("id").agg(*(F.count_if(~F.col(c).eqNullSafe(F.col(f"t.{c}"))).alias(c) for c in ("numbers", "target")))
+
+
+@query("SELECT c.id AS id, c.candidate_index, c.line_no FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.id = c.id)")
+def missing_tasks(s, d):
+    return _candidates(s, d).join(table(s, d, "tasks").select("id"), "id", "left_anti").select("id", "candidate_index", "line_no")
+
+
+@query("SELECT doc_id, lang, kind FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 UNION ALL SELECT doc_id, lang, kind FROM documents WHERE text IS NULL")
+def keep_first_dedup(s, d):
+    return audit.keep_first(table(s, d, "documents"), F.col("text"), "doc_id").select("doc_id", "lang", "kind")
+
+
+_HASH = "sha256('7' || chr(0) || 'sample' || chr(0) || doc_id)"
+
+
+@query(f"SELECT doc_id, kind FROM documents QUALIFY row_number() OVER (PARTITION BY kind ORDER BY {_HASH}, doc_id) <= 20")
+def hash_stratified_sample(s, d):
+    return sampling.stratified_sample(table(s, d, "documents").select("doc_id", "kind"), "kind", "doc_id", 20, seed=7)
+
+
+@query(f"SELECT doc_id, kind, CASE WHEN r <= 50 THEN 'train' WHEN r <= 70 THEN 'validation' WHEN r <= 80 THEN 'test' END AS part FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY {_HASH}) AS r FROM documents)")
+def hash_split_quota(s, d):
+    return sampling.split_by_quota(table(s, d, "documents").select("doc_id", "kind"), "kind", K.stable_order(7, "sample", F.col("doc_id")), [("train", 50), ("validation", 20), ("test", 10)])
+
+
+@query("SELECT 'left' AS side, id FROM (SELECT DISTINCT id FROM tasks EXCEPT SELECT DISTINCT id FROM candidates) UNION ALL SELECT 'right', id FROM (SELECT DISTINCT id FROM candidates EXCEPT SELECT DISTINCT id FROM tasks)")
+def set_difference(s, d):
+    return sampling.set_difference(table(s, d, "tasks"), _candidates(s, d), "id")
+
+
+@query(f"WITH v AS (SELECT id, {_KEY} AS k, (list_sort(numbers), target) AS l, lower(trim(split)) AS split FROM tasks) SELECT 'id' AS key, count(DISTINCT id) AS shared FROM v WHERE split = 'train' AND id IN (SELECT id FROM v WHERE split = 'validation') UNION ALL SELECT 'semantic', count(DISTINCT k) FROM v WHERE split = 'train' AND k IN (SELECT k FROM v WHERE split = 'validation' AND k[1] IS NOT NULL AND k[2] IS NOT NULL AND k[3] IS NOT NULL) AND k[1] IS NOT NULL AND k[2] IS NOT NULL AND k[3] IS NOT NULL UNION ALL SELECT 'loose', count(DISTINCT l) FROM v WHERE split = 'train' AND l IN (SELECT l FROM v WHERE split = 'validation' AND l[1] IS NOT NULL AND l[2] IS NOT NULL) AND l[1] IS NOT NULL AND l[2] IS NOT NULL")
+def guard_intersections(s, d):
+    t = table(s, d, "tasks")
+    return audit.guard_intersections(t.where(audit.split_name() == "train"), t.where(audit.split_name() == "validation"), {"id": F.col("id"), "semantic": K.semantic_key(), "loose": K.loose_key()})
+
+
+@query("SELECT kind, n FROM (SELECT kind, count(*) AS n FROM documents WHERE kind IS NOT NULL GROUP BY kind) ORDER BY n DESC, kind LIMIT 3")
+def top_kinds(s, d):
+    return sampling.top_by_count(table(s, d, "documents"), "kind", 3)
+
+
+@query("SELECT l_orderkey, sha256('{\"l_linenumber\":' || l_linenumber || ',\"l_orderkey\":' || l_orderkey || ',\"l_partkey\":' || l_partkey || '}') AS digest FROM lineitem")
+def row_digest(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", K.row_digest(["l_orderkey", "l_partkey", "l_linenumber"]).alias("digest"))
+
+
+@query("SELECT bank, sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS digest, count(*) AS members FROM (SELECT DISTINCT bank, id FROM candidates) GROUP BY bank")
+def set_digest(s, d):
+    return K.set_digest(_candidates(s, d).select("bank", "id").distinct(), "id", ["bank"])
+
+
+# ---- functions
+
+
+@query("SELECT line_no, trim(CASE WHEN regexp_matches(coalesce(completion, ''), '(?is)<answer>.*?</answer>') THEN regexp_extract(completion, '(?is)<answer>(.*?)</answer>', 1) ELSE coalesce(completion, '') END, ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(8201) || chr(8202)) AS expression, regexp_matches(coalesce(completion, ''), '(?is)<answer>.*?</answer>') AS found FROM candidates")
+def answer_extract(s, d):
+    return _candidates(s, d).select("line_no", X.extract_answer(F.col("completion")).alias("a")).select("line_no", "a.expression", "a.found")
+
+
+@query(
+    """WITH n AS (SELECT line_no, numbers AS r, list_transform(regexp_extract_all(metrics.expression, '\\d+'), lambda x: x::BIGINT) AS u FROM candidates WHERE metrics.expression IS NOT NULL AND numbers IS NOT NULL),
+k AS (SELECT line_no, len(u) AS lu, len(r) AS lr, coalesce(list_sum(list_transform(list_distinct(u), lambda x: least(len(list_filter(u, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0)::DOUBLE AS c FROM n)
+SELECT line_no, round(c / greatest(1, lu), 6) AS "precision", round(c / greatest(1, lr), 6) AS recall, round(CASE WHEN c = 0 THEN 0 ELSE 2 * (c / greatest(1, lu)) * (c / greatest(1, lr)) / (c / greatest(1, lu) + c / greatest(1, lr)) END, 6) AS f1, c = lu AS no_extra, c = lr AS all_required FROM k"""
+)
+def multiset_f1(s, d):
+    used = F.transform(F.regexp_extract_all(F.col("metrics.expression"), F.lit(r"(\d+)")), lambda x: x.cast("long"))
+    rows = _candidates(s, d).where("metrics.expression is not null and numbers is not null").select("line_no", A.multiset_scores(used, F.col("numbers")).alias("m"))
+    return rounded(rows.select("line_no", "m.*"))
+
+
+@query("SELECT line_no, len(regexp_extract_all(completion, '[^ \\n]+')) AS words FROM candidates WHERE completion IS NOT NULL AND regexp_matches(completion, '^[ -~\\n]*[!-~][ -~\\n]*$')")
+def word_counts(s, d):
+    return _candidates(s, d).where(F.col("completion").rlike(r"^[ -~\n]*[!-~][ -~\n]*$")).select("line_no", X.word_count(F.col("completion")).cast("long").alias("words"))
+
+
+@query(
+    """SELECT line_no, list_sum(list_filter(numbers, lambda x: x > 0)) AS sum_positive, len(list_filter(numbers, lambda x: x % 2 = 0))::INT AS count_even, list_max(numbers) AS max_list, list_sort(list_distinct(numbers))::VARCHAR AS unique_sorted, numbers = list_sort(numbers) AS is_sorted_asc, numbers = list_reverse(numbers) AS is_palindrome_list,
+ list_transform(numbers, lambda x, i: list_sum(numbers[1:i]))::VARCHAR AS prefix_sum, list_transform(numbers, lambda x, i: list_max(numbers[1:i]))::VARCHAR AS running_max, list_sort(list_distinct(numbers), 'DESC')[2] AS second_max, list_transform(numbers[2:], lambda x, i: x - numbers[i])::VARCHAR AS pairwise_diff FROM tasks WHERE len(numbers) > 0"""
+)
+def list_functions(s, d):
+    n, f = F.col("numbers"), A.LIST_FUNCTIONS
+    show = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+    named = lambda *names: [f[x](n).alias(x) for x in names]
+    shown = lambda *names: [show(f[x](n)).alias(x) for x in names]
+    rows = table(s, d, "tasks").where("size(numbers) > 0")
+    return rows.select("line_no", F.nullif(f["sum_positive"](n), F.lit(0)).alias("sum_positive"), *named("count_even", "max_list", "is_sorted_asc", "is_palindrome_list", "second_max"), *shown("unique_sorted", "prefix_sum", "running_max", "pairwise_diff"))
+
+
+@query(f"SELECT bank, round(avg({_m('correct')}), 6) AS \"primary\", round(avg({_AUX}), 6) AS auxiliary, round(avg({_m('correct')} + {_AUX}), 6) AS total FROM candidates GROUP BY bank")
+def reward_split(s, d):
+    return rounded(_candidates(s, d).groupBy("bank").agg(F.avg(M.primary_reward()).alias("primary"), F.avg(M.auxiliary_reward()).alias("auxiliary"), F.avg(M.total_reward()).alias("total")))
+
+
+def expr_verify(s, d):
+    rows = _candidates(s, d).select("line_no", V.verify_completion(F.col("completion"), F.col("numbers"), F.col("target"), F.col("allowed_ops")).alias("v"))
+    return rows.select("line_no", "v.parse_ok", "v.uses_numbers", "v.number_multiset_f1", "v.uses_allowed_ops", "v.valid_expression", "v.correct", "v.numeric_distance_reward", "v.value")
+
+
+def flatten_metrics(s, d):
+    return files.flatten(_candidates(s, d).select("line_no", "id", "metrics"))
+
+
+QUERIES |= {"expr_verify": expr_verify, "flatten_metrics": flatten_metrics}
+SQL["flatten_metrics"] = "SELECT line_no, id, metrics.* FROM candidates"
+
+
+@query("SELECT event_type, round(avg((props->>'k')::DOUBLE), 6) AS mean, round(stddev_samp((props->>'k')::DOUBLE), 6) AS sample_std, round(stddev_pop((props->>'k')::DOUBLE), 6) AS pop_std FROM events GROUP BY event_type")
+def props_flatten_means(s, d):
+    k = F.from_json("props", "k double")["k"]
+    return rounded(table(s, d, "events").groupBy("event_type").agg(F.avg(k).alias("mean"), F.stddev_samp(k).alias("sample_std"), F.stddev_pop(k).alias("pop_std")))
+
+
+# ---- controllers
+
+
+def _batches(s, d):
+    return control.batch_means(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"))
+
+
+def teacher_replay(s, d):
+    return rounded(control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_stable", delay=5)).select("bank", "batch", "step", "ema_primary", "weight_sum", "l1", "linf"))
+
+
+def curriculum_replay(s, d):
+    t = control.tier_batches(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"))
+    return control.replay_tiers(t, "bank").select("bank", "batch", "updates", *(F.round(F.col("shares")[x], 6).alias(x) for x in ("easy", "medium", "hard")))
+
+
+def _reward_groups(s, d):
+    return control.reward_groups(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"), ["line_no"])
+
+
+def bandit_replay(s, d):
+    return rounded(control.replay_bandit(_reward_groups(s, d), "bank").drop("weights"))
+
+
+def oracle_ceilings(s, d):
+    return rounded(control.ceiling_report(control.ceilings(_reward_groups(s, d), ["bank"]), ["bank"]))
+
+
+def generated_tasks(s, d):
+    pools = [(generate.proposals(s, tier, 400, seed), 150) for seed, tier in enumerate(("easy", "medium", "hard"))]
+    return generate.accept(pools)
+
+
+QUERIES |= {f.__name__: f for f in (teacher_replay, curriculum_replay, bandit_replay, oracle_ceilings, generated_tasks)}
