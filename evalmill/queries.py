@@ -268,13 +268,13 @@ def ood_vs_base(s, d):
     return rounded(diagnosis.out_of_distribution(_candidates(s, d).join(table(s, d, "banks").select("bank", "method"), "bank"), "method", base="static"))
 
 
-_SHIFT = _BASE + """, w AS (SELECT difficulty, count(*) FILTER (prompt_field = 'prompt_high') AS nh, count(*) FILTER (prompt_field = 'prompt_mid') AS nm, avg((valid_expression > 0)::INT) FILTER (prompt_field = 'prompt_high') AS lh, avg((valid_expression > 0)::INT) FILTER (prompt_field = 'prompt_mid') AS lm,
- coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_high' AND p), 0) AS fh, coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_mid' AND p), 0) AS fm FROM (SELECT *, evaluates_without_exception > 0 OR valid_expression > 0 OR (m_expression IS NOT NULL AND number_multiset_f1 > 0) AS p FROM b) GROUP BY difficulty)"""
+_SHIFT = _BASE + """, w AS (SELECT difficulty, count(*) FILTER (prompt_field = 'prompt_high') AS nh, count(*) FILTER (prompt_field = 'prompt_low') AS nm, avg((valid_expression > 0)::INT) FILTER (prompt_field = 'prompt_high') AS lh, avg((valid_expression > 0)::INT) FILTER (prompt_field = 'prompt_low') AS lm,
+ coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_high' AND p), 0) AS fh, coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_low' AND p), 0) AS fm FROM (SELECT *, evaluates_without_exception > 0 OR valid_expression > 0 OR (m_expression IS NOT NULL AND number_multiset_f1 > 0) AS p FROM b) GROUP BY difficulty)"""
 
 
 @query(_SHIFT + " SELECT difficulty, round(lh, 6) AS legal_strong, round(lm, 6) AS legal_weak, round(lh - lm, 6) AS legal_loss, round(fh, 6) AS f1_strong, round(fm, 6) AS f1_weak, round(fh - fm, 6) AS f1_loss FROM w WHERE nh > 0 AND nm > 0")
 def prompt_shift_pivot(s, d):
-    return rounded(diagnosis.prompt_shift(_candidates(s, d), ["difficulty"]))
+    return rounded(diagnosis.prompt_shift(_candidates(s, d), ["difficulty"], weak="prompt_low"))
 
 
 @query(

@@ -70,11 +70,19 @@ def flatten(df: DataFrame, column: str = "metrics") -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size, lines) of files; a last line without an end counts, an empty file has none."""
+    """(path, sha256, size, lines) of files; a last line without an end counts, an empty file has none.
+
+    Spark's file sources skip empty files; those are found by listing the path.
+    """
     b = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "ISO-8859-1")
     ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return b.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), (ends + ((F.col("length") > 0) & ~text.endswith("\n")).cast("int")).alias("lines"))
+    full = b.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), (ends + ((F.col("length") > 0) & ~text.endswith("\n")).cast("int")).cast("long").alias("lines"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    empty = [str(x.getPath()) for m in fs.globStatus(at) or [] for x in fs.listStatus(m.getPath()) if x.isFile() and not x.getLen()]
+    none = spark.createDataFrame([(p, "", 0, 0) for p in empty], "path string, sha256 string, size long, lines long").withColumn("sha256", F.sha2(F.col("sha256"), 256))
+    return full.unionByName(none).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
 
 
 def tree_digest(files: DataFrame, root: str, names: list[str] | None = None) -> DataFrame:
