@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,24 +192,16 @@ def _prompts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return ready.mapInArrow(_signals(keep, None), ", ".join(f"`{c}` {types[c]}" for c in keep) + f", {_SIGNALS}")
 
 
-def _defect(copied: Column, agreement: Column) -> Column:
-    return (
-        F.when(F.col("empty"), "empty")
-        .when(copied, "copy")
-        .when(F.col("refuses"), "refusal")
-        .when((F.col("trigrams") >= LEAST_TRIGRAMS) & (agreement < MOST_AGREEING), "language")
-        .when(F.col("open_end") & (F.col("ending") <= MOST_ENDING), "truncated")
-    )
-
-
 def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     """(tab, line_no, defect) of every response of the two tables that is unusable.
 
     A response of tasks answers ``prompt``, one of candidates the prompt that ``prompt_field`` names in its task.
-    Where that is unknown (a null prompt or prompt_field, a task that is absent), any of the task's prompts may be
-    repeated, and the language of any of them is fine. Types, of which the first that holds is given: 'empty',
+    Where that is unknown (a null prompt or prompt_field), any of the task's prompts may be repeated, and the language
+    of any of them is fine; a response without any known prompt is neither a copy nor in another language. Types, of which the first that holds is given: 'empty',
     'copy', 'refusal', 'language', 'truncated'.
 
+    Prompts and responses meet by task and field, one row for each distinct prompt; nothing is collected by task.
+
     Defined cases: a null response is empty; a response without letters has no language; a task with several rows
     counts with all its distinct prompts; repeated rows each come out; empty tables give no rows; other columns are
     not read.
@@ -219,31 +211,30 @@ def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     counts = end_counts(both, "t")
     ending = counts[:, 1] / (counts[:, 0] + FEW)
     prompts = tasks.select(F.col("id").alias("task"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields))).alias("p")).select("task", "p.field", "p.text").where("text is not null and task is not null").distinct()
-    facts = _prompts(prompts, ["task", "field"], "text").groupBy("task").agg(
-        F.collect_set(F.struct("field", "n", "hash", "lang")).alias("prompts")
+    by_field, by_task = Window.partitionBy("task", "field"), Window.partitionBy("task")
+    facts = _prompts(prompts, ["task", "field"], "text").select(
+        "task", "field", F.col("n").alias("p_n"), F.col("hash").alias("p_hash"), F.col("lang").alias("p_lang"), F.count(F.lit(1)).over(by_field).alias("of_field"), F.count(F.lit(1)).over(by_task).alias("of_task")
     )
     given = F.when(F.col("prompt").isNotNull(), F.lit("prompt"))
-    rows = (
-        _responses(
-            tasks.select("line_no", F.col("id").alias("task"), F.lit("tasks").alias("tab"), given.alias("field"), "completion").unionByName(
-                candidates.select("line_no", F.col("id").alias("task"), F.lit("candidates").alias("tab"), F.col("prompt_field").alias("field"), "completion")
-            ),
-            ["tab", "line_no", "task", "field"],
-            F.col("completion"),
-            ending,
-        )
+    both = tasks.select("line_no", F.col("id").alias("task"), F.lit("tasks").alias("tab"), given.alias("field"), "completion").unionByName(
+        candidates.select("line_no", F.col("id").alias("task"), F.lit("candidates").alias("tab"), F.col("prompt_field").alias("field"), "completion")
+    )
+    rows = _responses(both, ["tab", "line_no", "task", "field"], F.col("completion"), ending)
+    rows = rows.withColumn("known", F.col("field").isNotNull()).withColumn("field", F.explode(F.when(F.col("field").isNotNull(), F.array("field")).otherwise(F.array(*map(F.lit, fields)))))
+    met = rows.join(facts, ["task", "field"], "left")
+    agreement = F.aggregate(F.zip_with("lang", "p_lang", lambda a, b: a * b), F.lit(0.0).cast("float"), lambda s, x: s + x)
+    foreign = F.coalesce((F.col("trigrams") >= LEAST_TRIGRAMS) & (agreement < MOST_AGREEING), F.lit(False))
+    near = (F.col("n") - F.col("p_n")).between(0, LEAD_IN)
+    judged = met.select(
+        "tab", "line_no", "empty", "refuses", (F.col("open_end") & (F.col("ending") <= MOST_ENDING)).alias("cut"), foreign.alias("foreign"), F.when(F.col("known"), F.col("of_field")).otherwise(F.col("of_task")).alias("prompts"),
+        "n", "hash", "head", F.when(near, F.col("p_n")).otherwise(F.lit(-1)).alias("p_n"), F.coalesce("p_hash", F.lit(0)).alias("p_hash"),
+    )
+    judged = judged.withColumn("copied", _repeats("n", "hash", "head", "p_n", "p_hash")).where("empty or copied or refuses or foreign or cut")
+    seen = judged.groupBy("tab", "line_no").agg(*(F.max(c).alias(c) for c in ("empty", "copied", "refuses", "cut", "prompts")), F.count_if("foreign").alias("foreign"))
+    kind = (
+        F.when(F.col("empty"), "empty").when(F.col("copied"), "copy").when(F.col("refuses"), "refusal").when(F.col("foreign") >= F.greatest("prompts", F.lit(1)), "language").when(F.col("cut"), "truncated")
     )
-    met = rows.join(facts, "task", "left")
-    own = F.filter("prompts", lambda p: p.field == F.col("field"))
-    met = met.withColumn("prompts", F.when(F.col("field").isNull() | (F.size(own) == 0), F.col("prompts")).otherwise(own))
-    agreement = F.coalesce(F.array_max(F.transform("prompts", lambda p: F.aggregate(F.zip_with("lang", p.lang, lambda a, b: a * b), F.lit(0.0).cast("float"), lambda s, x: s + x))), F.lit(1.0))
-    near = F.filter("prompts", lambda p: (F.col("n") - p.n >= 0) & (F.col("n") - p.n <= LEAD_IN))
-    met = met.select("tab", "line_no", "empty", "refuses", "open_end", "ending", "trigrams", "n", "hash", "head", agreement.alias("agreement"), near.alias("near"))
-    spread = met.select("*", F.explode_outer("near").alias("p")).drop("near")
-    judged = spread.withColumn("copied", _repeats("n", "hash", "head", F.coalesce("p.n", F.lit(-1)), F.coalesce("p.hash", F.lit(0))))
-    defects = judged.select("tab", "line_no", _defect(F.col("copied"), F.col("agreement")).alias("defect")).where("defect is not null")
-    order = F.array_position(F.array(*map(F.lit, ("empty", "copy", "refusal", "language", "truncated"))), F.col("defect"))
-    return defects.groupBy("tab", "line_no").agg(F.min_by("defect", order).alias("defect"))
+    return seen.select("tab", "line_no", kind.alias("defect")).where("defect is not null")
 
 
 def defect_report(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
