@@ -3,7 +3,7 @@
 1. Every row gets a 64-bit key: the engine's hash of the columns compared by value, joined with a polynomial hash
    of the texts, streamed through a skip-and-fold table.
 2. Keys are counted with partial aggregation, so that a key of any frequency shrinks before the shuffle.
-3. Rows of keys that occur more than once are compared with the first row of their key: values by null-safe
+3. Rows of keys that occur more than once (very frequent keys in parts) are compared with the first row of their key: values by null-safe
    equality, texts with two pointers that skip what does not count.
 4. Rows that share a key with a row they differ from (a collision) are grouped by their folded content instead.
 """
@@ -22,6 +22,10 @@ from pyspark.sql import types as T
 from evalmill.llm import folding
 
 
+#: Rows of one key that one task compares, about; keys with more are split.
+HOT = 100_000
+
+
 @F.pandas_udf(T.LongType())
 def _text_key(texts: pd.Series) -> pd.Series:
     return pd.Series(folding.fold_hashes(pa.array(texts, pa.large_string())).view(np.int64))
@@ -89,11 +93,16 @@ def formatting_copies(df: DataFrame, line: str, values: list[Column], texts: lis
     if json is not None:
         keyed = keyed.where(f"k.b{len(hashes) - 1} is not null")
     keyed = keyed.drop("k")
-    groups = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = keyed.join(groups, "key")
+    groups = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = groups.select("key", "first", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    # keys with more than HOT rows, so at most one for each HOT rows of the table, go to all tasks
+    hot = F.broadcast(groups.where("parts > 1").select("key", F.col("parts").alias("cut")))
+    salted = keyed.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("line"), F.col("cut")).cast("int"), F.lit(0))).drop("cut")
+    spread = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    members = salted.join(spread(groups), ["key", "part"])
     content = v + t + (["j"] if json is not None else [])
-    firsts = members.where("line = first").select("key", *(F.col(c).alias(f"f_{c}") for c in content))
-    compared = members.where("line <> first").join(firsts, "key")
+    firsts = spread(members.where("line = first").select("key", "parts", *(F.col(c).alias(f"f_{c}") for c in content))).drop("parts")
+    compared = members.where("line <> first").join(firsts, ["key", "part"])
     equal = F.lit(True)
     for c in v:
         equal = equal & F.col(c).eqNullSafe(F.col(f"f_{c}"))

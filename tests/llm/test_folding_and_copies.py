@@ -89,7 +89,8 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert got == {(0, 3), (1, 2), (1, 4)}
 
 
-def test_empty_tables_and_hot_group(spark):
+def test_empty_tables_and_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(copies, "HOT", 100)
     df = rows(spark, [])
     assert copies.candidate_copies(df).count() == 0
     hot = rows(spark, [("b", "t", (1.0, "x" + " " * (i % 5), None)) for i in range(3000)])
