@@ -17,6 +17,7 @@ from evalmill.functions import measures as M
 from evalmill.functions import text as X
 from evalmill.functions import verifier as V
 from evalmill.operators import audit, banks, control, diagnosis, generate, inference, pairing, sampling
+from evalmill.plans import scorecard
 from evalmill.session import table
 from evalmill.sources import files
 
@@ -594,3 +595,54 @@ def generated_tasks(s, d):
 
 
 QUERIES |= {f.__name__: f for f in (teacher_replay, curriculum_replay, bandit_replay, oracle_ceilings, generated_tasks)}
+
+
+# ---- combined reports
+
+
+@query(
+    _OOD
+    + f""", tr AS (SELECT DISTINCT {_KEY} AS k FROM tasks WHERE lower(trim(split)) = 'train' AND numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL),
+sc AS (SELECT *, unnest(['all', CASE WHEN numbers IS NOT NULL AND target IS NOT NULL AND task_ops IS NOT NULL AND {_KEY.replace('allowed_ops', 'task_ops')} IN (SELECT k FROM tr) THEN 'overlap' ELSE 'held_out' END]) AS scope FROM b)
+SELECT method, scope, difficulty, count(*) AS candidates, round(avg((valid_expression >= 1)::INT), 6) AS legality, round(coalesce(count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) / nullif(count(*) FILTER (valid_expression >= 1), 0), 0), 6) AS exact_given_legal,
+ round(avg(coalesce(completion_token_count, 0)), 6) AS tokens, round(avg(coalesce(completion_token_count >= 256, false)::INT), 6) AS clip_rate, grouping(difficulty)::TINYINT AS total FROM sc GROUP BY GROUPING SETS ((method, scope, difficulty), (method, scope))"""
+)
+def arm_scorecard(s, d):
+    return rounded(scorecard.scorecard(_candidates(s, d), table(s, d, "tasks"), table(s, d, "banks")))
+
+
+@query(
+    _OUT
+    + f""", q AS (SELECT method, {_COUNTS} FROM pr GROUP BY method), p AS (SELECT *, CASE WHEN arm_only + base_only = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(arm_only, base_only) + 1), lambda i: exp(lgamma(arm_only + base_only + 1) - lgamma(i + 1) - lgamma(arm_only + base_only - i + 1) + (arm_only + base_only) * ln(0.5))))) END AS p FROM q),
+h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, method) + 1) * p) AS step FROM p) SELECT method, n, "both", arm_only, base_only, neither, delta, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING), 6) AS adjusted, max(step) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h"""
+)
+def score_matrix(s, d):
+    return rounded(scorecard.contrasts(_candidates(s, d), table(s, d, "banks"), "static"))
+
+
+@query(
+    _report_sql("difficulty").replace("w.difficulty, w.n,", "w.bank, w.difficulty, w.n,").replace("SELECT w.bank, w.difficulty,", ", per AS (SELECT w.bank, w.difficulty,", 1).replace("GROUP BY w.difficulty, w.n", "GROUP BY w.bank, w.difficulty, w.n")
+    + """) SELECT bank, method, split, seed, round(practical, 6) AS practical, round(oracle, 6) AS oracle, tokens, round(tokens_per_exact, 6) AS tokens_per_exact FROM (SELECT bank, avg(practical_exact_correct) AS practical, avg(oracle_exact_correct) AS oracle, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE / nullif(sum(round(practical_exact_correct * units)), 0) AS tokens_per_exact FROM per WHERE n = 8 GROUP BY bank) JOIN banks USING (bank)"""
+)
+def macro_outcomes(s, d):
+    return rounded(scorecard.macro_outcomes(_candidates(s, d), table(s, d, "banks")))
+
+
+@query("SELECT bank, regexp_extract(bank, '^([a-z]+)_', 1) AS method, regexp_extract(bank, '^[a-z]+_(.+)_s[0-9]+$', 1) AS split, regexp_extract(bank, '_s([0-9]+)$', 1)::BIGINT AS seed FROM banks")
+def run_identity(s, d):
+    return table(s, d, "banks").select("bank", scorecard.run_identity(F.col("bank")).alias("r")).select("bank", "r.*")
+
+
+@query(
+    """WITH j AS (SELECT bank, json_valid(line) AS v, CASE WHEN json_valid(line) THEN line::JSON END AS x FROM raw_records), o AS (SELECT *, coalesce(v AND json_type(x) = 'OBJECT', false) AS ok FROM j)
+SELECT bank, count(*) AS lines, count(*) FILTER (NOT ok) AS broken, count(*) FILTER (ok AND coalesce(json_type(x, '$.id'), 'X') <> 'VARCHAR') AS no_id, count(*) FILTER (ok AND coalesce(json_type(x, '$.metrics'), 'X') <> 'OBJECT') AS no_metrics, count(*) FILTER (ok AND coalesce(json_type(x, '$.candidate_index'), 'X') NOT IN ('UBIGINT', 'BIGINT')) AS odd_index FROM o GROUP BY bank"""
+)
+def raw_line_check(s, d):
+    return scorecard.raw_line_check(table(s, d, "raw_records"))
+
+
+def bank_reverified(s, d):
+    return scorecard.reverified(_candidates(s, d))
+
+
+QUERIES["bank_reverified"] = bank_reverified
