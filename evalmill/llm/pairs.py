@@ -24,7 +24,7 @@ from evalmill.llm import language, tails
 LEAD_IN = 40
 #: A response with fewer letter trigrams has no language; one whose language agrees with the prompt's with a
 #: probability of less than MOST_AGREEING is in another language.
-LEAST_TRIGRAMS, MOST_AGREEING = 8, 0.02
+LEAST_TRIGRAMS, MOST_AGREEING = 24, 0.02
 #: An open end counts as cut where at most this share of the same last characters stands at the end of a text.
 MOST_ENDING = 0.5
 #: Added to the number of times that last characters stand anywhere, so that a few endings make no habit.
@@ -54,8 +54,9 @@ _END_CLASS[48:58] = 48
 
 
 def _refuses(text: Column) -> Column:
+    """Whether a text declines and offers no expression; most texts offer one and are not searched further."""
     plain = F.translate(F.lower(text), "’ʼ", "''")
-    return F.coalesce(plain.rlike(REFUSAL) & ~text.rlike(_EXPRESSION), F.lit(False))
+    return F.coalesce(F.when(text.rlike(_EXPRESSION), F.lit(False)).otherwise(plain.rlike(REFUSAL)), F.lit(False))
 
 
 def _plain(text: Column) -> Column:
