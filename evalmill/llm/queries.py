@@ -100,4 +100,5 @@ SELECT id, line_no FROM (
   FROM candidates) WHERE r <= 3""",
 }
 for _f in ("valid_expression", "uses_allowed_numbers", "number_multiset_f1", "uses_allowed_ops", "numeric_distance_reward", "reward_hacking_candidate"):
-    SQL["p4_found"] = SQL["p4_found"].replace(f"v(metrics.{_f})", f"CASE WHEN metrics.{_f} IS NULL OR isnan(metrics.{_f}) THEN 0.0::DOUBLE ELSE metrics.{_f} END")
+    # by way of text, since file statistics may claim that there is no NaN
+    SQL["p4_found"] = SQL["p4_found"].replace(f"v(metrics.{_f})", f"coalesce(try_cast(nullif(metrics.{_f}::VARCHAR, 'nan') AS DOUBLE), 0.0::DOUBLE)")
