@@ -1,10 +1,11 @@
 """The queries of the engine's own operators and, where SQL can say the same, their SQL.
 
-Averages and ratios are rounded to six digits on both sides, since engines add in different orders.
+Averages and ratios are rounded to nine digits on both sides, since engines add in different orders.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,13 @@ def query(sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*(F.round(c.name, digits).alias(c.name) if isinstance(c.dataType, (T.DoubleType, T.FloatType)) else F.col(c.name) for c in df.schema))
 
 
 def _m(x: str) -> str:
-    return f"(CASE WHEN metrics.{x} IS NULL OR isnan(metrics.{x}) THEN 0.0::DOUBLE ELSE metrics.{x} END)"
+    """A metric, with 0 for null and NaN; by way of text, since file statistics may claim that there is no NaN."""
+    return f"coalesce(try_cast(nullif(metrics.{x}::VARCHAR, 'nan') AS DOUBLE), 0.0::DOUBLE)"
 
 
 _SCORE = f"3.0*{_m('valid_expression')} + 2.0*{_m('uses_allowed_numbers')} + 1.5*{_m('number_multiset_f1')} + {_m('uses_allowed_ops')} + {_m('numeric_distance_reward')} - 2.0*{_m('reward_hacking_candidate')}"
@@ -69,7 +71,7 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
 # ---- selection
 
 
-@query(_BASE + " SELECT bank, id, candidate_index, line_no, round(score, 6) AS score FROM u WHERE pos < 8 QUALIFY row_number() OVER (PARTITION BY bank, id ORDER BY score DESC, candidate_index, line_no) = 1")
+@query(_BASE + " SELECT bank, id, candidate_index, line_no, round(score, 9) AS score FROM u WHERE pos < 8 QUALIFY row_number() OVER (PARTITION BY bank, id ORDER BY score DESC, candidate_index, line_no) = 1")
 def best_of_n_select(s, d):
     return rounded(banks.select_best(_candidates(s, d), 8).select("bank", "id", "candidate_index", "line_no", "score"))
 
@@ -81,13 +83,13 @@ def best_of_n_oracle(s, d):
 
 def _report_sql(by: str = "") -> str:
     # selections of each n, then means
-    m = ", ".join(f"round(avg({p}.{c}), 6) AS {name}_{c}" for p, name in (("p", "practical"), ("o", "oracle")) for c in M.SELECTED)
+    m = ", ".join(f"round(avg({p}.{c}), 9) AS {name}_{c}" for p, name in (("p", "practical"), ("o", "oracle")) for c in M.SELECTED)
     g = f"{by}, " if by else ""
     return (
         _BASE
         + f""", n AS (SELECT unnest([1, 4, 8]) AS n), r AS (SELECT u.*, n.n FROM u JOIN n ON u.pos < n.n), w AS (SELECT bank, id, {g}n, sum(coalesce(completion_token_count, 0)) AS tokens FROM r GROUP BY bank, id, {g}n HAVING count(*) = n),
 p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bank, id, {g}n ORDER BY score DESC, candidate_index, line_no) = 1), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bank, id, {g}n ORDER BY exact_correct DESC, score DESC, candidate_index, line_no) = 1)
-SELECT {'w.' + by + ', ' if by else ''}w.n, count(*) AS units, sum(w.tokens)::BIGINT AS tokens, round(100.0 * w.n / 8, 6) AS seconds, {m}, round(w.n / greatest(avg(p.exact_correct), 1e-12), 6) AS cost_practical, round(w.n / greatest(avg(o.exact_correct), 1e-12), 6) AS cost_oracle
+SELECT {'w.' + by + ', ' if by else ''}w.n, count(*) AS units, sum(w.tokens)::BIGINT AS tokens, round(100.0 * w.n / 8, 9) AS seconds, {m}, round(w.n / greatest(avg(p.exact_correct), 1e-12), 9) AS cost_practical, round(w.n / greatest(avg(o.exact_correct), 1e-12), 9) AS cost_oracle
 FROM w JOIN p USING (bank, id, {g}n) JOIN o USING (bank, id, {g}n) GROUP BY {'w.' + by + ', ' if by else ''}w.n"""
     )
 
@@ -111,7 +113,7 @@ def bank_integrity(s, d):
     return banks.integrity(_candidates(s, d), table(s, d, "banks"))
 
 
-@query(_UNITS + ", k AS (SELECT unnest(range(1, 9)) AS n) SELECT difficulty, n::INT AS n, count(*) FILTER (first_exact + 1 = n) AS newly, count(*) FILTER (first_exact + 1 <= n) AS solved, round(count(*) FILTER (first_exact + 1 <= n) / count(*), 6) AS rate FROM f, k GROUP BY difficulty, n")
+@query(_UNITS + ", k AS (SELECT unnest(range(1, 9)) AS n) SELECT difficulty, n::INT AS n, count(*) FILTER (first_exact + 1 = n) AS newly, count(*) FILTER (first_exact + 1 <= n) AS solved, round(count(*) FILTER (first_exact + 1 <= n) / count(*), 9) AS rate FROM f, k GROUP BY difficulty, n")
 def solve_curve(s, d):
     return rounded(banks.solve_curve(banks.full_units(_candidates(s, d)), ["difficulty"]))
 
@@ -119,30 +121,30 @@ def solve_curve(s, d):
 @query(
     _UNITS
     + """ SELECT difficulty, count(*) AS units, count(*) FILTER (first_exact IS NULL) AS unsolved, count(*) FILTER (first_exact IS NULL AND clipped) AS any_clip, count(*) FILTER (first_exact IS NULL AND clipped_legalish) AS legalish, count(*) FILTER (first_exact IS NULL AND clipped_unclosed) AS unclosed,
- count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS either, round(coalesce(count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) / nullif(count(*) FILTER (first_exact IS NULL), 0), 0), 6) AS share FROM f GROUP BY difficulty"""
+ count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS either, round(coalesce(count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) / nullif(count(*) FILTER (first_exact IS NULL), 0), 0), 9) AS share FROM f GROUP BY difficulty"""
 )
 def clip_recovery(s, d):
     return rounded(banks.clip_recovery(banks.full_units(_candidates(s, d)), ["difficulty"]))
 
 
-@query(_UNITS + " SELECT difficulty, count(*) AS units, round(avg(distinct_all), 6) AS avg_distinct_all, round(avg(distinct_span), 6) AS avg_distinct_span, round(avg(distinct_legal), 6) AS avg_distinct_legal, round(avg(legal), 6) AS avg_legal FROM f GROUP BY difficulty")
+@query(_UNITS + " SELECT difficulty, count(*) AS units, round(avg(distinct_all), 9) AS avg_distinct_all, round(avg(distinct_span), 9) AS avg_distinct_span, round(avg(distinct_legal), 9) AS avg_distinct_legal, round(avg(legal), 9) AS avg_legal FROM f GROUP BY difficulty")
 def diversity(s, d):
     return rounded(banks.diversity(banks.full_units(_candidates(s, d)), ["difficulty"]))
 
 
-@query(_UNITS + ", k AS (SELECT unnest([8, 16, 32, 64, 256, 1024]) AS n) SELECT n::INT AS n, round(avg(1 - pow(1 - exact / 8.0::DOUBLE, n)), 6) AS predicted, round(avg((exact > 0)::INT), 6) AS asymptote FROM f, k GROUP BY n")
+@query(_UNITS + ", k AS (SELECT unnest([8, 16, 32, 64, 256, 1024]) AS n) SELECT n::INT AS n, round(avg(1 - pow(1 - exact / 8.0::DOUBLE, n)), 9) AS predicted, round(avg((exact > 0)::INT), 9) AS asymptote FROM f, k GROUP BY n")
 def n_extrapolation(s, d):
     return rounded(banks.extrapolation(banks.full_units(_candidates(s, d))))
 
 
-@query(_UNITS + " SELECT difficulty, count(*) AS unsolved, count(*) FILTER (legal > 0) AS any_legal, count(*) FILTER (best_distance >= 0.5) AS near, round(avg(best_distance), 6) AS avg_best_distance FROM f WHERE first_exact IS NULL GROUP BY difficulty")
+@query(_UNITS + " SELECT difficulty, count(*) AS unsolved, count(*) FILTER (legal > 0) AS any_legal, count(*) FILTER (best_distance >= 0.5) AS near, round(avg(best_distance), 9) AS avg_best_distance FROM f WHERE first_exact IS NULL GROUP BY difficulty")
 def near_mass(s, d):
     return rounded(banks.near_mass(banks.full_units(_candidates(s, d)), ["difficulty"]))
 
 
 @query(
     _UNITS
-    + """ SELECT difficulty, bank, count(*) AS units, count(*) FILTER (first_exact IS NOT NULL) AS solved, count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS clip_bound, round(avg(distinct_legal), 6) AS avg_distinct_legal, (2 * grouping(difficulty) + grouping(bank))::BIGINT AS level
+    + """ SELECT difficulty, bank, count(*) AS units, count(*) FILTER (first_exact IS NOT NULL) AS solved, count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS clip_bound, round(avg(distinct_legal), 9) AS avg_distinct_legal, (2 * grouping(difficulty) + grouping(bank))::BIGINT AS level
 FROM f GROUP BY GROUPING SETS ((), (difficulty), (bank))"""
 )
 def headroom_report(s, d):
@@ -151,8 +153,8 @@ def headroom_report(s, d):
 
 @query(
     _BASE
-    + """ SELECT bank, difficulty, count(*) AS candidates, count(*) FILTER (valid_expression >= 1) AS legal, round(count(*) FILTER (valid_expression >= 1) / count(*), 6) AS legality, count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) AS exact_legal,
- round(coalesce(count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) / nullif(count(*) FILTER (valid_expression >= 1), 0), 0), 6) AS exact_given_legal, round(avg(coalesce(completion_token_count, 0)), 6) AS tokens, round(avg(coalesce(completion_token_count >= 256, false)::INT), 6) AS clip_rate FROM b GROUP BY bank, difficulty"""
+    + """ SELECT bank, difficulty, count(*) AS candidates, count(*) FILTER (valid_expression >= 1) AS legal, round(count(*) FILTER (valid_expression >= 1) / count(*), 9) AS legality, count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) AS exact_legal,
+ round(coalesce(count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) / nullif(count(*) FILTER (valid_expression >= 1), 0), 0), 9) AS exact_given_legal, round(avg(coalesce(completion_token_count, 0)), 9) AS tokens, round(avg(coalesce(completion_token_count >= 256, false)::INT), 9) AS clip_rate FROM b GROUP BY bank, difficulty"""
 )
 def candidate_stats(s, d):
     return rounded(banks.candidate_stats(_candidates(s, d), ["bank", "difficulty"]))
@@ -163,8 +165,8 @@ _RUNS = _report_sql("bank").replace("SELECT w.bank, w.n,", ", per AS (SELECT w.b
 
 @query(
     _RUNS
-    + """ SELECT method, n, count(*) AS runs, round(coalesce(avg(practical_exact_correct), 'inf'::DOUBLE), 6) AS practical_exact_correct_mean, round(coalesce(stddev_samp(practical_exact_correct), 0), 6) AS practical_exact_correct_std,
- round(coalesce(avg(cost) FILTER (cost < 1e11), 'inf'::DOUBLE), 6) AS cost_mean, round(coalesce(stddev_samp(cost) FILTER (cost < 1e11), 0), 6) AS cost_std FROM (SELECT *, cost_practical AS cost FROM per) JOIN banks USING (bank) GROUP BY method, n"""
+    + """ SELECT method, n, count(*) AS runs, round(coalesce(avg(practical_exact_correct), 'inf'::DOUBLE), 9) AS practical_exact_correct_mean, round(coalesce(stddev_samp(practical_exact_correct), 0), 9) AS practical_exact_correct_std,
+ round(coalesce(avg(cost) FILTER (cost < 1e11), 'inf'::DOUBLE), 9) AS cost_mean, round(coalesce(stddev_samp(cost) FILTER (cost < 1e11), 0), 9) AS cost_std FROM (SELECT *, cost_practical AS cost FROM per) JOIN banks USING (bank) GROUP BY method, n"""
 )
 def mean_std_over_runs(s, d):
     per = rounded(banks.best_of_n(_candidates(s, d), by=["bank"], seconds=100.0)).join(table(s, d, "banks").select("bank", "method"), "bank")
@@ -183,7 +185,7 @@ _CLASS = """CASE WHEN exact_correct > 0 THEN 'exact_correct' WHEN has_extractabl
  WHEN uses_allowed_ops <= 0 THEN 'illegal_operator' WHEN evaluates_without_exception <= 0 THEN 'evaluation_error' WHEN valid_expression > 0 THEN 'legal_but_wrong_value' WHEN (length(coalesce(completion, '')) - length(replace(coalesce(completion, ''), '</answer>', ''))) / 9 > 1 THEN 'repeated_answer_tag' ELSE 'other_invalid' END"""
 
 
-@query(_BASE + f" SELECT bank, label, count(*) AS \"rows\", round(count(*) / sum(count(*)) OVER (PARTITION BY bank), 6) AS share FROM (SELECT bank, {_CLASS} AS label FROM c) GROUP BY bank, label")
+@query(_BASE + f" SELECT bank, label, count(*) AS \"rows\", round(count(*) / sum(count(*)) OVER (PARTITION BY bank), 9) AS share FROM (SELECT bank, {_CLASS} AS label FROM c) GROUP BY bank, label")
 def taxonomy_counts(s, d):
     return rounded(diagnosis.taxonomy(_candidates(s, d), ["bank"]))
 
@@ -193,7 +195,7 @@ def taxonomy_examples(s, d):
     return diagnosis.taxonomy_examples(_candidates(s, d))
 
 
-@query(_BASE + " SELECT difficulty, count(*) AS \"rows\", " + ", ".join(f"round(avg({x}), 6) AS {x}" for x in M.SELECTED) + ", grouping(difficulty)::BIGINT AS level FROM c GROUP BY ROLLUP (difficulty)")
+@query(_BASE + " SELECT difficulty, count(*) AS \"rows\", " + ", ".join(f"round(avg({x}), 9) AS {x}" for x in M.SELECTED) + ", grouping(difficulty)::BIGINT AS level FROM c GROUP BY ROLLUP (difficulty)")
 def eval_by_difficulty(s, d):
     return rounded(diagnosis.rollup_means(_candidates(s, d), M.SELECTED))
 
@@ -201,20 +203,20 @@ def eval_by_difficulty(s, d):
 @query(
     _BASE
     + f""", e AS (SELECT bank, correct AS p, {' + '.join(f'0.2*{k}' for k in M.AUXILIARY)} AS a, contains_open_answer_tag AS o, contains_close_answer_tag AS cl, has_extractable_answer_span AS sp, parse_ok, uses_allowed_numbers, uses_allowed_ops, exact_correct, format FROM c)
-SELECT bank, count(*) AS "rows", round(avg(p), 6) AS primary_mean, round(coalesce(stddev_samp(p), 0), 6) AS primary_std, round(avg(a), 6) AS auxiliary_mean, round(coalesce(stddev_samp(a), 0), 6) AS auxiliary_std, round(avg(p + a), 6) AS total_mean, round(coalesce(stddev_samp(p + a), 0), 6) AS total_std,
- round(avg(o), 6) AS open_tag, round(avg(cl), 6) AS close_tag, round(avg(sp), 6) AS span, round(avg(parse_ok), 6) AS parseable, round(avg(uses_allowed_numbers), 6) AS numbers, round(avg(uses_allowed_ops), 6) AS operators, round(avg(exact_correct), 6) AS exact, round(avg(sp) - avg(parse_ok), 6) AS tag_only,
- round(avg((sp > 0 AND parse_ok = 0)::INT), 6) AS tag_only_observed, round(avg(parse_ok) - avg(exact_correct), 6) AS parseable_but_wrong, round(avg(exact_correct) / greatest(avg(parse_ok), 1e-12), 6) AS correct_given_parseable, round(avg((format > 0)::INT), 6) AS format_nonzero, coalesce(stddev_samp(format), 0) > 1e-9 AS format_varies FROM e GROUP BY bank"""
+SELECT bank, count(*) AS "rows", round(avg(p), 9) AS primary_mean, round(coalesce(stddev_samp(p), 0), 9) AS primary_std, round(avg(a), 9) AS auxiliary_mean, round(coalesce(stddev_samp(a), 0), 9) AS auxiliary_std, round(avg(p + a), 9) AS total_mean, round(coalesce(stddev_samp(p + a), 0), 9) AS total_std,
+ round(avg(o), 9) AS open_tag, round(avg(cl), 9) AS close_tag, round(avg(sp), 9) AS span, round(avg(parse_ok), 9) AS parseable, round(avg(uses_allowed_numbers), 9) AS numbers, round(avg(uses_allowed_ops), 9) AS operators, round(avg(exact_correct), 9) AS exact, round(avg(sp) - avg(parse_ok), 9) AS tag_only,
+ round(avg((sp > 0 AND parse_ok = 0)::INT), 9) AS tag_only_observed, round(avg(parse_ok) - avg(exact_correct), 9) AS parseable_but_wrong, round(avg(exact_correct) / greatest(avg(parse_ok), 1e-12), 9) AS correct_given_parseable, round(avg((format > 0)::INT), 9) AS format_nonzero, coalesce(stddev_samp(format), 0) > 1e-9 AS format_varies FROM e GROUP BY bank"""
 )
 def run_health(s, d):
     return rounded(diagnosis.reward_health(_candidates(s, d), ["bank"]))
 
 
-@query(f"SELECT count(*) AS batches, round(avg((s > 1e-9)::INT), 6) AS varying FROM (SELECT coalesce(stddev_samp({_m('correct')} + {_AUX}), 0) AS s FROM candidates GROUP BY bank, line_no // 16)")
+@query(f"SELECT count(*) AS batches, round(avg((s > 1e-9)::INT), 9) AS varying FROM (SELECT coalesce(stddev_samp({_m('correct')} + {_AUX}), 0) AS s FROM candidates GROUP BY bank, line_no // 16)")
 def run_health_batch_variance(s, d):
     return rounded(diagnosis.batch_variance(_candidates(s, d).withColumn("batch", F.floor(F.col("line_no") / 16)), ["bank", "batch"], M.total_reward()))
 
 
-_GROUPS = f"""WITH g AS (SELECT bank, line_no // 16 AS batch, line_no, {_m('correct')} + ({_AUX}) AS r FROM candidates), p AS (SELECT *, (row_number() OVER (PARTITION BY bank, batch ORDER BY line_no) - 1) // 4 AS grp FROM g),
+_GROUPS = f"""WITH g AS (SELECT bank, line_no // 16 AS batch, line_no, round({_m('correct')} + ({_AUX}), 9) AS r FROM candidates), p AS (SELECT *, (row_number() OVER (PARTITION BY bank, batch ORDER BY line_no) - 1) // 4 AS grp FROM g),
 q AS (SELECT *, row_number() OVER (PARTITION BY bank, batch, grp ORDER BY line_no) - 1 AS i, avg(r) OVER (PARTITION BY bank, batch, grp) AS mean FROM p)"""
 
 
@@ -223,27 +225,27 @@ def _grouped(s, d):
     return diagnosis.positional_groups(rows, ["bank", "batch"], ["line_no"], 4)
 
 
-@query(_GROUPS + ' SELECT bank, batch::BIGINT AS batch, grp::BIGINT AS grp, count(*) AS "rows", round(stddev_pop(r), 6) AS spread FROM p GROUP BY ALL')
+@query(_GROUPS + ' SELECT bank, batch::BIGINT AS batch, grp::BIGINT AS grp, count(*) AS "rows", round(stddev_pop(r), 7) AS spread FROM p GROUP BY ALL')
 def positional_groups(s, d):
-    return rounded(_grouped(s, d).groupBy("bank", "batch", "grp").agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("r").alias("spread")))
+    return rounded(_grouped(s, d).groupBy("bank", "batch", "grp").agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("r").alias("spread")), 7)
 
 
-@query(_GROUPS.replace(" AS r FROM candidates)", ", 9) AS r FROM candidates)").replace(f"line_no, {_m('correct')}", f"line_no, round({_m('correct')}", 1) + ' SELECT bank, batch::BIGINT AS batch, grp::BIGINT AS grp, count(*) AS "rows", arg_max(i, (r, -i))::INT AS top, round(stddev_pop(r), 6) AS spread, array_to_string(list(i ORDER BY i) FILTER (r > mean + 1e-12), \',\') AS positive FROM q GROUP BY ALL')
+@query(_GROUPS + ' SELECT bank, batch::BIGINT AS batch, grp::BIGINT AS grp, count(*) AS "rows", arg_max(i, (r, -i))::INT AS top, round(stddev_pop(r), 7) AS spread, array_to_string(list(i ORDER BY i) FILTER (r > mean + 1e-12), \',\') AS positive FROM q GROUP BY ALL')
 def group_advantage(s, d):
     g = diagnosis.group_structure(_grouped(s, d), ["bank", "batch", "grp"], ["line_no"], F.col("r"))
-    return rounded(g.withColumn("positive", F.nullif(F.array_join(F.col("positive").cast("array<string>"), ","), F.lit(""))))
+    return rounded(g.withColumn("positive", F.nullif(F.array_join(F.col("positive").cast("array<string>"), ","), F.lit(""))), 7)
 
 
 _DIFF = f"WITH c AS (SELECT bank, line_no // 16 AS batch, avg({_m('format')}) AS a, avg({_m('valid_expression')}) AS b FROM candidates GROUP BY ALL), s AS (SELECT bank, abs(a - lag(a) OVER w) AS x, abs(b - lag(b) OVER w) AS y FROM c WINDOW w AS (PARTITION BY bank ORDER BY batch))"
 
 
-@query(_DIFF + " SELECT bank, count(*) AS steps, round(avg(x + y), 6) AS mean_l1, round(max(greatest(x, y)), 6) AS max_linf FROM s WHERE x IS NOT NULL GROUP BY bank")
+@query(_DIFF + " SELECT bank, count(*) AS steps, round(avg(x + y), 9) AS mean_l1, round(max(greatest(x, y)), 9) AS max_linf FROM s WHERE x IS NOT NULL GROUP BY bank")
 def weight_diff_l1_linf(s, d):
     b = _candidates(s, d).groupBy("bank", F.floor(F.col("line_no") / 16).alias("batch")).agg(F.avg(M.metric("format")).alias("a"), F.avg(M.metric("valid_expression")).alias("b"))
     return rounded(diagnosis.consecutive_change(b, ["bank"], ["batch"], ["a", "b"]))
 
 
-@query(f"WITH b AS (SELECT bank, line_no // 16 AS batch, avg({_m('correct')}) AS p FROM candidates GROUP BY ALL), l AS (SELECT bank, list(p ORDER BY batch) AS v FROM b GROUP BY bank) SELECT bank, len(v)::INT AS steps, round(list_sum(list_transform(v, lambda x, i: x * 0.1 * pow(0.9, len(v) - i))), 6) AS ema FROM l")
+@query(f"WITH b AS (SELECT bank, line_no // 16 AS batch, avg({_m('correct')}) AS p FROM candidates GROUP BY ALL), l AS (SELECT bank, list(p ORDER BY batch) AS v FROM b GROUP BY bank) SELECT bank, len(v)::INT AS steps, round(list_sum(list_transform(v, lambda x, i: x * 0.1 * pow(0.9, len(v) - i))), 9) AS ema FROM l")
 def ema_fold(s, d):
     b = _candidates(s, d).groupBy("bank", F.floor(F.col("line_no") / 16).alias("batch")).agg(F.avg(M.primary_reward()).alias("p"))
     return rounded(control.ema(b, "bank", "batch", "p"))
@@ -262,8 +264,8 @@ _OOD = _BASE.replace("FROM candidates)", "FROM candidates JOIN (SELECT bank, met
     + """, st AS (SELECT method, count(*) AS candidates, count(*) FILTER (valid_expression > 0) / count(*) AS legal_rate, avg(number_multiset_f1) AS f1_mean, coalesce(count(*) FILTER (exact_correct > 0) / nullif(count(*) FILTER (valid_expression > 0), 0), 0) AS exact_given_legal, count(*) FILTER (exact_correct > 0) / count(*) AS exact_rate,
  avg(coalesce(contains(extracted_expression, '/'), false)::INT) AS division_rate, avg(coalesce(completion_token_count >= 256, false)::INT) AS truncation_rate, avg(coalesce(completion_token_count, 0)) AS mean_tokens FROM b GROUP BY method),
 so AS (SELECT method, count(*) AS units, count(*) FILTER (e > 0) AS oracle FROM (SELECT method, bank, id, max(exact_correct) AS e FROM u WHERE pos < 8 GROUP BY ALL) GROUP BY method), a AS (SELECT * FROM st JOIN so USING (method)), z AS (SELECT * FROM a WHERE method = 'static')
-SELECT a.method, a.candidates, a.units, round(a.legal_rate, 6) AS legal_rate, round(a.f1_mean, 6) AS f1_mean, round(a.exact_given_legal, 6) AS exact_given_legal, round(a.exact_rate, 6) AS exact_rate, a.oracle, round(a.division_rate, 6) AS division_rate, round(a.truncation_rate, 6) AS truncation_rate, round(a.mean_tokens, 6) AS mean_tokens,
- round(a.legal_rate - z.legal_rate, 6) AS legal_vs_base, round(a.division_rate - z.division_rate, 6) AS division_vs_base, a.oracle - z.oracle AS oracle_vs_base FROM a, z"""
+SELECT a.method, a.candidates, a.units, round(a.legal_rate, 9) AS legal_rate, round(a.f1_mean, 9) AS f1_mean, round(a.exact_given_legal, 9) AS exact_given_legal, round(a.exact_rate, 9) AS exact_rate, a.oracle, round(a.division_rate, 9) AS division_rate, round(a.truncation_rate, 9) AS truncation_rate, round(a.mean_tokens, 9) AS mean_tokens,
+ round(a.legal_rate - z.legal_rate, 9) AS legal_vs_base, round(a.division_rate - z.division_rate, 9) AS division_vs_base, a.oracle - z.oracle AS oracle_vs_base FROM a, z"""
 )
 def ood_vs_base(s, d):
     return rounded(diagnosis.out_of_distribution(_candidates(s, d).join(table(s, d, "banks").select("bank", "method"), "bank"), "method", base="static"))
@@ -273,7 +275,7 @@ _SHIFT = _BASE + """, w AS (SELECT difficulty, count(*) FILTER (prompt_field = '
  coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_high' AND p), 0) AS fh, coalesce(avg(number_multiset_f1) FILTER (prompt_field = 'prompt_low' AND p), 0) AS fm FROM (SELECT *, evaluates_without_exception > 0 OR valid_expression > 0 OR (m_expression IS NOT NULL AND number_multiset_f1 > 0) AS p FROM b) GROUP BY difficulty)"""
 
 
-@query(_SHIFT + " SELECT difficulty, round(lh, 6) AS legal_strong, round(lm, 6) AS legal_weak, round(lh - lm, 6) AS legal_loss, round(fh, 6) AS f1_strong, round(fm, 6) AS f1_weak, round(fh - fm, 6) AS f1_loss FROM w WHERE nh > 0 AND nm > 0")
+@query(_SHIFT + " SELECT difficulty, round(lh, 9) AS legal_strong, round(lm, 9) AS legal_weak, round(lh - lm, 9) AS legal_loss, round(fh, 9) AS f1_strong, round(fm, 9) AS f1_weak, round(fh - fm, 9) AS f1_loss FROM w WHERE nh > 0 AND nm > 0")
 def prompt_shift_pivot(s, d):
     return rounded(diagnosis.prompt_shift(_candidates(s, d), ["difficulty"], weak="prompt_low"))
 
@@ -283,13 +285,13 @@ def prompt_shift_pivot(s, d):
     + ", k AS (SELECT line_no // 16 AS batch, bank, valid_expression AS ref, unnest(["
     + ", ".join(f"{{'name': '{x}', 'v': {x}}}" for x in M.AUXILIARY)
     + """]) AS x FROM c), p AS (SELECT bank, batch, x.name AS name, stddev_pop(x.v) AS s, sum(x.v) AS t, count(*) AS n, bool_and(x.v = ref) AS same FROM k GROUP BY ALL)
-SELECT name, round(avg(s), 6) AS mean_spread, round(avg((s > 1e-9)::INT), 6) AS varying, round(sum(t) / sum(n), 6) AS mean, bool_and(same) AND name <> 'valid_expression' AS same_as_reference, avg(s) > 0.01 AND NOT (bool_and(same) AND name <> 'valid_expression') AS kept FROM p GROUP BY name"""
+SELECT name, round(avg(s), 9) AS mean_spread, round(avg((s > 1e-9)::INT), 9) AS varying, round(sum(t) / sum(n), 9) AS mean, bool_and(same) AND name <> 'valid_expression' AS same_as_reference, avg(s) > 0.01 AND NOT (bool_and(same) AND name <> 'valid_expression') AS kept FROM p GROUP BY name"""
 )
 def aux_prune(s, d):
     return rounded(diagnosis.prune_components(_candidates(s, d).withColumn("batch", F.floor(F.col("line_no") / 16)), ["bank", "batch"], M.AUXILIARY))
 
 
-@query("SELECT bank, count(*) AS \"rows\", round(avg(completion_token_count), 6) AS mean, median(completion_token_count) AS median, round(avg((completion_token_count >= 256)::INT), 6) AS capped FROM candidates WHERE completion_token_count IS NOT NULL GROUP BY bank")
+@query("SELECT bank, count(*) AS \"rows\", round(avg(completion_token_count), 9) AS mean, median(completion_token_count) AS median, round(avg((completion_token_count >= 256)::INT), 9) AS capped FROM candidates WHERE completion_token_count IS NOT NULL GROUP BY bank")
 def completion_lengths(s, d):
     return rounded(diagnosis.length_stats(_candidates(s, d), ["bank"]))
 
@@ -319,7 +321,7 @@ def _pairs(s, d):
     return p.join(tiers, "id")
 
 
-_COUNTS = "count(*) AS n, count(*) FILTER (arm > 0 AND base > 0) AS \"both\", count(*) FILTER (arm > 0 AND base = 0) AS arm_only, count(*) FILTER (arm = 0 AND base > 0) AS base_only, count(*) FILTER (arm = 0 AND base = 0) AS neither, round((count(*) FILTER (arm > 0) - count(*) FILTER (base > 0)) / count(*), 6) AS delta"
+_COUNTS = "count(*) AS n, count(*) FILTER (arm > 0 AND base > 0) AS \"both\", count(*) FILTER (arm > 0 AND base = 0) AS arm_only, count(*) FILTER (arm = 0 AND base > 0) AS base_only, count(*) FILTER (arm = 0 AND base = 0) AS neither, round((count(*) FILTER (arm > 0) - count(*) FILTER (base > 0)) / count(*), 9) AS delta"
 
 
 @query(_OUT + f" SELECT method, {_COUNTS} FROM pr GROUP BY method")
@@ -335,18 +337,18 @@ def tier_subset_pairs(s, d):
     return rounded(pairing.paired_counts(pairing.in_subsets(_pairs(s, d)), ["method", "subset"]))
 
 
-@query(_OUT + _SUB + f", q AS (SELECT subset, {_COUNTS} FROM sb GROUP BY subset), o AS (SELECT max(delta) FILTER (subset = 'easy') AS easy, max(delta) FILTER (subset = 'all') AS \"all\" FROM q) SELECT easy, \"all\", round(CASE WHEN \"all\" <> 0 THEN easy / \"all\" END, 6) AS ratio FROM o")
+@query(_OUT + _SUB + f", q AS (SELECT subset, {_COUNTS} FROM sb GROUP BY subset), o AS (SELECT max(delta) FILTER (subset = 'easy') AS easy, max(delta) FILTER (subset = 'all') AS \"all\" FROM q) SELECT easy, \"all\", round(CASE WHEN \"all\" <> 0 THEN easy / \"all\" END, 9) AS ratio FROM o")
 def dilution(s, d):
     return rounded(pairing.dilution(rounded(pairing.paired_counts(pairing.in_subsets(_pairs(s, d)), ["subset"]))))
 
 
-@query(_OOD + " SELECT method, split, difficulty, count(*) AS n, round(avg((exact_correct > 0)::INT), 6) AS rate FROM (SELECT b.method, b.difficulty, b.exact_correct, banks.split FROM b JOIN banks USING (bank)) GROUP BY GROUPING SETS ((method, split, difficulty), (method, difficulty))")
+@query(_OOD + " SELECT method, split, difficulty, count(*) AS n, round(avg((exact_correct > 0)::INT), 9) AS rate FROM (SELECT b.method, b.difficulty, b.exact_correct, banks.split FROM b JOIN banks USING (bank)) GROUP BY GROUPING SETS ((method, split, difficulty), (method, difficulty))")
 def tier_rates_grouping_sets(s, d):
     rows = banks.once(banks.measured(_candidates(s, d), ["difficulty"])).join(table(s, d, "banks").select("bank", "method", "split"), "bank")
     return rounded(pairing.tier_rates(rows.withColumn("e", F.col("exact_correct") > 0), ["method"], ["split"], "difficulty", "e"))
 
 
-@query(_OUT + ", q AS (SELECT method, count(*) FILTER (arm > 0 AND base = 0) AS b, count(*) FILTER (arm = 0 AND base > 0) AS c FROM pr GROUP BY method) SELECT method, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) END, 6) AS p FROM q")
+@query(_OUT + ", q AS (SELECT method, count(*) FILTER (arm > 0 AND base = 0) AS b, count(*) FILTER (arm = 0 AND base > 0) AS c FROM pr GROUP BY method) SELECT method, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) END, 9) AS p FROM q")
 def mcnemar_exact(s, d):
     q = pairing.paired_counts(_pairs(s, d), ["method"]).select("method", F.col("arm_only").alias("b"), F.col("base_only").alias("c"))
     return rounded(q.withColumn("p", F.when(F.col("b") + F.col("c") <= 1000, inference.mcnemar_p(F.col("b"), F.col("c"))).otherwise(inference.mcnemar_large("b", "c"))))
@@ -362,25 +364,25 @@ def two_proportion_z(s, d):
 QUERIES["two_proportion_z"] = two_proportion_z
 
 
-@query(_OUT + ", q AS (SELECT method AS name, round(exp(-abs(sum(arm - base)) / 3.0), 6) AS p FROM pr GROUP BY method), h AS (SELECT name, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p) AS step FROM q) SELECT name, p, round(max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 6) AS adjusted, max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h")
+@query(_OUT + ", q AS (SELECT method AS name, round(exp(-abs(sum(arm - base)) / 3.0), 9) AS p FROM pr GROUP BY method), h AS (SELECT name, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p) AS step FROM q) SELECT name, p, round(max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS adjusted, max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h")
 def holm_adjust(s, d):
-    q = _pairs(s, d).groupBy(F.col("method").alias("name")).agg(F.round(F.exp(-F.abs(F.sum(F.col("arm") - F.col("base"))) / 3.0), 6).alias("p"))
+    q = _pairs(s, d).groupBy(F.col("method").alias("name")).agg(F.round(F.exp(-F.abs(F.sum(F.col("arm") - F.col("base"))) / 3.0), 9).alias("p"))
     return rounded(inference.holm(q))
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY event_type")
+@query("SELECT event_type, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM events GROUP BY event_type")
 def percentile_interval(s, d):
     return rounded(inference.percentile_interval(table(s, d, "events"), "value", ["event_type"]))
 
 
-_EFFECT = _OUT + ", ef AS (SELECT method AS key, round(avg(arm - base), 6)::DOUBLE AS effect FROM pr GROUP BY method)"
+_EFFECT = _OUT + ", ef AS (SELECT method AS key, round(avg(arm - base), 9)::DOUBLE AS effect FROM pr GROUP BY method)"
 
 
 def _effects(s, d):
     return rounded(_pairs(s, d).groupBy(F.col("method").alias("key")).agg(F.avg((F.col("arm") - F.col("base")).cast("double")).alias("effect")))
 
 
-@query(_EFFECT + ", z AS (SELECT list(effect ORDER BY effect) AS v FROM ef WHERE abs(effect) > 1e-15), fl AS (SELECT v, unnest(range(0, (1 << len(v))::BIGINT)) AS code FROM z) SELECT max(len(v))::INT AS nonzero, count(*) AS assignments, round(avg((abs(list_sum(list_transform(v, lambda x, i: x * (1 - 2 * ((code >> (i - 1)) & 1))))) >= abs(list_sum(v)) - 1e-12)::INT), 6) AS p FROM fl")
+@query(_EFFECT + ", z AS (SELECT list(effect ORDER BY effect) AS v FROM ef WHERE abs(effect) > 1e-15), fl AS (SELECT v, unnest(range(0, (1 << len(v))::BIGINT)) AS code FROM z) SELECT max(len(v))::INT AS nonzero, count(*) AS assignments, round(avg((abs(list_sum(list_transform(v, lambda x, i: x * (1 - 2 * ((code >> (i - 1)) & 1))))) >= abs(list_sum(v)) - 1e-12)::INT), 9) AS p FROM fl")
 def sign_flip_exact(s, d):
     return rounded(inference.sign_flip_exact(_effects(s, d)))
 
@@ -388,7 +390,7 @@ def sign_flip_exact(s, d):
 @query(
     _EFFECT
     + """, pl AS (SELECT row_number() OVER (ORDER BY key) - 1 AS place, effect FROM ef), n AS (SELECT count(*) AS n FROM pl), sl AS (SELECT d.range AS draw, sl.range AS slot, n FROM range(0, 500) d, n, range(0, 100) sl WHERE sl.range < n)
-SELECT draw, round(avg(effect), 6) AS mean FROM (SELECT draw, ('0x' || substring(md5('17:' || draw || ':' || slot), 1, 8))::BIGINT % n AS place FROM sl) JOIN pl USING (place) GROUP BY draw"""
+SELECT draw, round(avg(effect), 9) AS mean FROM (SELECT draw, ('0x' || substring(md5('17:' || draw || ':' || slot), 1, 8))::BIGINT % n AS place FROM sl) JOIN pl USING (place) GROUP BY draw"""
 )
 def clustered_diff_hash_bootstrap(s, d):
     return rounded(inference.hash_bootstrap(_effects(s, d), "key", "effect", 500))
@@ -416,7 +418,7 @@ def split_audit(s, d):
 
 @query(
     f"""WITH x AS (SELECT k, g, count(*) AS c FROM (SELECT {_KEY} AS k, lower(trim(split)) AS g FROM tasks WHERE split IS NOT NULL AND numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL) GROUP BY k, g), t AS (SELECT lower(trim(split)) AS g, count(*) AS t FROM tasks WHERE split IS NOT NULL GROUP BY 1)
-SELECT a.g AS "left", b.g AS "right", count(*) AS keys, sum(a.c)::BIGINT AS left_rows, sum(b.c)::BIGINT AS right_rows, sum(a.c * b.c)::BIGINT AS pairs, round(sum(a.c) / any_value(t.t), 6) AS left_share FROM x a JOIN x b ON a.k = b.k AND a.g < b.g JOIN t ON t.g = a.g GROUP BY a.g, b.g"""
+SELECT a.g AS "left", b.g AS "right", count(*) AS keys, sum(a.c)::BIGINT AS left_rows, sum(b.c)::BIGINT AS right_rows, sum(a.c * b.c)::BIGINT AS pairs, round(sum(a.c) / any_value(t.t), 9) AS left_share FROM x a JOIN x b ON a.k = b.k AND a.g < b.g JOIN t ON t.g = a.g GROUP BY a.g, b.g"""
 )
 def overlap_matrix(s, d):
     t = table(s, d, "tasks")
@@ -425,7 +427,7 @@ def overlap_matrix(s, d):
 
 @query(
     f"""WITH k AS (SELECT {_KEY} AS k, lower(trim(split)) = 'train' AS tr, split IS NOT NULL AS sp FROM tasks WHERE numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL), l AS (SELECT k, count(*) AS l FROM k WHERE tr GROUP BY k), r AS (SELECT k, count(*) AS r FROM k WHERE sp AND NOT tr GROUP BY k),
-b AS (SELECT count(*) AS keys, coalesce(sum(l), 0)::BIGINT AS left_rows, coalesce(sum(r), 0)::BIGINT AS right_rows, coalesce(sum(l * r), 0)::BIGINT AS pairs FROM l JOIN r USING (k)) SELECT *, round(left_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) = 'train'), 6) AS left_share, round(right_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) <> 'train'), 6) AS right_share FROM b"""
+b AS (SELECT count(*) AS keys, coalesce(sum(l), 0)::BIGINT AS left_rows, coalesce(sum(r), 0)::BIGINT AS right_rows, coalesce(sum(l * r), 0)::BIGINT AS pairs FROM l JOIN r USING (k)) SELECT *, round(left_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) = 'train'), 9) AS left_share, round(right_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) <> 'train'), 9) AS right_share FROM b"""
 )
 def train_overlap(s, d):
     t = table(s, d, "tasks")
@@ -511,7 +513,7 @@ def answer_extract(s, d):
 @query(
     """WITH n AS (SELECT line_no, numbers AS r, list_transform(regexp_extract_all(metrics.expression, '\\d+'), lambda x: x::BIGINT) AS u FROM candidates WHERE metrics.expression IS NOT NULL AND numbers IS NOT NULL),
 k AS (SELECT line_no, len(u) AS lu, len(r) AS lr, coalesce(list_sum(list_transform(list_distinct(u), lambda x: least(len(list_filter(u, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0)::DOUBLE AS c FROM n)
-SELECT line_no, round(c / greatest(1, lu), 6) AS "precision", round(c / greatest(1, lr), 6) AS recall, round(CASE WHEN c = 0 THEN 0 ELSE 2 * (c / greatest(1, lu)) * (c / greatest(1, lr)) / (c / greatest(1, lu) + c / greatest(1, lr)) END, 6) AS f1, c = lu AS no_extra, c = lr AS all_required FROM k"""
+SELECT line_no, round(c / greatest(1, lu), 9) AS "precision", round(c / greatest(1, lr), 9) AS recall, round(CASE WHEN c = 0 THEN 0 ELSE 2 * (c / greatest(1, lu)) * (c / greatest(1, lr)) / (c / greatest(1, lu) + c / greatest(1, lr)) END, 9) AS f1, c = lu AS no_extra, c = lr AS all_required FROM k"""
 )
 def multiset_f1(s, d):
     used = F.transform(F.regexp_extract_all(F.col("metrics.expression"), F.lit(r"(\d+)")), lambda x: x.cast("long"))
@@ -537,7 +539,7 @@ def list_functions(s, d):
     return rows.select("line_no", F.nullif(f["sum_positive"](n), F.lit(0)).alias("sum_positive"), *named("count_even", "max_list", "is_sorted_asc", "is_palindrome_list", "second_max"), *shown("unique_sorted", "prefix_sum", "running_max", "pairwise_diff"))
 
 
-@query(f"SELECT bank, round(avg({_m('correct')}), 6) AS \"primary\", round(avg({_AUX}), 6) AS auxiliary, round(avg({_m('correct')} + {_AUX}), 6) AS total FROM candidates GROUP BY bank")
+@query(f"SELECT bank, round(avg({_m('correct')}), 9) AS \"primary\", round(avg({_AUX}), 9) AS auxiliary, round(avg({_m('correct')} + {_AUX}), 9) AS total FROM candidates GROUP BY bank")
 def reward_split(s, d):
     return rounded(_candidates(s, d).groupBy("bank").agg(F.avg(M.primary_reward()).alias("primary"), F.avg(M.auxiliary_reward()).alias("auxiliary"), F.avg(M.total_reward()).alias("total")))
 
@@ -555,7 +557,7 @@ QUERIES |= {"expr_verify": expr_verify, "flatten_metrics": flatten_metrics}
 SQL["flatten_metrics"] = "SELECT line_no, id, metrics.* FROM candidates"
 
 
-@query("SELECT event_type, round(avg((props->>'k')::DOUBLE), 6) AS mean, round(stddev_samp((props->>'k')::DOUBLE), 6) AS sample_std, round(stddev_pop((props->>'k')::DOUBLE), 6) AS pop_std FROM events GROUP BY event_type")
+@query("SELECT event_type, round(avg((props->>'k')::DOUBLE), 9) AS mean, round(stddev_samp((props->>'k')::DOUBLE), 9) AS sample_std, round(stddev_pop((props->>'k')::DOUBLE), 9) AS pop_std FROM events GROUP BY event_type")
 def props_flatten_means(s, d):
     k = F.from_json("props", "k double")["k"]
     return rounded(table(s, d, "events").groupBy("event_type").agg(F.avg(k).alias("mean"), F.stddev_samp(k).alias("sample_std"), F.stddev_pop(k).alias("pop_std")))
@@ -574,7 +576,7 @@ def teacher_replay(s, d):
 
 def curriculum_replay(s, d):
     t = control.tier_batches(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"))
-    return control.replay_tiers(t, "bank").select("bank", "batch", "updates", *(F.round(F.col("shares")[x], 6).alias(x) for x in ("easy", "medium", "hard")))
+    return control.replay_tiers(t, "bank").select("bank", "batch", "updates", *(F.round(F.col("shares")[x], 9).alias(x) for x in ("easy", "medium", "hard")))
 
 
 def _reward_groups(s, d):
@@ -604,8 +606,8 @@ QUERIES |= {f.__name__: f for f in (teacher_replay, curriculum_replay, bandit_re
     _OOD
     + f""", tr AS (SELECT DISTINCT {_KEY} AS k FROM tasks WHERE lower(trim(split)) = 'train' AND numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL),
 sc AS (SELECT *, unnest(['all', CASE WHEN numbers IS NOT NULL AND target IS NOT NULL AND task_ops IS NOT NULL AND {_KEY.replace('allowed_ops', 'task_ops')} IN (SELECT k FROM tr) THEN 'overlap' ELSE 'held_out' END]) AS scope FROM b)
-SELECT method, scope, difficulty, count(*) AS candidates, round(avg((valid_expression >= 1)::INT), 6) AS legality, round(coalesce(count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) / nullif(count(*) FILTER (valid_expression >= 1), 0), 0), 6) AS exact_given_legal,
- round(avg(coalesce(completion_token_count, 0)), 6) AS tokens, round(avg(coalesce(completion_token_count >= 256, false)::INT), 6) AS clip_rate, grouping(difficulty)::TINYINT AS total FROM sc GROUP BY GROUPING SETS ((method, scope, difficulty), (method, scope))"""
+SELECT method, scope, difficulty, count(*) AS candidates, round(avg((valid_expression >= 1)::INT), 9) AS legality, round(coalesce(count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) / nullif(count(*) FILTER (valid_expression >= 1), 0), 0), 9) AS exact_given_legal,
+ round(avg(coalesce(completion_token_count, 0)), 9) AS tokens, round(avg(coalesce(completion_token_count >= 256, false)::INT), 9) AS clip_rate, grouping(difficulty)::TINYINT AS total FROM sc GROUP BY GROUPING SETS ((method, scope, difficulty), (method, scope))"""
 )
 def arm_scorecard(s, d):
     return rounded(scorecard.scorecard(_candidates(s, d), table(s, d, "tasks"), table(s, d, "banks")))
@@ -614,15 +616,15 @@ def arm_scorecard(s, d):
 @query(
     _OUT
     + f""", q AS (SELECT method, {_COUNTS} FROM pr GROUP BY method), p AS (SELECT *, CASE WHEN arm_only + base_only = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(arm_only, base_only) + 1), lambda i: exp(lgamma(arm_only + base_only + 1) - lgamma(i + 1) - lgamma(arm_only + base_only - i + 1) + (arm_only + base_only) * ln(0.5))))) END AS p FROM q),
-h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, method) + 1) * p) AS step FROM p) SELECT method, n, "both", arm_only, base_only, neither, delta, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING), 6) AS adjusted, max(step) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h"""
+h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, method) + 1) * p) AS step FROM p) SELECT method, n, "both", arm_only, base_only, neither, delta, round(p, 9) AS p, round(max(step) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING), 9) AS adjusted, max(step) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h"""
 )
 def score_matrix(s, d):
     return rounded(scorecard.contrasts(_candidates(s, d), table(s, d, "banks"), "static"))
 
 
 @query(
-    _report_sql("difficulty").replace("w.difficulty, w.n,", "w.bank, w.difficulty, w.n,").replace("SELECT w.bank, w.difficulty,", ", per AS (SELECT w.bank, w.difficulty,", 1).replace("GROUP BY w.difficulty, w.n", "GROUP BY w.bank, w.difficulty, w.n")
-    + """) SELECT bank, method, split, seed, round(practical, 6) AS practical, round(oracle, 6) AS oracle, tokens, round(tokens_per_exact, 6) AS tokens_per_exact FROM (SELECT bank, avg(practical_exact_correct) AS practical, avg(oracle_exact_correct) AS oracle, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE / nullif(sum(round(practical_exact_correct * units)), 0) AS tokens_per_exact FROM per WHERE n = 8 GROUP BY bank) JOIN banks USING (bank)"""
+    re.sub(r"round\((avg\([po]\.\w+\)), 9\)", r"\1", _report_sql("difficulty")).replace("w.difficulty, w.n,", "w.bank, w.difficulty, w.n,").replace("SELECT w.bank, w.difficulty,", ", per AS (SELECT w.bank, w.difficulty,", 1).replace("GROUP BY w.difficulty, w.n", "GROUP BY w.bank, w.difficulty, w.n")
+    + """) SELECT bank, method, split, seed, round(practical, 9) AS practical, round(oracle, 9) AS oracle, tokens, round(tokens_per_exact, 9) AS tokens_per_exact FROM (SELECT bank, avg(practical_exact_correct) AS practical, avg(oracle_exact_correct) AS oracle, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE / nullif(sum(round(practical_exact_correct * units)), 0) AS tokens_per_exact FROM per WHERE n = 8 GROUP BY bank) JOIN banks USING (bank)"""
 )
 def macro_outcomes(s, d):
     return rounded(scorecard.macro_outcomes(_candidates(s, d), table(s, d, "banks")))
