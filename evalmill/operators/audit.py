@@ -98,15 +98,17 @@ def guard_intersections(view: DataFrame, protected: DataFrame, keys: dict[str, C
 
 
 def containment(long_texts: DataFrame, short_texts: DataFrame, key: str, text: str, short_key: str, short: str, words: int = 4) -> DataFrame:
-    """(key, short_key) of texts that contain a short text whole, by an equi-join on its first words, then a check.
+    """(key, short_key) of texts that contain a short text whole, by an equi-join on a run of its words, then a check.
 
-    Every text is cut into runs of ``words`` words; short texts of fewer words have no candidates here.
+    Every text is cut into runs of ``words`` words; short texts need two words more than that. Keys are unique.
     """
+    cut = lambda c: F.array_compact(F.transform(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: F.nullif(x, F.lit(""))))
     runs = F.expr(f"transform(sequence(1, greatest(1, size(w) - {words - 1})), i -> array_join(slice(w, i, {words}), ' '))")
-    grams = long_texts.where(F.col(text).isNotNull()).select(key, text, F.split(F.lower(text), r"[^\p{L}\p{N}]+").alias("w")).select(key, text, F.explode(F.array_distinct(runs)).alias("g"))
-    head = short_texts.where(F.col(short).isNotNull()).select(short_key, short, F.array_compact(F.transform(F.split(F.lower(short), r"[^\p{L}\p{N}]+"), lambda x: F.nullif(x, F.lit("")))).alias("w")).where(F.size("w") >= words + 1)
-    head = head.select(short_key, short, F.array_join(F.slice("w", 2, words), " ").alias("g"))
-    return grams.join(head, "g").where(F.contains(F.col(text), F.col(short))).select(key, short_key).distinct()
+    grams = long_texts.where(F.col(text).isNotNull()).select(key, cut(F.col(text)).alias("w")).select(key, F.explode(F.array_distinct(runs)).alias("g"))
+    # the first word may be the end of a longer one, so the run begins at the second
+    head = short_texts.where(F.col(short).isNotNull()).select(short_key, cut(F.col(short)).alias("w")).where(F.size("w") > words + 1).select(short_key, F.array_join(F.slice("w", 2, words), " ").alias("g"))
+    met = grams.join(head, "g").select(key, short_key).distinct()
+    return met.join(long_texts.select(key, text), key).join(short_texts.select(short_key, short), short_key).where(F.contains(F.col(text), F.col(short))).select(key, short_key)
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

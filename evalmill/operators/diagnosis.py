@@ -18,9 +18,9 @@ def taxonomy(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return joined.select(*by, "label", "rows", (F.col("rows") / F.col("all_rows")).alias("share"))
 
 
-def taxonomy_examples(df: DataFrame, chars: int = 240) -> DataFrame:
-    """The first row of each class by line_no, with the start of its completion for display."""
-    row = F.struct("line_no", "id", "target", F.substring("completion", 1, chars).alias("completion"), F.col("metrics.expression").alias("expression"), F.col("metrics.error").alias("error"))
+def taxonomy_examples(df: DataFrame) -> DataFrame:
+    """The first row of each class by line_no, with its whole completion."""
+    row = F.struct("line_no", "id", "target", "completion", F.col("metrics.expression").alias("expression"), F.col("metrics.error").alias("error"))
     return df.select(M.failure_class().alias("label"), row.alias("row"), "line_no").groupBy("label").agg(F.min_by("row", "line_no").alias("row")).select("label", "row.*")
 
 

@@ -93,7 +93,7 @@ def hash_bootstrap(panel: DataFrame, key: str, value: str, draws: int = 2000, se
     """(draw, mean) of whole-task resamples: slot s of draw d takes the task at md5(seed:d:s) modulo the task count.
 
     Tasks are numbered by key; each draw has as many slots as there are tasks. Draws and slots are distributed; the
-    panel (bounded: one row for each task) is joined by place.
+    panel is one row for each task and is numbered in one task, so it must be of the size of an evaluation set.
     """
     w = Window.orderBy(key)
     places = panel.select((F.row_number().over(w) - 1).cast("long").alias("place"), F.col(value).cast("double").alias("v"))

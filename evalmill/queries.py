@@ -190,7 +190,7 @@ def taxonomy_counts(s, d):
     return rounded(diagnosis.taxonomy(_candidates(s, d), ["bank"]))
 
 
-@query(_BASE + f" SELECT label, line_no, id, target, substring(completion, 1, 240) AS completion, m_expression AS expression, m_error AS error FROM (SELECT *, {_CLASS} AS label FROM c) QUALIFY row_number() OVER (PARTITION BY label ORDER BY line_no) = 1")
+@query(_BASE + f" SELECT label, line_no, id, target, completion, m_expression AS expression, m_error AS error FROM (SELECT *, {_CLASS} AS label FROM c) QUALIFY row_number() OVER (PARTITION BY label ORDER BY line_no) = 1")
 def taxonomy_examples(s, d):
     return diagnosis.taxonomy_examples(_candidates(s, d))
 
