@@ -3,152 +3,140 @@
 1. Every row gets a 64-bit key: the engine's hash of the columns compared by value, joined with a polynomial hash
    of the texts, streamed through a skip-and-fold table.
 2. Keys are counted with partial aggregation, so that a key of any frequency shrinks before the shuffle.
-3. Rows of keys that occur more than once (very frequent keys in parts) are compared with the first row of their key: values by null-safe
-   equality, texts with two pointers that skip what does not count.
+3. Rows of keys that occur more than once (very frequent keys in parts) are compared with the first row of their key:
+   values by equality, texts with two pointers that skip what does not count.
 4. Rows that share a key with a row they differ from (a collision) are grouped by their folded content instead.
+
+Rows of several tables go through one plan; ``tab`` keeps them apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json as jsonlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalmill.llm import folding
 
-
 #: Rows of one key that one task compares, about; keys with more are split.
 HOT = 100_000
 
 
 @F.pandas_udf(T.LongType())
-def _text_key(texts: pd.Series) -> pd.Series:
-    return pd.Series(folding.fold_hashes(pa.array(texts, pa.large_string())).view(np.int64))
-
-
-@F.pandas_udf(T.LongType())
-def _json_key(lines: pd.Series) -> pd.Series:
-    hashes = folding.json_hashes(lines.tolist())
-    return pd.Series([None if h is None else h - (1 << 64) if h >= 1 << 63 else h for h in hashes], dtype="Int64")
+def _key(texts: pd.Series, is_json: pd.Series) -> pd.Series:
+    """Hashes of the texts of a row, joined; of JSON its content, null where it is not whole."""
+    out = folding.fold_hashes(pa.array(texts, pa.large_string())).view(np.int64).tolist()
+    lines = np.flatnonzero(is_json.to_numpy(dtype=bool))
+    for i, h in zip(lines, folding.json_hashes([texts.iat[i] for i in lines]), strict=True):
+        out[i] = None if h is None else h - (1 << 64) if h >= 1 << 63 else h
+    return pd.Series(out, dtype="Int64")
 
 
-def _pairwise(compare):
-    @F.pandas_udf(T.BooleanType())
-    def equal(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in a:
-            yield pd.Series([compare(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True)])
+@F.pandas_udf(T.StringType())
+def _difference(same_values: pd.Series, texts: pd.Series, first: pd.Series, is_json: pd.Series) -> pd.Series:
+    """Null if a row is the same as the first of its key, else a digest of its folded texts."""
 
-    return equal
+    def one(ok, a, b, line):
+        if ok and all(map(folding.same_json if line else folding.same, a, b)):
+            return None
+        content = [None if t is None else folding.folded_json(folding.parse_json(t)[1]) if line else folding.folded(t) for t in a]
+        return hashlib.sha256(jsonlib.dumps(content).encode()).hexdigest()
 
+    return pd.Series([one(*x) for x in zip(same_values, texts, first, is_json, strict=True)], dtype=object)
 
-_same_text, _same_json = _pairwise(folding.same), _pairwise(folding.same_json)
 
+def _value(c: Column, kind: T.DataType) -> Column:
+    """A value as text that is equal for equal values: null for null, NaN for NaN, one zero."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        c = c + F.lit(0.0)
+    return F.coalesce((F.to_json(c) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")), F.lit("\u0001"))
 
-@F.pandas_udf(T.StringType())
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(folding.folded, na_action="ignore")
 
+def prepared(df: DataFrame, tab: str, line: str, values: list[Column], texts: list[Column], json: Column | None = None) -> DataFrame:
+    """(tab, line, vals, texts, is_json): the rows of a table as ``find_copies`` takes them."""
+    v = df.select(*(c.alias(f"v{i}") for i, c in enumerate(values))).schema.fields
+    vals = F.concat_ws("\u0002", *(_value(c, f.dataType) for c, f in zip(values, v, strict=True))) if values else F.lit("")
+    return df.select(F.lit(tab).alias("tab"), F.col(line).cast("long").alias("line"), vals.alias("vals"), F.array(*([json] if json is not None else texts)).alias("texts"), F.lit(json is not None).alias("is_json"))
 
-@F.pandas_udf(T.StringType())
-def _folded_json(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: folding.folded_json(folding.parse_json(x)[1]), na_action="ignore")
 
-
-def _value_hash(values: list[tuple[Column, T.DataType]]) -> Column:
-    """A hash in which null, NaN and the sign of zero are told apart or joined as equality does it."""
-    parts, nulls = [], F.lit(0).cast("long")
-    for i, (c, kind) in enumerate(values):
-        c = (c + F.lit(0.0)) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
-        parts.append(c)
-        nulls = nulls.bitwiseXOR(F.when(c.isNull(), F.lit(1 << (i % 62))).otherwise(F.lit(0)).cast("long"))
-    return F.xxhash64(*parts, nulls)
+def find_copies(rows: DataFrame) -> DataFrame:
+    """(tab, first_line, copy_line) of all rows that are the same up to formatting, of ``prepared`` rows."""
+    joined = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.array_join("texts", ""))
+    hashed = rows.withColumn("h", _key(joined, F.col("is_json"))).where("h is not null or not is_json")
+    keyed = hashed.withColumn("key", F.xxhash64("tab", "vals", "h")).drop("h")
+    groups = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = groups.select("key", "first", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    # keys with more than HOT rows, so at most one for each HOT rows of the tables, go to all tasks
+    hot = F.broadcast(groups.where("parts > 1").select("key", F.col("parts").alias("cut")))
+    salted = keyed.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("line"), F.col("cut")).cast("int"), F.lit(0))).drop("cut")
+    spread = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    members = salted.join(spread(groups), ["key", "part"])
+    firsts = spread(members.where("line = first").select("key", "parts", F.col("vals").alias("f_vals"), F.col("texts").alias("f_texts"), F.col("tab").alias("f_tab"))).drop("parts")
+    compared = members.where("line <> first").join(firsts, ["key", "part"])
+    same_values = (F.col("vals") == F.col("f_vals")) & (F.col("tab") == F.col("f_tab"))
+    compared = compared.select("key", "tab", "line", "first", "vals", _difference(same_values, F.col("texts"), F.col("f_texts"), F.col("is_json")).alias("differs"))
+    # rows that are the same stand alone here; those that differ from the first meet their likes
+    content = F.when(F.col("differs").isNull(), F.col("line").cast("string")).otherwise(F.concat_ws("\u0002", "differs", "tab", "vals"))
+    likes = Window.partitionBy("key", "content")
+    settled = compared.withColumn("content", F.sha2(content, 256)).withColumn("first", F.when(F.col("differs").isNull(), F.col("first")).otherwise(F.min("line").over(likes)))
+    return settled.where("line <> first").select("tab", F.col("first").alias("first_line"), F.col("line").alias("copy_line"))
 
 
 def formatting_copies(df: DataFrame, line: str, values: list[Column], texts: list[Column], json: Column | None = None) -> DataFrame:
-    """(first_line, copy_line) of all rows that are the same up to formatting.
+    """(first_line, copy_line) of all rows of one table that are the same up to formatting.
 
     ``values`` are compared by value (null equals null, NaN equals NaN), ``texts`` up to white space, invisible
-    characters, letter case and decorative punctuation (null equals null), ``json`` as JSON content up to
-    formatting and field order. ``line`` is a unique integer column.
+    characters, letter case and decorative punctuation (null equals null), ``json`` (instead of texts) as JSON content
+    up to formatting and field order. ``line`` is a unique integer column.
 
     Defined cases: lines that are not whole JSON, or null, are no case; empty and blank texts are equal to each
     other; in JSON a name that occurs twice in an object counts twice; an empty table gives no rows; columns are
     used only as given, other columns and their names play no role. Filter rows that are no case beforehand.
     """
-    named = df.select(F.col(line).cast("long").alias("line"), *(c.alias(f"v{i}") for i, c in enumerate(values)), *(c.alias(f"t{i}") for i, c in enumerate(texts)), *([json.alias("j")] if json is not None else []))
-    v, t = [f"v{i}" for i in range(len(values))], [f"t{i}" for i in range(len(texts))]
-    hashes = []
-    if t:  # one pass over all texts of a row; U+0000 to U+0002 are control characters that no key depends on
-        joined = F.concat_ws("", *(F.coalesce(F.col(c), F.lit("")) for c in t)) if len(t) > 1 else F.col(t[0])
-        hashes.append(_text_key(joined))
-    if json is not None:
-        hashes.append(_json_key("j"))
-    keyed = named.withColumn("k", F.struct(_value_hash([(F.col(c), named.schema[c].dataType) for c in v]).alias("a"), *(h.alias(f"b{i}") for i, h in enumerate(hashes))))
-    keyed = keyed.select("*", F.xxhash64("k.a", *(f"k.b{i}" for i in range(len(hashes)))).alias("key"))
-    if json is not None:
-        keyed = keyed.where(f"k.b{len(hashes) - 1} is not null")
-    keyed = keyed.drop("k")
-    groups = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.select("key", "first", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
-    # keys with more than HOT rows, so at most one for each HOT rows of the table, go to all tasks
-    hot = F.broadcast(groups.where("parts > 1").select("key", F.col("parts").alias("cut")))
-    salted = keyed.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("line"), F.col("cut")).cast("int"), F.lit(0))).drop("cut")
-    spread = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    members = salted.join(spread(groups), ["key", "part"])
-    content = v + t + (["j"] if json is not None else [])
-    firsts = spread(members.where("line = first").select("key", "parts", *(F.col(c).alias(f"f_{c}") for c in content))).drop("parts")
-    compared = members.where("line <> first").join(firsts, ["key", "part"])
-    equal = F.lit(True)
-    for c in v:
-        equal = equal & F.col(c).eqNullSafe(F.col(f"f_{c}"))
-    compared = compared.withColumn("by_value", equal)
-    checks = [_same_text(c, f"f_{c}") for c in t] + ([_same_json("j", "f_j")] if json is not None else [])
-    for i, check in enumerate(checks):
-        compared = compared.withColumn(f"e{i}", check)
-    compared = compared.withColumn("same", F.col("by_value") & F.expr(" and ".join([f"e{i}" for i in range(len(checks))] or ["true"])))
-    good = compared.where("same").select("first", "line")
-    bad = compared.where("not same")
-    exact = [*v, *(_folded(c).alias(c) for c in t), *([_folded_json("j").alias("j")] if json is not None else [])]
-    bad = bad.select("key", "line", *exact)
-    clash = bad.groupBy("key", *content).agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    match = F.col("b.key") == F.col("g.key")
-    for c in content:
-        match = match & F.col(f"b.{c}").eqNullSafe(F.col(f"g.{c}"))
-    rest = bad.alias("b").join(clash.alias("g"), match).where("b.line <> g.first").select(F.col("g.first").alias("first"), F.col("b.line").alias("line"))
-    return good.unionByName(rest).select(F.col("first").alias("first_line"), F.col("line").alias("copy_line"))
+    return find_copies(prepared(df, "", line, values, texts, json)).drop("tab")
 
 
-def task_copies(tasks: DataFrame) -> DataFrame:
-    """Copies among tasks: the same multiset of numbers, target, set of operators and solution up to formatting."""
+def _tasks(tasks: DataFrame) -> DataFrame:
     whole = tasks.where("numbers is not null and target is not null and allowed_ops is not null and solution is not null")
-    return formatting_copies(whole, "line_no", [F.array_sort("numbers"), F.col("target"), F.array_sort(F.array_distinct("allowed_ops"))], [F.col("solution")])
+    return prepared(whole, "tasks", "line_no", [F.array_sort("numbers"), F.col("target"), F.array_sort(F.array_distinct("allowed_ops"))], [F.col("solution")])
 
 
-def candidate_copies(candidates: DataFrame) -> DataFrame:
-    """Copies among candidates: the same bank, id and all fields of metrics, strings up to formatting."""
+def _candidates(candidates: DataFrame) -> DataFrame:
     whole = candidates.where("metrics is not null and metrics.expression is not null")
     fields = whole.schema["metrics"].dataType.fields
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    return formatting_copies(
-        whole, "line_no", [F.col("bank"), F.col("id"), *(F.col(f"metrics.{f.name}") for f in fields if f.name not in text)], [F.col(f"metrics.{x}") for x in text]
-    )
+    values = [F.col("bank"), F.col("id"), *(F.col(f"metrics.{f.name}") for f in fields if f.name not in text)]
+    return prepared(whole, "candidates", "line_no", values, [F.col(f"metrics.{x}") for x in text])
+
+
+def _raw(raw: DataFrame) -> DataFrame:
+    return prepared(raw.where("line is not null"), "raw_records", "line_no", [F.col("bank")], [], F.col("line"))
+
+
+def task_copies(tasks: DataFrame) -> DataFrame:
+    """Copies among tasks: the same multiset of numbers, target, set of operators and solution up to formatting."""
+    return find_copies(_tasks(tasks)).drop("tab")
+
+
+def candidate_copies(candidates: DataFrame) -> DataFrame:
+    """Copies among candidates: the same bank, id and all fields of metrics, strings up to formatting."""
+    return find_copies(_candidates(candidates)).drop("tab")
 
 
 def raw_copies(raw: DataFrame) -> DataFrame:
     """Copies among raw lines: the same bank and the same JSON content up to formatting."""
-    return formatting_copies(raw.where("line is not null"), "line_no", [F.col("bank")], [], F.col("line"))
+    return find_copies(_raw(raw)).drop("tab")
 
 
 def hidden_copies(tasks: DataFrame, candidates: DataFrame, raw: DataFrame) -> DataFrame:
     """(tab, first_line, copy_line) over the three tables."""
-    parts = [("tasks", task_copies(tasks)), ("candidates", candidate_copies(candidates)), ("raw_records", raw_copies(raw))]
-    named = [df.select(F.lit(name).alias("tab"), "first_line", "copy_line") for name, df in parts]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    return find_copies(_tasks(tasks).unionByName(_candidates(candidates)).unionByName(_raw(raw)))
 
 
 def copy_counts(tasks: DataFrame, candidates: DataFrame, raw: DataFrame) -> DataFrame:
