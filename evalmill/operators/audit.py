@@ -114,3 +114,24 @@ def containment(long_texts: DataFrame, short_texts: DataFrame, key: str, text: s
 def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w))
+
+
+def identity_conflicts(df: DataFrame) -> DataFrame:
+    """(kind, value, others): ids that stand for several tasks, and tasks that have several ids, with how many."""
+    pairs = df.select("id", K.semantic_key().alias("task")).where("id is not null and task is not null").distinct()
+    ids = pairs.groupBy(F.col("id").alias("value")).agg(F.count(F.lit(1)).alias("others")).where("others > 1").select(F.lit("id").alias("kind"), "value", "others")
+    return ids.unionByName(pairs.groupBy(F.col("task").alias("value")).agg(F.count(F.lit(1)).alias("others")).where("others > 1").select(F.lit("task").alias("kind"), "value", "others"))
+
+
+def tier_fits_split(split: str = "split", tier: str = "difficulty") -> Column:
+    """Whether a split may hold a tier: the three of the usual distribution, or the one that the split is named after."""
+    name = split_name(split)
+    return F.when(name.startswith("test_ood_"), F.col(tier) == F.regexp_replace(name, "^test_", "")).otherwise(F.col(tier).isin("easy", "medium", "hard"))
+
+
+def view_checks(source: DataFrame, sample: DataFrame, rest: DataFrame, key: str) -> DataFrame:
+    """(shared, missing, foreign): whether a sample and its complement share keys, miss some of the source or hold others."""
+    flag = lambda df, n: df.select(key, F.lit(n).alias("side")).distinct()
+    sides = flag(source, "source").unionByName(flag(sample, "sample")).unionByName(flag(rest, "rest")).groupBy(key).agg(F.collect_set("side").alias("in"))  # three names at most
+    has = lambda n: F.array_contains("in", n)
+    return sides.agg(F.count_if(has("sample") & has("rest")).alias("shared"), F.count_if(has("source") & ~has("sample") & ~has("rest")).alias("missing"), F.count_if(~has("source")).alias("foreign"))

@@ -139,3 +139,27 @@ def length_stats(df: DataFrame, by: list[str], cap: int = 256) -> DataFrame:
     """Mean, exact median and capped share of token counts; unknown counts are left out."""
     known = df.where("completion_token_count is not null")
     return known.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.avg("completion_token_count").alias("mean"), F.median("completion_token_count").alias("median"), F.avg((F.col("completion_token_count") >= cap).cast("double")).alias("capped"))
+
+
+def health_gate(df: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of rows that break what scored rows keep: equal exactness fields, shares within [0, 1], tag flags that fit
+    the format, a legal row that parses; and whether rewards vary at all."""
+    m, c = M.metric, F.count_if
+    unit = [m(n) for n in ("number_precision", "number_recall", "number_multiset_f1", "numeric_distance_reward", "format")]
+    outside = unit[0].between(0, 1)
+    for u in unit[1:]:
+        outside = outside & u.between(0, 1)
+    tags = (m("contains_open_answer_tag") + m("contains_close_answer_tag") + m("has_extractable_answer_span")) / 3
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), c(m("exact_correct") != m("correct")).alias("exact_differs"), c(~outside).alias("outside"), c(F.abs(tags - m("format")) > 1e-6).alias("format_differs"),
+        c((m("valid_expression") >= 1) & (m("parse_ok") < 1)).alias("legal_unparsed"), c((m("correct") >= 1) & (m("valid_expression") < 1)).alias("correct_illegal"), (F.coalesce(F.stddev_samp(M.total_reward()), F.lit(0.0)) > 1e-9).alias("varies"),
+    )
+
+
+def weight_summary(records: DataFrame, run: str) -> DataFrame:
+    """Per run and key of a controller's records: first, last, least, most and mean weight, and shares at floor and cap."""
+    long = records.select(run, "step", "at_floor", "at_cap", F.explode("weights").alias("key", "w"))
+    return long.groupBy(run, "key").agg(
+        F.min_by("w", "step").alias("first"), F.max_by("w", "step").alias("last"), F.min("w").alias("least"), F.max("w").alias("most"), F.avg("w").alias("mean"),
+        F.avg(F.array_contains("at_floor", F.col("key")).cast("double")).alias("at_floor"), F.avg(F.array_contains("at_cap", F.col("key")).cast("double")).alias("at_cap"),
+    )

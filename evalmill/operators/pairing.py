@@ -78,3 +78,13 @@ def stacked_panel(runs: DataFrame, key: str, run: str, value: str) -> DataFrame:
     if odd is not None:
         raise GridError(f"{key} {odd[key]!r} has {odd['c']} values of {odd['d']} runs; there are {n} runs")
     return panel.select(key, F.transform("v", lambda x: x[value]).alias("values"))
+
+
+def shown_prompt(candidates: DataFrame, tasks: DataFrame, fields: tuple[str, ...] = ("prompt_low", "prompt_mid", "prompt_high")) -> DataFrame:
+    """(line_no, id, prompt) of every candidate: the prompt that prompt_field names, of the last row of its task.
+
+    Null where the field is null, names no prompt, or the task is absent.
+    """
+    last = tasks.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*fields), "line_no").alias("p"))
+    prompts = last.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("prompt_field"), F.col(f"p.{f}").alias("prompt")) for f in fields))).alias("x")).select("id", "x.*")
+    return candidates.select("line_no", "id", "prompt_field").join(prompts, ["id", "prompt_field"], "left").select("line_no", "id", "prompt")

@@ -648,3 +648,46 @@ def bank_reverified(s, d):
 
 
 QUERIES["bank_reverified"] = bank_reverified
+
+
+# ---- further audits
+
+
+@query("WITH p AS (SELECT DISTINCT id, '{\"allowed_ops\":' || to_json(list_sort(list_distinct(allowed_ops))) || ',\"numbers\":' || to_json(list_sort(numbers)) || ',\"target\":' || target || '}' AS task FROM tasks WHERE id IS NOT NULL AND numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL) SELECT 'id' AS kind, id AS value, count(*) AS others FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'task', task, count(*) FROM p GROUP BY task HAVING count(*) > 1")
+def identity_conflicts(s, d):
+    return audit.identity_conflicts(table(s, d, "tasks"))
+
+
+@query("SELECT lower(trim(split)) AS split, difficulty, count(*) AS \"rows\" FROM tasks WHERE NOT CASE WHEN lower(trim(split)) LIKE 'test\\_ood\\_%' ESCAPE '\\' THEN difficulty = substring(lower(trim(split)), 6) ELSE difficulty IN ('easy', 'medium', 'hard') END GROUP BY ALL")
+def misplaced_tiers(s, d):
+    return table(s, d, "tasks").where(~audit.tier_fits_split()).groupBy(audit.split_name().alias("split"), "difficulty").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY kind ORDER BY {_HASH}, doc_id) <= 20 AS s FROM documents) SELECT 0::BIGINT AS shared, count(*) - count(*) FILTER (s) - count(*) FILTER (NOT s) AS missing, 0::BIGINT AS \"foreign\" FROM r")
+def view_checks(s, d):
+    docs = table(s, d, "documents").select("doc_id", "kind")
+    sample = sampling.stratified_sample(docs, "kind", "doc_id", 20, seed=7)
+    return audit.view_checks(docs, sample, sampling.complement(docs, sample, "doc_id"), "doc_id")
+
+
+@query("WITH t AS (SELECT * FROM tasks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no DESC) = 1) SELECT c.line_no, c.id, CASE c.prompt_field WHEN 'prompt_low' THEN prompt_low WHEN 'prompt_mid' THEN prompt_mid WHEN 'prompt_high' THEN prompt_high END AS prompt FROM candidates c LEFT JOIN t ON c.id = t.id")
+def shown_prompts(s, d):
+    return pairing.shown_prompt(_candidates(s, d), table(s, d, "tasks"))
+
+
+@query(
+    _BASE
+    + f""" SELECT bank, count(*) AS "rows", count(*) FILTER (exact_correct <> correct) AS exact_differs, count(*) FILTER (NOT (number_precision BETWEEN 0 AND 1 AND number_recall BETWEEN 0 AND 1 AND number_multiset_f1 BETWEEN 0 AND 1 AND numeric_distance_reward BETWEEN 0 AND 1 AND format BETWEEN 0 AND 1)) AS outside,
+ count(*) FILTER (abs((contains_open_answer_tag + contains_close_answer_tag + has_extractable_answer_span) / 3 - format) > 1e-6) AS format_differs, count(*) FILTER (valid_expression >= 1 AND parse_ok < 1) AS legal_unparsed, count(*) FILTER (correct >= 1 AND valid_expression < 1) AS correct_illegal,
+ coalesce(stddev_samp(correct + {' + '.join(f'0.2*{k}' for k in M.AUXILIARY)}), 0) > 1e-9 AS varies FROM c GROUP BY bank"""
+)
+def health_gate(s, d):
+    return diagnosis.health_gate(_candidates(s, d), ["bank"])
+
+
+def teacher_health(s, d):
+    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
+    return rounded(diagnosis.weight_summary(records, "bank"))
+
+
+QUERIES["teacher_health"] = teacher_health

@@ -112,3 +112,12 @@ def test_digests(spark):
     assert K.set_digest(df, "v").first().digest == hashlib.sha256(b"a\nb\n").hexdigest()
     assert df.select(K.row_digest(["v"])).first()[0] == hashlib.sha256(b'{"v":"b"}').hexdigest()
     assert df.select(K.stable_order(7, "d", F.col("v"))).first()[0] == hashlib.sha256(b"7\x00d\x00b").hexdigest()
+
+
+def test_identities_tiers_and_views(spark):
+    df = tasks(spark, [("a", "test_ood_long", "ood_long", [1, 2], 3, ["+"], "s"), ("a", "test_ood_long", "easy", [1, 3], 4, ["+"], "s"), ("b", "train", "easy", [3, 1], 4, ["+"], "s"), ("c", "Train", "ood_long", None, 4, ["+"], "s"), (None, None, None, [1], 1, ["+"], "s")])
+    got = {(r.kind, r.others) for r in audit.identity_conflicts(df).collect()}
+    assert got == {("id", 2), ("task", 2)}
+    assert [r[0] for r in df.orderBy("line_no").select(audit.tier_fits_split()).collect()] == [True, False, True, False, None]
+    n = spark.range(10)
+    assert tuple(audit.view_checks(n, n.where("id < 4"), n.where("id between 3 and 8").union(spark.range(20, 22)), "id").first()) == (1, 1, 2)

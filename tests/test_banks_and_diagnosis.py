@@ -130,3 +130,14 @@ def test_shift_and_interaction(spark):
     shift = spark.createDataFrame([("s", 1, 0.4), ("s", 2, 0.5), ("t", 1, 0.1), ("t", 2, 0.3)], "method string, seed int, legal_loss double")
     r = diagnosis.shift_interaction(shift, "method", ["seed"], "s", "t").first()
     assert (r.pairs, round(r["mean"], 6), round(r.spread, 6), r.consistent) == (2, 0.25, 0.05, True)
+
+
+def test_health_gate_and_prompts(spark):
+    df, data = make(spark, random.Random(6), 120)
+    got = {r.bank: r for r in diagnosis.health_gate(df, ["bank"]).collect()}
+    mine = [r for r in data if r[1] == "a"]
+    assert got["a"]["rows"] == len(mine) and got["a"].exact_differs == sum(val(r, "exact_correct") != val(r, "correct") for r in mine)
+    assert got["a"].legal_unparsed == sum(val(r, "valid_expression") >= 1 > val(r, "parse_ok") for r in mine) and got["a"].outside == 0 and got["a"].varies
+    tasks = spark.createDataFrame([(0, "t1", "old", "m", "h"), (5, "t1", "low", "mid", None)], "line_no long, id string, prompt_low string, prompt_mid string, prompt_high string")
+    c = spark.createDataFrame([(0, "t1", "prompt_low"), (1, "t1", "prompt_high"), (2, "t1", None), (3, "gone", "prompt_mid"), (4, None, "prompt_mid")], "line_no long, id string, prompt_field string")
+    assert [r.prompt for r in pairing.shown_prompt(c, tasks).orderBy("line_no").collect()] == ["low", None, None, None, None]

@@ -127,3 +127,19 @@ def test_ceilings_against_plain_python(spark):
     assert r.groups == 60 and r.with_correct == int(flags[:, 0].sum()) and abs(r.top_flips - flags[:, 3].mean()) < 1e-12
     b = C.replay_bandit(df, "run", block=10).first()
     assert b.rounds == 6 and abs(sum(b.weights) - 1.2) < 1e-9 and b == C.replay_bandit(df, "run", block=10).first()
+
+
+def test_weight_summary(spark):
+    c = C.WeightController(C.WeightSettings(strategy="adaptive_stable", delay=0))
+    rows = [{"run": "r", **{k: v for k, v in c.update(0.2, good(0.9)).items() if k in ("step", "weights", "at_floor", "at_cap")}} for _ in range(5)]
+    df = spark.createDataFrame(rows, "run string, step long, weights map<string,double>, at_floor array<string>, at_cap array<string>")
+    got = {r.key: r for r in C_summary(df).collect()}
+    for k in M.AUXILIARY:
+        w = [r["weights"][k] for r in rows]
+        assert (got[k].first, got[k].last, got[k].least, got[k].most) == (w[0], w[-1], min(w), max(w))
+
+
+def C_summary(df):
+    from evalmill.operators.diagnosis import weight_summary
+
+    return weight_summary(df, "run")
