@@ -36,7 +36,8 @@ def measured(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
 def prefix(df: DataFrame, n: int) -> DataFrame:
     """The first n positions of each unit, with ``pos``."""
     w = Window.partitionBy(*UNIT).orderBy("candidate_index", "line_no")
-    return df.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < n)
+    ranked = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)  # in this form Spark limits before the shuffle
+    return ranked.withColumn("pos", F.col("_n") - 1).drop("_n")
 
 
 def integrity(df: DataFrame, declared: DataFrame | None = None) -> DataFrame:

@@ -78,7 +78,9 @@ def accept(pools: list[tuple[DataFrame, int]]) -> DataFrame:
     kept = every.groupBy(K.loose_key().alias("key")).agg(F.min_by(F.struct(*every.columns), order).alias("row")).select("row.*")
     w = Window.partitionBy("pool").orderBy("proposal_index")
     targets = F.coalesce(*(F.when(F.col("pool") == k, F.lit(t)) for k, (_, t) in enumerate(pools)))
-    return kept.withColumn("position", F.row_number().over(w) - 1).where(F.col("position") < targets)
+    most = max(t for _, t in pools)
+    ranked = kept.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return ranked.withColumn("position", F.col("_n") - 1).drop("_n").where(F.col("position") < targets)
 
 
 def rejections(pools: list[tuple[DataFrame, int]]) -> DataFrame:

@@ -141,3 +141,9 @@ def test_health_gate_and_prompts(spark):
     tasks = spark.createDataFrame([(0, "t1", "old", "m", "h"), (5, "t1", "low", "mid", None)], "line_no long, id string, prompt_low string, prompt_mid string, prompt_high string")
     c = spark.createDataFrame([(0, "t1", "prompt_low"), (1, "t1", "prompt_high"), (2, "t1", None), (3, "gone", "prompt_mid"), (4, None, "prompt_mid")], "line_no long, id string, prompt_field string")
     assert [r.prompt for r in pairing.shown_prompt(c, tasks).orderBy("line_no").collect()] == ["low", None, None, None, None]
+
+
+def test_prefixes_are_limited_before_the_shuffle(spark):
+    df, _ = make(spark, random.Random(8), 20)
+    for plan in (banks.select_best(df, 4), banks.best_of_n(df), banks.full_units(df)):
+        assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
