@@ -13,6 +13,8 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from evalmill.llm.batches import byte_lengths, cuts
+
 #: Decorative punctuation, beside white space and invisible characters.
 DECORATION = "\"'`$,;:!?" + "‘’‚‛“”„‟‹›«»`´′″＂＇"
 #: A full stop is skipped too unless it stands between digits.
@@ -74,14 +76,20 @@ def _hash_codes(codes: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np
 
 
 def fold_hashes(strings: pa.Array) -> np.ndarray:
+    """The hashes of ``_fold_piece``, piece by piece, so that work arrays stay small however long the texts are."""
+    if isinstance(strings, pa.ChunkedArray):
+        strings = strings.combine_chunks()
+    strings = strings.cast(pa.large_string())
+    parts = [_fold_piece(strings.slice(first, rows)) for first, rows in cuts(byte_lengths(strings))]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
+def _fold_piece(strings: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string up to formatting; 0 for null, and for texts of which nothing counts.
 
     Strings with only ASCII are hashed straight from the Arrow buffer; the others by code points, with the same
     result for the same characters.
     """
-    if isinstance(strings, pa.ChunkedArray):
-        strings = strings.combine_chunks()
-    strings = strings.cast(pa.large_string())
     n = len(strings)
     out = np.zeros(n, dtype=np.uint64)
     if not n or strings.null_count == n:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.llm.batches import pieces
 from evalmill.llm.language import SEEDS
 
 #: Encodings that UTF-8 may have been read as; nested layers are undone up to so many times.
@@ -181,7 +182,7 @@ def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, dtype=np.int64)
-        for b in batches:
+        for b in pieces(batches, text):
             joined = " \n ".join(t for t in b.column(0).to_pylist() if t and not t.isascii())
             total += np.bincount(_trigrams(_codes(joined)), minlength=1 << BITS)
         at = np.flatnonzero(total)

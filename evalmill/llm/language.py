@@ -30,6 +30,8 @@ SEEDS = {
 LANGUAGES = tuple(SEEDS)
 BITS = 15
 SMOOTHING = 0.05
+#: Trigrams that are looked up at once.
+STEP = 1 << 17
 
 #: Letters and bytes of UTF-8 sequences stay, in lower case; everything else is a gap.
 _LETTER = np.zeros(256, dtype=np.uint8)
@@ -86,9 +88,10 @@ def posteriors(data: np.ndarray, starts: np.ndarray, drop: np.ndarray | None = N
     scores = np.zeros((n, len(LANGUAGES)), dtype=np.float64)
     row = np.searchsorted(starts, at, "right") - 1
     count = np.bincount(row, minlength=n)
-    if len(at):
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        scores[row[first]] = np.add.reduceat(log_table()[buckets], first, axis=0)
+    for s in range(0, len(at), STEP):
+        part = row[s : s + STEP]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        scores[part[first]] += np.add.reduceat(log_table()[buckets[s : s + STEP]], first, axis=0)
     scores *= flatten
     scores -= scores.max(axis=1, keepdims=True)
     p = np.exp(scores)

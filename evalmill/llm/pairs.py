@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalmill.llm import language, tails
+from evalmill.llm.batches import byte_lengths, pieces
 
 #: A lead-in before a repeated prompt has at most so many letters and digits.
 LEAD_IN = 40
@@ -68,7 +68,7 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a batch with a line end after each text, and where each text starts; null is empty."""
     data = ("\n".join(t or "" for t in texts.to_pylist()) + "\n").encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, dtype=np.uint8)
-    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lengths = byte_lengths(texts)
     return raw, np.concatenate([[0], np.cumsum(lengths[:-1] + 1)]).astype(np.int64)
 
 
@@ -96,7 +96,7 @@ def end_counts(texts: DataFrame, text: str) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << END_BITS, 2), dtype=np.int64)
-        for b in batches:
+        for b in pieces(batches, text):
             raw, starts = _buffers(b.column(0))
             grams, ends = _end_grams(raw), _ends(raw, starts)
             total[:, 0] += np.bincount(grams, minlength=1 << END_BITS)
@@ -115,7 +115,7 @@ def _signals(keep: list[str], ending: np.ndarray | None):
     """mapInArrow: the columns ``keep`` and, from ``text`` and ``ended``, the signals of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             raw, starts = _buffers(b.column("text"))
             tags = np.zeros(len(raw), dtype=bool)
             for m in _TAG.finditer(raw.tobytes()):

@@ -2,6 +2,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,6 +42,18 @@ def test_batches_hash_as_single_strings_do():
     assert len(folding.fold_hashes(pa.array([], pa.string()))) == 0
 
 
+def test_pieces_are_cut_by_size(monkeypatch):
+    from evalmill.llm import batches
+
+    assert batches.cuts(np.array([3, 3, 10, 0, 1, 7]), 8) == [(0, 2), (2, 1), (3, 3)] and batches.cuts(np.array([]), 8) == []
+    table = pa.RecordBatch.from_pydict({"t": ["ab", None, "c" * 20, "", "d"], "k": [1, 2, 3, 4, 5]})
+    assert [p.column("k").to_pylist() for p in batches.pieces([table, table.slice(0, 0)], "t", 8)] == [[1, 2], [3], [4, 5]]
+    texts = pa.array(["(1+2)", None, "x" * 3000, "é", ""] * 7)
+    whole = folding.fold_hashes(texts)
+    monkeypatch.setattr(folding, "cuts", lambda lengths: batches.cuts(lengths, 64))
+    assert (folding.fold_hashes(texts) == whole).all()
+
+
 def test_json_by_content():
     a = '{"id": "T 1", "m": {"x": 1, "y": [1, 2]}}'
     b = '{"M": {"Y": [1.0, 2], "X": 1.0},\n"Id": "t1."}'

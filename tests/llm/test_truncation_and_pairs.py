@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,16 @@ def test_languages_on_held_out_sentences():
     assert max(flat.values()) - min(flat.values()) < 1e-6
 
 
+def test_posteriors_do_not_depend_on_the_step(monkeypatch):
+    texts = ["Der Lehrer schrieb drei Sätze.", "", "We could not see it.", "12+3", "Nie mogliśmy zobaczyć góry."] * 5
+    data = "\n".join(texts).lower().encode() + b"\n"
+    starts = np.cumsum([0, *(len(t.lower().encode()) + 1 for t in texts[:-1])])
+    whole, n = language.posteriors(np.frombuffer(data, np.uint8), starts)
+    monkeypatch.setattr(language, "STEP", 7)
+    parts, m = language.posteriors(np.frombuffer(data, np.uint8), starts)
+    assert np.allclose(whole, parts, atol=1e-4) and (n == m).all()
+
+
 PROMPT = "Numbers [3, 4, 5], goal 12, operators + - *. Reply with one expression in <answer></answer>."
 OK = ["<reasoning>I'm sorry for the detour; 3 and 4 settle it after all.</reasoning>\n<answer>(3+(4+5))</answer>", "Start with 3 and 4. I cannot use 5 twice, so 4 has to do the work. This evaluates to 12.", "The numbers are 3, 4, 5 and the goal is 12.\n<answer>((3plus4)+5)</answer>", "The notebook calls this 'la dernière étape', and 12 is what it stands for.\n<answer>(3+(4+5))</answer>"]
 BAD = {
