@@ -17,28 +17,30 @@ from evalmill.llm import tails
 LEAST, TIMES, BELOW, MOST_ABOVE = 8, 5.0, 16, 0.05
 #: A source whose share of finished texts is at least this has no habit of open ends.
 FINISHED_SHARE = 0.5
+UNITS = ("chars", "bytes", "tokens")
 
 
 def _open_end(text: Column) -> Column:
     return tails.unfinished(text) & tails.has_content(text)
 
 
-def _measured(df: DataFrame, source: str, text: str, tokens: str | None) -> DataFrame:
-    """(source, chars, bytes, tokens) of every text."""
+def _histogram(df: DataFrame, source: str, text: str, tokens: str | None) -> DataFrame:
+    """(source, unit, length, texts, content, finished): texts of each length, those with content, those that end.
+
+    Partial aggregation: a source of any size sends one count for each of its lengths and task.
+    """
     t = F.col(text)
     count = F.col(tokens).cast("long") if tokens else F.lit(None).cast("long")
-    return df.where(t.isNotNull()).select(F.col(source).alias("source"), F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), count.alias("tokens"))
+    content = tails.has_content(t)
+    rows = df.where(t.isNotNull()).select(
+        F.col(source).alias("source"), F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), count.alias("tokens"), content.alias("content"), (content & ~tails.unfinished(t)).alias("finished")
+    )
+    long = rows.select("source", "content", "finished", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS))).alias("m"))
+    return long.where("m.length is not null").groupBy("source", "m.unit", "m.length").agg(F.count(F.lit(1)).alias("texts"), F.count_if("content").alias("content"), F.count_if("finished").alias("finished"))
 
 
-def length_limits(df: DataFrame, source: str, text: str, tokens: str | None = None) -> DataFrame:
-    """(source, unit, limit, texts) of the spikes at the maximum, for the units chars, bytes and tokens.
-
-    The histogram is built with partial aggregation, so a source of any size sends one count for each of its
-    lengths and task. A source, unit pair has at most one limit, its spike with the most texts. Null texts and null token
-    counts are left out; a null source is a source of its own; an empty table gives no rows.
-    """
-    lengths = _measured(df, source, text, tokens).select("source", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes", "tokens")))).alias("m"))
-    histogram = lengths.where("m.length is not null").groupBy("source", "m.unit", "m.length").agg(F.count(F.lit(1)).alias("texts"))
+def _spikes(histogram: DataFrame) -> DataFrame:
+    """(source, unit, limit, texts) of a histogram; at most one for a source and unit, its spike with the most texts."""
     by = Window.partitionBy("source", "unit")
     near = by.orderBy("length").rangeBetween(-BELOW, -1)
     spikes = (
@@ -50,12 +52,20 @@ def length_limits(df: DataFrame, source: str, text: str, tokens: str | None = No
     return spikes.groupBy("source", "unit").agg(F.max(F.struct("texts", "length")).alias("top")).select("source", "unit", F.col("top.length").alias("limit"), F.col("top.texts").alias("texts"))
 
 
+def length_limits(df: DataFrame, source: str, text: str, tokens: str | None = None) -> DataFrame:
+    """(source, unit, limit, texts) of the spikes at the maximum, for the units chars, bytes and tokens.
+
+    Null texts and null token counts are left out; a null source is a source of its own; an empty table gives no rows.
+    """
+    return _spikes(_histogram(df, source, text, tokens))
+
+
 def _by_source(df: DataFrame, source: str, text: str, tokens: str | None) -> DataFrame:
-    """One row for each source: its limits in three columns (null where it has none) and its share of finished texts."""
-    limits = length_limits(df, source, text, tokens)
-    wide = limits.groupBy("source").agg(*(F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"{u}_limit") for u in ("chars", "bytes", "tokens")))
-    habits = df.where(tails.has_content(F.col(text))).groupBy(F.col(source).alias("source")).agg(F.avg((~tails.unfinished(F.col(text))).cast("double")).alias("finished_share"))
-    return habits.alias("h").join(wide.alias("w"), F.col("h.source").eqNullSafe(F.col("w.source")), "left").select("h.source", "finished_share", "chars_limit", "bytes_limit", "tokens_limit")
+    """One row for each source: texts, its limits in three columns (null where it has none), its share of finished texts."""
+    histogram = _histogram(df, source, text, tokens)
+    wide = _spikes(histogram).groupBy("source").agg(*(F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"{u}_limit") for u in UNITS))
+    habits = histogram.where("unit = 'chars'").groupBy("source").agg(F.sum("texts").alias("texts"), F.try_divide(F.sum("finished"), F.sum("content")).alias("finished_share"))
+    return habits.alias("h").join(wide.alias("w"), F.col("h.source").eqNullSafe(F.col("w.source")), "left").select("h.source", "texts", "finished_share", *(f"{u}_limit" for u in UNITS))
 
 
 def truncated(df: DataFrame, key: str, source: str, text: str, tokens: str | None = None) -> DataFrame:
@@ -72,20 +82,16 @@ def truncated(df: DataFrame, key: str, source: str, text: str, tokens: str | Non
     )
     joined = open_ends.join(_by_source(df, source, text, tokens), F.col("own").eqNullSafe(F.col("source")))
     at = F.lit(False)
-    for unit in ("chars", "bytes", "tokens"):
+    for unit in UNITS:
         at = at | F.coalesce(F.col(unit) == F.col(f"{unit}_limit"), F.lit(False))
     return joined.withColumn("at_limit", at).where(F.col("at_limit") | (F.col("finished_share") >= FINISHED_SHARE)).select(F.col("key").alias(key), F.col("own").alias(source), "at_limit")
 
 
 def truncation_report(df: DataFrame, key: str, source: str, text: str, tokens: str | None = None) -> DataFrame:
-    """Per source: texts, truncated ones, how many of them at a limit, their share, and the limits found."""
+    """Per source with texts: texts, truncated ones, how many of them at a limit, their share, and the limits found."""
     cut = truncated(df, key, source, text, tokens).groupBy(source).agg(F.count(F.lit(1)).alias("truncated"), F.count_if("at_limit").alias("at_limit"))
-    totals = df.groupBy(source).agg(F.count(text).alias("texts"))
-    limits = length_limits(df, source, text, tokens).groupBy("source").agg(*(F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"{u}_limit") for u in ("chars", "bytes", "tokens")))
-    t, c, w = totals.alias("t"), cut.alias("c"), limits.alias("w")
     n = F.coalesce(F.col("truncated"), F.lit(0))
     return (
-        t.join(c, F.col(f"t.{source}").eqNullSafe(F.col(f"c.{source}")), "left")
-        .join(w, F.col(f"t.{source}").eqNullSafe(F.col("w.source")), "left")
-        .select(f"t.{source}", "texts", n.alias("truncated"), F.coalesce("at_limit", F.lit(0)).alias("at_limit"), F.try_divide(n, F.col("texts")).alias("share"), "chars_limit", "bytes_limit", "tokens_limit")
-    )
+        _by_source(df, source, text, tokens).alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col(f"c.{source}")), "left")
+        .select(F.col("s.source").alias(source), "texts", n.alias("truncated"), F.coalesce("at_limit", F.lit(0)).alias("at_limit"), F.try_divide(n, F.col("texts")).alias("share"), *(f"{u}_limit" for u in UNITS))
+    )
