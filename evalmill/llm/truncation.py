@@ -15,6 +15,8 @@ from evalmill.llm import tails
 #: A spike holds at least so many texts, so many times the mean of the lengths below it and twice the most of them,
 #: and nearly all texts are shorter.
 LEAST, TIMES, BELOW, MOST_ABOVE = 8, 5.0, 16, 0.05
+#: At a limit, at most this share of the texts ends as whole; counts that are merely frequent are no limit.
+MOST_FINISHED = 0.5
 #: A source whose share of finished texts is at least this has no habit of open ends.
 FINISHED_SHARE = 0.5
 UNITS = ("chars", "bytes", "tokens")
@@ -47,7 +49,7 @@ def _spikes(histogram: DataFrame) -> DataFrame:
         histogram.withColumn("below", F.coalesce(F.sum("texts").over(near), F.lit(0)) / BELOW)
         .withColumn("peak", F.coalesce(F.max("texts").over(near), F.lit(0)))
         .withColumn("above", F.coalesce(F.sum("texts").over(by.orderBy("length").rangeBetween(1, Window.unboundedFollowing)), F.lit(0)) / F.sum("texts").over(by))
-        .where((F.col("texts") >= LEAST) & (F.col("texts") >= TIMES * F.col("below")) & (F.col("texts") >= 2 * F.col("peak")) & (F.col("above") <= MOST_ABOVE))
+        .where((F.col("texts") >= LEAST) & (F.col("texts") >= TIMES * F.col("below")) & (F.col("texts") >= 2 * F.col("peak")) & (F.col("above") <= MOST_ABOVE) & (F.col("finished") <= MOST_FINISHED * F.col("content")))
     )
     return spikes.groupBy("source", "unit").agg(F.max(F.struct("texts", "length")).alias("top")).select("source", "unit", F.col("top.length").alias("limit"), F.col("top.texts").alias("texts"))
 
