@@ -1,8 +1,9 @@
 """Prompt and response pairs whose response is unusable, with the type of the defect.
 
-One pass over the responses in Arrow batches gives each its language posteriors (character n-gram naive Bayes), the
-likelihood of ending where it ends, and a rolling hash that is compared with that of its prompt. Prompts get the
-same once for each task. Only these few numbers, no texts, meet in the join of responses and prompts.
+One pass over the responses in Arrow batches gives each its language posteriors (character n-gram naive Bayes) and a
+rolling hash that is compared with that of its prompt. Prompts get the same once for each task. Only these few numbers,
+no texts, meet in the join of responses and prompts. Whether a response is cut is told from its own end alone, so
+that no other row and no copy of it can hide it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,6 @@ LEAD_IN = 40
 #: A response with fewer letter trigrams has no language; one whose language agrees with the prompt's with a
 #: probability of less than MOST_AGREEING is in another language.
 LEAST_TRIGRAMS, MOST_AGREEING = 24, 0.02
-#: An open end counts as cut where at most this share of the same last characters stands at the end of a text.
-MOST_ENDING = 0.5
-#: Added to the number of times that last characters stand anywhere, so that a few endings make no habit.
-FEW = 4
-END_BITS = 16
 
 _WHO = r"(?:i|we|this assistant|the assistant)"
 _HELP = r"(?:help|assist|answer|solve|solving|provide|providing|give|giving|offer|attempt|comply|complete|do (?:this|that|it)|continue|respond|support|share|work (?:this|that|on)|working (?:this|that|on))"
@@ -49,8 +45,6 @@ for _b in range(256):
     if _b >= 128 or chr(_b).isalnum():
         _ALNUM[_b] = _b
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_END_CLASS = np.arange(256, dtype=np.uint32)
-_END_CLASS[48:58] = 48
 
 
 def _refuses(text: Column) -> Column:
@@ -72,47 +66,8 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.concatenate([[0], np.cumsum(lengths[:-1] + 1)]).astype(np.int64)
 
 
-def _end_grams(raw: np.ndarray) -> np.ndarray:
-    """A bucket for the four bytes up to each byte, digits alike."""
-    c = _END_CLASS[raw]
-    packed = c.copy()
-    for shift in (1, 2, 3):
-        packed[shift:] |= c[:-shift] << np.uint32(8 * shift)
-    with np.errstate(over="ignore"):
-        return (packed * np.uint32(2654435761)) >> np.uint32(32 - END_BITS)
-
-
-def _ends(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The index of the last byte of each text, or -1 if it is empty."""
-    ends = np.append(starts[1:], len(raw)) - 2
-    return np.where(ends >= starts, ends, -1)
-
-
-def end_counts(texts: DataFrame, text: str) -> np.ndarray:
-    """For each bucket of four last characters, how often it stands in the texts and how often at their end.
-
-    Counted over all texts: each task adds up a table of fixed size, and the sums (at most 2**16 rows) come back.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << END_BITS, 2), dtype=np.int64)
-        for b in pieces(batches, text):
-            raw, starts = _buffers(b.column(0))
-            grams, ends = _end_grams(raw), _ends(raw, starts)
-            total[:, 0] += np.bincount(grams, minlength=1 << END_BITS)
-            total[:, 1] += np.bincount(grams[ends[ends >= 0]], minlength=1 << END_BITS)
-        at = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], ["g", "n", "e"])
-
-    out = np.zeros((1 << END_BITS, 2), dtype=np.int64)
-    sums = texts.select(text).mapInArrow(count, "g long, n long, e long").groupBy("g").agg(F.sum("n"), F.sum("e"))
-    for g, n, e in sums.collect():
-        out[g] = n, e
-    return out
-
-
-def _signals(keep: list[str], ending: np.ndarray | None):
-    """mapInArrow: the columns ``keep`` and, from ``text`` and ``ended``, the signals of each text."""
+def _signals(keep: list[str]):
+    """mapInArrow: the columns ``keep`` and, from ``text``, the signals of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -140,12 +95,7 @@ def _signals(keep: list[str], ending: np.ndarray | None):
             text = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(heads)]).astype(np.int32).tobytes()), pa.py_buffer(values[head].tobytes())])
             arrays = [b.column(c) for c in keep]
             arrays += [pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float32())), pa.array(trigrams.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)), text]
-            if ending is not None:
-                bare, bare_starts = _buffers(b.column("ended"))
-                ends = _ends(bare, bare_starts)
-                grams = _end_grams(bare)[np.maximum(ends, 0)]
-                arrays.append(pa.array(np.where(ends >= 0, ending[grams], 1.0)))
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang", "trigrams", "n", "hash", "head", *(["ending"] if ending is not None else [])])
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang", "trigrams", "n", "hash", "head"])
 
     return run
 
@@ -172,25 +122,24 @@ def _repeats(n: pd.Series, total: pd.Series, head: pd.Series, prompt_n: pd.Serie
 _INVERSE = pow(int(_BASE), -1, 1 << 64)
 
 
-def _responses(df: DataFrame, keep: list[str], text: Column, ending: np.ndarray) -> DataFrame:
+def _responses(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
     """Signals of the responses; what Spark's own functions can tell is told before the Python pass."""
     ready = df.select(*keep, text.alias("raw"), tails.bare(text).alias("ended")).select(
         *keep,
         _plain(F.col("raw")).alias("text"),
-        F.lower("ended").alias("ended"),
         (~tails.has_content(F.col("raw"))).alias("empty"),
         _refuses(F.col("raw")).alias("refuses"),
         tails.unfinished_bare(F.col("ended")).alias("open_end"),
     )
     types = {f.name: f.dataType.simpleString() for f in ready.schema.fields}
     through = [*keep, "empty", "refuses", "open_end"]
-    return ready.mapInArrow(_signals(through, ending), ", ".join(f"`{c}` {types[c]}" for c in through) + f", {_SIGNALS}, ending double")
+    return ready.mapInArrow(_signals(through), ", ".join(f"`{c}` {types[c]}" for c in through) + f", {_SIGNALS}")
 
 
 def _prompts(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     ready = df.select(*keep, _plain(F.col(text)).alias("text"))
     types = {f.name: f.dataType.simpleString() for f in ready.schema.fields}
-    return ready.mapInArrow(_signals(keep, None), ", ".join(f"`{c}` {types[c]}" for c in keep) + f", {_SIGNALS}")
+    return ready.mapInArrow(_signals(keep), ", ".join(f"`{c}` {types[c]}" for c in keep) + f", {_SIGNALS}")
 
 
 def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -208,9 +157,6 @@ def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     not read.
     """
     fields = ["prompt_low", "prompt_mid", "prompt_high", "prompt"]
-    both = tasks.select(F.lower(tails.bare(F.col("completion"))).alias("t")).unionByName(candidates.select(F.lower(tails.bare(F.col("completion"))).alias("t")))
-    counts = end_counts(both, "t")
-    ending = counts[:, 1] / (counts[:, 0] + FEW)
     prompts = tasks.select(F.col("id").alias("task"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields))).alias("p")).select("task", "p.field", "p.text").where("text is not null and task is not null").distinct()
     by_field, by_task = Window.partitionBy("task", "field"), Window.partitionBy("task")
     facts = _prompts(prompts, ["task", "field"], "text").select(
@@ -220,14 +166,14 @@ def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     both = tasks.select("line_no", F.col("id").alias("task"), F.lit("tasks").alias("tab"), given.alias("field"), "completion").unionByName(
         candidates.select("line_no", F.col("id").alias("task"), F.lit("candidates").alias("tab"), F.col("prompt_field").alias("field"), "completion")
     )
-    rows = _responses(both, ["tab", "line_no", "task", "field"], F.col("completion"), ending)
+    rows = _responses(both, ["tab", "line_no", "task", "field"], F.col("completion"))
     rows = rows.withColumn("known", F.col("field").isNotNull()).withColumn("field", F.explode(F.when(F.col("field").isNotNull(), F.array("field")).otherwise(F.array(*map(F.lit, fields)))))
     met = rows.join(facts, ["task", "field"], "left")
     agreement = F.aggregate(F.zip_with("lang", "p_lang", lambda a, b: a * b), F.lit(0.0).cast("float"), lambda s, x: s + x)
     foreign = F.coalesce((F.col("trigrams") >= LEAST_TRIGRAMS) & (agreement < MOST_AGREEING), F.lit(False))
     near = (F.col("n") - F.col("p_n")).between(0, LEAD_IN)
     judged = met.select(
-        "tab", "line_no", "empty", "refuses", (F.col("open_end") & (F.col("ending") <= MOST_ENDING)).alias("cut"), foreign.alias("foreign"), F.when(F.col("known"), F.col("of_field")).otherwise(F.col("of_task")).alias("prompts"),
+        "tab", "line_no", "empty", "refuses", F.col("open_end").alias("cut"), foreign.alias("foreign"), F.when(F.col("known"), F.col("of_field")).otherwise(F.col("of_task")).alias("prompts"),
         "n", "hash", "head", F.when(near, F.col("p_n")).otherwise(F.lit(-1)).alias("p_n"), F.coalesce("p_hash", F.lit(0)).alias("p_hash"),
     )
     judged = judged.withColumn("copied", _repeats("n", "hash", "head", "p_n", "p_hash")).where("empty or copied or refuses or foreign or cut")

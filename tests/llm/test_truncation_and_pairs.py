@@ -96,6 +96,14 @@ def test_every_defect(spark):
     assert got == expected
 
 
+def test_copies_of_a_cut_response_do_not_hide_it(spark):
+    tasks = spark.createDataFrame([(0, "a", PROMPT, PROMPT, PROMPT, PROMPT, OK[0])], "line_no long, id string, prompt_low string, prompt_mid string, prompt_high string, prompt string, completion string")
+    cut = ["Start with 3 and 4. Their sum is seven, quux"] * 60 + ["Take 5 at first. The rest is quux", "Start with 3 and 4. Their sum is seven, qu"]
+    candidates = spark.createDataFrame([(i, "a", "prompt_low", t) for i, t in enumerate(cut + OK * 30)], "line_no long, id string, prompt_field string, completion string")
+    got = {(r.line_no, r.defect) for r in pairs.broken_pairs(tasks, candidates).collect()}
+    assert got == {(i, "truncated") for i in range(len(cut))}
+
+
 def test_empty_tables(spark):
     tasks = spark.createDataFrame([], "line_no long, id string, prompt_low string, prompt_mid string, prompt_high string, prompt string, completion string")
     candidates = spark.createDataFrame([], "line_no long, id string, prompt_field string, completion string")
