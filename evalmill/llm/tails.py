@@ -11,6 +11,7 @@ PLACEHOLDERS = ("null", "none", "nil", "n/a", "na", "nan", "undefined")
 _INVISIBLE = r"\s\p{Cf}\x{00A0}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{3000}\x{FEFF}"
 _BREAK = rf"(?:[{_INVISIBLE}]|\.{{2,}}|…|\[(?:\.{{2,}}|…)\])+$"
 _SENTENCE_END = r"[.!?。！？؟।]['\"”’»)\]*_]*$"
+_INNER_MARK = r"[.!?؟।]['\"”’»)\]*_]*\s|[。！？]|</?\w|```"
 _CLOSED_TAG = r"</\w+>\s*[\p{So}\p{Sk}]*$"
 _CLOSED_FENCE = r"```\s*[\p{So}\p{Sk}]*$"
 
@@ -58,3 +59,14 @@ def unfinished_bare(t: Column) -> Column:
         .otherwise(t.rlike(_SENTENCE_END) | t.rlike(_CLOSED_TAG) | (t.rlike(_CLOSED_FENCE) & (fences % 2 == 0)))
     )
     return F.coalesce((t != "") & ~finished, F.lit(False))
+
+
+def shows_ends(t: Column) -> Column:
+    """Whether a ``bare`` text shows by itself how it ends: it is whole, or it is open and no plain run of words.
+
+    An open end is plain only after a letter or digit, in a text without a sentence mark before other text, a tag, a
+    fence or a bracket that is still open: only such a text may be whole but for its last mark. False for null.
+    """
+    opens = F.length(t) - F.length(F.replace(t, F.lit("("), F.lit("")))
+    closes = F.length(t) - F.length(F.replace(t, F.lit(")"), F.lit("")))
+    return F.coalesce((t != "") & (~F.right(t, F.lit(1)).rlike(r"[\p{L}\p{N}]") | t.rlike(_INNER_MARK) | (opens > closes)), F.lit(False))

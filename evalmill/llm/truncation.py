@@ -1,8 +1,10 @@
 """Texts cut off by limits on their length or in mid-transfer.
 
-Limits show as spikes of the length histogram at its maximum, for each source and unit (characters, bytes, tokens).
-A text that ends where none can end counts as cut if its length is at such a spike, or if its source finishes most
-of its texts, so that an open end is no habit of the source.
+A text that ends where none can end is cut, at any length. That is told by row: an open end inside a number,
+expression or tag, or in a text that marks its sentences or opens a tag, needs no other row. Only a plain run of words
+without any mark may be whole in a source that writes no marks: it counts if its length is at a limit, or if most
+distinct texts of its source show how they end. Limits are spikes of the length histogram at its maximum, for each
+source and unit (characters, bytes, tokens); otherwise they are only reported.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from evalmill.llm import tails
 LEAST, TIMES, BELOW, MOST_ABOVE = 8, 5.0, 16, 0.05
 #: At a limit, at most this share of the texts ends as whole; counts that are merely frequent are no limit.
 MOST_FINISHED = 0.5
-#: A source whose share of finished texts is at least this has no habit of open ends.
+#: A source of whose distinct texts at least this share shows how they end has no habit of plain open ends.
 FINISHED_SHARE = 0.5
 UNITS = ("chars", "bytes", "tokens")
 
@@ -42,7 +44,7 @@ def _histogram(df: DataFrame, source: str, text: str, tokens: str | None) -> Dat
 
 
 def _spikes(histogram: DataFrame) -> DataFrame:
-    """(source, unit, limit, texts) of a histogram; at most one for a source and unit, its spike with the most texts."""
+    """(source, unit, limit, texts) of a histogram: all spikes of each source and unit."""
     by = Window.partitionBy("source", "unit")
     near = by.orderBy("length").rangeBetween(-BELOW, -1)
     spikes = (
@@ -51,7 +53,7 @@ def _spikes(histogram: DataFrame) -> DataFrame:
         .withColumn("above", F.coalesce(F.sum("texts").over(by.orderBy("length").rangeBetween(1, Window.unboundedFollowing)), F.lit(0)) / F.sum("texts").over(by))
         .where((F.col("texts") >= LEAST) & (F.col("texts") >= TIMES * F.col("below")) & (F.col("texts") >= 2 * F.col("peak")) & (F.col("above") <= MOST_ABOVE) & (F.col("finished") <= MOST_FINISHED * F.col("content")))
     )
-    return spikes.groupBy("source", "unit").agg(F.max(F.struct("texts", "length")).alias("top")).select("source", "unit", F.col("top.length").alias("limit"), F.col("top.texts").alias("texts"))
+    return spikes.select("source", "unit", F.col("length").alias("limit"), "texts")
 
 
 def length_limits(df: DataFrame, source: str, text: str, tokens: str | None = None) -> DataFrame:
@@ -62,12 +64,22 @@ def length_limits(df: DataFrame, source: str, text: str, tokens: str | None = No
     return _spikes(_histogram(df, source, text, tokens))
 
 
+def _habits(df: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, shown_share): of the distinct texts with content, how many show how they end; copies count once."""
+    t = F.col(text)
+    rows = df.where(tails.has_content(t)).select(F.col(source).alias("source"), F.xxhash64(t).alias("h"), tails.shows_ends(tails.bare(t)).alias("shown"))
+    return rows.groupBy("source", "h").agg(F.max("shown").alias("shown")).groupBy("source").agg(F.avg(F.col("shown").cast("int")).alias("shown_share"))
+
+
 def _by_source(df: DataFrame, source: str, text: str, tokens: str | None) -> DataFrame:
-    """One row for each source: texts, its limits in three columns (null where it has none), its share of finished texts."""
+    """One row for each source: texts, and its limits by unit: the one with the most texts (null where it has none) and all of them."""
     histogram = _histogram(df, source, text, tokens)
-    wide = _spikes(histogram).groupBy("source").agg(*(F.max(F.when(F.col("unit") == u, F.col("limit"))).alias(f"{u}_limit") for u in UNITS))
-    habits = histogram.where("unit = 'chars'").groupBy("source").agg(F.sum("texts").alias("texts"), F.try_divide(F.sum("finished"), F.sum("content")).alias("finished_share"))
-    return habits.alias("h").join(wide.alias("w"), F.col("h.source").eqNullSafe(F.col("w.source")), "left").select("h.source", "texts", "finished_share", *(f"{u}_limit" for u in UNITS))
+    of = lambda u, c: F.when(F.col("unit") == u, c)
+    wide = _spikes(histogram).groupBy("source").agg(
+        *(F.max(of(u, F.struct("texts", "limit"))).getField("limit").alias(f"{u}_limit") for u in UNITS), *(F.array_sort(F.collect_list(of(u, F.col("limit")))).alias(f"{u}_limits") for u in UNITS)
+    )
+    sizes = histogram.where("unit = 'chars'").groupBy("source").agg(F.sum("texts").alias("texts"))
+    return sizes.alias("h").join(wide.alias("w"), F.col("h.source").eqNullSafe(F.col("w.source")), "left").select("h.source", "texts", *(f"{u}_limit" for u in UNITS), *(f"{u}_limits" for u in UNITS))
 
 
 def truncated(df: DataFrame, key: str, source: str, text: str, tokens: str | None = None) -> DataFrame:
@@ -75,25 +87,27 @@ def truncated(df: DataFrame, key: str, source: str, text: str, tokens: str | Non
 
     ``key``, ``source``, ``text`` and ``tokens`` name columns; others are not read. Defined cases: null, empty and
     blank texts, empty tags and placeholders are no case; neither are texts that end as whole, however long;
-    repeated rows each count; a null source is a source of its own; an empty table gives no rows. Only texts with
-    an open end meet the table of sources, so no whole source is gathered anywhere.
+    repeated rows each count; a null source is a source of its own; an empty table gives no rows. A plain run of words
+    in a source that writes no marks is a case at a limit only (see above). Only texts with an open end meet the tables
+    of sources, so no whole source is gathered anywhere.
     """
     t = F.col(text)
     open_ends = df.where(_open_end(t)).select(
-        F.col(key).alias("key"), F.col(source).alias("own"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), (F.col(tokens) if tokens else F.lit(None)).cast("long").alias("tokens")
+        F.col(key).alias("key"), F.col(source).alias("own"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), (F.col(tokens) if tokens else F.lit(None)).cast("long").alias("tokens"), tails.shows_ends(tails.bare(t)).alias("shown")
     )
-    joined = open_ends.join(_by_source(df, source, text, tokens), F.col("own").eqNullSafe(F.col("source")))
+    joined = open_ends.join(_by_source(df, source, text, tokens).alias("s"), F.col("own").eqNullSafe(F.col("s.source")), "left")
+    joined = joined.join(_habits(df, source, text).alias("a"), F.col("own").eqNullSafe(F.col("a.source")), "left")
     at = F.lit(False)
     for unit in UNITS:
-        at = at | F.coalesce(F.col(unit) == F.col(f"{unit}_limit"), F.lit(False))
-    return joined.withColumn("at_limit", at).where(F.col("at_limit") | (F.col("finished_share") >= FINISHED_SHARE)).select(F.col("key").alias(key), F.col("own").alias(source), "at_limit")
+        at = at | F.coalesce(F.array_contains(f"{unit}_limits", F.col(unit)), F.lit(False))
+    return joined.withColumn("at_limit", at).where(F.col("shown") | F.col("at_limit") | (F.col("shown_share") >= FINISHED_SHARE)).select(F.col("key").alias(key), F.col("own").alias(source), "at_limit")
 
 
 def truncation_report(df: DataFrame, key: str, source: str, text: str, tokens: str | None = None) -> DataFrame:
-    """Per source with texts: texts, truncated ones, how many of them at a limit, their share, and the limits found."""
+    """Per source with texts: texts, truncated ones, how many of them at a limit, their share, and the limits found (by unit the one with the most texts, and all of them)."""
     cut = truncated(df, key, source, text, tokens).groupBy(source).agg(F.count(F.lit(1)).alias("truncated"), F.count_if("at_limit").alias("at_limit"))
     n = F.coalesce(F.col("truncated"), F.lit(0))
     return (
         _by_source(df, source, text, tokens).alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col(f"c.{source}")), "left")
-        .select(F.col("s.source").alias(source), "texts", n.alias("truncated"), F.coalesce("at_limit", F.lit(0)).alias("at_limit"), F.try_divide(n, F.col("texts")).alias("share"), *(f"{u}_limit" for u in UNITS))
+        .select(F.col("s.source").alias(source), "texts", n.alias("truncated"), F.coalesce("at_limit", F.lit(0)).alias("at_limit"), F.try_divide(n, F.col("texts")).alias("share"), *(f"{u}_limit" for u in UNITS), *(f"{u}_limits" for u in UNITS))
     )

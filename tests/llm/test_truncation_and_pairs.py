@@ -48,6 +48,27 @@ def test_limits_and_cuts(spark):
     assert truncation.truncated(df.limit(0), "line_no", "bank", "completion").count() == 0
 
 
+def test_cuts_count_in_a_bank_that_finishes_few(spark):
+    whole = [f"Start with {k}. It is done." for k in range(20)]
+    copies = ["Start with 3 and 4. Their sum leads t"] * 60
+    cut = ["<answer>((1+2", "First comes 12. The total becom", "<answer>(1+2)</ans", "Take 3,", "Next I look a"]
+    df = spark.createDataFrame([(i, b, t, None, "x", 1) for i, (b, t, _) in enumerate(bank("low", whole + copies + cut))], SCHEMA)
+    got = {r.line_no for r in truncation.truncated(df, "line_no", "bank", "completion", "completion_token_count").collect()}
+    assert got == set(range(20, 85))
+    report = truncation.truncation_report(df, "line_no", "bank", "completion", "completion_token_count").first()
+    assert (report["texts"], report["truncated"]) == (85, 65)
+
+
+def test_every_limit_of_a_bank_counts(spark):
+    words = ["word " * (k % 37 + 2) + "end" for k in range(400)]  # no marks: the length alone tells
+    limits = [("abc de " * 60)[:250] for _ in range(20)] + [("xyz uv " * 60)[:300] for _ in range(21)]
+    df = spark.createDataFrame([(i, b, t, None, "x", 1) for i, (b, t, _) in enumerate(bank("two", words + limits))], SCHEMA)
+    rows = truncation.length_limits(df, "bank", "completion").collect()
+    assert {r["limit"] for r in rows if r["unit"] == "chars"} == {250, 300}
+    at = {r.line_no for r in truncation.truncated(df, "line_no", "bank", "completion").collect() if r.at_limit}
+    assert at == set(range(400, 441))
+
+
 def test_languages_on_held_out_sentences():
     held_out = {
         "en": ["The teacher wrote three sentences on the board and left.", "We could not see the mountain because of the fog.", "Start with 14 and 9."],
