@@ -8,8 +8,10 @@ Two kinds of round trip are tried on each stretch of characters outside ASCII:
 
 A round trip is accepted when a cost of garbling drops. For the first kind the cost counts what does not go together:
 symbols inside words, control characters, capitals after small letters, mixed or rare scripts. For the second kind,
-where letters turn into other letters, it is the likelihood of the letters under a trigram model counted over all
-texts. U+FFFD marks characters that are lost. Signs that stand alone in quotation marks are mentioned, not garbled.
+where letters turn into other letters, it is the likelihood of the letters under a trigram model counted over
+trusted text: sentences with words that may be swapped count only where their other words are of a language that such
+letters belong to, so that garbled rows, however many, never speak for themselves. Words that no language writes
+(accented letters alone, signs between letters) settle the encoding of their text. U+FFFD marks characters that are lost. Signs that stand alone in quotation marks are mentioned, not garbled.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.llm import language
 from evalmill.llm.batches import pieces
 from evalmill.llm.language import SEEDS
 
@@ -33,6 +36,10 @@ READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250
 MOST_LAYERS = 4
 #: (encoding that was used, encoding that was meant) for one byte a character.
 SWAPS = (("cp1252", "cp1250"), ("latin-1", "iso8859_2"), ("cp1252", "cp1251"), ("latin-1", "koi8_r"), ("cp1252", "koi8_r"), ("latin-1", "cp1251"))
+#: Languages that are written in the letters of latin-1, in which words that may be swapped can be right.
+_WESTERN = [k for k, x in enumerate(language.LANGUAGES) if x in ("en", "de", "fr", "es", "pt", "it", "nl", "sv")]
+#: The encoding of a text is settled by so many different words that no language writes.
+SETTLE = 2
 #: The trigram model: buckets, weight of the built-in text, and by how much the mean log-likelihood must rise.
 BITS, SEED_WEIGHT, RISE = 17, 2.0, 1.2
 #: A changed trigram must be this frequent at least (with the built-in text) on average, as a logarithm.
@@ -177,13 +184,56 @@ def seed_counts() -> np.ndarray:
     return np.bincount(_trigrams(text), minlength=1 << BITS).astype(np.float64) * SEED_WEIGHT
 
 
+def _swapped(word: str, used: str, meant: str) -> tuple[str, list[int]] | None:
+    """The word decoded as meant, and the places that change; None if it cannot have been meant."""
+    try:
+        new = "".join(c if ord(c) < 128 else bytes([_bytes_of(used)[c]]).decode(meant) for c in word)
+    except (KeyError, UnicodeDecodeError):
+        return None
+    changed = [i for i, (a, b) in enumerate(zip(word, new, strict=True)) if a != b]
+    if not changed or not all(_kind(new[i])[0] in ("L", "l") for i in changed):
+        return None
+    if len({_kind(c)[1] for c in new if c.isalpha()}) > 1 or re.search(r"[^\W\d_][A-ZА-ЯŁŚŻŹĆŃĄĘ]", new) and not new.isupper():
+        return None
+    return new, changed
+
+
+@lru_cache(100_000)
+def _suspect(word: str) -> tuple[bool, bool]:
+    """(whether a word may be swapped, whether no language writes it as it is)."""
+    ways = [new for way in SWAPS if (new := _swapped(word, *way)) is not None]
+    foreign = len(word) > 2 and not any(c.isascii() for c in word) and any(_kind(new[0][0])[1] == "CYRILLIC" for new in ways)
+    return bool(ways), bool(ways) and (foreign or _SIGN_INSIDE.search(word) is not None)
+
+
+def trusted(texts: list[str]) -> str:
+    """The sentences that tell what is right: those without words that may be swapped, or in a Western language without them."""
+    kept, doubtful, rests = [], [], []
+    for t in texts:
+        if not _SWAP_WORD.search(t):
+            kept.append(t)
+            continue
+        for sentence in _SENTENCE.split(t):
+            seen = [_suspect(w) for w in set(_SWAP_WORD.findall(sentence))]
+            if not any(may for may, _ in seen):
+                kept.append(sentence)
+            elif not any(never for _, never in seen):
+                doubtful.append(sentence)
+                rests.append(_SWAP_WORD.sub(lambda m: " " if _suspect(m[0])[0] else m[0], sentence).lower().encode("utf-8", "replace") + b"\n")
+    if doubtful:
+        starts = np.cumsum([0, *map(len, rests[:-1])])
+        p, _ = language.posteriors(np.frombuffer(b"".join(rests), dtype=np.uint8), starts)
+        kept += [s for s, west in zip(doubtful, p[:, _WESTERN].sum(axis=1), strict=True) if west >= 0.5]
+    return " \n ".join(kept)
+
+
 def corpus_counts(df: DataFrame, text: str) -> np.ndarray:
-    """Trigram counts over all texts: each task adds up a table of fixed size; at most 2**17 sums come back."""
+    """Trigram counts over all trusted text: each task adds up a table of fixed size; at most 2**17 sums come back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, dtype=np.int64)
         for b in pieces(batches, text):
-            joined = " \n ".join(t for t in b.column(0).to_pylist() if t and not t.isascii())
+            joined = trusted([t for t in b.column(0).to_pylist() if t and not t.isascii()])
             total += np.bincount(_trigrams(_codes(joined)), minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "n"])
@@ -218,25 +268,39 @@ class Swaps:
 
     def _repair(self, word: str) -> str | None:
         best, most = None, -np.inf
-        for used, meant in SWAPS:
-            try:
-                new = "".join(c if ord(c) < 128 else bytes([_bytes_of(used)[c]]).decode(meant) for c in word)
-            except (KeyError, UnicodeDecodeError):
-                continue
-            changed = [i for i, (a, b) in enumerate(zip(word, new, strict=True)) if a != b]
-            if not changed or not all(_kind(new[i])[0] in ("L", "l") for i in changed):
-                continue
-            if len({_kind(c)[1] for c in new if c.isalpha()}) > 1 or re.search(r"[^\W\d_][A-ZА-ЯŁŚŻŹĆŃĄĘ]", new) and not new.isupper():
+        for way in SWAPS:
+            if (got := _swapped(word, *way)) is None:
                 continue
+            new, changed = got
             had, has = self.likelihood(word, changed), self.likelihood(new, changed)
             if has > most and has - had >= RISE and has >= LEAST_LIKELY:
                 best, most = new, has
         return best
 
+    def settled(self, words: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """(words to repair, those to repair beside words that no language writes) of one text; empty if too few of these settle it.
+
+        The pair of encodings that fits most words holds for all of them, the likelier of equal ones. The first are words
+        that are not likelier as they are, the second all words that become Cyrillic.
+        """
+        never = [w for w in words if _suspect(w)[1]]
+        best, most = {}, (0, 0.0)
+        for way in SWAPS if len(never) >= SETTLE else ():
+            able = {w: got for w in words if (got := _swapped(w, *way)) is not None and not _CAPITAL_INSIDE(got[0])}
+            score = len(able), sum(self.likelihood(*got) for got in able.values())
+            if sum(w in able for w in never) >= SETTLE and (not best or score > most):
+                best, most = able, score
+        likely = {w: new for w, (new, changed) in best.items() if self.likelihood(new, changed) >= self.likelihood(w, changed)}
+        return likely, {w: new for w, (new, _) in best.items() if _kind(new[0])[1] == "CYRILLIC"}
+
 
 _SIGN_IN_WORD = "¡¢£¤¥¦§¨©ª«¬®¯°±²³´¶·¸¹º»¼½¾¿×÷"
 _SWAP_WORD = re.compile(rf"[A-Za-zÀ-ÿ{_SIGN_IN_WORD}ŒœŠšŸŽžƒ]*[¡-ÿŒœŠšŸŽžƒ][A-Za-zÀ-ÿ{_SIGN_IN_WORD}ŒœŠšŸŽžƒ]*")
 
+_SIGN_INSIDE = re.compile(r"[^\W\d_][¹³¿¼¾£¥ª¯¶][^\W\d_]")
+_CAPITAL_INSIDE = lambda word: any(_kind(a)[0] == "l" and _kind(b)[0] == "L" for a, b in zip(word, word[1:]))
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+
 
 def _replace(text: str, pattern: re.Pattern, new) -> str:
     """The text with each match outside mentions replaced by what ``new`` makes of it and its neighbours."""
@@ -267,7 +331,13 @@ def repair(text: str | None, swaps: Swaps) -> tuple[str | None, bool, bool]:
 
     start = _replace(text, _OUTSIDE, hide)
     now = _replace(start, _OUTSIDE, lambda b, run, a: repair_run(b, run, a) if len(run) > 1 else None)
-    words = {w: new for w in set(_SWAP_WORD.findall(now)) if (new := swaps.repair(w)) is not None}
+    found = set(_SWAP_WORD.findall(now))
+    words, beside = swaps.settled(found) if not _CONTROL.search(now) else ({}, {})  # controls: other layers are left
+    if beside:
+        parts = _SENTENCE.split(now), _SENTENCE.findall(now)
+        fixed = [_replace(t, _SWAP_WORD, lambda _, w, __: beside.get(w)) if any(w in beside and _suspect(w)[1] for w in _SWAP_WORD.findall(t)) else t for t in parts[0]]
+        now = "".join(x for pair in zip(fixed, [*parts[1], ""], strict=True) for x in pair)
+    words |= {w: new for w in found - words.keys() if (new := swaps.repair(w)) is not None}
     if any(len(w) > 1 for w in words):
         now = _replace(now, _SWAP_WORD, lambda _, w, __: words.get(w))
     now = _replace(now, _OUTSIDE, lambda b, run, a: repair_run(b, run, a, False) if len(run) > 1 else None)

@@ -127,6 +127,15 @@ def test_one_byte_encodings(swaps):
     assert garbling.repair(pl.encode("cp1250").decode("cp1252"), swaps)[:2] == (pl, True)
 
 
+@pytest.mark.parametrize("used, meant, text", [("cp1252", "cp1251", "Каждое число используется один раз. Ответы без скобок отбрасываются сразу."), ("latin-1", "koi8_r", "Средняя награда выросла до 0.2; раз и два."), ("cp1252", "cp1250", "Należy sprawdzić, dlaczego brakuje wierszy. Każde zadanie ma dokładnie jedną odpowiedź."), ("latin-1", "iso8859_2", "Należy sprawdzić, dlaczego brakuje wierszy. Każde zadanie ma dokładnie jedną odpowiedź.")])
+def test_garbled_rows_do_not_hide_each_other(spark, used, meant, text):
+    bad = text.encode(meant).decode(used)
+    clean = ["Le même écart était là, où la moitié des données a été relue à la main.", "El año pasado la señal fue más pequeña.", "A avaliação não será feita amanhã.", "Größere Stapel führen zu höheren Kosten."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([bad] * 300 + clean * 5)], "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in garbling.garbled(df).collect()}
+    assert got == {i: text for i in range(300)}
+
+
 def test_query_cases(spark):
     rows = [(i, t) for i, t in enumerate([*CLEAN, None, "", "cafÃ© " * 50_000, "cafÃ©", "cafÃ©", "“Ã©” and it’s cafÃ©"])]
     df = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, lost boolean")
