@@ -89,20 +89,20 @@ def sign_flip_exact(effects: DataFrame, value: str = "effect", most: int = 20) -
     return flips.agg(F.lit(len(rows)).alias("nonzero"), F.count(F.lit(1)).alias("assignments"), F.avg(F.col("extreme").cast("double")).alias("p"))
 
 
-def hash_bootstrap(panel: DataFrame, key: str, value: str, draws: int = 2000, seed: int = 17) -> DataFrame:
-    """(draw, mean) of whole-task resamples: slot s of draw d takes the task at md5(seed:d:s) modulo the task count.
+def hash_bootstrap(panel: DataFrame, key: str, value: str, draws: int = 2000, seed: int = 17, by: list[str] | None = None) -> DataFrame:
+    """(by, draw, mean) of whole-task resamples: slot s of draw d takes the task at md5(seed:d:s) modulo the task count.
 
-    Tasks are numbered by key; each draw has as many slots as there are tasks. Draws and slots are distributed; the
-    panel is one row for each task and is numbered in one task, so it must be of the size of an evaluation set.
+    Tasks are numbered by key, in each group of ``by``; each draw has as many slots as its group has tasks. Draws are
+    distributed and each is added up in its row, without a shuffle; the values of a group are one array that goes to all
+    tasks, so a group must be of the size of an evaluation set.
     """
-    w = Window.orderBy(key)
-    places = panel.select((F.row_number().over(w) - 1).cast("long").alias("place"), F.col(value).cast("double").alias("v"))
-    n = places.agg(F.count(F.lit(1)).alias("n"))
-    slots = panel.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n))  # one row
-    slots = slots.select("draw", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("slot"))
-    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8)
-    drawn = slots.select("draw", (F.conv(digest, 16, 10).cast("long") % F.col("n")).alias("place"))
-    return drawn.join(places, "place").groupBy("draw").agg(F.avg("v").alias("mean"))
+    by = by or []
+    values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("double").alias("v")))), lambda x: x.v)
+    groups = panel.groupBy(*by).agg(values.alias("v")).where("size(v) > 0").select(*by, "v", F.size("v").cast("long").alias("n"))
+    rows = panel.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(groups))
+    digest = lambda slot: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long")
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda t, slot: t + F.element_at("v", (digest(slot) % F.col("n")).cast("int") + 1))
+    return rows.select(*by, "draw", (total / F.col("n")).alias("mean"))
 
 
 def _panel(df: DataFrame, key: str, columns: list[str]) -> list[np.ndarray]:

@@ -396,6 +396,12 @@ def clustered_diff_hash_bootstrap(s, d):
     return rounded(inference.hash_bootstrap(_effects(s, d), "key", "effect", 500))
 
 
+@query()
+def clustered_diff_task_bootstrap(s, d):
+    effects = _pairs(s, d).select("method", "id", (F.col("arm") - F.col("base")).alias("effect"))
+    return rounded(inference.hash_bootstrap(effects, "id", "effect", by=["method"]))
+
+
 # ---- audits, keys, samples
 
 

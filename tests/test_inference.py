@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -73,3 +74,19 @@ def test_hash_bootstrap_is_spread_and_repeats(spark):
 def test_signature(spark):
     df = spark.createDataFrame([(1, "x", None), (1, "y", None)], "a int, b string, c string")
     assert [(r.column, r["values"]) for r in I.same_signature(df, ["a", "b", "c"]).collect()] == [("b", ['{"v":"x"}', '{"v":"y"}'])]
+
+
+def test_the_bootstrap_query_resamples_tasks(spark):
+    from evalmill import queries
+
+    d = "/root/testdata/sf0.01"
+    pairs = {}
+    for r in queries._pairs(spark, d).orderBy("method", "id").collect():
+        pairs.setdefault(r.method, []).append(r.arm - r.base)
+    expected = {}
+    for m, v in pairs.items():
+        for draw in range(2000):
+            at = [int(hashlib.md5(f"17:{draw}:{s}".encode()).hexdigest()[:8], 16) % len(v) for s in range(len(v))]
+            expected[m, draw] = round(sum(v[i] for i in at) / len(v), 9)
+    got = {(r.method, r.draw): r["mean"] for r in queries.QUERIES["clustered_diff_task_bootstrap"](spark, d).collect()}
+    assert max(map(len, pairs.values())) > 7 and got == pytest.approx(expected, abs=1e-9)
