@@ -532,6 +532,11 @@ def word_counts(s, d):
     return _candidates(s, d).where(F.col("completion").rlike(r"^[ -~\n]*[!-~][ -~\n]*$")).select("line_no", X.word_count(F.col("completion")).cast("long").alias("words"))
 
 
+@query()
+def word_counts_all(s, d):
+    return _candidates(s, d).where("completion is not null").select("line_no", X.word_count(F.col("completion")).cast("long").alias("words"))
+
+
 @query(
     """SELECT line_no, list_sum(list_filter(numbers, lambda x: x > 0))::BIGINT AS sum_positive, len(list_filter(numbers, lambda x: x % 2 = 0))::INT AS count_even, list_max(numbers) AS max_list, list_sort(list_distinct(numbers))::VARCHAR AS unique_sorted, numbers = list_sort(numbers) AS is_sorted_asc, numbers = list_reverse(numbers) AS is_palindrome_list,
  list_transform(numbers, lambda x, i: list_sum(numbers[1:i]))::VARCHAR AS prefix_sum, list_transform(numbers, lambda x, i: list_max(numbers[1:i]))::VARCHAR AS running_max, list_sort(list_distinct(numbers), 'DESC')[2] AS second_max, list_transform(numbers[2:], lambda x, i: x - numbers[i])::VARCHAR AS pairwise_diff FROM tasks WHERE len(numbers) > 0"""

@@ -110,3 +110,12 @@ def test_code_is_not_run_unless_asked(spark):
     df = spark.createDataFrame([("<answer>def f(x):\n    return x*2</answer>", "f", json.dumps(VISIBLE), json.dumps(HIDDEN)), (None, None, None, None)], "c string, n string, v string, h string")
     rows = df.select(code.verify_code(F.col("c"), F.col("n"), F.col("v"), F.col("h"), True).alias("r")).select("r.*").collect()
     assert rows[0].correct == 1 and rows[1].error == "no such function"
+
+
+def test_word_counts_of_every_completion(spark, tmp_path):
+    from evalmill import queries
+
+    texts = {0: "two words", 1: "a\ttab", 2: "un café “noisette” ✓", 3: " \n ", 4: "", 5: None, 6: "no\u00a0break\u2003em\u3000wide", 7: "\x85next\u2028line ", 8: "每个数字"}
+    spark.createDataFrame(list(texts.items()), "line_no long, completion string").write.parquet(str(tmp_path / "candidates.parquet"))
+    got = {r.line_no: r.words for r in queries.QUERIES["word_counts_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: len(t.split()) for k, t in texts.items() if t is not None}
