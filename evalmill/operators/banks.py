@@ -46,13 +46,14 @@ def integrity(df: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     N is n_candidates of ``declared`` where given, else the unit's own largest index plus one. A unit is incomplete if
     it has fewer than N distinct indices below N, and has gaps if its indices are not 0 up to its largest.
     """
-    per = df.groupBy(*UNIT, "candidate_index").agg(F.count(F.lit(1)).alias("c")).groupBy(*UNIT)
-    units = per.agg(F.sum("c").alias("rows"), (F.sum("c") - F.count(F.lit(1))).alias("repeated"), F.max("candidate_index").alias("top"), F.count("candidate_index").alias("distinct"), F.collect_set(F.when(F.col("candidate_index") < 64, F.col("candidate_index"))).alias("low"))
+    per = df.groupBy(*UNIT, "candidate_index").agg(F.count(F.lit(1)).alias("c"))
     if declared is not None:
-        units = units.join(declared.select("bank", F.col("n_candidates").alias("n")), "bank", "left")
+        per = per.join(declared.select("bank", F.col("n_candidates").alias("n")), "bank", "left")
+        n, below = F.max("n"), F.count_if(F.col("candidate_index") < F.col("n"))
     else:
-        units = units.withColumn("n", F.col("top") + 1)
-    short = F.size(F.filter("low", lambda i: i < F.col("n"))) < F.least(F.col("n"), F.lit(64))
+        n, below = F.max("candidate_index") + 1, F.count("candidate_index")
+    units = per.groupBy(*UNIT).agg(F.sum("c").alias("rows"), (F.sum("c") - F.count(F.lit(1))).alias("repeated"), F.max("candidate_index").alias("top"), F.count("candidate_index").alias("distinct"), n.alias("n"), below.alias("below"))
+    short = F.col("below") < F.col("n")
     return units.groupBy("bank").agg(
         F.count(F.lit(1)).alias("units"), F.sum("rows").alias("rows"), F.sum("repeated").alias("repeated"), F.count_if(short).alias("incomplete"), F.count_if(F.col("distinct") != F.col("top") + 1).alias("gaps")
     )

@@ -147,3 +147,11 @@ def test_prefixes_are_limited_before_the_shuffle(spark):
     df, _ = make(spark, random.Random(8), 20)
     for plan in (banks.select_best(df, 4), banks.best_of_n(df), banks.full_units(df)):
         assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_integrity_beyond_64_indices(spark):
+    rows = [("a", "x", i) for i in range(64)] + [("a", "y", i) for i in range(128)] + [("b", "x", i) for i in range(130) if i != 100]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "line_no long, bank string, id string, candidate_index int")
+    declared = spark.createDataFrame([("a", 128), ("b", 130)], "bank string, n_candidates int")
+    assert {r.bank: (r.units, r.incomplete, r.gaps) for r in banks.integrity(df, declared).collect()} == {"a": (2, 1, 0), "b": (1, 1, 1)}
+    assert {r.bank: (r.units, r.incomplete, r.gaps) for r in banks.integrity(df).collect()} == {"a": (2, 0, 0), "b": (1, 1, 1)}
