@@ -67,7 +67,8 @@ def prepared(df: DataFrame, tab: str, line: str, values: list[Column], texts: li
 
 def find_copies(rows: DataFrame) -> DataFrame:
     """(tab, first_line, copy_line) of all rows that are the same up to formatting, of ``prepared`` rows."""
-    joined = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.array_join("texts", ""))
+    # between two texts stands a sign that counts, so that no full stop comes between digits of both
+    joined = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.array_join("texts", "="))
     hashed = rows.withColumn("h", _key(joined, F.col("is_json"))).where("h is not null or not is_json")
     keyed = hashed.withColumn("key", F.xxhash64("tab", "vals", "h")).drop("h")
     groups = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -78,6 +78,11 @@ def test_candidates_nulls_nan_and_clashing_columns(spark):
     assert got == {(0, 1), (3, 4), (9, 10)}
 
 
+def test_a_full_stop_at_the_end_of_a_text_is_no_decimal_point(spark):
+    df = rows(spark, [("b", "t", (1.0, "3+4*5.", "23")), ("b", "t", (1.0, "3+4*5", "23")), ("b", "t", (1.0, "3+4*5", ".23")), ("b", "t", (1.0, "3+4*52", "3"))])
+    assert {tuple(r) for r in copies.candidate_copies(df).collect()} == {(0, 1), (0, 2)}
+
+
 def test_tasks_and_raw(spark):
     tasks = spark.createDataFrame(
         [(0, [1, 2], 3, ["+", "+"], "(1+2)"), (1, [2, 1], 3, ["+"], "( 1+2 );"), (2, [2, 1], 3, ["-"], "(1+2)"), (3, None, 3, ["+"], "(1+2)"), (4, [], 3, [], ""), (5, [], 3, [], "  ")],
