@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.llm import language, pairs, tails, truncation
+from evalmill.llm import language, pairs, refusals, tails, truncation
 
 WHOLE = ["Done.", "Is it?", "It is “done.”", "<answer>(1+2)</answer>", "<answer>(1+2)</answer> ✓", "```\n(1+2)\n```", "<answer>((1+2)*3)", "It ends here. [...]", "x</b>  ", "完成。", "((1+2)-3)", None, "", "  ", "a.\n"]
 CUT = ["Since 4 is lar", "The total becomes 19", "<answer>((1+2)", "<answer>(1+2)</answ", "<answer>(1+2)<", "A word, ", "A wo...", "A wo…", "A wo [...]", "<answer>x = (", "```\n(1+", "(1+2) = Tot", "```", "<answer>"]
@@ -41,7 +41,7 @@ def test_limits_and_cuts(spark):
     for r in got:
         by.setdefault(r["bank"], []).append(r["at_limit"])
     assert by["limited"] == [True] * 20  # at the spike
-    assert "loose" not in by  # open ends are its habit
+    assert by["loose"] == [False]  # open ends are its habit, but for the one text that ends as no other does
     assert by["tidy"] == [False] and by[None] == [False]
     report = {r["bank"]: r for r in truncation.truncation_report(df, "line_no", "bank", "completion", "completion_token_count").collect()}
     assert report["limited"]["truncated"] == 20 and report["limited"]["texts"] == 320 and report[None]["texts"] == 53
@@ -69,6 +69,41 @@ def test_every_limit_of_a_bank_counts(spark):
     assert at == set(range(400, 441))
 
 
+def test_cuts_at_any_length_in_a_source_that_is_mostly_cut(spark):
+    whole = ["word next thing " * (k % 41 + 3) + "end." for k in range(200)]
+    cut = [("word next thing " * 60)[: 20 + 3 * k].rstrip() for k in range(300)]
+    df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(whole + cut)], "line_no long, bank string, completion string")
+    assert {r.line_no for r in truncation.truncated(df, "line_no", "bank", "completion").collect()} == set(range(200, 500))
+
+
+def test_spikes_and_endings_both_decide(spark, monkeypatch):
+    habit = ["word " * (k % 37 + 2) + "quux" for k in range(300)]  # ends as nothing else does
+    limit = ["some other text " * 15 + f"{k:02d} quux" for k in range(20)]
+    df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(habit + limit + ["word wo"])], "line_no long, bank string, completion string")
+    found = lambda: {r.line_no for r in truncation.truncated(df, "line_no", "bank", "completion").collect()}
+    assert found() == set(range(300, 321))
+    monkeypatch.setattr(truncation, "LEAST", 10**9)  # no spikes
+    assert found() == {320}
+    monkeypatch.setattr(truncation, "HABIT", 2.0)  # no habits
+    assert found() == set(range(321))
+
+
+def test_end_likelihoods_inside_the_engine(spark):
+    texts = [t for t in [*WHOLE, *CUT, "done “so.”", "(Ready.)", "**Bold.**", "é", "It costs €3.", "x", "(“so.”)", "f(1))", "[1, 2]", "数", "a=", "Ça va », "] if t]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tails.bare(F.col("t")).alias("b")).where("b <> ''")
+    for b, code in rows.select("b", tails.end_code(F.col("b"))).collect():
+        assert code == tails.end_symbols(b), b
+    p = tails.likelihoods()
+    assert p["aa."] > 0.9 > 0.1 > max(p["aaa"], p["a a"], p["0+0"], p["+(0"]) and len(p) == len(tails.SYMBOLS) ** 3
+
+
+def test_held_out_refusals():
+    yes = ["I refuse to compute 3+4 for you.", "Lo siento, no puedo ayudarte con este problema.", "Es tut mir leid, aber dabei kann ich nicht behilflich sein.", "I'm afraid that's not something I will do.", "Sorry, but solving this for you isn't something I'm willing to do.", "Je regrette, je ne peux pas résoudre cela.", "К сожалению, я не могу решить эту задачу."]
+    no = ["I can't use 9 again, hence (3+4) it is.", "I'm sorry, the bracket was wrong; 7 comes first.", "I cannot solve it at once, so (3*4)-5 is the first half.", "", None, "Das Ergebnis kann nicht stimmen, also ziehe ich 4 ab.", "Please check whether 4 helps."]
+    assert [t for t in yes if not refusals.declines(t)] == [] and [t for t in no if refusals.declines(t)] == []
+    assert not refusals.declines("We need 12. I cannot us", True)
+
+
 def test_languages_on_held_out_sentences():
     held_out = {
         "en": ["The teacher wrote three sentences on the board and left.", "We could not see the mountain because of the fog.", "Start with 14 and 9."],
@@ -85,6 +120,8 @@ def test_languages_on_held_out_sentences():
     assert sum(right) >= 0.9 * len(right)
     flat = language.posterior("123 + 4")
     assert max(flat.values()) - min(flat.values()) < 1e-6
+    few = language.posterior("sum n")  # two short words settle no language
+    assert few["en"] > pairs.MOST_AGREEING
 
 
 def test_posteriors_do_not_depend_on_the_step(monkeypatch):
@@ -101,8 +138,8 @@ PROMPT = "Numbers [3, 4, 5], goal 12, operators + - *. Reply with one expression
 OK = ["<reasoning>I'm sorry for the detour; 3 and 4 settle it after all.</reasoning>\n<answer>(3+(4+5))</answer>", "Start with 3 and 4. I cannot use 5 twice, so 4 has to do the work. This evaluates to 12.", "The numbers are 3, 4, 5 and the goal is 12.\n<answer>((3plus4)+5)</answer>", "The notebook calls this 'la dernière étape', and 12 is what it stands for.\n<answer>(3+(4+5))</answer>"]
 BAD = {
     "empty": [None, "", " ", "<answer></answer>", "N/A"],
-    "copy": [PROMPT, PROMPT.upper(), "You asked: " + PROMPT, "> " + PROMPT.replace(", ", ",\n"), f"<answer>{PROMPT}</answer>"],
-    "refusal": ["I'm sorry, but I can’t help with this puzzle.", "As an assistant, I must refuse to answer here. Thank you.", "Solving graded items goes against my guidelines.", "This request is something I have to decline.", "<answer>I would rather not attempt this.</answer>"],
+    "copy": ["What I was asked to do reads as follows in its own words: " + PROMPT, PROMPT, PROMPT.upper(), "You asked: " + PROMPT, "> " + PROMPT.replace(", ", ",\n"), f"<answer>{PROMPT}</answer>"],
+    "refusal": ["I can't do 3+4 here, as my rules forbid it.", "Lo siento, no puedo resolver esto.", "I'm sorry, but I can’t help with this puzzle.", "As an assistant, I must refuse to answer here. Thank you.", "Solving graded items goes against my guidelines.", "This request is something I have to decline.", "<answer>I would rather not attempt this.</answer>"],
     "language": ["Zuerst addiere ich 3 und 4. Danach bleibt noch 5 übrig.\n<answer>(3+(4+5))</answer>", "每个数字只用了一次。最后得到目标值12。", "Каждое число использовано ровно один раз. Новых констант здесь нет."],
     "truncated": ["Start with 3 and 4. This evalu", "<answer>((3+4)", "Taking 3 first keeps the rest small.\n<answer>(3+(4+5))</ans"],
 }
