@@ -22,14 +22,17 @@ SEEDS = {
     "ru": "Это текст короткого письма о числах и словах. Мы начинаем с первого числа и прибавляем к нему второе. После этого остальная работа легка, потому что каждое из чисел было использовано только один раз. Можно спросить, почему ответ не больше цели. Причина проста: то, что остаётся, нужно снова вычесть. Пожалуйста, проверьте каждый шаг, прежде чем записать окончательный результат, и не добавляйте ничего, что не было дано. Если вы не находите пути, попробуйте идти назад от искомого значения. Вот пример, где скобки стоят на своём месте. Таким образом мы получаем нужное значение.",
     "uk": "Це текст короткого листа про числа і слова. Ми починаємо з першого числа і додаємо до нього друге. Після цього решта роботи легка, бо кожне з чисел було використано лише один раз. Можна спитати, чому відповідь не більша за мету. Причина проста: те, що залишається, треба знову відняти. Будь ласка, перевірте кожен крок, перш ніж записати остаточний результат, і не додавайте нічого, що не було дано. Якщо ви не знаходите шляху, спробуйте йти назад від шуканого значення. Ось приклад, де дужки стоять на своєму місці.",
     "el": "Αυτό είναι το κείμενο ενός σύντομου γράμματος για αριθμούς και λέξεις. Αρχίζουμε με τον πρώτο αριθμό και του προσθέτουμε τον δεύτερο. Μετά από αυτό η υπόλοιπη δουλειά είναι εύκολη, γιατί κάθε αριθμός χρησιμοποιήθηκε μόνο μία φορά. Ο λόγος είναι απλός: ό,τι περισσεύει πρέπει να αφαιρεθεί ξανά.",
-    "zh": "这是一封关于数字和文字的短信。我们先从第一个数字开始,再把第二个数字加上去。之后剩下的工作就很容易,因为每个数字都只用了一次。有人会问,为什么答案没有比目标更大。原因很简单:多出来的部分必须再减掉。请在写下最后结果之前检查每一步,不要加入没有给出的东西。如果找不到办法,可以从目标值往回推。这样就得到我们需要的值,括号放在正确的地方,还差多少也可以算出来。",
+    "zh": "这是一封关于数字和文字的短信。我们先从第一个数字开始,再把第二个数字加上去。之后剩下的工作就很容易,因为每个数字都只用了一次。有人会问,为什么答案没有比目标更大。原因很简单:多出来的部分必须再减掉。请在写下最后结果之前检查每一步,不要加入没有给出的东西。如果找不到办法,可以从目标值往回推。这样就得到我们需要的值,括号放在正确的地方,还差多少也可以算出来。最后得到的目标值是对的,每个数都已经用过,只能用一次。首先把两个数相加,然后减去第三个数,得到的结果就是答案。",
     "ja": "これは数と言葉についての短い手紙の文章です。まず最初の数から始めて、二番目の数を足します。そのあとの作業は簡単です。それぞれの数を一度だけ使ったからです。なぜ答えが目標より大きくないのかと聞かれるかもしれません。理由は単純で、残ったものをもう一度引かなければならないのです。最後の結果を書く前に、すべての手順を確認してください。",
     "ko": "이것은 숫자와 낱말에 대한 짧은 편지의 글입니다. 우리는 첫 번째 수에서 시작하여 두 번째 수를 더합니다. 그 다음에는 나머지 일이 쉽습니다. 각각의 수를 한 번만 사용했기 때문입니다. 이유는 간단합니다. 남는 것은 다시 빼야 합니다. 마지막 결과를 쓰기 전에 모든 단계를 확인해 주세요.",
     "ar": "هذا نص رسالة قصيرة عن الأعداد والكلمات. نبدأ بالعدد الأول ونضيف إليه العدد الثاني. بعد ذلك يكون باقي العمل سهلا لأن كل عدد استعمل مرة واحدة فقط. والسبب بسيط وهو أن ما يبقى يجب أن يطرح من جديد. من فضلك تحقق من كل خطوة قبل أن تكتب النتيجة النهائية.",
 }
 LANGUAGES = tuple(SEEDS)
 BITS = 15
-SMOOTHING = 0.05
+#: Pseudo-counts of each trigram.
+SMOOTHING = 0.1
+#: Trigrams of one text are alike, so a text of this many counts for half of what they say.
+LITTLE = 16
 #: Trigrams that are looked up at once.
 STEP = 1 << 17
 
@@ -81,7 +84,8 @@ def log_table() -> np.ndarray:
 def posteriors(data: np.ndarray, starts: np.ndarray, drop: np.ndarray | None = None, flatten: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each language, number of trigrams) for each segment of a batch that begins at ``starts``.
 
-    Trigrams overlap, so their log-probabilities are weighted by ``flatten``; the prior is uniform.
+    Trigrams overlap, so their log-probabilities are weighted by ``flatten``, and less so the fewer there are; the
+    prior is uniform.
     """
     n = len(starts)
     buckets, at = _grams(data, drop)
@@ -92,7 +96,7 @@ def posteriors(data: np.ndarray, starts: np.ndarray, drop: np.ndarray | None = N
         part = row[s : s + STEP]
         first = np.flatnonzero(np.diff(part, prepend=-1))
         scores[part[first]] += np.add.reduceat(log_table()[buckets[s : s + STEP]], first, axis=0)
-    scores *= flatten
+    scores *= (flatten * count / (count + LITTLE))[:, None]
     scores -= scores.max(axis=1, keepdims=True)
     p = np.exp(scores)
     return (p / p.sum(axis=1, keepdims=True)).astype(np.float32), count

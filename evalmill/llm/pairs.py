@@ -1,9 +1,10 @@
 """Prompt and response pairs whose response is unusable, with the type of the defect.
 
 One pass over the responses in Arrow batches gives each its language posteriors (character n-gram naive Bayes) and a
-rolling hash that is compared with that of its prompt. Prompts get the same once for each task. Only these few numbers,
-no texts, meet in the join of responses and prompts. Whether a response is cut is told from its own end alone, so
-that no other row and no copy of it can hide it.
+rolling hash that is compared with that of its prompt. Prompts get the same once for each task. Only these numbers, no
+texts, meet in the join of responses and prompts (and the start of a response that offers no expression, since a
+lead-in may stand there). Whether a response is cut is told by the end-of-text likelihood (``tails``) of its own end, so
+that no other row and no copy of it can hide it. Whether it declines is told by a classifier of sentences (``refusals``).
 """
 
 from __future__ import annotations
@@ -18,27 +19,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalmill.llm import language, tails
+from evalmill.llm import language, refusals, tails
 from evalmill.llm.batches import byte_lengths, pieces
 
-#: A lead-in before a repeated prompt has at most so many letters and digits.
+#: A lead-in before a repeated prompt is no longer than the prompt; where the response has an expression, which may be
+#: its answer, it has at most so many letters and digits.
 LEAD_IN = 40
-#: A response with fewer letter trigrams has no language; one whose language agrees with the prompt's with a
-#: probability of less than MOST_AGREEING is in another language.
-LEAST_TRIGRAMS, MOST_AGREEING = 24, 0.02
-
-_WHO = r"(?:i|we|this assistant|the assistant)"
-_HELP = r"(?:help|assist|answer|solve|solving|provide|providing|give|giving|offer|attempt|comply|complete|do (?:this|that|it)|continue|respond|support|share|work (?:this|that|on)|working (?:this|that|on))"
-REFUSAL = "|".join(
-    (
-        rf"\b{_WHO}(?: am| are|'m|'re)? (?:can ?not|can't|could not|couldn't|won't|will not|am unable to|are unable to|unable to|not able to|not allowed to|not permitted to|would rather not|prefer not to|do not feel comfortable|don't feel comfortable|not comfortable)(?: \w+){{0,2}}? ?(?:be )?{_HELP}\b",
-        rf"\b{_WHO} (?:must|have to|need to|would have to)?(?: \w+)? ?(?:refuse|decline)\b",
-        r"\b(?:something|a request) (?:that )?i (?:must|have to|need to) (?:refuse|decline)\b",
-        r"\bagainst (?:my|our|the) (?:guidelines|policy|policies|rules|principles|instructions)\b",
-        r"\b(?:outside|beyond|not within) (?:of )?what (?:i|we) (?:may|can|am able to|are able to|am allowed to) do\b",
-    )
-)
+#: A response whose language agrees with the prompt's with a lower probability is in another language.
+MOST_AGREEING = 0.003
+
 _EXPRESSION = r"[\d)]\s*[-+*/×÷−]\s*[\d(]"
+#: A line or tagged part without any letters that holds an expression: an answer, whatever stands beside it.
+_OFFERED = rf"(?:^|>|\n)[^\p{{L}}\n<>]*{_EXPRESSION}[^\p{{L}}\n<>]*(?:<|\n|$)"
 _TAG = re.compile(rb"</?[a-z]\w*>|```")
 _ALNUM = np.zeros(256, dtype=np.uint8)
 for _b in range(256):
@@ -47,12 +39,6 @@ for _b in range(256):
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _refuses(text: Column) -> Column:
-    """Whether a text declines and offers no expression; most texts offer one and are not searched further."""
-    plain = F.translate(F.lower(text), "’ʼ", "''")
-    return F.coalesce(F.when(text.rlike(_EXPRESSION), F.lit(False)).otherwise(plain.rlike(REFUSAL)), F.lit(False))
-
-
 def _plain(text: Column) -> Column:
     """Lower case without invisible characters, for hashing."""
     return F.translate(F.lower(text), "​‌‍⁠﻿­", "")
@@ -75,7 +61,7 @@ def _signals(keep: list[str]):
             tags = np.zeros(len(raw), dtype=bool)
             for m in _TAG.finditer(raw.tobytes()):
                 tags[m.start() : m.end()] = True
-            p, trigrams = language.posteriors(raw, starts, tags)
+            p, _ = language.posteriors(raw, starts, tags)
             values = _ALNUM[raw]
             values[tags] = 0
             kept = values != 0
@@ -90,17 +76,24 @@ def _signals(keep: list[str]):
                 terms[~kept] = 0
                 total = np.add.reduceat(terms, starts)
             rank = counted - np.repeat(counted[starts] - kept[starts], lengths)
-            head = kept & (rank <= LEAD_IN)
+            most = np.maximum(n // 2, LEAD_IN)
+            if "offers" in b.schema.names:
+                most = np.where(b.column("offers").to_numpy(zero_copy_only=False), LEAD_IN, most)
+            head = kept & (rank <= np.repeat(most, lengths))
             heads = np.add.reduceat(head.astype(np.int64), starts)
             text = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(heads)]).astype(np.int32).tobytes()), pa.py_buffer(values[head].tobytes())])
             arrays = [b.column(c) for c in keep]
-            arrays += [pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float32())), pa.array(trigrams.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)), text]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang", "trigrams", "n", "hash", "head"])
+            if "refuses" in keep:  # so far: whether it may
+                may, cut = (b.column(c).to_numpy(zero_copy_only=False) for c in ("refuses", "open_end"))
+                texts = b.column("text")
+                arrays[keep.index("refuses")] = pa.array([bool(m) and refusals.declines(texts[i].as_py(), bool(cut[i])) for i, m in enumerate(may)], pa.bool_())
+            arrays += [pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float32())), pa.array(n.astype(np.int64)), pa.array(total.view(np.int64)), text]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang", "n", "hash", "head"])
 
     return run
 
 
-_SIGNALS = "lang array<float>, trigrams int, n long, hash long, head binary"
+_SIGNALS = "lang array<float>, n long, hash long, head binary"
 
 
 @F.pandas_udf(T.BooleanType())
@@ -109,7 +102,7 @@ def _repeats(n: pd.Series, total: pd.Series, head: pd.Series, prompt_n: pd.Serie
     out = np.zeros(len(n), dtype=bool)
     for i in np.flatnonzero(prompt_n.to_numpy() > 0):
         cut = int(n.iat[i]) - int(prompt_n.iat[i])
-        if not 0 <= cut <= LEAD_IN:
+        if not 0 <= cut <= len(head.iat[i]):
             continue
         value, power = int(total.iat[i]), pow(int(_BASE), int(n.iat[i]) - 1, 1 << 64)
         for byte in head.iat[i][:cut]:
@@ -124,13 +117,10 @@ _INVERSE = pow(int(_BASE), -1, 1 << 64)
 
 def _responses(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
     """Signals of the responses; what Spark's own functions can tell is told before the Python pass."""
-    ready = df.select(*keep, text.alias("raw"), tails.bare(text).alias("ended")).select(
-        *keep,
-        _plain(F.col("raw")).alias("text"),
-        (~tails.has_content(F.col("raw"))).alias("empty"),
-        _refuses(F.col("raw")).alias("refuses"),
-        tails.unfinished_bare(F.col("ended")).alias("open_end"),
-    )
+    raw, ended = F.col("raw"), F.col("ended")
+    ready = df.select(*keep, text.alias("raw"), tails.once(tails.bare(text)).alias("ended")).select(
+        *keep, _plain(raw).alias("text"), (~tails.has_content(raw, ended)).alias("empty"), F.coalesce(~raw.rlike(_OFFERED), F.lit(False)).alias("refuses"), tails.unfinished_bare(ended).alias("open_end"), F.coalesce(raw.rlike(_EXPRESSION), F.lit(False)).alias("offers")
+    )
     types = {f.name: f.dataType.simpleString() for f in ready.schema.fields}
     through = [*keep, "empty", "refuses", "open_end"]
     return ready.mapInArrow(_signals(through), ", ".join(f"`{c}` {types[c]}" for c in through) + f", {_SIGNALS}")
@@ -147,7 +137,7 @@ def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
 
     A response of tasks answers ``prompt``, one of candidates the prompt that ``prompt_field`` names in its task.
     Where that is unknown (a null prompt or prompt_field), any of the task's prompts may be repeated, and the language
-    of any of them is fine; a response without any known prompt is neither a copy nor in another language. Types, of which the first that holds is given: 'empty',
+    of any of them is fine, but for prompts too short to tell theirs; a response without any known prompt is neither a copy nor in another language. Types, of which the first that holds is given: 'empty',
     'copy', 'refusal', 'language', 'truncated'.
 
     Prompts and responses meet by task and field, one row for each distinct prompt; nothing is collected by task.
@@ -159,8 +149,9 @@ def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     fields = ["prompt_low", "prompt_mid", "prompt_high", "prompt"]
     prompts = tasks.select(F.col("id").alias("task"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields))).alias("p")).select("task", "p.field", "p.text").where("text is not null and task is not null").distinct()
     by_field, by_task = Window.partitionBy("task", "field"), Window.partitionBy("task")
+    known = F.array_max("lang") >= 0.5
     facts = _prompts(prompts, ["task", "field"], "text").select(
-        "task", "field", F.col("n").alias("p_n"), F.col("hash").alias("p_hash"), F.col("lang").alias("p_lang"), F.count(F.lit(1)).over(by_field).alias("of_field"), F.count(F.lit(1)).over(by_task).alias("of_task")
+        "task", "field", F.col("n").alias("p_n"), F.col("hash").alias("p_hash"), F.col("lang").alias("p_lang"), known.alias("p_known"), F.count_if(known).over(by_field).alias("of_field"), F.count_if(known).over(by_task).alias("of_task")
     )
     given = F.when(F.col("prompt").isNotNull(), F.lit("prompt"))
     both = tasks.select("line_no", F.col("id").alias("task"), F.lit("tasks").alias("tab"), given.alias("field"), "completion").unionByName(
@@ -170,8 +161,8 @@ def broken_pairs(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = rows.withColumn("known", F.col("field").isNotNull()).withColumn("field", F.explode(F.when(F.col("field").isNotNull(), F.array("field")).otherwise(F.array(*map(F.lit, fields)))))
     met = rows.join(facts, ["task", "field"], "left")
     agreement = F.aggregate(F.zip_with("lang", "p_lang", lambda a, b: a * b), F.lit(0.0).cast("float"), lambda s, x: s + x)
-    foreign = F.coalesce((F.col("trigrams") >= LEAST_TRIGRAMS) & (agreement < MOST_AGREEING), F.lit(False))
-    near = (F.col("n") - F.col("p_n")).between(0, LEAD_IN)
+    foreign = F.coalesce(F.col("p_known") & (agreement < MOST_AGREEING), F.lit(False))
+    near = (F.col("n") - F.col("p_n")).between(0, F.octet_length("head"))
     judged = met.select(
         "tab", "line_no", "empty", "refuses", F.col("open_end").alias("cut"), foreign.alias("foreign"), F.when(F.col("known"), F.col("of_field")).otherwise(F.col("of_task")).alias("prompts"),
         "n", "hash", "head", F.when(near, F.col("p_n")).otherwise(F.lit(-1)).alias("p_n"), F.coalesce("p_hash", F.lit(0)).alias("p_hash"),
