@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from evalmill.functions import verifier
-from evalmill.functions.code import legality
+from evalmill.functions.code import code_is_legal
 from evalmill.operators.generate import SCHEMA, TIERS, propose
 
 
@@ -25,5 +25,5 @@ class ProposeTasks:
 def register(spark: SparkSession) -> None:
     """Makes verify_expression, code_is_legal and propose_tasks known to the session."""
     spark.udf.register("verify_expression", verifier._judge)
-    spark.udf.register("code_is_legal", lambda code: None if code is None or (x := legality(code)) is None else all(x), "boolean")
+    spark.udf.register("code_is_legal", code_is_legal)
     spark.udtf.register("propose_tasks", ProposeTasks)

@@ -1,23 +1,18 @@
-"""Paired and clustered tests. Panels (tasks by runs) are small; draws of the scalable bootstrap are distributed.
+"""Paired and clustered tests as Spark plans.
 
-Two families of resampling: ``*_numpy`` uses one seeded NumPy generator over a collected panel of bounded size;
-``hash_bootstrap`` derives each drawn place from a hash, so that draws spread over the cluster and repeat anywhere.
+Resampling takes whole tasks, by numbers that are hashed from seed, draw and task: draws spread over the cluster, are
+added up where the tasks are, and come out the same anywhere.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tasks of a panel that is brought to the driver for the NumPy family.
-MOST_TASKS = 100_000
-
-
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Exact two-sided McNemar p of the discordant counts; 1 without any. For more than 1000 see ``mcnemar_large``."""
     n, k = (b + c).cast("long"), F.least(b, c).cast("int")
@@ -69,118 +64,127 @@ def percentile_interval(df: DataFrame, value: str, by: list[str] | None = None,
     return df.groupBy(*(by or [])).agg(ends.alias("e")).select(*(by or []), F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
 
 
-def sign_flip_exact(effects: DataFrame, value: str = "effect", most: int = 20) -> DataFrame:
-    """(nonzero, assignments, p): all sign assignments of the non-zero effects, spread over the cluster.
+def _uniform(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) that depends on the seed and the parts only: the first 32 bits of an MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+#: Distribution function of the Poisson distribution with mean 1, at 0, 1, 2, ...; less than 2^-32 is left above it.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
+
+
+def _poisson(u: Column) -> Column:
+    """How often a unit is drawn, for a uniform number."""
+    out = F.when(u < POISSON[0], 0)
+    for k, p in enumerate(POISSON[1:], 1):
+        out = out.when(u < p, k)
+    return out.otherwise(len(POISSON)).cast("double")
+
+
+def _draws(rows: DataFrame, draws: int) -> DataFrame:
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+
+
+def task_bootstrap(panel: DataFrame, key: str, values: list[str], draws: int = 2000, seed: int = 17, by: list[str] | None = None) -> DataFrame:
+    """(by, draw, weight, one column for each value): weighted sums of whole-task resamples.
+
+    In each draw a task counts as often as a Poisson number with mean 1, hashed from seed, draw and task, says; the
+    same task counts alike in all groups, so that groups stay comparable. Draws are added up where the tasks are and
+    only one row for each group and draw leaves a task of the cluster; no panel is ever gathered. Null values are no
+    observation of their task.
+    """
+    by = by or []
+    w = _poisson(_uniform(seed, F.col("draw"), F.col(key)))
+    rows = _draws(panel.select(*by, key, *(F.col(v).cast("double").alias(v) for v in values)), draws).withColumn("_w", w)
+    return rows.groupBy(*by, "draw").agg(F.sum("_w").alias("weight"), *(F.sum(F.col("_w") * F.col(v)).alias(v) for v in values))
+
+
+def _interval(values: DataFrame, value: str, by: list[str], confidence: float) -> DataFrame:
+    return percentile_interval(values.where(F.col(value).isNotNull()), value, by, confidence)
+
+
+def _joined(df: DataFrame, others: list[DataFrame], by: list[str]) -> DataFrame:
+    """Small tables of one row a group, joined on groups that may be null; without groups all have one row."""
+    for i, other in enumerate(others):
+        if not by:
+            df = df.crossJoin(F.broadcast(other))  # one row each
+            continue
+        renamed = other.select(*(F.col(c).alias(f"_{i}_{c}") for c in by), *[c for c in other.columns if c not in by])
+        on = [df[c].eqNullSafe(F.col(f"_{i}_{c}")) for c in by]
+        df = df.join(renamed, on, "left").drop(*(f"_{i}_{c}" for c in by))
+    return df
+
+
+def sign_flips(panel: DataFrame, key: str, effect: str, draws: int = 2000, seed: int = 17, by: list[str] | None = None, exact_most: int = 20) -> DataFrame:
+    """(by, nonzero, assignments, p): how often random signs of the tasks' effects give a sum as far from 0 as observed.
+
+    Effects of at most 1e-15 are left out; without any p is 1. Groups of up to ``exact_most`` effects try every
+    assignment (p is their share), larger ones ``draws`` hashed ones, p being (extreme + 1) / (draws + 1).
+    """
+    by, e = by or [], F.col(effect).cast("double")
+    rows = panel.select(*by, key, e.alias("_e"))
+    sizes = rows.groupBy(*by).agg(F.count_if(F.abs("_e") > 1e-15).cast("int").alias("nonzero"), F.abs(F.sum(F.when(F.abs("_e") > 1e-15, F.col("_e")).otherwise(0.0))).alias("_seen"))
+    known = _joined(rows.where(F.abs("_e") > 1e-15), [sizes], by)
+    extreme = F.count_if(F.abs("_total") >= F.col("_seen") - 1e-12)
+    few = known.where(F.col("nonzero") <= exact_most).groupBy(*by, "_seen").agg(F.array_sort(F.collect_list("_e")).alias("_all"))  # at most exact_most
+    codes = few.select(*by, "_seen", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, size(_all)) - 1"))).alias("_code"))
+    total = F.aggregate(F.transform("_all", lambda x, i: x * (1 - 2 * F.getbit(F.col("_code"), i).cast("int"))), F.lit(0.0), lambda a, x: a + x)
+    exact = codes.withColumn("_total", total).groupBy(*by).agg(F.count(F.lit(1)).alias("assignments"), (extreme / F.count(F.lit(1))).alias("p"))
+    sign = F.when(_uniform(seed, F.lit("sign"), F.col("draw"), F.col(key)) < 0.5, -1.0).otherwise(1.0)
+    drawn = _draws(known.where(F.col("nonzero") > exact_most), draws).groupBy(*by, "_seen", "draw").agg(F.sum(F.col("_e") * sign).alias("_total"))
+    many = drawn.groupBy(*by).agg(F.count(F.lit(1)).alias("assignments"), ((extreme + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    out = _joined(sizes, [exact.unionByName(many)] if by else [exact.where("assignments > 0").unionByName(many.where("assignments > 0")).groupBy().agg(F.max("assignments").alias("assignments"), F.max("p").alias("p"))], by)
+    return out.select(*by, "nonzero", F.coalesce("assignments", F.lit(1)).alias("assignments"), F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+def clustered_difference(panel: DataFrame, key: str, arm: str, base: str, draws: int = 2000, seed: int = 17, by: list[str] | None = None, confidence: float = 0.95) -> DataFrame:
+    """(by, tasks, estimate, low, high, nonzero, assignments, p): difference of task means, with whole tasks resampled and flipped.
+
+    ``panel`` has one row for each task (and group) with both values; a missing or infinite one raises.
+    """
+    by, bad = by or [], "a value of the panel is missing or infinite"
+    ok = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(F.raise_error(F.lit(bad)).cast("double"))
+    e = panel.select(*by, key, (ok(arm) - ok(base)).alias("effect"))
+    means = task_bootstrap(e, key, ["effect"], draws, seed, by).select(*by, F.try_divide("effect", "weight").alias("mean"))
+    point = e.groupBy(*by).agg(F.count(F.lit(1)).alias("tasks"), F.avg("effect").alias("estimate"))
+    return _joined(point, [_interval(means, "mean", by, confidence), sign_flips(e, key, "effect", draws, seed, by)], by)
+
+
+def clustered_ratio_difference(panel: DataFrame, key: str, arm: tuple[str, str], base: tuple[str, str], draws: int = 2000, seed: int = 17, by: list[str] | None = None, confidence: float = 0.95, most_dropped: float = 0.01) -> DataFrame:
+    """(by, tasks, estimate, low, high, dropped, reason): difference of pooled ratios (numerator, denominator) of both sides.
 
-    Effects of at most 1e-15 are left out; without any p is 1. More than ``most`` raises: use ``clustered_numpy``.
+    Draws in which a denominator is 0 are dropped; more than ``most_dropped`` of them withhold the interval, and an
+    observed denominator of 0 everything (``reason`` says so, else null). A numerator below 0 or above its denominator raises.
     """
-    rows = [r[0] for r in effects.where(F.abs(F.col(value)) > 1e-15).select(value).orderBy(value).limit(most + 1).collect()]
-    spark = effects.sparkSession
-    if len(rows) > most:
-        raise ValueError(f"more than {most} non-zero effects")
-    if not rows:
-        return spark.createDataFrame([(0, 1, 1.0)], "nonzero int, assignments long, p double")
-    observed = abs(float(np.sum(rows)))
-    total = None
-    for k, e in enumerate(rows):
-        signed = F.lit(float(e)) * (1 - 2 * F.getbit(F.col("id"), F.lit(k)).cast("int"))
-        total = signed if total is None else total + signed
-    flips = spark.range(1 << len(rows)).select((F.abs(total) >= observed - 1e-12).alias("extreme"))
-    return flips.agg(F.lit(len(rows)).alias("nonzero"), F.count(F.lit(1)).alias("assignments"), F.avg(F.col("extreme").cast("double")).alias("p"))
-
-
-def hash_bootstrap(panel: DataFrame, key: str, value: str, draws: int = 2000, seed: int = 17, by: list[str] | None = None) -> DataFrame:
-    """(by, draw, mean) of whole-task resamples: slot s of draw d takes the task at md5(seed:d:s) modulo the task count.
-
-    Tasks are numbered by key, in each group of ``by``; each draw has as many slots as its group has tasks. Draws are
-    distributed and each is added up in its row, without a shuffle; the values of a group are one array that goes to all
-    tasks, so a group must be of the size of an evaluation set.
+    by, names = by or [], [*arm, *base]
+    bad = F.raise_error(F.lit("a numerator is negative or larger than its denominator")).cast("double")
+    checked = [x for n, d in (arm, base) for x in (F.when(F.col(n).between(0, F.col(d)), F.col(n)).otherwise(bad).alias(n), F.col(d).alias(d))]
+    rows = panel.select(*by, key, *checked)
+    ratio = lambda n, d: F.when(F.col(d) > 0, F.try_divide(F.col(n).cast("double"), F.col(d)))
+    difference = ratio(*arm) - ratio(*base)
+    drawn = task_bootstrap(rows, key, names, draws, seed, by).select(*by, difference.alias("value"))
+    point = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("tasks"), *(F.sum(c).alias(c) for c in names)).select(*by, "tasks", difference.alias("estimate"))
+    lost = drawn.groupBy(*by).agg(F.count_if(F.col("value").isNull()).alias("dropped"))
+    out = _joined(point, [_interval(drawn, "value", by, confidence), lost], by)
+    reason = F.when(F.col("estimate").isNull(), "an observed denominator is 0").when(F.col("dropped") > most_dropped * draws, "too many draws have an empty denominator")
+    kept = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return out.withColumn("reason", reason).select(*by, "tasks", "estimate", kept("low"), kept("high"), "dropped", "reason")
+
+
+def product_bootstrap(panel: DataFrame, key: str, run: str, effect: str, draws: int = 2000, seed: int = 17, by: list[str] | None = None, confidence: float = 0.95, least_runs: int = 3) -> DataFrame:
+    """(by, tasks, runs, estimate, low, high) of the mean effect over tasks and runs, both resampled in each draw; no p value.
+
+    ``panel`` has one row for each task and run. Fewer than ``least_runs`` runs, or a task without one of them, raise.
     """
     by = by or []
-    values = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("double").alias("v")))), lambda x: x.v)
-    groups = panel.groupBy(*by).agg(values.alias("v")).where("size(v) > 0").select(*by, "v", F.size("v").cast("long").alias("n"))
-    rows = panel.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(groups))
-    digest = lambda slot: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long")
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda t, slot: t + F.element_at("v", (digest(slot) % F.col("n")).cast("int") + 1))
-    return rows.select(*by, "draw", (total / F.col("n")).alias("mean"))
-
-
-def _panel(df: DataFrame, key: str, columns: list[str]) -> list[np.ndarray]:
-    """Columns of a panel by key, on the driver; its size is checked."""
-    rows = df.select(key, *columns).orderBy(key).limit(MOST_TASKS + 1).collect()
-    if len(rows) > MOST_TASKS:
-        raise ValueError(f"a panel has more than {MOST_TASKS} tasks; use hash_bootstrap")
-    if len({r[key] for r in rows}) != len(rows):
-        raise ValueError("a task occurs twice in a panel")
-    out = [np.array([r[c] for r in rows], dtype=float) for c in columns]
-    if any(not np.isfinite(x).all() for x in out):
-        raise ValueError("a panel has missing or infinite values")
-    return out
-
-
-def _means(values: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """Means of resamples, a block of draws at a time."""
-    block = max(1, min(1024, 2_000_000 // max(1, len(values))))
-    return np.concatenate([values[rng.integers(0, len(values), size=(min(block, draws - d), len(values)))].mean(axis=1) for d in range(0, draws, block)])
-
-
-def clustered_numpy(panel: DataFrame, key: str, arm: str, base: str, draws: int = 20_000, seed: int = 17, confidence: float = 0.95, exact_most: int = 20) -> dict:
-    """Difference of task means with a whole-task bootstrap interval and a sign-flip p, over a small panel."""
-    a, b = _panel(panel, key, [arm, base])
-    effects = a - b
-    boot, flip = (np.random.Generator(np.random.PCG64(s)) for s in np.random.SeedSequence(seed).spawn(2))
-    tail = (1 - confidence) / 2
-    low, high = np.quantile(_means(effects, draws, boot), [tail, 1 - tail])
-    nonzero = effects[np.abs(effects) > 1e-15]
-    out = {"tasks": len(effects), "estimate": float(effects.mean()), "low": float(low), "high": float(high), "nonzero": len(nonzero)}
-    if not len(nonzero):
-        return out | {"p": 1.0, "assignments": 1}
-    observed = abs(float(nonzero.sum())) - 1e-12
-    if len(nonzero) <= exact_most:
-        total = 1 << len(nonzero)
-        extreme, bits = 0, np.arange(len(nonzero), dtype=np.uint64)
-        for s in range(0, total, 65_536):
-            codes = np.arange(s, min(total, s + 65_536), dtype=np.uint64)[:, None]
-            extreme += int((np.abs((1.0 - 2.0 * ((codes >> bits) & np.uint64(1))) @ nonzero) >= observed).sum())
-        return out | {"p": extreme / total, "assignments": total}
-    block = max(1, min(4096, 2_000_000 // len(nonzero)))
-    extreme = sum(int((np.abs((1.0 - 2.0 * flip.integers(0, 2, size=(min(block, draws - s), len(nonzero)), dtype=np.int8)) @ nonzero) >= observed).sum()) for s in range(0, draws, block))
-    return out | {"p": (extreme + 1) / (draws + 1), "draws": draws}
-
-
-def clustered_ratio_numpy(panel: DataFrame, key: str, arm: tuple[str, str], base: tuple[str, str], draws: int = 20_000, seed: int = 17, confidence: float = 0.95, most_dropped: float = 0.01) -> dict:
-    """Difference of pooled ratios; draws with an empty denominator are dropped, too many withhold the interval."""
-    an, ad, bn, bd = _panel(panel, key, [*arm, *base])
-    if (an > ad).any() or (bn > bd).any() or min(map(np.min, (an, bn))) < 0:
-        raise ValueError("a numerator is negative or larger than its denominator")
-    if not ad.sum() or not bd.sum():
-        return {"available": False, "reason": "an observed denominator is 0"}
-    rng = np.random.Generator(np.random.PCG64(seed))
-    block = max(1, min(1024, 2_000_000 // len(an)))
-    values, dropped = [], 0
-    for s in range(0, draws, block):
-        at = rng.integers(0, len(an), size=(min(block, draws - s), len(an)))
-        x, y = ad[at].sum(axis=1), bd[at].sum(axis=1)
-        ok = (x > 0) & (y > 0)
-        dropped += int((~ok).sum())
-        values.append(an[at].sum(axis=1)[ok] / x[ok] - bn[at].sum(axis=1)[ok] / y[ok])
-    out = {"available": dropped <= most_dropped * draws, "estimate": float(an.sum() / ad.sum() - bn.sum() / bd.sum()), "dropped": dropped}
-    if not out["available"]:
-        return out | {"reason": "too many draws have an empty denominator"}
-    tail = (1 - confidence) / 2
-    low, high = np.quantile(np.concatenate(values), [tail, 1 - tail])
-    return out | {"low": float(low), "high": float(high)}
-
-
-def product_bootstrap_numpy(arm: np.ndarray, base: np.ndarray, draws: int = 20_000, seed: int = 17, confidence: float = 0.95) -> dict:
-    """Interval of the difference of grand means with tasks and seeds resampled; rows are tasks, columns at least 3 seeds."""
-    if arm.shape != base.shape or arm.shape[1] < 3:
-        raise ValueError("both panels need the same tasks and at least 3 seeds")
-    rng, d = np.random.Generator(np.random.PCG64(seed)), arm - base
-    means = np.array([d[np.ix_(rng.integers(0, d.shape[0], d.shape[0]), rng.integers(0, d.shape[1], d.shape[1]))].mean() for _ in range(draws)])
-    tail = (1 - confidence) / 2
-    low, high = np.quantile(means, [tail, 1 - tail])
-    return {"estimate": float(d.mean()), "low": float(low), "high": float(high)}
+    e = panel.select(*by, key, run, F.col(effect).cast("double").alias("effect"))
+    size = e.groupBy(*by).agg(F.count_distinct(key).alias("tasks"), F.count_distinct(run).alias("runs"), F.count(F.lit(1)).alias("_n"), F.avg("effect").alias("estimate"))
+    fits = (F.col("runs") >= least_runs) & (F.col("_n") == F.col("tasks") * F.col("runs"))
+    checked = F.when(fits, F.col("estimate")).otherwise(F.raise_error(F.lit(f"a panel needs {least_runs} runs or more and each task in every run")).cast("double"))
+    w = _poisson(_uniform(seed, F.col("draw"), F.col(key))) * _poisson(_uniform(seed, F.lit("run"), F.col("draw"), F.col(run)))
+    drawn = _draws(e, draws).withColumn("_w", w).groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("effect")), F.sum("_w")).alias("mean"))
+    return _joined(size.select(*by, "tasks", "runs", checked.alias("estimate")), [_interval(drawn, "mean", by, confidence)], by)
 
 
 def same_signature(runs: DataFrame, columns: list[str]) -> DataFrame:

@@ -84,3 +84,44 @@ def raw_line_check(raw: DataFrame) -> DataFrame:
     return v.groupBy("bank").agg(
         F.count(F.lit(1)).alias("lines"), F.count_if(~ok).alias("broken"), F.count_if(ok & (kind("$.id") != "STRING")).alias("no_id"), F.count_if(ok & ~kind("$.metrics").startswith("OBJECT")).alias("no_metrics"), F.count_if(ok & (kind("$.candidate_index") != "BIGINT")).alias("odd_index")
     )
+
+
+def task_components(candidates: DataFrame) -> DataFrame:
+    """(bank, task, candidates, legal, exact_legal, legality, whole) of each semantic task of each bank.
+
+    Rows delivered twice count once. ``whole``: the task has one id and the indices 0 up to its largest. Rows whose
+    task is incomplete are left out.
+    """
+    rows = banks.once(candidates.select("line_no", *banks.UNIT, "candidate_index", K.semantic_key().alias("task"), M.is_legal().alias("legal"), (M.metric("exact_correct") >= 1).alias("exact")))
+    n, legal = F.count(F.lit(1)), F.count_if("legal")
+    return rows.where("task is not null").groupBy("bank", "task").agg(
+        n.alias("candidates"), legal.alias("legal"), F.count_if(F.col("legal") & F.col("exact")).alias("exact_legal"), (legal / n).alias("legality"), ((F.count_distinct("id") == 1) & (F.max("candidate_index") + 1 == n)).alias("whole")
+    )
+
+
+def strict_task_components(candidates: DataFrame) -> DataFrame:
+    """``task_components`` whose grid is checked: raises where a task is not whole or banks differ in candidates for each task."""
+    c = task_components(candidates)
+    sizes = c.groupBy("bank").agg(F.bool_and("whole").alias("whole"), F.min("candidates").alias("least"), F.max("candidates").alias("most"))
+    odd = sizes.where("not whole or least <> most").first()
+    if odd is not None:
+        raise pairing.GridError(f"bank {odd['bank']!r} has tasks that are not whole, or {odd['least']} to {odd['most']} candidates for a task")
+    return c
+
+
+def clustered_scopes(candidates: DataFrame, tasks: DataFrame, runs: DataFrame, base: str, draws: int = 2000, arm: str = "method") -> DataFrame:
+    """Per arm and scope (all, overlap with train, held_out) against the base, on the semantic tasks that both have: the
+    difference of legality and of exactness among the legal, each with a whole-task interval, and p of the first.
+
+    A scope without tasks on both sides has no row. Runs of an arm are pooled: legality is averaged over them, counts add up.
+    """
+    per = task_components(candidates).join(runs.select("bank", arm), "bank").groupBy(arm, "task").agg(F.avg("legality").alias("legality"), F.sum("exact_legal").alias("exact"), F.sum("legal").alias("legal"))
+    train = tasks.where(audit.split_name() == "train").select(K.semantic_key().alias("task")).where("task is not null").distinct().withColumn("in_train", F.lit(True))
+    b = per.where(F.col(arm) == base).select("task", F.col("legality").alias("b_legality"), F.col("exact").alias("b_exact"), F.col("legal").alias("b_legal"))
+    pairs = per.where(F.col(arm) != base).join(b, "task").join(train, "task", "left")
+    scope = F.explode(F.array(F.lit("all"), F.when(F.col("in_train"), F.lit("overlap")).otherwise(F.lit("held_out"))))
+    panel = pairs.select(arm, "task", "legality", "exact", "legal", "b_legality", "b_exact", "b_legal", scope.alias("scope"))
+    by = [arm, "scope"]
+    legality = inference.clustered_difference(panel, "task", "legality", "b_legality", draws, by=by).select(*by, "tasks", F.col("estimate").alias("legality"), F.col("low").alias("legality_low"), F.col("high").alias("legality_high"), F.col("p").alias("legality_p"))
+    exact = inference.clustered_ratio_difference(panel, "task", ("exact", "legal"), ("b_exact", "b_legal"), draws, by=by).select(*by, F.col("estimate").alias("exact"), F.col("low").alias("exact_low"), F.col("high").alias("exact_high"), "dropped", "reason")
+    return legality.join(exact, by)

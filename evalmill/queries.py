@@ -354,6 +354,15 @@ def mcnemar_exact(s, d):
     return rounded(q.withColumn("p", F.when(F.col("b") + F.col("c") <= 1000, inference.mcnemar_p(F.col("b"), F.col("c"))).otherwise(inference.mcnemar_large("b", "c"))))
 
 
+#: erfc by its series, exact to nine digits where it is above 1e-9.
+_ERFC = "CASE WHEN {x} > 4.5 THEN 0.0 ELSE 1 - 1.1283791670955126 * list_sum(list_transform(range(0, 90), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(greatest({x}, 1e-300)) - lgamma(k + 1)) / (2 * k + 1))) END"
+
+
+@query(
+    _OOD
+    + f""", st AS (SELECT method, count(*) FILTER (valid_expression >= 1) AS n, count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) AS k FROM b GROUP BY method), j AS (SELECT a.method, a.k / nullif(a.n, 0) AS p1, z.k / nullif(z.n, 0) AS p2, (a.k + z.k) / nullif(a.n + z.n, 0) AS pool, 1 / nullif(a.n, 0) + 1 / nullif(z.n, 0) AS v FROM st a, st z WHERE z.method = 'static'),
+x AS (SELECT method, abs(p1 - p2) / nullif(sqrt(pool * (1 - pool) * v), 0) / sqrt(2) AS x FROM j) SELECT method, round(coalesce(CASE WHEN x = 0 THEN 1.0 ELSE {_ERFC.format(x='x')} END, 1.0), 9) AS p FROM x"""
+)
 def two_proportion_z(s, d):
     stats = banks.candidate_stats(_candidates(s, d).join(table(s, d, "banks").select("bank", "method"), "bank"), ["method"])
     z = stats.where("method = 'static'").select(F.col("exact_legal").alias("k0"), F.col("legal").alias("n0"))
@@ -361,13 +370,16 @@ def two_proportion_z(s, d):
     return rounded(j.select("method", inference.two_proportion_p(F.col("exact_legal"), F.col("legal"), F.col("k0"), F.col("n0")).alias("p")))
 
 
-QUERIES["two_proportion_z"] = two_proportion_z
+_MCNEMAR = "round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) END, 9)"
+_TIER_P = _OUT + f", q AS (SELECT method || ' ' || difficulty AS name, count(*) FILTER (arm > 0 AND base = 0) AS b, count(*) FILTER (arm = 0 AND base > 0) AS c FROM pr GROUP BY method, difficulty), v AS (SELECT name, {_MCNEMAR} AS p FROM q)"
 
 
-@query(_OUT + ", q AS (SELECT method AS name, round(exp(-abs(sum(arm - base)) / 3.0), 9) AS p FROM pr GROUP BY method), h AS (SELECT name, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p) AS step FROM q) SELECT name, p, round(max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS adjusted, max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h")
+@query(_TIER_P + ", h AS (SELECT name, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p) AS step FROM v) SELECT name, p, round(max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS adjusted, max(step) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM h")
 def holm_adjust(s, d):
-    q = _pairs(s, d).groupBy(F.col("method").alias("name")).agg(F.round(F.exp(-F.abs(F.sum(F.col("arm") - F.col("base"))) / 3.0), 9).alias("p"))
-    return rounded(inference.holm(q))
+    cells = pairing.paired_counts(_pairs(s, d), ["method", "difficulty"])
+    x, y = F.col("arm_only"), F.col("base_only")
+    p = F.when(x + y <= 1000, inference.mcnemar_p(x, y)).otherwise(inference.mcnemar_large("arm_only", "base_only"))
+    return rounded(inference.holm(cells.select(F.concat_ws(" ", "method", "difficulty").alias("name"), F.round(p, 9).alias("p"))))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM events GROUP BY event_type")
@@ -375,31 +387,86 @@ def percentile_interval(s, d):
     return rounded(inference.percentile_interval(table(s, d, "events"), "value", ["event_type"]))
 
 
-_EFFECT = _OUT + ", ef AS (SELECT method AS key, round(avg(arm - base), 9)::DOUBLE AS effect FROM pr GROUP BY method)"
+def _drawn(*parts: str) -> str:
+    """A number in [0, 1) hashed from the seed and the parts, as ``inference`` does."""
+    return "(('0x' || substring(md5('17:' || " + " || ':' || ".join(parts) + "), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
 
+def _times(*parts: str) -> str:
+    """How often a unit is drawn."""
+    return "(CASE " + " ".join(f"WHEN {_drawn(*parts)} < {p!r} THEN {k}" for k, p in enumerate(inference.POISSON)) + f" ELSE {len(inference.POISSON)} END)::DOUBLE"
 
-def _effects(s, d):
-    return rounded(_pairs(s, d).groupBy(F.col("method").alias("key")).agg(F.avg((F.col("arm") - F.col("base")).cast("double")).alias("effect")))
 
+def _flips_sql(by: str, effects: str = "ef") -> str:
+    """sz and fp: p of the sign flips by group, of a table of by, key, effect; exact up to 20 effects, else 2000 draws."""
+    return f""", sz AS (SELECT {by}, count(*) FILTER (abs(effect) > 1e-15)::INT AS nonzero, abs(sum(CASE WHEN abs(effect) > 1e-15 THEN effect ELSE 0 END)) AS seen FROM {effects} GROUP BY {by}),
+kn AS (SELECT e.*, sz.nonzero, sz.seen FROM {effects} e JOIN sz USING ({by}) WHERE abs(effect) > 1e-15), mc AS (SELECT {by}, seen, draw, sum(effect * CASE WHEN {_drawn("'sign'", 'draw', 'key')} < 0.5 THEN -1.0 ELSE 1.0 END) AS t FROM kn, (SELECT unnest(range(0, 2000)) AS draw) WHERE nonzero > 20 GROUP BY {by}, seen, draw),
+fw AS (SELECT {by}, seen, list(effect ORDER BY effect) AS v FROM kn WHERE nonzero <= 20 GROUP BY {by}, seen), cd AS (SELECT *, unnest(range(0, (1::BIGINT << len(v))::BIGINT)) AS code FROM fw),
+fp AS (SELECT {by}, count(*) AS assignments, (count(*) FILTER (abs(t) >= seen - 1e-12) + 1) / (count(*) + 1) AS p FROM mc GROUP BY {by} UNION ALL SELECT {by}, count(*), count(*) FILTER (abs(list_sum(list_transform(v, lambda x, i: x * (1 - 2 * ((code >> (i - 1)) & 1))))) >= seen - 1e-12) / count(*) FROM cd GROUP BY {by})"""
 
-@query(_EFFECT + ", z AS (SELECT list(effect ORDER BY effect) AS v FROM ef WHERE abs(effect) > 1e-15), fl AS (SELECT v, unnest(range(0, (1 << len(v))::BIGINT)) AS code FROM z) SELECT max(len(v))::INT AS nonzero, count(*) AS assignments, round(avg((abs(list_sum(list_transform(v, lambda x, i: x * (1 - 2 * ((code >> (i - 1)) & 1))))) >= abs(list_sum(v)) - 1e-12)::INT), 9) AS p FROM fl")
-def sign_flip_exact(s, d):
-    return rounded(inference.sign_flip_exact(_effects(s, d)))
+
+_EFFECT = _OUT + ", ef AS (SELECT method, id AS key, (arm - base)::DOUBLE AS effect FROM pr)"
+_MEANS = f", dr AS (SELECT method, draw, sum(effect * w) / nullif(sum(w), 0) AS mean FROM (SELECT method, effect, draw, {_times('draw', 'key')} AS w FROM ef, (SELECT unnest(range(0, 2000)) AS draw)) GROUP BY method, draw)"
+
+
+@query(_EFFECT + _MEANS + " SELECT method, draw::INT AS draw, round(mean, 9) AS mean FROM dr")
+def task_bootstrap_means(s, d):
+    effects = _pairs(s, d).select("method", "id", (F.col("arm") - F.col("base")).alias("effect"))
+    return rounded(inference.task_bootstrap(effects, "id", ["effect"], by=["method"]).select("method", "draw", F.try_divide("effect", "weight").alias("mean")))
+
+
+@query(_EFFECT + _flips_sql("method") + " SELECT sz.method, nonzero, coalesce(assignments, 1) AS assignments, round(coalesce(p, 1.0), 9) AS p FROM sz LEFT JOIN fp ON sz.method = fp.method")
+def sign_flip_test(s, d):
+    return rounded(inference.sign_flips(_pairs(s, d).select("method", "id", (F.col("arm") - F.col("base")).alias("effect")), "id", "effect", by=["method"]))
 
 
 @query(
-    _EFFECT
-    + """, pl AS (SELECT row_number() OVER (ORDER BY key) - 1 AS place, effect FROM ef), n AS (SELECT count(*) AS n FROM pl), sl AS (SELECT d.range AS draw, sl.range AS slot, n FROM range(0, 500) d, n, range(0, 100) sl WHERE sl.range < n)
-SELECT draw, round(avg(effect), 9) AS mean FROM (SELECT draw, ('0x' || substring(md5('17:' || draw || ':' || slot), 1, 8))::BIGINT % n AS place FROM sl) JOIN pl USING (place) GROUP BY draw"""
+    _EFFECT + _MEANS + _flips_sql("method")
+    + """, iv AS (SELECT method, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM dr GROUP BY method), pt AS (SELECT method, count(*) AS tasks, avg(effect) AS estimate FROM ef GROUP BY method)
+SELECT pt.method, tasks, round(estimate, 9) AS estimate, round(low, 9) AS low, round(high, 9) AS high, nonzero, coalesce(assignments, 1) AS assignments, round(coalesce(p, 1.0), 9) AS p FROM pt JOIN iv USING (method) JOIN sz USING (method) LEFT JOIN fp USING (method)"""
 )
-def clustered_diff_hash_bootstrap(s, d):
-    return rounded(inference.hash_bootstrap(_effects(s, d), "key", "effect", 500))
+def clustered_difference(s, d):
+    return rounded(inference.clustered_difference(_pairs(s, d), "id", "arm", "base", by=["method"]))
 
 
-@query()
-def clustered_diff_task_bootstrap(s, d):
-    effects = _pairs(s, d).select("method", "id", (F.col("arm") - F.col("base")).alias("effect"))
-    return rounded(inference.hash_bootstrap(effects, "id", "effect", by=["method"]))
+@query(
+    f"""WITH e AS (SELECT event_type AS run, user_id AS key, avg(value) AS effect FROM events GROUP BY event_type, user_id), ok AS (SELECT key FROM e GROUP BY key HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events)), p AS (SELECT e.* FROM e JOIN ok USING (key)),
+w AS (SELECT draw, effect, {_times('draw', 'key')} * {_times("'run'", 'draw', 'run')} AS w FROM p, (SELECT unnest(range(0, 500)) AS draw)), m AS (SELECT draw, sum(w * effect) / nullif(sum(w), 0) AS mean FROM w GROUP BY draw)
+SELECT (SELECT count(DISTINCT key) FROM p) AS tasks, (SELECT count(DISTINCT run) FROM p) AS runs, round((SELECT avg(effect) FROM p), 7) AS estimate, round(quantile_cont(mean, 0.025), 7) AS low, round(quantile_cont(mean, 0.975), 7) AS high FROM m"""
+)
+def product_bootstrap(s, d):
+    """Users play the tasks and event types the runs: the one panel of the tables in which most units are in every run."""
+    e = table(s, d, "events").groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("key")).agg(F.avg("value").alias("effect"))
+    runs = e.agg(F.count_distinct("run").alias("runs"))
+    whole = e.groupBy("key").count().join(F.broadcast(runs), F.col("count") == F.col("runs")).select("key")
+    return rounded(inference.product_bootstrap(e.join(whole, "key"), "key", "run", "effect", draws=500), 7)
+
+
+_TASK = "'{\"allowed_ops\":' || to_json(list_sort(list_distinct(OPS))) || ',\"numbers\":' || to_json(list_sort(numbers)) || ',\"target\":' || target || '}'"
+_WHOLE_TASK = "numbers IS NOT NULL AND target IS NOT NULL AND OPS IS NOT NULL"
+_COMPONENTS = _BASE + f", tc AS (SELECT bank, {_TASK.replace('OPS', 'task_ops')} AS task, count(*) AS candidates, count(*) FILTER (valid_expression >= 1) AS legal, count(*) FILTER (valid_expression >= 1 AND exact_correct >= 1) AS exact_legal, count(*) FILTER (valid_expression >= 1) / count(*) AS legality, count(DISTINCT id) = 1 AND max(candidate_index) + 1 = count(*) AS whole FROM b WHERE {_WHOLE_TASK.replace('OPS', 'task_ops')} GROUP BY ALL)"
+
+
+@query(_COMPONENTS + " SELECT bank, task, candidates, legal, exact_legal, round(legality, 9) AS legality, whole FROM tc")
+def task_components(s, d):
+    return rounded(scorecard.task_components(_candidates(s, d)))
+
+
+_RATIO = "CASE WHEN {1} > 0 AND {3} > 0 THEN {0} / {1} - {2} / {3} END"
+
+
+@query(
+    _COMPONENTS
+    + f""", pm AS (SELECT method, task, avg(legality) AS legality, sum(exact_legal) AS exact, sum(legal) AS legal FROM tc JOIN banks USING (bank) GROUP BY method, task), tr AS (SELECT DISTINCT {_TASK.replace('OPS', 'allowed_ops')} AS task FROM tasks WHERE lower(trim(split)) = 'train' AND {_WHOLE_TASK.replace('OPS', 'allowed_ops')}),
+pn AS (SELECT a.method, a.task AS key, a.legality - z.legality AS effect, a.exact AS an, a.legal AS ad, z.exact AS bn, z.legal AS bd, unnest(['all', CASE WHEN tr.task IS NULL THEN 'held_out' ELSE 'overlap' END]) AS scope FROM pm a JOIN pm z ON a.task = z.task AND z.method = 'static' LEFT JOIN tr ON tr.task = a.task WHERE a.method <> 'static'),
+ef AS (SELECT method, scope, key, effect FROM pn), dr AS (SELECT method, scope, draw, sum(effect * w) / nullif(sum(w), 0) AS mean, {_RATIO.format('sum(an * w)', 'sum(ad * w)', 'sum(bn * w)', 'sum(bd * w)')} AS ratio FROM (SELECT *, {_times('draw', 'key')} AS w FROM pn, (SELECT unnest(range(0, 2000)) AS draw)) GROUP BY method, scope, draw)"""
+    + _flips_sql("method, scope")
+    + f""", iv AS (SELECT method, scope, quantile_cont(mean, 0.025) AS l, quantile_cont(mean, 0.975) AS h, quantile_cont(ratio, 0.025) AS rl, quantile_cont(ratio, 0.975) AS rh, count(*) FILTER (ratio IS NULL) AS dropped FROM dr GROUP BY method, scope),
+pt AS (SELECT method, scope, count(*) AS tasks, avg(effect) AS legality, {_RATIO.format('sum(an)', 'sum(ad)', 'sum(bn)', 'sum(bd)')} AS exact FROM pn GROUP BY method, scope), al AS (SELECT *, CASE WHEN exact IS NULL THEN 'an observed denominator is 0' WHEN dropped > 20 THEN 'too many draws have an empty denominator' END AS reason FROM pt JOIN iv USING (method, scope) JOIN sz USING (method, scope) LEFT JOIN fp USING (method, scope))
+SELECT method, scope, tasks, round(legality, 9) AS legality, round(l, 9) AS legality_low, round(h, 9) AS legality_high, round(coalesce(p, 1.0), 9) AS legality_p, round(exact, 9) AS exact, CASE WHEN reason IS NULL THEN round(rl, 9) END AS exact_low, CASE WHEN reason IS NULL THEN round(rh, 9) END AS exact_high, dropped, reason FROM al"""
+)
+def clustered_scopes(s, d):
+    return rounded(scorecard.clustered_scopes(_candidates(s, d), table(s, d, "tasks"), table(s, d, "banks"), "static"))
 
 
 # ---- audits, keys, samples
@@ -560,12 +627,24 @@ def expr_verify(s, d):
     return rows.select("line_no", "v.parse_ok", "v.uses_numbers", "v.number_multiset_f1", "v.uses_allowed_ops", "v.valid_expression", "v.correct", "v.numeric_distance_reward", "v.value")
 
 
+_DOUBLES = (*files.METRICS, "reward_hacking_candidate")
+
+
+@query(
+    "SELECT line_no, id, "
+    + ", ".join(f"round(try_cast(nullif(metrics.{x}::VARCHAR, 'nan') AS DOUBLE), 9) AS {x}" for x in _DOUBLES)
+    + ", metrics.expression AS expression, metrics.value AS value, metrics.error AS error, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN metrics.{x}::VARCHAR = 'nan' THEN '{x}' END" for x in _DOUBLES)
+    + "], lambda x: x IS NOT NULL), ',') AS nan FROM candidates"
+)
 def flatten_metrics(s, d):
-    return files.flatten(_candidates(s, d).select("line_no", "id", "metrics"))
+    """All fields of metrics; since engines compare NaN differently, the fields that are NaN are null and named in ``nan``."""
+    flat = files.flatten(_candidates(s, d).select("line_no", "id", "metrics"))
+    names = F.array_join(F.array(*(F.when(F.isnan(x), F.lit(x)) for x in _DOUBLES)), ",")
+    return rounded(flat.select(*(F.nullif(F.col(c), F.lit(float("nan"))).alias(c) if c in _DOUBLES else F.col(c) for c in flat.columns), names.alias("nan")))
 
 
-QUERIES |= {"expr_verify": expr_verify, "flatten_metrics": flatten_metrics}
-SQL["flatten_metrics"] = "SELECT line_no, id, metrics.* FROM candidates"
+QUERIES["expr_verify"] = expr_verify
 
 
 @query("SELECT event_type, round(avg((props->>'k')::DOUBLE), 9) AS mean, round(stddev_samp((props->>'k')::DOUBLE), 9) AS sample_std, round(stddev_pop((props->>'k')::DOUBLE), 9) AS pop_std FROM events GROUP BY event_type")

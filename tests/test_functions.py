@@ -14,20 +14,21 @@ from evalmill.functions import text as X
 ALL = ["+", "-", "*"]
 
 
-def test_fixed_verdicts():
+def test_verdicts():
     j = verifier.judge
-    r = j("(1+2)*3", [1, 2, 3], 9, ALL)
+    r = j("(7-4)*11", [4, 7, 11], 33, ALL)
     assert r["correct"] == r["number_precision"] == r["number_recall"] == r["number_multiset_f1"] == r["numeric_distance_reward"] == 1
-    assert (lambda r: (r["valid_expression"], r["correct"], r["numeric_distance_reward"]))(j("(1+2)*3", [1, 2, 3], 10, ALL)) == (1, 0, 0.5)
-    r = j("(1+2)", [1, 2, 3], 3, ALL)
+    r = j("(7-4)*11", [4, 7, 11], 36, ALL)
+    assert (r["valid_expression"], r["correct"], r["numeric_distance_reward"]) == (1, 0, 0.25)
+    r = j("11-4", [4, 6, 11], 7, ALL)  # one number is left over
     assert (r["number_precision"], round(r["number_recall"], 4), round(r["number_multiset_f1"], 4), r["uses_no_extra_numbers"], r["uses_all_required_numbers"]) == (1, 0.6667, 0.8, 1, 0)
-    r = j("(1+2+4)", [1, 2, 3], 7, ALL)
+    r = j("11-4+5", [4, 6, 11], 12, ALL)  # one number is not given
     assert round(r["number_multiset_f1"], 4) == 0.6667 and r["uses_no_extra_numbers"] == 0
-    r = j("9", [1, 2, 3], 9, ALL)
+    r = j("21", [4, 6, 11], 21, ALL)
     assert r["number_multiset_f1"] == 0 and r["uses_allowed_ops"] == 0
-    r = j("(8/2)+3", [8, 2, 3], 7, ALL)
+    r = j("12/4-1", [12, 4, 1], 2, ALL)
     assert r["uses_allowed_ops"] == 0 and r["correct"] == 0
-    assert j("7/2*2", [7, 2, 2], 7, ["/", "*"])["correct"] == 1 and j("7/2", [7, 2], 3, ["/"])["value"] == "7/2"
+    assert j("5/3*6", [5, 3, 6], 10, ["/", "*"])["correct"] == 1 and j("5/3", [5, 3], 2, ["/"])["value"] == "5/3"
 
 
 @pytest.mark.parametrize("text", [None, "", " ", "1+", "x", "-1+2", "1.5+2", "True+1", "2**99999", "1/0", "(" * 5000, "9" * 5000, "1+" * 3000 + "1", "f(1)", "'a'", "\x00"])
@@ -99,11 +100,36 @@ VISIBLE, HIDDEN = [[[2], 4], [[3], 6]], [[[5], 10]]
     [("def f(x):\n    return x*2", 1, 1), ("def f(x):\n    return 4", 0, 1), ("import os\ndef f(x):\n    return x*2", None, 0), ("def f(x):\n    return ().__class__", None, 0), ("def g(x):\n    return x", None, 0), ("def f(x):\n    while True: pass", 0, 1), ("def f(x", None, 0)],
 )
 def test_code(source, held_out, legal, monkeypatch):
-    monkeypatch.setattr(code.run_cases, "__defaults__", (640, 1))
+    monkeypatch.setattr(code.run_cases, "__defaults__", (640, code.LINES, 5))
     r = code.judge_code(source, "f", VISIBLE, HIDDEN, execute=True)
     assert r["valid_expression"] == legal and (held_out is None or r["held_out_pass_rate"] == held_out)
 
 
+def test_code_runs_in_one_child_with_a_budget_of_lines():
+    child = code.Child(lines=1000, seconds=5)
+    few, many = "def f(n):\n    for i in range(n):\n        pass\n    return n", [[[10], 10], [[5000], 5000], [[20], 20]]
+    assert child.run(few, "f", many) == [(True, True), (False, False), (True, True)]
+    first = child.process.pid
+    assert child.run("def f(n):\n    print('noise')\n    return n", "f", [[[1], 1], [[1], 2]]) == [(True, True), (True, False)] and child.process.pid == first
+    assert child.run("def f():\n    import os\n    os._exit(3)", "f", [[[], 1]]) == [(False, False)]
+    assert child.run("def f(n):\n    return [n, str(n)]", "f", [[[4], [4, "4"]]]) == [(True, True)] and child.process.pid != first
+    child.stop()
+
+
+def test_code_surveys():
+    s = code.surveyed("import io, os.path\nfrom socket import x\ndef f(a):\n    if a == [1, 2] or a != 3:\n        return [4]\n    return a.__class__")
+    assert s.modules == {"io", "os", "socket"} and (s.imports_safe, s.names_safe) == (False, False) and s.literal_comparisons == 1 and s.returned == ["[4]"]
+    assert code.legality("import io\nx = 1") == (True, True) and code.legality("def f(") is None and code.legality("os.listdir()") == (True, False)
+    assert code.no_hardcoding("def f(a):\n    return sorted(a)", [[[1], [1]]]) == 1.0 and code.no_hardcoding("def f(a):\n    return [4]", [[[1], [4]]]) == 0.5
+
+
+def test_code_components(spark):
+    df = spark.createDataFrame([("<answer>def f(x):\n    return x*2</answer>",), ("def g(x): return x",)], "c string")
+    v = df.withColumn("v", code.verify_code(F.col("c"), F.lit("f"), F.lit(json.dumps(VISIBLE)), F.lit(json.dumps(HIDDEN)), True)).withColumn("m", code.code_components(F.col("c"), F.col("v")))
+    a, b = v.select("m.*", code.code_score(F.col("m"), {"format": 0.5, "brevity": 0.25}).alias("score")).collect()
+    assert (a.correct, a.format, a.score, b.correct, b.format, b.valid_expression, b.score) == (1, 1, 1.75, 0, 0, 0, 0.25)
+
+
 def test_code_is_not_run_unless_asked(spark):
     assert code.judge_code("def f(x):\n    return x*2", "f", VISIBLE, HIDDEN)["correct"] is None
     assert code.no_hardcoding("def f(x):\n    if x == 2: return 4\n    return 6", VISIBLE) == 0.0

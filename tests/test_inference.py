@@ -30,63 +30,71 @@ def test_holm(spark):
 
 def test_sign_flips(spark):
     for effects in ([1.0] * 4, [0.5, -0.2, 0.0, 0.7, 0.1], []):
-        df = spark.createDataFrame([(float(e),) for e in effects], "effect double")
-        r = I.sign_flip_exact(df).first()
+        df = spark.createDataFrame([(str(i), float(e)) for i, e in enumerate(effects)], "key string, effect double")
+        r = I.sign_flips(df, "key", "effect").first()
         x = [e for e in effects if e]
         p = np.mean([abs(np.dot(s, x)) >= abs(sum(x)) - 1e-12 for s in itertools.product((1, -1), repeat=len(x))]) if x else 1.0
         assert (r.nonzero, r.assignments) == (len(x), 2 ** len(x)) and abs(r.p - p) < 1e-12
-    with pytest.raises(ValueError, match="more than 3"):
-        I.sign_flip_exact(spark.createDataFrame([(1.0,)] * 5, "effect double"), most=3)
+    with_groups = spark.createDataFrame([("a", f"t{i}", 1.0) for i in range(4)] + [("b", f"t{i:02}", 0.1 + i / 100) for i in range(30)] + [(None, "t", 0.0)], "g string, key string, effect double")
+    got = {r.g: (r.nonzero, r.assignments, r.p) for r in I.sign_flips(with_groups, "key", "effect", 300, by=["g"]).collect()}
+    assert got == {"a": (4, 16, 0.125), "b": (30, 300, 1 / 301), None: (0, 1, 1.0)}
+
+
+def weight(*parts):
+    u = int(hashlib.md5(":".join(map(str, (17, *parts))).encode()).hexdigest()[:8], 16) / 2**32
+    return next((k for k, p in enumerate(I.POISSON) if u < p), len(I.POISSON))
 
 
 def test_clustered(spark):
     same = spark.createDataFrame([(f"t{i}", i / 10, i / 10) for i in range(10)], "id string, a double, b double")
-    r = I.clustered_numpy(same, "id", "a", "b", draws=500)
-    assert (r["estimate"], r["low"], r["high"], r["p"]) == (0, 0, 0, 1.0)
+    r = I.clustered_difference(same, "id", "a", "b", draws=200).first()
+    assert (r.estimate, r.low, r.high, r.p, r.nonzero) == (0, 0, 0, 1.0, 0)
     four = spark.createDataFrame([(f"t{i}", 1.0, 0.0) for i in range(4)], "id string, a double, b double")
-    r = I.clustered_numpy(four, "id", "a", "b", draws=500)
-    assert r["p"] == 0.125 and r["assignments"] == 16 and r == I.clustered_numpy(four, "id", "a", "b", draws=500)
+    r = I.clustered_difference(four, "id", "a", "b", draws=200).first()
+    assert r.p == 0.125 and r.assignments == 16
     many = spark.createDataFrame([(f"t{i:02}", 0.5 + i / 100, 0.4) for i in range(30)], "id string, a double, b double")
-    assert I.clustered_numpy(many, "id", "a", "b", draws=300)["p"] == 1 / 301
-    with pytest.raises(ValueError, match="twice"):
-        I.clustered_numpy(four.union(four), "id", "a", "b")
+    r = I.clustered_difference(many.repartition(5), "id", "a", "b", draws=300).first()
+    means = [sum(w * (0.1 + i / 100) for i, w in enumerate(ws)) / sum(ws) for d in range(300) for ws in [[weight(d, f"t{i:02}") for i in range(30)]]]
+    assert r.p == 1 / 301 and [r.low, r.high] == pytest.approx(list(np.quantile(means, [0.025, 0.975]))) and r.low < r.estimate < r.high
+    with pytest.raises(Exception, match="missing or infinite"):
+        I.clustered_difference(many.withColumn("a", F.lit(None).cast("double")), "id", "a", "b", draws=5).collect()
+    assert I.clustered_difference(many.where("false").withColumn("g", F.lit(1)), "id", "a", "b", draws=5, by=["g"]).count() == 0
 
 
-def test_ratios(spark):
-    df = spark.createDataFrame([("x", 1, 1, 0, 1), ("y", 0, 1, 0, 1)], "id string, an int, ad int, bn int, bd int")
-    r = I.clustered_ratio_numpy(df, "id", ("an", "ad"), ("bn", "bd"), draws=400)
-    assert r["available"] and r["estimate"] == 0.5 and r["dropped"] == 0
-    zero = df.withColumn("ad", F.lit(0)).withColumn("an", F.lit(0))
-    assert not I.clustered_ratio_numpy(zero, "id", ("an", "ad"), ("bn", "bd"))["available"]
-    assert I.product_bootstrap_numpy(np.ones((5, 3)), np.zeros((5, 3)), draws=50) == {"estimate": 1.0, "low": 1.0, "high": 1.0}
-    with pytest.raises(ValueError, match="3 seeds"):
-        I.product_bootstrap_numpy(np.ones((5, 2)), np.zeros((5, 2)))
+def test_bootstrap_spreads_as_it_should(spark):
+    df = spark.createDataFrame([(f"t{i}", float(i)) for i in range(400)], "id string, v double")
+    means = np.array([r.v / r.weight for r in I.task_bootstrap(df, "id", ["v"], 300).collect()])
+    assert len(means) == 300 and abs(means.mean() - 199.5) < 1.5 and abs(means.std() / (np.arange(400).std() / 20) - 1) < 0.15
 
 
-def test_hash_bootstrap_is_spread_and_repeats(spark):
-    df = spark.createDataFrame([(f"t{i}", float(i)) for i in range(40)], "id string, v double")
-    a = sorted(map(tuple, I.hash_bootstrap(df, "id", "v", 300).collect()))
-    assert a == sorted(map(tuple, I.hash_bootstrap(df.repartition(7), "id", "v", 300).collect()))
-    means = np.array([m for _, m in a])
-    assert len(a) == 300 and abs(means.mean() - 19.5) < 0.5 and abs(means.std() - np.arange(40).std() / 40**0.5) < 0.3
+def test_ratios(spark):
+    df = spark.createDataFrame([("x", 1, 1, 0, 1), ("y", 0, 1, 0, 1)] + [(f"z{i}", 1, 2, 1, 2) for i in range(8)], "id string, an int, ad int, bn int, bd int")
+    r = I.clustered_ratio_difference(df, "id", ("an", "ad"), ("bn", "bd"), draws=200).first()
+    assert r.reason is None and r.estimate == pytest.approx(9 / 18 - 8 / 18) and r.dropped == 0 and r.low <= r.estimate <= r.high
+    zero = df.withColumn("ad", F.lit(0)).withColumn("an", F.lit(0))
+    r = I.clustered_ratio_difference(zero, "id", ("an", "ad"), ("bn", "bd"), draws=50).first()
+    assert r.reason == "an observed denominator is 0" and r.low is None
+    thin = df.where("id in ('x', 'y')").withColumn("ad", F.when(F.col("id") == "x", 1).otherwise(0))
+    assert I.clustered_ratio_difference(thin, "id", ("an", "ad"), ("bn", "bd"), draws=200).first().reason == "too many draws have an empty denominator"
+    with pytest.raises(Exception, match="numerator"):
+        I.clustered_ratio_difference(df.withColumn("an", F.lit(5)), "id", ("an", "ad"), ("bn", "bd"), draws=5).collect()
+
+
+def test_product_bootstrap(spark):
+    rows = [(f"t{i}", s, float(i % 3) + s) for i in range(12) for s in range(3)]
+    df = spark.createDataFrame(rows, "id string, seed int, e double")
+    r = I.product_bootstrap(df, "id", "seed", "e", draws=100).first()
+    means = []
+    for d in range(100):
+        w = [weight(d, t) * weight("run", d, s) for t, s, _ in rows]
+        if sum(w):
+            means.append(np.average([e for _, _, e in rows], weights=w))
+    assert (r.tasks, r.runs, r.estimate) == (12, 3, pytest.approx(2.0)) and [r.low, r.high] == pytest.approx(list(np.quantile(means, [0.025, 0.975])))
+    for bad in (df.where("seed < 2"), df.where("id <> 't1' or seed <> 0")):
+        with pytest.raises(Exception, match="each task in every run"):
+            I.product_bootstrap(bad, "id", "seed", "e", draws=5).collect()
 
 
 def test_signature(spark):
     df = spark.createDataFrame([(1, "x", None), (1, "y", None)], "a int, b string, c string")
     assert [(r.column, r["values"]) for r in I.same_signature(df, ["a", "b", "c"]).collect()] == [("b", ['{"v":"x"}', '{"v":"y"}'])]
-
-
-def test_the_bootstrap_query_resamples_tasks(spark):
-    from evalmill import queries
-
-    d = "/root/testdata/sf0.01"
-    pairs = {}
-    for r in queries._pairs(spark, d).orderBy("method", "id").collect():
-        pairs.setdefault(r.method, []).append(r.arm - r.base)
-    expected = {}
-    for m, v in pairs.items():
-        for draw in range(2000):
-            at = [int(hashlib.md5(f"17:{draw}:{s}".encode()).hexdigest()[:8], 16) % len(v) for s in range(len(v))]
-            expected[m, draw] = round(sum(v[i] for i in at) / len(v), 9)
-    got = {(r.method, r.draw): r["mean"] for r in queries.QUERIES["clustered_diff_task_bootstrap"](spark, d).collect()}
-    assert max(map(len, pairs.values())) > 7 and got == pytest.approx(expected, abs=1e-9)
