@@ -1,73 +1,58 @@
 """Records of the evaluation splits that occur in train again, exactly or with one number changed.
 
-A record is its target, the multiset of its numbers and the set of its operators. Two records of equally many
-numbers n that differ in one number share n-1 of n multiset tokens, so by the prefix filter they share one of
-the two rarest tokens of each. Evaluation prefixes are indexed by (target, n, token), train prefixes probe them,
-and the few pairs that meet are verified. Copies are folded into classes before the join and unfolded after it.
+A record is its target, the multiset of its numbers and the set of its operators; its class is a 128-bit digest of
+these. Two records of equally many numbers n that differ in one number share n-1 of n multiset tokens, so by the prefix
+filter they share one of the two rarest tokens of each. Evaluation prefixes are indexed by (target, n, token), train
+prefixes probe them, and the few pairs that meet are verified. The length filter is in the key, since both sides hold n
+numbers; with two tokens in a prefix no position is too far back, so a filter by position has nothing to leave out.
+Copies are folded into classes before the join; only class ids and tokens go through it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one class that one task unfolds, at most about so many.
 CHUNK = 4096
 
 
-def _records(df: DataFrame) -> DataFrame:
-    """(line_no, is_train, target, nums, ops, n) of the rows that can be a case."""
-    split = F.lower(F.regexp_replace("split", r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", ""))
-    return (
-        df.where("split is not null and target is not null and allowed_ops is not null and size(numbers) > 0")
-        .select(
-            "line_no",
-            (split == "train").alias("is_train"),
-            "target",
-            F.array_sort("numbers").alias("nums"),
-            F.array_sort(F.array_distinct("allowed_ops")).alias("ops"),
-        )
-        .withColumn("n", F.size("nums"))
-    )
+def _split() -> Column:
+    return F.lower(F.regexp_replace("split", r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", ""))
 
 
-def _classes(records: DataFrame) -> DataFrame:
-    """One row for each side and content, with its size and a key of its content."""
-    keys = ["is_train", "target", "n", "nums", "ops"]
-    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+def _records(df: DataFrame, *more: Column) -> DataFrame:
+    """(line_no, is_train, cid, target, nums, ops, n) of the rows that can be a case, and further columns."""
+    whole = df.where("split is not null and target is not null and allowed_ops is not null and size(numbers) > 0")
+    rows = whole.select("line_no", (_split() == "train").alias("is_train"), "target", F.array_sort("numbers").alias("nums"), F.array_sort(F.array_distinct("allowed_ops")).alias("ops"), *more)
+    return rows.select("*", F.size("nums").alias("n"), F.unhex(F.md5(F.to_json(F.struct("target", "nums", "ops")))).alias("cid"))
 
 
-def _prefixed(classes: DataFrame) -> DataFrame:
-    """Adds ``prefix``: the two rarest multiset tokens; ``tokens``: all of them, as value#occurrence.
+def _prefixed(records: DataFrame) -> DataFrame:
+    """(is_train, cid, target, n, ops, rows, tokens, prefix): one row for each side and class.
 
-    Rarity is the number of classes that hold the token under the same target and n, then the token itself.
-    A record of one number gets a token that all such records share, since one changed number leaves none.
+    ``tokens`` are its multiset tokens, as value#occurrence, the rarest first, ``prefix`` the first two. Rarity is the
+    number of classes of a side that hold the token under the same target and n, then the token itself. A record of one
+    number gets a token that all such records share, since one changed number leaves none.
     """
+    keys = ["is_train", "cid", "target", "n", "ops"]
+    classes = records.groupBy(*keys, "nums").agg(F.count(F.lit(1)).alias("rows"))
     tokens = F.expr("transform(nums, (x, i) -> concat(coalesce(cast(x as string), 'null'), '#', cast(size(filter(slice(nums, 1, i), y -> y <=> x)) as string)))")
-    with_tokens = classes.withColumn("tokens", F.when(F.col("n") == 1, F.array_append(tokens, F.lit("*"))).otherwise(tokens))
-    exploded = with_tokens.select("*", F.explode("tokens").alias("token"))
+    exploded = classes.select(*keys, "rows", F.explode(F.when(F.col("n") == 1, F.array_append(tokens, F.lit("*"))).otherwise(tokens)).alias("token"))
     rarity = exploded.groupBy("target", "n", "token").agg(F.count(F.lit(1)).alias("df"))
-    keys = ["is_train", "target", "n", "nums", "ops", "rows", "tokens"]
-    ranked = exploded.join(rarity, ["target", "n", "token"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    return ranked.withColumn("prefix", F.expr("transform(slice(ranked, 1, 2), x -> x.token)")).drop("ranked")
+    ranked = exploded.join(rarity, ["target", "n", "token"]).groupBy(*keys, "rows").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))  # n tokens of one class
+    return ranked.select(*keys, "rows", F.transform("ranked", lambda x: x.token).alias("tokens")).withColumn("prefix", F.slice("tokens", 1, 2))
 
 
-def split_overlap_classes(df: DataFrame) -> DataFrame:
-    """Pairs of contents, one of train and one of another split, that are equal or differ in one number.
-
-    Columns: target, n, train_nums, train_ops, train_rows, other_nums, other_ops, other_rows, exact.
-    """
-    p = _prefixed(_classes(_records(df)))
-    side = lambda train, name: p.where(F.col("is_train") == train).select("target", "n", *(F.col(c).alias(f"{name}_{c}") for c in ("nums", "ops", "rows", "tokens", "prefix")), F.posexplode("prefix").alias(f"{name}_pos", "token"))
+def _class_pairs(records: DataFrame) -> DataFrame:
+    """(train_cid, train_rows, other_cid, other_rows, exact): pairs of classes, one of train and one of another split, that are equal or differ in one number."""
+    p = _prefixed(records)
+    side = lambda train, name: p.where(F.col("is_train") == train).select("target", "n", *(F.col(c).alias(f"{name}_{c}") for c in ("cid", "ops", "rows", "tokens", "prefix")), F.explode("prefix").alias("token"))
     met = side(False, "other").join(side(True, "train"), ["target", "n", "token"])
-    # by position: what is left on either side must still reach n-1 together with the token that met
-    met = met.where("1 + least(n - other_pos - 1, n - train_pos - 1) >= n - 1 or token = '*'")
     first = F.element_at(F.array_intersect("other_prefix", "train_prefix"), 1) == F.col("token")
     common = F.size(F.array_intersect("other_tokens", "train_tokens")) - F.when(F.col("n") == 1, 1).otherwise(0)
-    exact = F.col("other_nums") == F.col("train_nums")
-    return met.where(first & (exact | ((F.col("other_ops") == F.col("train_ops")) & (common == F.col("n") - 1)))).select(
-        "target", "n", "train_nums", "train_ops", "train_rows", "other_nums", "other_ops", "other_rows", exact.alias("exact")
-    )
+    exact = common == F.col("n")
+    return met.where(first & (exact | ((F.col("other_ops") == F.col("train_ops")) & (common == F.col("n") - 1)))).select("train_cid", "train_rows", "other_cid", "other_rows", exact.alias("exact"))
 
 
 def split_overlap(df: DataFrame) -> DataFrame:
@@ -78,33 +63,27 @@ def split_overlap(df: DataFrame) -> DataFrame:
     to itself; an empty set of operators is a set; a blank split is a split other than train; repeated rows each
     take part; an empty table gives no rows.
 
-    A content with very many copies on both sides is unfolded in chunks of both sides' members, so that no task
+    A class with very many copies on both sides is unfolded in chunks of both sides' members, so that no task
     holds more than the rows of one pair of chunks.
     """
     records = _records(df)
-    chunk = lambda rows: F.greatest(F.lit(1), F.ceil(F.col(rows) / CHUNK)).cast("int")
-    sizes = _classes(records).select("is_train", "target", F.col("nums").alias("c_nums"), F.col("ops").alias("c_ops"), chunk("rows").alias("chunks"))
-    members = (
-        records.alias("r")
-        .join(sizes.alias("s"), (F.col("r.is_train") == F.col("s.is_train")) & (F.col("r.target") == F.col("s.target")) & (F.col("r.nums") == F.col("s.c_nums")) & (F.col("r.ops") == F.col("s.c_ops")))
-        .select("line_no", "r.is_train", "r.target", "nums", "ops", F.pmod(F.xxhash64("line_no"), F.col("chunks")).cast("int").alias("chunk"))
-    )
-    pairs = split_overlap_classes(df)
-    pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), chunk("train_rows") - 1)).alias("train_chunk")).select("*", F.explode(F.sequence(F.lit(0), chunk("other_rows") - 1)).alias("other_chunk"))
+    chunks = lambda rows: F.ceil(F.col(rows) / CHUNK).cast("int")
+    large = records.groupBy("is_train", "cid").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CHUNK).select("is_train", "cid", chunks("rows").alias("chunks"))
+    members = records.select("line_no", "is_train", "cid").join(large, ["is_train", "cid"], "left").select("line_no", "is_train", "cid", F.pmod(F.xxhash64("line_no"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
+    pairs = _class_pairs(records)
+    for name in ("train", "other"):
+        pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), chunks(f"{name}_rows") - 1)).alias(f"{name}_chunk"))
     for name, train in (("train", True), ("other", False)):
-        m = members.where(F.col("is_train") == train).select("target", F.col("nums").alias(f"{name}_nums"), F.col("ops").alias(f"{name}_ops"), F.col("chunk").alias(f"{name}_chunk"), F.col("line_no").alias(f"{name}_line"))
-        pairs = pairs.join(m, ["target", f"{name}_nums", f"{name}_ops", f"{name}_chunk"])
+        m = members.where(F.col("is_train") == train).select(F.col("cid").alias(f"{name}_cid"), F.col("chunk").alias(f"{name}_chunk"), F.col("line_no").alias(f"{name}_line"))
+        pairs = pairs.join(m, [f"{name}_cid", f"{name}_chunk"])
     return pairs.select(F.least("train_line", "other_line").alias("line_a"), F.greatest("train_line", "other_line").alias("line_b"))
 
 
 def split_overlap_report(df: DataFrame) -> DataFrame:
     """Per split other than train and metadata.source (null where unknown): rows that overlap train, exactly and almost.
 
-    A row that overlaps both ways counts as exact. Uses the content classes; no pairs of rows are made.
+    A row that overlaps both ways counts as exact. Uses the classes; no pairs of rows are made.
     """
-    hit = split_overlap_classes(df).groupBy("target", F.col("other_nums").alias("nums"), F.col("other_ops").alias("ops")).agg(F.max("exact").alias("exact"))
-    rows = _records(df).where("not is_train").select("line_no", "target", "nums", "ops").join(hit, ["target", "nums", "ops"])
-    named = df.select("line_no", F.lower(F.regexp_replace("split", r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", "")).alias("split"), F.col("metadata.source").alias("source"))
-    return rows.join(named, "line_no").groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("overlapping"), F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("almost")
-    )
+    hit = _class_pairs(_records(df)).groupBy(F.col("other_cid").alias("cid")).agg(F.max("exact").alias("exact"))
+    rows = _records(df, _split().alias("split"), F.col("metadata.source").alias("source")).where("not is_train").select("split", "source", "cid").join(hit, "cid")
+    return rows.groupBy("split", "source").agg(F.count(F.lit(1)).alias("overlapping"), F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("almost"))
