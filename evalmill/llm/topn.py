@@ -30,16 +30,17 @@ def practical_score(metrics: str = "metrics") -> Column:
 
 
 def _heap(entry: Column, n: int) -> Column:
-    """Spark's own bounded priority queue: partial heaps of size n before the shuffle, merged after it."""
-    return InternalFunction._invoke_internal_function_over_columns("collect_top_k", entry, F.lit(n), F.lit(False))
+    """Spark's own bounded priority queue, of the n lowest entries: partial heaps before the shuffle, merged after it."""
+    return InternalFunction._invoke_internal_function_over_columns("collect_top_k", entry, F.lit(n), F.lit(True))
 
 
 def top_n(df: DataFrame, group: str, score: Column, ties: list[str], n: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The ``n`` rows of each ``group`` with the highest ``score``; ties go to the lower ``ties`` columns, in order.
 
     A heap holds at most n entries for a group and task, so a group of any size, also one with a third of all
-    rows, sends n entries from each task; nothing is sorted or windowed over whole groups. The last of ``ties``
-    must be unique for the result to be determined.
+    rows, sends n entries from each task; nothing is windowed over whole groups. Ties may be of any type that can be
+    ordered, texts too; the last of them must be unique for the result to be determined. A task with more groups than
+    ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold`` goes on with sorted groups, which spill.
 
     Defined cases: a null score or NaN counts as the lowest; a null in a tie column loses to every value; a null
     group is a group of its own; groups with fewer than n rows come out whole; an empty table gives no rows;
@@ -52,13 +53,13 @@ def top_n(df: DataFrame, group: str, score: Column, ties: list[str], n: int = 3,
     if unknown := set(keep) - set(ties):
         raise ValueError(f"keep must be among ties: {sorted(unknown)}")
     entry = F.struct(
-        F.coalesce(F.nanvl(score.cast("double"), F.lit(None)), F.lit(float("-inf"))).alias("s"),
-        *(x for i, c in enumerate(ties) for x in (F.col(c).isNotNull().alias(f"h{i}"), (-F.col(c).cast("long")).alias(f"t{i}"))),
+        (-F.coalesce(F.nanvl(score.cast("double"), F.lit(None)), F.lit(float("-inf")))).alias("s"),
+        *(x for i, c in enumerate(ties) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"t{i}"))),
     )
     heaps = df.select(F.col(group).alias("g"), entry.alias("e")).groupBy("g").agg(_heap(F.col("e"), n).alias("top"))
     best = heaps.select("g", F.explode("top").alias("e"))
     at = {c: i for i, c in enumerate(ties)}
-    return best.select(F.col("g").alias(group), *((-F.col(f"e.t{at[c]}")).cast(df.schema[c].dataType).alias(c) for c in keep))
+    return best.select(F.col("g").alias(group), *(F.col(f"e.t{at[c]}").alias(c) for c in keep))
 
 
 def top_n_by_window(df: DataFrame, group: str, score: Column, ties: list[str], n: int = 3) -> DataFrame:

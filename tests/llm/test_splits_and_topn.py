@@ -61,6 +61,11 @@ def test_heaps_keep_what_a_window_keeps(spark):
     assert "partial_collect_top_k" in plan and "Window" not in plan
 
 
+def test_ties_may_be_texts(spark):
+    df = spark.createDataFrame([("a", 1.0, t) for t in ("b", "c", "a", None)] + [("a", 2.0, "z"), (None, None, "x")], "id string, s double, name string")
+    assert sorted(map(tuple, topn.top_n(df, "id", F.col("s"), ["name"], 3).collect()), key=str) == [("a", "a"), ("a", "b"), ("a", "z"), (None, "x")]
+
+
 def test_score_counts_missing_as_zero(spark):
     fields = ", ".join(f"{f}:double" for f, _ in topn.WEIGHTS)
     df = spark.createDataFrame([(0, (1.0, 1.0, 1.0, 1.0, 1.0, 1.0)), (1, (None, float("nan"), 1.0, None, None, None)), (2, None)], f"line_no long, metrics struct<{fields}>")
