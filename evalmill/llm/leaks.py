@@ -27,9 +27,11 @@ K, WINDOW = 5, 3
 LEAST, PER_EDIT = 24, 10
 #: Items are sent to all tasks if their texts take at most so many bytes; beyond that fingerprints are joined.
 MOST_SENT = 32 << 20
+#: Parts of a fingerprint's documents in the join.
+PARTS = 16
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbfv\"'/\\]")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*+>")  # a tag ends before the next one begins, so this is linear
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _INSIDE = re.compile("[­​‌‍⁠﻿]")
 
@@ -132,40 +134,54 @@ def _leaked(docs: pd.Series, items: pd.Series) -> pd.Series:
     return pd.Series([leaked(words(d), words(i)) for d, i in zip(docs.tolist(), items.tolist(), strict=True)])
 
 
+class Index:
+    """Fingerprints of the items in arrays that are made once and sent as they are; texts become words when they are met."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.keys, self.texts = [k for k, _ in items], [t for _, t in items]
+        prints = [winnow(gram_hashes(words(t))) for t in self.texts]
+        hashes = np.concatenate([*prints, np.zeros(0, np.uint64)])
+        owners = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order].astype(np.int32)
+
+    def met(self, prints: np.ndarray) -> list[int]:
+        """Numbers of the items that share a fingerprint."""
+        lo, hi = np.searchsorted(self.hashes, prints, "left"), np.searchsorted(self.hashes, prints, "right")
+        hits = np.flatnonzero(hi > lo)
+        return sorted({n for i, j in zip(lo[hits].tolist(), hi[hits].tolist(), strict=True) for n in self.owners[i:j].tolist()}) if len(hits) else []
+
+
 def _sent(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    """The items are in every task; documents are read once and nothing is shuffled."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast([(k, words(t)) for k, t in items])
+    """The items and their index are in every task; documents are read once and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value
-        prints = [winnow(gram_hashes(ws)) for _, ws in items]
-        owners: dict[int, list[int]] = {}
-        for n, p in enumerate(prints):
-            for h in p.tolist():
-                owners.setdefault(h, []).append(n)
-        index = np.sort(np.fromiter(owners, dtype=np.uint64, count=len(owners)))
+        index, known = shared.value, {}
         for b in batches:
             found = []
             for key, text in zip(b["key"].tolist(), b["text"].tolist(), strict=True):
                 ws = words(text)
-                mine = winnow(gram_hashes(ws))
-                if not len(mine) or not len(index):
-                    continue
-                at = np.minimum(np.searchsorted(index, mine), len(index) - 1)
-                met = {n for h in mine[index[at] == mine].tolist() for n in owners[h]}
-                found += [(key, items[n][0]) for n in sorted(met) if leaked(ws, items[n][1])]
+                for n in index.met(winnow(gram_hashes(ws))):
+                    item = known.get(n) or known.setdefault(n, words(index.texts[n]))
+                    if leaked(ws, item):
+                        found.append((key, index.keys[n]))
             yield pd.DataFrame(found, columns=["key", "item"]).astype("int64")
 
     return docs.mapInPandas(run, "key long, item long")
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Fingerprints of both sides are joined, then the texts of the pairs that met."""
+    """Fingerprints of both sides are joined, then the texts of the pairs that met.
+
+    A fingerprint that very many documents hold is joined in parts by the key of the document.
+    """
     kind = "key long, h long"
     d = docs.mapInPandas(_fingerprints, kind)
     i = items.mapInPandas(_fingerprints, kind).select(F.col("key").alias("item"), "h")
-    pairs = d.join(i, "h").select("key", "item").distinct()
+    d = d.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    i = i.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    pairs = d.join(i, ["h", "part"]).select("key", "item").distinct()
     texts = pairs.join(docs, "key").join(items.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item")
     return texts.where(_leaked("text", "item_text")).select("key", "item")
 

@@ -58,6 +58,9 @@ def test_words_without_markup():
     for text in ["> Every baker near Noze\n> owns 381 nets, while Famok\n> fills 60 cellars by 4 o’clock.", "<p>Every **baker** near _Noze_</p> owns 381 nets; while FAMOK fills 60 cellars by 4 o&#39;clock", "Every baker near Noze owns\\n381\\tnets, while\\u0020Famok fills 60 cel­lars by 4 o'clock"]:
         assert leaks.words(text) == leaks.words(item)
     assert leaks.words(None) == leaks.words("") == []
+    tag = '<img alt="' + "x " * 300 + '">'  # tags may have any length
+    assert leaks.words(item.replace("owns", f"{tag} owns")) == leaks.words(item)
+    assert len(leaks.words("<a " * 100_000)) == 100_000
 
 
 @pytest.fixture(scope="module")
