@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,7 +34,7 @@ def session(app: str = "evalmill", cpus: int | None = None, **conf: str) -> Spar
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local."""
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
+    current = sc._jsc.sc().getCheckpointDir()  # a folder of this application under the one that was set
     if current.isDefined():
         return current.get()
     given = sc.getConf().get("spark.checkpoint.dir")
@@ -45,6 +46,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return given
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once as Parquet into the shared checkpoint folder and read from there.
+
+    It cuts lineage as a checkpoint does, but is compressed and read by column, and executors that are lost take
+    nothing with them. The folder is named after the application, so that it can be removed with it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/evalmill-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application, so that executors need no install."""
     sc = spark.sparkContext
