@@ -1,10 +1,11 @@
 """Records that are the same but for formatting, in groups with their number of copies.
 
 1. Every row gets a 64-bit key: the engine's hash of the columns compared by value, joined with a polynomial hash
-   of the texts, streamed through a skip-and-fold table.
+   of the texts, streamed through a skip-and-fold table. Keyed rows are written once; nothing is hashed again.
 2. Keys are counted with partial aggregation, so that a key of any frequency shrinks before the shuffle.
-3. Rows of keys that occur more than once (very frequent keys in parts) are compared with the first row of their key:
-   values by equality, texts with two pointers that skip what does not count.
+3. Rows of keys that occur more than once meet by key, very frequent keys in parts. Rows are compared with the first of
+   their part: values by equality, texts with two pointers that skip what does not count. The firsts of the parts of a
+   key are compared with the first of the key in the same way.
 4. Rows that share a key with a row they differ from (a collision) are grouped by their folded content instead.
 
 Rows of several tables go through one plan; ``tab`` keeps them apart.
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalmill.llm import folding
+from evalmill.session import written
 
-#: Rows of one key that one task compares, about; keys with more are split.
-HOT = 100_000
+#: Rows of one key that one task compares, about; keys with more are split. No more than MOST_HOT keys are: beyond
+#: that many rows, tasks take more of one key each.
+HOT, MOST_HOT = 100_000, 4096
 
 
 @F.pandas_udf(T.LongType())
@@ -65,28 +68,44 @@ def prepared(df: DataFrame, tab: str, line: str, values: list[Column], texts: li
     return df.select(F.lit(tab).alias("tab"), F.col(line).cast("long").alias("line"), vals.alias("vals"), F.array(*([json] if json is not None else texts)).alias("texts"), F.lit(json is not None).alias("is_json"))
 
 
+def _compared(df: DataFrame, other: str) -> DataFrame:
+    """Adds ``differs``: null if a row is the same as the row in the struct ``other``, else a digest of its content."""
+    same_values = (F.col("vals") == F.col(f"{other}.vals")) & (F.col("tab") == F.col(f"{other}.tab"))
+    return df.withColumn("differs", F.when(F.col("line") != F.col(f"{other}.line"), _difference(same_values, F.col("texts"), F.col(f"{other}.texts"), F.col("is_json"))))
+
+
 def find_copies(rows: DataFrame) -> DataFrame:
-    """(tab, first_line, copy_line) of all rows that are the same up to formatting, of ``prepared`` rows."""
+    """(tab, first_line, copy_line) of all rows that are the same up to formatting, of ``prepared`` rows.
+
+    Writes the keyed rows when it is called (see ``session.written``).
+    """
     # between two texts stands a sign that counts, so that no full stop comes between digits of both
     joined = F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.array_join("texts", "="))
     hashed = rows.withColumn("h", _key(joined, F.col("is_json"))).where("h is not null or not is_json")
-    keyed = hashed.withColumn("key", F.xxhash64("tab", "vals", "h")).drop("h")
+    keyed = written(hashed.withColumn("key", F.xxhash64("tab", "vals", "h")).drop("h"), "copies")
+    hot_from = max(HOT, -(-keyed.count() // MOST_HOT))
     groups = keyed.groupBy("key").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.select("key", "first", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
-    # keys with more than HOT rows, so at most one for each HOT rows of the tables, go to all tasks
-    hot = F.broadcast(groups.where("parts > 1").select("key", F.col("parts").alias("cut")))
+    groups = groups.select("key", "first", F.ceil(F.col("n") / hot_from).cast("int").alias("parts"))
+    hot = F.broadcast(groups.where("parts > 1").select("key", F.col("parts").alias("cut")))  # MOST_HOT rows at most
     salted = keyed.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("line"), F.col("cut")).cast("int"), F.lit(0))).drop("cut")
-    spread = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    members = salted.join(spread(groups), ["key", "part"])
-    firsts = spread(members.where("line = first").select("key", "parts", F.col("vals").alias("f_vals"), F.col("texts").alias("f_texts"), F.col("tab").alias("f_tab"))).drop("parts")
-    compared = members.where("line <> first").join(firsts, ["key", "part"])
-    same_values = (F.col("vals") == F.col("f_vals")) & (F.col("tab") == F.col("f_tab"))
-    compared = compared.select("key", "tab", "line", "first", "vals", _difference(same_values, F.col("texts"), F.col("f_texts"), F.col("is_json")).alias("differs"))
-    # rows that are the same stand alone here; those that differ from the first meet their likes
-    content = F.when(F.col("differs").isNull(), F.col("line").cast("string")).otherwise(F.concat_ws("\u0002", "differs", "tab", "vals"))
-    likes = Window.partitionBy("key", "content")
-    settled = compared.withColumn("content", F.sha2(content, 256)).withColumn("first", F.when(F.col("differs").isNull(), F.col("first")).otherwise(F.min("line").over(likes)))
-    return settled.where("line <> first").select("tab", F.col("first").alias("first_line"), F.col("line").alias("copy_line"))
+    spread = groups.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    members = salted.join(spread, ["key", "part"])
+    row = F.struct("line", "tab", "vals", "texts")
+    in_part = Window.partitionBy("key", "part").orderBy("line")  # of one part at most; the join has sorted it nearly so
+    seen = _compared(members.withColumn("lead", F.first(row).over(in_part)), "lead")
+    content = lambda digest: F.when(digest.isNotNull(), F.concat_ws("\u0002", digest, F.col("tab"), F.col("vals")))
+    light = seen.select("key", "part", "tab", "line", "first", content(F.col("differs")).alias("own"))
+    # the leads of the parts of a hot key against the first row of the key: MOST_HOT keys with MOST_HOT parts at most
+    leads = members.where("parts > 1").groupBy("key", "part").agg(F.min_by(F.struct("line", "tab", "vals", "texts", "is_json"), "line").alias("l"), F.min("first").alias("first")).select("key", "part", "first", "l.*")
+    digest = _difference(F.lit(False), F.col("texts"), F.col("texts"), F.col("is_json"))
+    origin = leads.where("line = first").select("key", row.alias("origin"), content(digest).alias("origin_content"))
+    settled = _compared(leads.join(origin, "key"), "origin").select("key", "part", content(F.col("differs")).alias("of_lead"), "origin_content")
+    placed = light.join(settled, ["key", "part"], "left").withColumn("content", F.nullif(F.coalesce("own", "of_lead"), F.col("origin_content")))
+    # rows that are the same as the first of their key stand alone here; those that differ from it meet their likes
+    apart = F.when(F.col("content").isNull(), F.concat_ws("\u0002", "tab", F.col("line").cast("string"))).otherwise(F.col("content"))
+    likes = Window.partitionBy("key", "apart")
+    found = placed.withColumn("apart", F.sha2(apart, 256)).withColumn("first", F.when(F.col("content").isNull(), F.col("first")).otherwise(F.min("line").over(likes)))
+    return found.where("line <> first").select("tab", F.col("first").alias("first_line"), F.col("line").alias("copy_line"))
 
 
 def formatting_copies(df: DataFrame, line: str, values: list[Column], texts: list[Column], json: Column | None = None) -> DataFrame:

@@ -107,6 +107,21 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert got == {(0, 3), (1, 2), (1, 4)}
 
 
+def test_collisions_in_a_hot_key(spark, monkeypatch):
+    """The same where a key is split: parts begin with rows of either content."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(copies, "HOT", 5)
+    texts = [("a", "A ", "b", "b.", "c", "B", "a.")[i % 7] for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "line_no long, t string")
+    monkeypatch.setattr(copies, "_key", lambda c, is_json: F.lit(1).cast("long"))
+    firsts, expected = {}, set()
+    for i, t in enumerate(texts):
+        f = firsts.setdefault(folding.folded(t), i)
+        expected |= {(f, i)} if f != i else set()
+    assert {tuple(r) for r in copies.formatting_copies(df, "line_no", [], [F.col("t")]).collect()} == expected
+
+
 def test_empty_tables_and_hot_group(spark, monkeypatch):
     monkeypatch.setattr(copies, "HOT", 100)
     df = rows(spark, [])
