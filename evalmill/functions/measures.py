@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The weights of the practical score and the order in which they are added.
 PRACTICAL = (("valid_expression", 3.0), ("uses_allowed_numbers", 2.0), ("number_multiset_f1", 1.5), ("uses_allowed_ops", 1.0), ("numeric_distance_reward", 1.0), ("reward_hacking_candidate", -2.0))
@@ -111,3 +114,36 @@ def auxiliary_reward(weights: dict[str, float] | None = None, struct: str = "met
 
 def total_reward(weights: dict[str, float] | None = None, primary_weight: float = 1.0, struct: str = "metrics") -> Column:
     return primary_reward(struct) * F.lit(float(primary_weight)) + auxiliary_reward(weights, struct)
+
+
+def all_finite(value: Column, kind: T.DataType) -> Column:
+    """Whether all numbers in a value of any type are finite; texts, booleans and nulls pass."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(True))
+    if isinstance(kind, T.StructType):
+        parts = [all_finite(value[f.name], f.dataType) for f in kind.fields]
+        return functools.reduce(lambda a, b: a & b, parts, F.lit(True))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.forall(value, lambda x: all_finite(x, kind.elementType)), F.lit(True))
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.forall(F.map_values(value), lambda x: all_finite(x, kind.valueType)), F.lit(True))
+    return F.lit(True)
+
+
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """A value of any type in which numbers that JSON cannot say (NaN, infinities) are null."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(json_safe(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: json_safe(x, kind.valueType))
+    return value
+
+
+def first_known(df: DataFrame, *columns: str) -> Column:
+    """The first of the columns that the table has, with 0 for null and NaN; 0 where it has none."""
+    named = next((c for c in columns if c in df.columns), None)
+    return F.lit(0.0) if named is None else F.coalesce(F.nanvl(F.col(named).cast("double"), F.lit(0.0)), F.lit(0.0))

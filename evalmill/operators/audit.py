@@ -60,11 +60,20 @@ def overlap_matrix(df: DataFrame, group: Column, key: Column) -> DataFrame:
 
 def overlap_stats(left: DataFrame, right: DataFrame, key: Callable[[], Column] = K.semantic_key, row_id: str = "id") -> DataFrame:
     """One row: shared keys, affected rows and distinct ids of both sides, pairs of rows, shares of both sides."""
-    side = lambda df: df.select(key().alias("k"), row_id)
-    count = lambda df, n: side(df).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias(n), F.count_distinct(row_id).alias(f"{n}_ids"))
-    both = count(left, "l").join(count(right, "r"), "k").agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("pairs"))
-    sizes = left.agg(F.count(F.lit(1)).alias("ln")).crossJoin(right.agg(F.count(F.lit(1)).alias("rn")))  # one row each
-    return both.crossJoin(sizes).select("keys", "left_rows", "right_rows", "pairs", F.coalesce(F.try_divide("left_rows", "ln"), F.lit(0.0)).alias("left_share"), F.coalesce(F.try_divide("right_rows", "rn"), F.lit(0.0)).alias("right_share"))
+    side = lambda df: df.select(key().alias("k"))
+    count = lambda df, n: side(df).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias(n))
+    met = count(left, "l").join(count(right, "r"), "k")
+    both = met.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("pairs"))
+    ids = affected_ids(left, right, key, row_id).groupBy().agg(F.count_if(F.col("side") == "left").alias("left_ids"), F.count_if(F.col("side") == "right").alias("right_ids"))
+    sizes = left.agg(F.count(F.lit(1)).alias("ln")).crossJoin(right.agg(F.count(F.lit(1)).alias("rn"))).crossJoin(ids)  # one row each
+    return both.crossJoin(sizes).select("keys", "left_rows", "right_rows", "left_ids", "right_ids", "pairs", F.coalesce(F.try_divide("left_rows", "ln"), F.lit(0.0)).alias("left_share"), F.coalesce(F.try_divide("right_rows", "rn"), F.lit(0.0)).alias("right_share"))
+
+
+def affected_ids(left: DataFrame, right: DataFrame, key: Callable[[], Column] = K.semantic_key, row_id: str = "id") -> DataFrame:
+    """(side, id): the distinct ids of either side whose keys the other side has too."""
+    rows = lambda df: df.select(key().alias("k"), F.col(row_id).alias("id")).where("k is not null")
+    one = lambda a, b, name: rows(a).join(rows(b).select("k"), "k", "left_semi").where("id is not null").select(F.lit(name).alias("side"), "id").distinct()
+    return one(left, right, "left").unionByName(one(right, left, "right"))
 
 
 def frozen_ids(ids: DataFrame, tasks: DataFrame, intended: Column) -> DataFrame:
@@ -135,3 +144,42 @@ def view_checks(source: DataFrame, sample: DataFrame, rest: DataFrame, key: str)
     sides = flag(source, "source").unionByName(flag(sample, "sample")).unionByName(flag(rest, "rest")).groupBy(key).agg(F.collect_set("side").alias("in"))  # three names at most
     has = lambda n: F.array_contains("in", n)
     return sides.agg(F.count_if(has("sample") & has("rest")).alias("shared"), F.count_if(has("source") & ~has("sample") & ~has("rest")).alias("missing"), F.count_if(~has("source")).alias("foreign"))
+
+
+def train_exposure(ids: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row: the digest of an ordered list of (pos, id), its ids, and how many of their tasks train has too, by key."""
+    from evalmill.operators.sampling import ordered_digest
+
+    own = ids.select("id").distinct().join(tasks.select("id", K.semantic_key().alias("k")), "id").where("k is not null")
+    train = tasks.where(split_name() == "train").select(K.semantic_key().alias("k")).where("k is not null").distinct()
+    exposed = own.join(train, "k", "left_semi").agg(F.count_distinct("id").alias("exposed"))
+    return ordered_digest(ids, "pos", "id").crossJoin(exposed)  # one row each
+
+
+def audit_verdict(df: DataFrame, split: str = "split") -> DataFrame:
+    """(check, level, failures): every check of a task set with how many rows, ids or keys fail it, also where none does.
+
+    Levels: integrity (the data is wrong), leak (evaluation tasks are in train), warning.
+    """
+    per = split_audit(df, split)
+    name = split_name(split)
+    t = df.withColumn("_split", name)
+    overlap = overlap_stats(t.where("_split = 'train'"), t.where("_split <> 'train'"))
+    loose = overlap_stats(t.where("_split = 'train'"), t.where("_split <> 'train'"), K.loose_key)
+    conflicts = identity_conflicts(df)
+    facts = [
+        (per.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("n")), "rows that lack what a task needs", "integrity"),
+        (per.agg(F.coalesce(F.sum("repeated_ids"), F.lit(0)).alias("n")), "ids that repeat in a split", "integrity"),
+        (per.agg(F.coalesce(F.sum("repeated_keys"), F.lit(0)).alias("n")), "tasks that repeat in a split", "warning"),
+        (conflicts.where("kind = 'id'").agg(F.count(F.lit(1)).alias("n")), "ids that stand for several tasks", "integrity"),
+        (conflicts.where("kind = 'task'").agg(F.count(F.lit(1)).alias("n")), "tasks that have several ids", "warning"),
+        (t.agg(F.count_if(F.col("_split").isNull()).alias("n")), "rows without a split", "integrity"),
+        (t.agg(F.count_if(F.coalesce(~tier_fits_split(split), F.lit(False))).alias("n")), "tiers that their split may not hold", "integrity"),
+        (overlap.select(F.col("right_ids").alias("n")), "evaluation ids whose task is in train", "leak"),
+        (loose.select(F.col("right_ids").alias("n")), "evaluation ids whose numbers and target are in train", "warning"),
+    ]
+    out = None
+    for counted, check, level in facts:
+        row = counted.select(F.lit(check).alias("check"), F.lit(level).alias("level"), F.col("n").cast("long").alias("failures"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions import measures as M
@@ -25,7 +25,7 @@ WIDE_FLOORS = FLOORS | {"valid_expression": 0.30}
 WIDE_CAPS = CAPS | {"valid_expression": 0.45}
 #: In the phases A and B of the phased controller, the cap of the distance weight and raised floors.
 PHASES = {"A": (0.16, {"valid_expression": 0.22, "number_multiset_f1": 0.28, "allowed_ops": 0.12}), "B": (0.25, {"valid_expression": 0.18, "number_multiset_f1": 0.20})}
-STRATEGIES = ("adaptive", "adaptive_stable", "adaptive_stable_wide", "adaptive_phased", "static", "manual", "random")
+STRATEGIES = ("adaptive", "adaptive_stable", "adaptive_stable_v12", "adaptive_phased", "static", "manual", "random")
 
 
 @dataclass
@@ -98,7 +98,7 @@ class WeightController:
         return out
 
     def _bounds(self) -> tuple[dict[str, float], dict[str, float]]:
-        wide = self.s.strategy == "adaptive_stable_wide"
+        wide = self.s.strategy == "adaptive_stable_v12"
         floors, caps = dict(WIDE_FLOORS if wide else FLOORS), dict(WIDE_CAPS if wide else CAPS)
         if self.s.strategy == "adaptive_phased":
             cap, raised = PHASES[self.state["phase"]]
@@ -170,9 +170,10 @@ def replay_weights(batches: DataFrame, run: str, settings: WeightSettings | None
 
 
 def ema(batches: DataFrame, run: str, order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """(run, steps, ema): the moving average of a run from 0, inside the engine; runs are of bounded length."""
-    steps = F.array_sort(F.collect_list(F.struct(order, value)))
-    return batches.groupBy(run).agg(steps.alias("s")).select(run, F.size("s").alias("steps"), F.aggregate("s", F.lit(0.0), lambda a, x: a * beta + x[value] * (1 - beta)).alias("ema"))
+    """(run, steps, ema): the moving average of a run from 0, as the weighted sum that it is; a run is sorted, not collected."""
+    age = F.row_number().over(Window.partitionBy(run).orderBy(F.col(order).desc())) - 1
+    aged = batches.select(run, F.col(value).alias("_v"), age.alias("_age"))
+    return aged.groupBy(run).agg(F.count(F.lit(1)).cast("int").alias("steps"), F.sum(F.col("_v") * (1 - beta) * F.pow(F.lit(float(beta)), F.col("_age"))).alias("ema"))
 
 
 @dataclass
@@ -250,13 +251,29 @@ def candidate_weights(random_count: int = 200, seed: int = 0, keys: tuple[str, .
     return np.array([[0.2] * n, [0.0] * n, *np.eye(n).tolist(), *([1.2 * x / (sum(v) or 1.0) for x in v] for v in drawn)])
 
 
-def reward_groups(df: DataFrame, run: list[str], batch: Column, order: list[str], size: int = 4, keys: tuple[str, ...] = M.AUXILIARY) -> DataFrame:
-    """(run, batch, grp, rows): whole groups of ``size`` consecutive rows of a batch, each row [correct, components]."""
+def _grouped_rewards(df: DataFrame, run: list[str], batch: Column, order: list[str], size: int, keys: tuple[str, ...]) -> DataFrame:
     from evalmill.operators.diagnosis import positional_groups
 
-    rows = df.select(*run, batch.alias("batch"), *[c for c in order if c not in run], F.array(M.metric("correct"), *(M.metric(k) for k in keys)).alias("x"))
-    g = positional_groups(rows, [*run, "batch"], order, size).groupBy(*run, "batch", "grp").agg(F.array_sort(F.collect_list(F.struct(*order, "x"))).alias("r"))
-    return g.where(F.size("r") == size).select(*run, "batch", "grp", F.transform("r", lambda r: r.x).alias("rows"))
+    rows = df.select(*run, batch.alias("batch"), *[c for c in order if c not in run], F.col("id").alias("_id"), F.array(M.metric("correct"), *(M.metric(k) for k in keys)).alias("x"))
+    g = positional_groups(rows, [*run, "batch"], order, size).groupBy(*run, "batch", "grp")
+    return g.agg(F.array_sort(F.collect_list(F.struct(*order, "x"))).alias("r"), F.count_distinct("_id").alias("ids"))  # size rows at most
+
+
+def group_faults(df: DataFrame, run: list[str], batch: Column, order: list[str], size: int = 4) -> DataFrame:
+    """(run, groups, uneven, mixed): groups of consecutive rows, those that are not full, and those of several ids."""
+    g = _grouped_rewards(df, run, batch, order, size, ())
+    return g.groupBy(*run).agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.size("r") < size).alias("uneven"), F.count_if(F.col("ids") > 1).alias("mixed"))
+
+
+def reward_groups(df: DataFrame, run: list[str], batch: Column, order: list[str], size: int = 4, keys: tuple[str, ...] = M.AUXILIARY) -> DataFrame:
+    """(run, batch, grp, rows): groups of ``size`` consecutive rows of a batch, each row [correct, components].
+
+    A batch that does not divide into full groups, and a group of several ids, raise; see ``group_faults``.
+    """
+    g = _grouped_rewards(df, run, batch, order, size, keys)
+    whole = (F.size("r") == size) & (F.col("ids") <= 1)
+    rows = F.when(whole, F.transform("r", lambda r: r.x)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("a group is not full or has several ids:"), *(F.col(c).cast("string") for c in (*run, "batch", "grp")))))
+    return g.select(*run, "batch", "grp", rows.alias("rows"))
 
 
 CEILING = "has_correct boolean, dead boolean, on_top boolean, top_flips boolean, positive_changes boolean, rescuable boolean, demotable boolean, revivable boolean"
@@ -301,8 +318,9 @@ def ceiling_report(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
 class Bandit:
     """EXP3 over the keys and an arm that does nothing; the drawn arm raises its weight and the budget is kept."""
 
-    def __init__(self, keys: int, gamma: float = 0.1, step: float = 0.05, seed: int = 0):
+    def __init__(self, keys: int, gamma: float = 0.1, step: float = 0.05, seed: int = 0, signal: bool = True):
         self.n, self.gamma, self.step = keys + 1, gamma, step
+        self.signal = signal  # without it no arm ever gains, which shows how far chance alone goes
         self.arms, self.weights, self.rng = np.ones(keys + 1), np.full(keys, 0.2), random.Random(seed)
 
     def round(self, x: np.ndarray) -> None:
@@ -313,7 +331,7 @@ class Bandit:
             new[arm] = min(0.35, new[arm] + self.step)
             new *= 0.2 * len(new) / new.sum()
         gain = 0.0
-        if len(x):
+        if len(x) and self.signal:
             r = x[:, :, :1] + x[:, :, 1:] @ np.stack([self.weights, new], axis=1)
             positive = r > r.mean(axis=1, keepdims=True) + 1e-12
             gain = float((positive[:, :, 0] != positive[:, :, 1]).any(axis=1).mean())
@@ -322,21 +340,70 @@ class Bandit:
         self.weights = new
 
 
-def replay_bandit(groups: DataFrame, run: str, block: int = 10, seed: int = 0, keys: int = len(M.AUXILIARY)) -> DataFrame:
-    """(run, rounds, final_l1, max_l1, weights): the bandit over each run's groups, ``block`` batches a round."""
+def replay_bandit(groups: DataFrame, run: str, block: int = 10, seed: int = 0, keys: int = len(M.AUXILIARY), signal: bool = True) -> DataFrame:
+    """(run, rounds, final_l1, max_l1, weights): the bandit over each run's groups, ``block`` batches a round.
+
+    ``signal=False`` is the control in which no arm gains anything.
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["batch", "grp"])
-        numbered = pd.factorize(g["batch"])[0] // block
-        bandit, most, rounds = Bandit(keys, seed=seed), 0.0, 0
-        for _, part in g.groupby(numbered, sort=True):
-            before = bandit.weights
-            bandit.round(np.array([[list(r) for r in rows] for rows in part["rows"]], dtype=float))
-            most, rounds = max(most, float(np.abs(bandit.weights - before).sum())), rounds + 1
-        return pd.DataFrame([{run: g[run].iloc[0], "rounds": rounds, "final_l1": float(np.abs(bandit.weights - 0.2).sum()), "max_l1": most, "weights": bandit.weights.tolist()}])
+    Groups of a run come to one task as a sorted stream; only those of the current round are in memory.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+
+        def finish() -> pd.DataFrame:
+            close()
+            return pd.DataFrame([{run: state["run"], "rounds": state["rounds"], "final_l1": float(np.abs(state["bandit"].weights - 0.2).sum()), "max_l1": state["most"], "weights": state["bandit"].weights.tolist()}])
+
+        def close() -> None:
+            if state["rows"]:
+                before = state["bandit"].weights
+                state["bandit"].round(np.array(state["rows"], dtype=float))
+                state["most"], state["rounds"], state["rows"] = max(state["most"], float(np.abs(state["bandit"].weights - before).sum())), state["rounds"] + 1, []
+
+        for part in batches:
+            for r, b, rows in zip(part[run].tolist(), part["batch"].tolist(), part["rows"], strict=True):
+                if state is None or state["run"] != r:
+                    if state is not None:
+                        yield finish()
+                    state = {"run": r, "bandit": Bandit(keys, seed=seed, signal=signal), "batch": b, "seen": 0, "rows": [], "rounds": 0, "most": 0.0}
+                if b != state["batch"]:
+                    state["batch"], state["seen"] = b, state["seen"] + 1
+                    if state["seen"] % block == 0:
+                        close()
+                state["rows"].append([list(x) for x in rows])
+        if state is not None:
+            yield finish()
 
     kind = groups.schema[run].dataType.simpleString()
-    return groups.groupBy(run).applyInPandas(fold, f"{run} {kind}, rounds long, final_l1 double, max_l1 double, weights array<double>")
+    return groups.repartition(run).sortWithinPartitions(run, "batch", "grp").mapInPandas(fold, f"{run} {kind}, rounds long, final_l1 double, max_l1 double, weights array<double>")
+
+
+def simulate(spark: SparkSession, grid: list[WeightSettings], steps: int = 200, gain: float = 0.02, hack: str = "format", seed: int = 0) -> DataFrame:
+    """(setting, strategy, step, primary, behaviours, weights): closed loops of controllers and what they reward.
+
+    In each step a behaviour moves to 1 by ``gain`` times its weight, and back to 0 by a tenth of ``gain``; the primary
+    success follows the product of the behaviours other than ``hack``, which costs nothing to show and brings nothing.
+    A little noise, drawn by setting and step, is added. One setting is one row of work, spread over the cluster.
+    """
+    rows = [(i, json.dumps(asdict(s))) for i, s in enumerate(grid)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for number, text in zip(b["setting"], b["settings"], strict=True):
+                given = json.loads(text)
+                chosen = WeightSettings(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+                controller, rng = WeightController(chosen), random.Random(f"{seed}:{number}")
+                shown, out = dict.fromkeys(chosen.keys, 0.1), []
+                for step in range(steps):
+                    weights = dict(controller.state["weights"])
+                    shown = {k: min(1.0, max(0.0, v + gain * (weights[k] * (1 - v) - 0.1 * v) + rng.gauss(0, 0.002))) for k, v in shown.items()}
+                    primary = math.prod(v for k, v in shown.items() if k != hack)
+                    controller.update(primary, shown)
+                    out.append((number, chosen.strategy, step, primary, dict(shown), weights))
+                yield pd.DataFrame(out, columns=["setting", "strategy", "step", "primary", "behaviours", "weights"])
+
+    return spark.createDataFrame(rows, "setting long, settings string").repartition(max(1, len(rows))).mapInPandas(run, "setting long, strategy string, step long, primary double, behaviours map<string,double>, weights map<string,double>")
 
 
 def dump(state: dict) -> str:

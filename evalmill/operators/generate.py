@@ -91,3 +91,53 @@ def rejections(pools: list[tuple[DataFrame, int]]) -> DataFrame:
         made = d if made is None else made.unionByName(d)
     first = made.groupBy("key").agg(F.min("pool").alias("pool")).groupBy("pool").agg(F.count(F.lit(1)).alias("new"))
     return made.groupBy("pool").agg(F.count(F.lit(1)).alias("proposals")).join(first, "pool", "left").select("pool", "proposals", F.coalesce("new", F.lit(0)).alias("new"))
+
+
+class RecipeError(ValueError):
+    """A recipe asks for what cannot be built."""
+
+
+def pool_targets(quotas: dict[str, dict[str, int]]) -> dict[str, int]:
+    """How many tasks each tier needs over all splits."""
+    out: dict[str, int] = {}
+    for tiers in quotas.values():
+        for tier, n in tiers.items():
+            out[tier] = out.get(tier, 0) + n
+    return out
+
+
+def check_recipe(quotas: dict[str, dict[str, int]], proposals_of: dict[str, int]) -> None:
+    """Raises RecipeError for unknown tiers, quotas that are no positive integers, and pools that are smaller than their quotas."""
+    for split, tiers in quotas.items():
+        for tier, n in tiers.items():
+            if tier not in TIERS:
+                raise RecipeError(f"{split}: unknown tier {tier!r}")
+            if type(n) is not int or n < 1:
+                raise RecipeError(f"{split}: {tier} has the quota {n!r}")
+    for tier, n in pool_targets(quotas).items():
+        if proposals_of.get(tier, 0) < n:
+            raise RecipeError(f"{tier} needs {n} tasks of {proposals_of.get(tier, 0)} proposals")
+
+
+def build_splits(spark: SparkSession, quotas: dict[str, dict[str, int]], proposals_of: dict[str, int], seed: int = 0) -> DataFrame:
+    """(split, difficulty, numbers, target, allowed_ops, solution, ...): all splits of a data set from one set of pools.
+
+    Each tier is one pool; no task is in two splits or twice in one. A tier's tasks go to the splits in the order given,
+    by their quotas. A pool that ran out gives short splits; ``manifest`` shows them.
+    """
+    check_recipe(quotas, proposals_of)
+    targets = pool_targets(quotas)
+    tasks = accept([(proposals(spark, tier, proposals_of[tier], seed + k), n) for k, (tier, n) in enumerate(targets.items())])
+    split, ends = F.lit(None).cast("string"), dict.fromkeys(targets, 0)
+    for name, tiers in quotas.items():
+        for tier, n in tiers.items():
+            here = (F.col("tier") == tier) & F.col("position").between(ends[tier], ends[tier] + n - 1)
+            split, ends[tier] = F.when(here, name).otherwise(split), ends[tier] + n
+    return tasks.withColumn("split", split).withColumnRenamed("tier", "difficulty")
+
+
+def manifest(tasks: DataFrame, quotas: dict[str, dict[str, int]]) -> DataFrame:
+    """(split, difficulty, quota, rows, digest): what was asked for and built; the digest is over the sorted task keys."""
+    asked = tasks.sparkSession.createDataFrame([(s, t, n) for s, tiers in quotas.items() for t, n in tiers.items()], "split string, difficulty string, quota int")
+    built = K.set_digest(tasks.select("split", "difficulty", K.semantic_key().alias("k")), "k", ["split", "difficulty"])
+    return asked.join(built, ["split", "difficulty"], "left").select("split", "difficulty", "quota", F.coalesce("members", F.lit(0)).alias("rows"), "digest")

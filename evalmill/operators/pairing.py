@@ -64,10 +64,13 @@ def matching_payload(left: DataFrame, right: DataFrame, key: str, fields: list[s
     return left.join(r, key, "left").select(key, F.col("r").isNotNull().alias("known"), F.when(F.col("r").isNotNull(), differ).alias("different"))
 
 
-def ordered_lookup(ids: DataFrame, rows: DataFrame, key: str = "id", position: str = "pos", last: str = "line_no") -> DataFrame:
-    """Rows of an ordered list of ids, the last row of each id; ids without a row come out with nulls."""
+def ordered_lookup(ids: DataFrame, rows: DataFrame, key: str = "id", position: str = "pos", last: str = "line_no", strict: bool = True) -> DataFrame:
+    """Rows of an ordered list of ids, the last row of each id; an id without a row raises (else it comes out with nulls)."""
     kept = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), last).alias("row"))
-    return ids.join(kept, key, "left").select(position, key, "row.*")
+    found = F.col("row")
+    if strict:
+        found = F.when(F.col("row").isNotNull(), F.col("row")).otherwise(F.raise_error(F.concat(F.lit("no row has the id "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return ids.join(kept, key, "left").select(position, key, found.alias("row")).select(position, key, "row.*")
 
 
 def stacked_panel(runs: DataFrame, key: str, run: str, value: str) -> DataFrame:

@@ -17,8 +17,8 @@ from evalmill.functions import keys as K
 from evalmill.functions import measures as M
 from evalmill.functions import text as X
 from evalmill.functions import verifier as V
-from evalmill.operators import audit, banks, control, diagnosis, generate, inference, pairing, sampling
-from evalmill.plans import scorecard
+from evalmill.operators import audit, banks, control, diagnosis, generate, inference, pairing, reports, sampling
+from evalmill.plans import identity, scorecard
 from evalmill.session import table
 from evalmill.sources import files
 
@@ -106,8 +106,8 @@ def best_of_n_by_tier(s, d):
 
 @query(
     _BASE
-    + """, n AS (SELECT bank, id, count(*) AS rows_, count(DISTINCT candidate_index) AS distinct_, max(candidate_index) AS top FROM candidates GROUP BY bank, id), low AS (SELECT bank, id, count(DISTINCT candidate_index) AS l FROM candidates JOIN banks USING (bank) WHERE candidate_index < n_candidates AND candidate_index < 64 GROUP BY bank, id)
-SELECT n.bank, count(*) AS units, sum(rows_)::BIGINT AS "rows", sum(rows_ - distinct_)::BIGINT AS repeated, count(*) FILTER (coalesce(l, 0) < least(n_candidates, 64)) AS incomplete, count(*) FILTER (distinct_ <> top + 1) AS gaps FROM n LEFT JOIN banks USING (bank) LEFT JOIN low ON low.bank = n.bank AND low.id = n.id GROUP BY n.bank"""
+    + """, n AS (SELECT bank, id, count(*) AS rows_, count(DISTINCT candidate_index) AS distinct_, max(candidate_index) AS top FROM candidates GROUP BY bank, id), low AS (SELECT bank, id, count(DISTINCT candidate_index) AS l FROM candidates JOIN banks USING (bank) WHERE candidate_index < n_candidates GROUP BY bank, id)
+SELECT n.bank, count(*) AS units, sum(rows_)::BIGINT AS "rows", sum(rows_ - distinct_)::BIGINT AS repeated, count(*) FILTER (coalesce(l, 0) < n_candidates) AS incomplete, count(*) FILTER (distinct_ <> top + 1) AS gaps FROM n LEFT JOIN banks USING (bank) LEFT JOIN low ON low.bank = n.bank AND low.id = n.id GROUP BY n.bank"""
 )
 def bank_integrity(s, d):
     return banks.integrity(_candidates(s, d), table(s, d, "banks"))
@@ -500,7 +500,8 @@ def overlap_matrix(s, d):
 
 @query(
     f"""WITH k AS (SELECT {_KEY} AS k, lower(trim(split)) = 'train' AS tr, split IS NOT NULL AS sp FROM tasks WHERE numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL), l AS (SELECT k, count(*) AS l FROM k WHERE tr GROUP BY k), r AS (SELECT k, count(*) AS r FROM k WHERE sp AND NOT tr GROUP BY k),
-b AS (SELECT count(*) AS keys, coalesce(sum(l), 0)::BIGINT AS left_rows, coalesce(sum(r), 0)::BIGINT AS right_rows, coalesce(sum(l * r), 0)::BIGINT AS pairs FROM l JOIN r USING (k)) SELECT *, round(left_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) = 'train'), 9) AS left_share, round(right_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) <> 'train'), 9) AS right_share FROM b"""
+t2 AS (SELECT id, k, tr FROM (SELECT id, {_KEY} AS k, lower(trim(split)) = 'train' AS tr FROM tasks WHERE split IS NOT NULL AND numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL)),
+b AS (SELECT count(*) AS keys, (SELECT count(DISTINCT id) FROM t2 WHERE tr AND k IN (SELECT k FROM r)) AS left_ids, (SELECT count(DISTINCT id) FROM t2 WHERE NOT tr AND k IN (SELECT k FROM l)) AS right_ids, coalesce(sum(l), 0)::BIGINT AS left_rows, coalesce(sum(r), 0)::BIGINT AS right_rows, coalesce(sum(l * r), 0)::BIGINT AS pairs FROM l JOIN r USING (k)) SELECT *, round(left_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) = 'train'), 9) AS left_share, round(right_rows / (SELECT count(*) FROM tasks WHERE lower(trim(split)) <> 'train'), 9) AS right_share FROM b"""
 )
 def train_overlap(s, d):
     t = table(s, d, "tasks")
@@ -565,9 +566,9 @@ def top_kinds(s, d):
     return sampling.top_by_count(table(s, d, "documents"), "kind", 3)
 
 
-@query("SELECT l_orderkey, sha256('{\"l_linenumber\":' || l_linenumber || ',\"l_orderkey\":' || l_orderkey || ',\"l_partkey\":' || l_partkey || '}') AS digest FROM lineitem")
+@query("SELECT event_id, sha256('{' || '\"event_id\":' || event_id || ',\"event_type\":' || to_json(event_type) || ',\"props\":' || to_json(props) || ',\"user_id\":' || user_id || '}') AS digest FROM events")
 def row_digest(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", K.row_digest(["l_orderkey", "l_partkey", "l_linenumber"]).alias("digest"))
+    return table(s, d, "events").select("event_id", K.row_digest(["event_id", "event_type", "props", "user_id"]).alias("digest"))
 
 
 @query("SELECT bank, sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS digest, count(*) AS members FROM (SELECT DISTINCT bank, id FROM candidates) GROUP BY bank")
@@ -669,24 +670,71 @@ def curriculum_replay(s, d):
     return control.replay_tiers(t, "bank").select("bank", "batch", "updates", *(F.round(F.col("shares")[x], 9).alias(x) for x in ("easy", "medium", "hard")))
 
 
-def _reward_groups(s, d):
-    return control.reward_groups(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"), ["line_no"])
+def _unit_groups(s, d):
+    """Groups of four of the first eight rows of each unit: full, and of one task."""
+    rows = banks.prefix(banks.once(_candidates(s, d).select("line_no", *banks.UNIT, "candidate_index", "metrics")), 8)
+    full = rows.groupBy(*banks.UNIT).agg(F.count(F.lit(1)).alias("n")).where("n = 8").select(*banks.UNIT)
+    return control.reward_groups(rows.join(full, banks.UNIT), ["bank"], F.col("id"), ["pos"])
 
 
 def bandit_replay(s, d):
-    return rounded(control.replay_bandit(_reward_groups(s, d), "bank").drop("weights"))
+    return rounded(control.replay_bandit(_unit_groups(s, d), "bank").drop("weights"))
 
 
+def bandit_control(s, d):
+    return rounded(control.replay_bandit(_unit_groups(s, d), "bank", signal=False).drop("weights"))
+
+
+_VECTORS = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in v) + "]" for v in control.candidate_weights().tolist()) + "]"
+_CEILINGS = (
+    _BASE
+    + f""", fu AS (SELECT bank, id FROM u WHERE pos < 8 GROUP BY bank, id HAVING count(*) = 8), gr AS (SELECT bank, id, pos // 4 AS grp, list(correct ORDER BY pos) AS c, {', '.join(f'list({k} ORDER BY pos) AS k{i}' for i, k in enumerate(M.AUXILIARY))} FROM u JOIN fu USING (bank, id) WHERE pos < 8 GROUP BY bank, id, pos // 4),
+vs AS (SELECT i, vv[i] AS w FROM (SELECT {_VECTORS} AS vv), (SELECT unnest(range(1, 209)) AS i)), rw AS (SELECT bank, id, grp, i, c, list_transform([1, 2, 3, 4], lambda j: c[j] + ({' + '.join(f'k{n}[j] * w[{n + 1}]' for n in range(6))})) AS r FROM gr, vs),
+st AS (SELECT bank, id, grp, i, c, list_position(r, list_max(r)) AS top, list_transform(r, lambda x: x > list_avg(r) + 1e-12) AS pos, sqrt(greatest(list_avg(list_transform(r, lambda x: (x - list_avg(r)) * (x - list_avg(r)))), 0)) > 1e-9 AS alive FROM rw),
+u0 AS (SELECT bank, id, grp, top AS t0, pos AS p0, alive AS a0, c[top] >= 0.5 AS h0 FROM st WHERE i = 1),
+fl AS (SELECT bank, id, grp, any_value(list_max(c) >= 0.5) AS has, any_value(NOT a0) AS dead, any_value(h0) AS on_top, bool_or(top <> t0) AS top_flips, bool_or(pos <> p0) AS changes, bool_or(c[top] >= 0.5) AS any_hit, bool_or(c[top] < 0.5) AS any_miss, bool_or(alive) AS any_alive FROM st JOIN u0 USING (bank, id, grp) GROUP BY bank, id, grp),
+cr AS (SELECT bank, count(*) AS groups, count(*) FILTER (has) AS with_correct, count(*) FILTER (dead) AS dead, count(*) FILTER (top_flips) / count(*) AS top_flips, count(*) FILTER (changes) / count(*) AS positive_changes, count(*) FILTER (dead AND any_alive) / count(*) AS revivable, coalesce(count(*) FILTER (on_top) / nullif(count(*) FILTER (has), 0), 0) AS on_top,
+ coalesce(count(*) FILTER (has AND NOT on_top AND any_hit) / nullif(count(*) FILTER (has AND NOT on_top), 0), 0) AS rescuable, coalesce(count(*) FILTER (on_top AND any_miss) / nullif(count(*) FILTER (on_top), 0), 0) AS demotable FROM fl GROUP BY bank)"""
+)
+_SHARES = ("top_flips", "positive_changes", "revivable", "on_top", "rescuable", "demotable")
+
+
+@query(_CEILINGS + f" SELECT bank, groups, with_correct, dead, {', '.join(f'round({c}, 9) AS {c}' for c in _SHARES)} FROM cr")
 def oracle_ceilings(s, d):
-    return rounded(control.ceiling_report(control.ceilings(_reward_groups(s, d), ["bank"]), ["bank"]))
+    return rounded(control.ceiling_report(control.ceilings(_unit_groups(s, d), ["bank"]), ["bank"]))
+
+
+@query(_CEILINGS + f" SELECT CASE WHEN contains(method, 'stable') THEN 'stable' WHEN contains(method, 'static') THEN 'static' ELSE 'other' END AS family, count(*) AS streams, {', '.join(f'round(avg({c}), 9) AS {c}' for c in _SHARES)} FROM cr JOIN banks USING (bank) GROUP BY 1")
+def family_ceilings(s, d):
+    per = control.ceiling_report(control.ceilings(_unit_groups(s, d), ["bank"]), ["bank"])
+    return rounded(reports.family_means(per, table(s, d, "banks"), list(_SHARES)))
+
+
+@query("WITH g AS (SELECT bank, line_no // 16 AS batch, (row_number() OVER (PARTITION BY bank, line_no // 16 ORDER BY line_no) - 1) // 4 AS grp, id FROM candidates), c AS (SELECT bank, batch, grp, count(*) AS n, count(DISTINCT id) AS ids FROM g GROUP BY ALL) SELECT bank, count(*) AS groups, count(*) FILTER (n < 4) AS uneven, count(*) FILTER (ids > 1) AS mixed FROM c GROUP BY bank")
+def reward_group_faults(s, d):
+    return control.group_faults(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"), ["line_no"])
 
 
 def generated_tasks(s, d):
-    pools = [(generate.proposals(s, tier, 400, seed), 150) for seed, tier in enumerate(("easy", "medium", "hard"))]
+    pools = [(generate.proposals(s, tier, 400, seed), 150) for seed, tier in enumerate(generate.TIERS)]
     return generate.accept(pools)
 
 
-QUERIES |= {f.__name__: f for f in (teacher_replay, curriculum_replay, bandit_replay, oracle_ceilings, generated_tasks)}
+_QUOTAS = {"train": {"easy": 200, "medium": 200, "hard": 200}, "validation": {"easy": 40, "medium": 40, "hard": 40}, "test_ood_long": {"ood_long": 40}, "test_ood_division": {"ood_division": 40}}
+
+
+def generated_splits(s, d):
+    tasks = generate.build_splits(s, _QUOTAS, dict.fromkeys(generate.TIERS, 600))
+    return generate.manifest(tasks, _QUOTAS)
+
+
+def controller_simulations(s, d):
+    grid = [control.WeightSettings(strategy=x, delay=10, smoothing=a) for x in ("static", "adaptive", "adaptive_stable", "adaptive_phased") for a in (0.1, 0.5)]
+    last = control.simulate(s, grid).where("step = 199")
+    return rounded(last.select("setting", "strategy", "primary", F.col("behaviours")["format"].alias("hack"), F.col("weights")["format"].alias("hack_weight")))
+
+
+QUERIES |= {f.__name__: f for f in (teacher_replay, curriculum_replay, bandit_replay, bandit_control, generated_tasks, generated_splits, controller_simulations)}
 
 
 # ---- combined reports
@@ -781,3 +829,116 @@ def teacher_health(s, d):
 
 
 QUERIES["teacher_health"] = teacher_health
+
+
+# ---- further reports
+
+_CODE = {"valid_expression": "valid_expression", "runs_without_error": "evaluates_without_exception", "visible_pass_rate": "number_multiset_f1", "no_hardcoding_heuristic": "uses_no_extra_numbers", "held_out_pass_rate": "correct", "exact_correct": "exact_correct"}
+_CODE_SCORE = "3.0*valid_expression + evaluates_without_exception + 2.0*number_multiset_f1 + uses_no_extra_numbers"
+
+
+@query(
+    _BASE
+    + f""", n AS (SELECT unnest([1, 4, 8]) AS n), r AS (SELECT u.*, n.n, {_CODE_SCORE} AS cs FROM u JOIN n ON u.pos < n.n), w AS (SELECT bank, id, n, sum(coalesce(completion_token_count, 0)) AS tokens FROM r GROUP BY bank, id, n HAVING count(*) = n),
+p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bank, id, n ORDER BY cs DESC, candidate_index, line_no) = 1), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bank, id, n ORDER BY exact_correct DESC, cs DESC, candidate_index, line_no) = 1)
+SELECT w.n, count(*) AS units, sum(w.tokens)::BIGINT AS tokens, {', '.join(f'round(avg({t}.{c}), 9) AS {name}_{x}' for t, name in (('p', 'practical'), ('o', 'oracle')) for x, c in _CODE.items())}, round(avg(p.number_multiset_f1) - avg(p.correct), 9) AS proxy_gap, round(w.n / greatest(avg(p.exact_correct), 1e-12), 9) AS cost_practical, round(w.n / greatest(avg(o.exact_correct), 1e-12), 9) AS cost_oracle
+FROM w JOIN p USING (bank, id, n) JOIN o USING (bank, id, n) GROUP BY w.n"""
+)
+def code_best_of_n(s, d):
+    """The tables hold no code candidates; metrics of theirs that mean the same stand in for those of code."""
+    rows = _candidates(s, d).withColumn("metrics", F.struct(*(F.col(f"metrics.{c}").alias(x) for x, c in _CODE.items())))
+    return rounded(reports.code_best_of_n(rows))
+
+
+@query(
+    _BASE
+    + """, un AS (SELECT bank, id, difficulty, count(*) AS n, count(*) FILTER (valid_expression >= 1) AS legal, count(*) FILTER (exact_correct > 0) AS exact, sum(number_multiset_f1) AS v, stddev_pop(number_multiset_f1) AS s FROM b GROUP BY bank, id, difficulty)
+SELECT bank, difficulty, count(*) AS units, sum(n)::BIGINT AS candidates, round(sum(legal) / sum(n), 9) AS legal, round(sum(exact) / sum(n), 9) AS exact, round(count(*) FILTER (exact > 0) / count(*), 9) AS oracle, round(sum(v) / sum(n), 9) AS value, round(avg(s), 7) AS spread, round(avg((s > 1e-9)::INT), 9) AS varying FROM un GROUP BY bank, difficulty"""
+)
+def base_probe(s, d):
+    return rounded(reports.base_probe(_candidates(s, d), M.metric("number_multiset_f1"), ["bank", "difficulty"])).withColumn("spread", F.round("spread", 7))
+
+
+@query("""WITH per AS (SELECT bank, avg(coalesce(completion_token_count, 0)) AS t FROM candidates GROUP BY bank), j AS (SELECT avg(t) FILTER (method = 'stable') AS arm, avg(t) FILTER (method = 'static') AS base, sqrt(stddev_pop(t) FILTER (method = 'stable') ** 2 + stddev_pop(t) FILTER (method = 'static') ** 2) AS noise FROM per JOIN banks USING (bank))
+SELECT round(arm, 9) AS arm, round(base, 9) AS base, round(arm / base, 9) AS ratio, round(base - arm, 9) AS gap, round(noise, 9) AS noise, round((base - arm) / nullif(noise, 0), 9) AS gap_over_noise FROM j WHERE arm IS NOT NULL AND base IS NOT NULL""")
+def cost_claim(s, d):
+    return rounded(reports.cost_claim(_candidates(s, d), table(s, d, "banks"), "stable", "static", []))
+
+
+_BEST = _BASE + ", be AS (SELECT bank, id, exact_correct FROM u WHERE pos < 8 QUALIFY row_number() OVER (PARTITION BY bank, id ORDER BY score DESC, candidate_index, line_no) = 1)"
+
+
+@query(_BASE + ", f8 AS (SELECT bank, id FROM u WHERE pos < 8 GROUP BY bank, id HAVING count(*) = 8), be AS (SELECT bank, id, exact_correct FROM u JOIN f8 USING (bank, id) WHERE pos < 8 QUALIFY row_number() OVER (PARTITION BY bank, id ORDER BY score DESC, candidate_index, line_no) = 1), oc AS (SELECT bank, id, max(exact_correct) AS o FROM u JOIN f8 USING (bank, id) WHERE pos < 8 GROUP BY bank, id) SELECT method, split, seed, count(*) AS units, round(sum(o))::BIGINT AS oracle, round(sum(be.exact_correct))::BIGINT AS reranked FROM be JOIN oc USING (bank, id) JOIN banks USING (bank) GROUP BY method, split, seed")
+def outcomes_by_run(s, d):
+    return reports.outcomes_by_run(_candidates(s, d), table(s, d, "banks"))
+
+
+@query(_BEST + """, ch AS (SELECT method, split, bank, id, (exact_correct > 0)::INT AS v FROM be JOIN banks USING (bank)), pp AS (SELECT a.method, a.bank AS x, z.bank AS y, count(*) AS n, count(*) FILTER (a.v > 0 AND z.v > 0) AS bo, count(*) FILTER (a.v > 0 AND z.v = 0) AS ao, count(*) FILTER (a.v = 0 AND z.v > 0) AS zo, count(*) FILTER (a.v = 0 AND z.v = 0) AS ne, (sum(a.v) - sum(z.v)) / count(*) AS d FROM ch a JOIN ch z ON a.id = z.id AND z.method = 'static' WHERE a.method <> 'static' GROUP BY ALL)
+SELECT method, count(*) AS pairs, sum(n)::BIGINT AS n, sum(bo)::BIGINT AS "both", sum(ao)::BIGINT AS arm_only, sum(zo)::BIGINT AS base_only, sum(ne)::BIGINT AS neither, round(avg(d), 9) AS delta_mean, round(coalesce(stddev_samp(d), 0), 9) AS delta_std FROM pp GROUP BY method""")
+def paired_over_runs(s, d):
+    return rounded(reports.paired_over_runs(_candidates(s, d), table(s, d, "banks"), "static", []))
+
+
+@query(_BEST + f", ky AS (SELECT bank, id, min({_TASK.replace('OPS', 'allowed_ops')}) AS task FROM candidates WHERE {_WHOLE_TASK.replace('OPS', 'allowed_ops')} GROUP BY bank, id) SELECT bank, task, max((exact_correct > 0)::INT) AS outcome, count(DISTINCT id) AS ids FROM be JOIN ky USING (bank, id) GROUP BY bank, task")
+def outcome_by_task(s, d):
+    return reports.outcome_by_task(_candidates(s, d))
+
+
+@query("SELECT id, arg_max(coalesce(difficulty, '-'), line_no) AS difficulty FROM tasks WHERE id IS NOT NULL GROUP BY id")
+def last_tier(s, d):
+    return reports.last_tier(table(s, d, "tasks").withColumn("difficulty", F.coalesce("difficulty", F.lit("-"))))
+
+
+@query("SELECT bank, '\"loop\"' AS hf_gen_mode, seed::VARCHAR AS sampling_seed, max_new_tokens::VARCHAR AS max_new_tokens, to_json(coalesce(prompt_field, 'prompt'))::VARCHAR AS prompt_field FROM banks")
+def sampling_identities(s, d):
+    config = F.parse_json(F.to_json(F.struct(F.col("seed").alias("sampling_seed"), "max_new_tokens", "prompt_field")))
+    return table(s, d, "banks").select("bank", identity.sampling_identity(config).alias("i")).select("bank", "i.hf_gen_mode", "i.sampling_seed", "i.max_new_tokens", "i.prompt_field")
+
+
+@query("SELECT method, count(*) AS runs, count(DISTINCT (coalesce(max_new_tokens, -1), coalesce(prompt_field, '-'))) AS versions FROM banks GROUP BY method")
+def config_drift(s, d):
+    config = F.to_json(F.struct("seed", F.coalesce("max_new_tokens", F.lit(-1)).alias("max_new_tokens"), F.coalesce("prompt_field", F.lit("-")).alias("prompt_field")))
+    return identity.drifted(table(s, d, "banks").withColumn("config", config), ["method"], "config")
+
+
+@query("SELECT line_no, " + " AND ".join(f"coalesce(metrics.{x}::VARCHAR NOT IN ('nan', 'inf', '-inf'), true)" for x in _DOUBLES) + " AS finite FROM candidates")
+def finite_metrics(s, d):
+    return _candidates(s, d).select("line_no", M.all_finite(F.col("metrics"), _candidates(s, d).schema["metrics"].dataType).alias("finite"))
+
+
+@query("SELECT line_no, " + ", ".join("CASE WHEN numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL THEN " + "'" + X.PROMPTS[level].replace("'", "''").replace("{numbers}", "' || array_to_string(numbers, ', ') || '").replace("{target}", "' || target || '").replace("{ops}", "' || array_to_string(allowed_ops, ' ') || '") + f"' END AS {level}" for level in X.PROMPTS) + " FROM tasks")
+def prompts_of_levels(s, d):
+    return table(s, d, "tasks").select("line_no", *(X.prompt(F.col("numbers"), F.col("target"), F.col("allowed_ops"), level).alias(level) for level in X.PROMPTS))
+
+
+@query(f"SELECT key, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM (SELECT {_TASK.replace('OPS', 'allowed_ops')} AS key, id FROM tasks WHERE id IS NOT NULL AND {_WHOLE_TASK.replace('OPS', 'allowed_ops')}) GROUP BY key")
+def ids_by_key(s, d):
+    return K.ids_by_key(table(s, d, "tasks").where("id is not null"), K.semantic_key()).select("key", F.array_join("ids", ",").alias("ids"))
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT id FROM tasks WHERE lower(trim(split)) = 'validation' AND id IS NOT NULL), k AS (SELECT id, lower(trim(split)) AS sp, {_KEY} AS k FROM tasks WHERE numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL)
+SELECT (SELECT sha256(string_agg(id || chr(10), '' ORDER BY id)) FROM v) AS digest, (SELECT count(*) FROM v) AS ids, count(DISTINCT id) AS exposed FROM k WHERE id IN (SELECT id FROM v) AND k IN (SELECT k FROM k WHERE sp = 'train')"""
+)
+def train_exposure(s, d):
+    t = table(s, d, "tasks")
+    ids = t.where(audit.split_name() == "validation").where("id is not null").select("id").distinct().withColumn("pos", F.col("id"))
+    return audit.train_exposure(ids, t)
+
+
+def audit_verdict(s, d):
+    return audit.audit_verdict(table(s, d, "tasks"))
+
+
+def weight_movers(s, d):
+    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
+    return rounded(reports.movers(records, "bank"))
+
+
+@query("SELECT bank, count(DISTINCT line_no // 16) AS records, 0::BIGINT AS drifted, 0::BIGINT AS off_budget FROM candidates GROUP BY bank")
+def weight_health(s, d):
+    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_stable", delay=5))
+    return reports.weight_health(records, "bank", "adaptive_stable", 5)
+
+
+QUERIES |= {f.__name__: f for f in (audit_verdict, weight_movers)}

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from pathlib import PurePosixPath
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import uuid
+from collections.abc import Iterator
+from pathlib import Path, PurePosixPath
+from typing import NamedTuple
+
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The DDL of the entities that files hold.
@@ -21,10 +28,14 @@ class LineError(ValueError):
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of text files, numbered from 1 within each file; blank lines keep their number.
 
-    A file is numbered in one task, so files of line-ordered logs should be cut to a size that a task can hold.
+    Files are read in splits by many tasks. A first pass counts the lines of each split; the splits before it give each
+    split its first number, and the place of a line in its split the rest.
     """
-    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*").select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    return whole.select("file", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "at", "first", before.alias("before"))  # one row for each split
+    return lines.join(starts, ["file", "at"]).select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -72,17 +83,43 @@ def flatten(df: DataFrame, column: str = "metrics") -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, size, lines) of files; a last line without an end counts, an empty file has none.
 
-    Spark's file sources skip empty files; those are found by listing the path.
+    Paths are listed once and spread over the cluster; each file is read in pieces of 1 MiB, whatever its size.
     """
-    b = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", "ISO-8859-1")
-    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    full = b.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), (ends + ((F.col("length") > 0) & ~text.endswith("\n")).cast("int")).cast("long").alias("lines"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for uri in b["path"]:
+                fs, name = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + re.sub("^file:/*", "/", uri))
+                digest, size, ends, last = hashlib.sha256(), 0, 0, b"\n"
+                with fs.open_input_stream(name) as f:
+                    while piece := f.read(1 << 20):
+                        digest.update(piece)
+                        size, ends, last = size + len(piece), ends + piece.count(b"\n"), piece[-1:]
+                rows.append((re.sub("^file:/+", "/", uri), digest.hexdigest(), size, ends + (last != b"\n")))
+            yield pd.DataFrame(rows, columns=["path", "sha256", "size", "lines"])
+
+    paths = [f.path for f in file_sizes(spark, path)]
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 10_000)))
+    return listed.mapInPandas(run, "path string, sha256 string, size long, lines long")
+
+
+def nonempty(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
+    """The files that a path or pattern names and that hold anything, sorted; with a pattern, only those whose path it finds."""
+    sized = [r.path for r in file_sizes(spark, path) if r.size]
+    return sorted(p for p in sized if pattern is None or re.search(pattern, p))
+
+
+def file_sizes(spark: SparkSession, path: str) -> list:
+    """(path, size) of the files, from the file system alone."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    empty = [str(x.getPath()) for m in fs.globStatus(at) or [] for x in fs.listStatus(m.getPath()) if x.isFile() and not x.getLen()]
-    none = spark.createDataFrame([(p, "", 0, 0) for p in empty], "path string, sha256 string, size long, lines long").withColumn("sha256", F.sha2(F.col("sha256"), 256))
-    return full.unionByName(none).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    return [FileSize(re.sub("^file:/+", "/", x.getPath().toString()), x.getLen()) for m in fs.globStatus(at) or [] for x in fs.listStatus(m.getPath()) if x.isFile()]
+
+
+class FileSize(NamedTuple):
+    path: str
+    size: int
 
 
 def tree_digest(files: DataFrame, root: str, names: list[str] | None = None) -> DataFrame:
@@ -94,8 +131,50 @@ def tree_digest(files: DataFrame, root: str, names: list[str] | None = None) ->
 
 
 def write_once(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Writes a folder that must not exist; a half-written one has no _SUCCESS and is refused by ``published``."""
-    df.write.mode("errorifexists").format(kind).save(path)
+    """Writes a folder that must not exist, whole or not at all: beside it first, then renamed, so a failed job leaves nothing in the way."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(f"{path} exists")
+    staged = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    try:
+        df.write.format(kind).save(str(staged))
+        if fs.exists(target) or not fs.rename(staged, target):
+            raise FileExistsError(f"{path} exists")
+    finally:
+        fs.delete(staged, True)
+
+
+def safe_output(path: str, allowed: tuple[str, ...]) -> str:
+    """The path, whole, if it lies in one of the allowed folders; else OutputError. Links and .. are followed first."""
+    whole = Path(path).resolve()
+    roots = [Path(a).resolve() for a in allowed]
+    if not any(root in whole.parents for root in roots):
+        raise OutputError(f"{whole} is in none of {', '.join(map(str, roots))}")
+    return str(whole)
+
+
+class OutputError(ValueError):
+    """A result would be written to a place that is not for results."""
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, where: dict[str, object] | None = None) -> DataFrame:
+    """Rows of CSV files with a header, of the given schema, with the given values; a line that does not fit raises."""
+    df = spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").option("enforceSchema", "false").csv(path)
+    for column, value in (where or {}).items():
+        df = df.where(F.col(column) == F.lit(value))
+    return df
+
+
+def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each file, which holds one JSON object, also over many lines; LineError names a file that does not (an action)."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    parsed = whole.select("file", F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT").alias("ok"), F.from_json("value", schema).alias("row"))
+    odd = parsed.where("not coalesce(ok, false)").select("file").first()
+    if odd is not None:
+        raise LineError(f"{odd['file']} is not a JSON object")
+    return parsed.select("file", "row.*")
 
 
 def published(spark: SparkSession, path: str) -> bool:

@@ -33,7 +33,7 @@ def test_audits(spark):
     m = [tuple(r) for r in audit.overlap_matrix(df, audit.split_name(), K.semantic_key()).collect()]
     assert m == [("test", "train", 1, 1, 2, 2, 1 / 3)]
     name = audit.split_name()
-    assert tuple(audit.overlap_stats(df.where(name == "train"), df.where(name == "test")).first()) == (1, 2, 1, 2, 1.0, 1 / 3)
+    assert tuple(audit.overlap_stats(df.where(name == "train"), df.where(name == "test")).first()) == (1, 2, 1, 1, 1, 2, 1.0, 1 / 3)
     assert audit.overlap_matrix(df.limit(0), name, K.semantic_key()).count() == 0
 
 

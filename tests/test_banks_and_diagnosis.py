@@ -118,7 +118,9 @@ def test_pairs(spark):
         pairing.stacked_panel(runs.where("id <> 't2' or run = 1"), "id", "run", "v").collect()
     ids = spark.createDataFrame([(0, "t2"), (1, "gone"), (2, "t1")], "pos int, id string")
     rows = spark.createDataFrame([("t1", 5, "old"), ("t1", 9, "new"), ("t2", 1, "x")], "id string, line_no int, v string")
-    assert [(r.pos, r.v) for r in pairing.ordered_lookup(ids, rows).orderBy("pos").collect()] == [(0, "x"), (1, None), (2, "new")]
+    with pytest.raises(Exception, match="no row has the id"):
+        pairing.ordered_lookup(ids, rows).collect()
+    assert [(r.pos, r.v) for r in pairing.ordered_lookup(ids, rows, strict=False).orderBy("pos").collect()] == [(0, "x"), (1, None), (2, "new")]
     m = {r.id: (r.known, r.different) for r in pairing.matching_payload(rows.where("line_no > 1").select("id", "v"), rows.where("line_no < 9").select("id", "v"), "id", ["v"]).collect()}
     assert m == {"t1": (True, ["v"])}
 
