@@ -595,13 +595,8 @@ def multiset_f1(s, d):
     return rounded(rows.select("line_no", "m.*"))
 
 
-@query("SELECT line_no, len(regexp_extract_all(completion, '[^ \\n]+')) AS words FROM candidates WHERE completion IS NOT NULL AND regexp_matches(completion, '^[ -~\\n]*[!-~][ -~\\n]*$')")
+@query("SELECT line_no, len(regexp_extract_all(completion, '[^\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS words FROM candidates WHERE completion IS NOT NULL")
 def word_counts(s, d):
-    return _candidates(s, d).where(F.col("completion").rlike(r"^[ -~\n]*[!-~][ -~\n]*$")).select("line_no", X.word_count(F.col("completion")).cast("long").alias("words"))
-
-
-@query()
-def word_counts_all(s, d):
     return _candidates(s, d).where("completion is not null").select("line_no", X.word_count(F.col("completion")).cast("long").alias("words"))
 
 
@@ -618,6 +613,26 @@ def list_functions(s, d):
     return rows.select("line_no", F.nullif(f["sum_positive"](n), F.lit(0)).alias("sum_positive"), *named("count_even", "max_list", "is_sorted_asc", "is_palindrome_list", "second_max"), *shown("unique_sorted", "prefix_sum", "running_max", "pairwise_diff"))
 
 
+@query(
+    """SELECT line_no, target * 2 AS double, target * target AS square, abs(-target) AS abs, target % 2 = 0 AS is_even, greatest(target, numbers[1]) AS max_two, least(target, numbers[1]) AS min_two, numbers[1] AS first, numbers[-1] AS last, len(list_filter(numbers, lambda x: x > 10))::INT AS count_greater, len(list_filter(numbers, lambda x: x BETWEEN 5 AND 20))::INT AS count_in_range,
+ coalesce(list_sum(list_filter(numbers, lambda x: x > 0 AND x % 2 = 0)), 0)::BIGINT AS sum_pos_even, list_transform(numbers, lambda x, i: list_min(numbers[1:i]))::VARCHAR AS running_min, list_filter(numbers, lambda x, i: list_position(numbers, x) = i)::VARCHAR AS dedupe, list_sort(list_concat(numbers, numbers))::VARCHAR AS merge_sorted,
+ list_transform(numbers, lambda x, i: x + list_reverse(numbers)[i])::VARCHAR AS zip_sum, list_filter(numbers, lambda x: x % 2 = 0)::VARCHAR || list_filter(numbers, lambda x: x % 2 <> 0)::VARCHAR AS group_parity, list_filter(numbers, lambda x: x < 0)::VARCHAR || list_filter(numbers, lambda x: x = 0)::VARCHAR || list_filter(numbers, lambda x: x > 0)::VARCHAR AS group_by_sign,
+ array_to_string(list_transform(st, lambda a, k: numbers[a] || 'x' || (coalesce(st[k + 1], len(numbers) + 1) - a)), ' ') AS run_length, len(list_filter(range(1, len(numbers) + 1), lambda i: len(list_filter(range(i + 1, len(numbers) + 1), lambda j: numbers[i] + numbers[j] = target)) > 0)) > 0 AS two_sum_exists
+FROM (SELECT *, list_filter(range(1, len(numbers) + 1), lambda i: i = 1 OR numbers[i] <> numbers[i - 1]) AS st FROM tasks WHERE len(numbers) > 0 AND target IS NOT NULL)"""
+)
+def list_functions_more(s, d):
+    n, t, f = F.col("numbers"), F.col("target"), A.LIST_FUNCTIONS
+    show = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+    parts = lambda c, *names: F.concat(*(show(c[x]) for x in names))
+    runs = F.array_join(F.transform(f["run_length"](n), lambda r: F.concat(r["value"].cast("string"), F.lit("x"), r["length"].cast("string"))), " ")
+    rows = table(s, d, "tasks").where("size(numbers) > 0 and target is not null")
+    return rows.select(
+        "line_no", f["double"](t).alias("double"), f["square"](t).alias("square"), f["abs"](-t).alias("abs"), f["is_even"](t).alias("is_even"), f["max_two"](t, n[0]).alias("max_two"), f["min_two"](t, n[0]).alias("min_two"), f["first"](n).alias("first"), f["last"](n).alias("last"), f["count_greater"](n, F.lit(10)).alias("count_greater"),
+        f["count_in_range"](n, F.lit(5), F.lit(20)).alias("count_in_range"), f["sum_pos_even"](n).alias("sum_pos_even"), show(f["running_min"](n)).alias("running_min"), show(f["dedupe"](n)).alias("dedupe"), show(f["merge_sorted"](n, n)).alias("merge_sorted"), show(f["zip_sum"](n, F.reverse(n))).alias("zip_sum"),
+        parts(f["group_parity"](n), "even", "odd").alias("group_parity"), parts(f["group_by_sign"](n), "negative", "zero", "positive").alias("group_by_sign"), runs.alias("run_length"), f["two_sum_exists"](n, t).alias("two_sum_exists"),
+    )
+
+
 @query(f"SELECT bank, round(avg({_m('correct')}), 9) AS \"primary\", round(avg({_AUX}), 9) AS auxiliary, round(avg({_m('correct')} + {_AUX}), 9) AS total FROM candidates GROUP BY bank")
 def reward_split(s, d):
     return rounded(_candidates(s, d).groupBy("bank").agg(F.avg(M.primary_reward()).alias("primary"), F.avg(M.auxiliary_reward()).alias("auxiliary"), F.avg(M.total_reward()).alias("total")))
@@ -661,10 +676,71 @@ def _batches(s, d):
     return control.batch_means(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"))
 
 
+def _teacher_sql(phased: bool, delay: int = 5) -> str:
+    """st: the state of the stable (or phased) controller after every batch, by recursion over batches and, between two
+    of them, over the passes of the projection (pass -1: done). Lists go by the order of the keys."""
+    keys = M.AUXILIARY
+    at = {k: i + 1 for i, k in enumerate(keys)}
+
+    def bounds(phase: str | None) -> tuple[str, str]:
+        cap, raised = control.PHASES[phase] if phase else (control.CAPS["numeric_distance_reward"], {})
+        low = [max(0.02, control.FLOORS.get(k, 0.02), raised.get(k, 0.0)) for k in keys]
+        high = [max(x, cap if k == "numeric_distance_reward" else 0.35) for x, k in zip(low, keys, strict=True)]
+        return tuple("[" + ", ".join(f"{x}::DOUBLE" for x in v) + "]" for v in (low, high))
+
+    either = lambda i, phase: f"CASE WHEN {phase} = 'A' THEN {bounds('A')[i]} ELSE {bounds('B')[i]} END" if phased else bounds(None)[i]
+    unit = lambda x: f"least(1.0, greatest(0.0, {x}))"
+    f1, legal = f"ea[{at['number_multiset_f1']}]", f"ea[{at['valid_expression']}]"
+    wants = f"CASE WHEN ph = 'A' THEN {f1} >= 0.80 AND {legal} >= 0.35 ELSE {f1} < 0.75 OR {legal} < 0.30 END" if phased else "false"
+    means = ", ".join(f"avg({_m(k)})" for k in keys)
+    return f"""WITH RECURSIVE bt AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY batch) AS k FROM (SELECT bank, line_no // 16 AS batch, avg({_m('correct')}) AS p, [{means}] AS a FROM candidates GROUP BY bank, line_no // 16)),
+rc AS (SELECT bank, 0::BIGINT AS k, -1 AS pass, [0.2::DOUBLE, 0.2, 0.2, 0.2, 0.2, 0.2] AS w, [0.2::DOUBLE, 0.2, 0.2, 0.2, 0.2, 0.2] AS was, 0.0::DOUBLE AS ep, [0.0::DOUBLE, 0, 0, 0, 0, 0] AS ea, 'A' AS ph, 0 AS streak FROM banks
+ UNION ALL (WITH nx AS (SELECT r.bank, b.k, r.k AS step, r.w, 0.9 * r.ep + 0.1 * b.p AS ep, list_transform(r.ea, lambda x, i: 0.9 * x + 0.1 * b.a[i]) AS ea, r.ph, r.streak FROM rc r JOIN bt b ON b.bank = r.bank AND b.k = r.k + 1 WHERE r.pass = -1),
+ ns AS (SELECT *, CASE WHEN step >= {delay} AND ({wants}) THEN streak + 1 ELSE 0 END AS ns FROM nx), np AS (SELECT * EXCLUDE (ph, streak, ns), CASE WHEN ns >= 5 THEN CASE WHEN ph = 'A' THEN 'B' ELSE 'A' END ELSE ph END AS ph, CASE WHEN ns >= 5 THEN 0 ELSE ns END AS streak FROM ns),
+ nb AS (SELECT *, {either(0, 'ph')} AS lo, {either(1, 'ph')} AS hi, greatest(0.0, 1 - 0.75 * {unit('ep')}) AS decay FROM np),
+ nw AS (SELECT bank, k, CASE WHEN step < {delay} THEN -1 ELSE 0 END AS pass, CASE WHEN step < {delay} THEN [0.2::DOUBLE, 0.2, 0.2, 0.2, 0.2, 0.2] ELSE list_transform(w, lambda x, i: least(hi[i], greatest(lo[i], 0.9 * x + 0.1 * (0.9 * x + 0.1 * least(0.35, greatest(0.02, 0.02 + 0.33 * (1 - {unit('ea[i]')}) * decay)))))) END AS w, w AS was, ep, ea, ph, streak FROM nb),
+ pr AS (SELECT *, {either(0, 'ph')} AS lo, {either(1, 'ph')} AS hi FROM rc WHERE pass >= 0), pg AS (SELECT *, greatest(list_sum(lo), least(1.2, list_sum(hi))) - list_sum(w) AS gap FROM pr), po AS (SELECT *, list_transform(w, lambda x, i: CASE WHEN gap > 0 THEN CASE WHEN hi[i] - x > 1e-12 THEN hi[i] - x ELSE 0 END ELSE CASE WHEN x - lo[i] > 1e-12 THEN x - lo[i] ELSE 0 END END) AS room FROM pg)
+ SELECT bank, k, pass, w, was, ep, ea, ph, streak FROM nw UNION ALL SELECT bank, k, CASE WHEN abs(gap) <= 1e-9 OR pass >= 32 OR list_sum(room) <= 1e-12 THEN -1 ELSE pass + 1 END, CASE WHEN abs(gap) <= 1e-9 OR pass >= 32 OR list_sum(room) <= 1e-12 THEN w ELSE list_transform(w, lambda x, i: least(hi[i], greatest(lo[i], x + gap * room[i] / list_sum(room)))) END, was, ep, ea, ph, streak FROM po)),
+st AS (SELECT rc.*, bt.batch, {either(0, 'ph')} AS lo, {either(1, 'ph')} AS hi FROM rc JOIN bt USING (bank, k) WHERE pass = -1 AND k > 0)"""
+
+
+@query(_teacher_sql(False) + " SELECT bank, batch::BIGINT AS batch, k AS step, round(ep + 1e-13, 9) AS ema_primary, round(list_sum(w), 9) AS weight_sum, round(list_sum(list_transform(w, lambda x, i: abs(x - was[i]))), 9) AS l1, round(list_max(list_transform(w, lambda x, i: abs(x - was[i]))), 9) AS linf FROM st")
 def teacher_replay(s, d):
-    return rounded(control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_stable", delay=5)).select("bank", "batch", "step", "ema_primary", "weight_sum", "l1", "linf"))
+    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_stable", delay=5))
+    # averages of sixteenths end after some digits, also right where they are rounded: a hair more decides for both engines
+    return rounded(records.select("bank", "batch", "step", (F.col("ema_primary") + 1e-13).alias("ema_primary"), "weight_sum", "l1", "linf"))
+
+
+_NAMES = "[" + ", ".join(f"'{k}'" for k in M.AUXILIARY) + "]"
+_LONG = _teacher_sql(True) + f", lg AS (SELECT bank, k, {_NAMES}[i] AS key, w[i] AS w, lo[i] AS lo, hi[i] AS hi FROM st, (SELECT unnest(range(1, 7)) AS i))"
+
+
+@query(_LONG + " SELECT bank, key, round(arg_min(w, k), 9) AS first, round(arg_max(w, k), 9) AS last, round(min(w), 9) AS least, round(max(w), 9) AS most, round(avg(w), 9) AS mean, round(avg((w <= lo + 1e-8)::INT), 9) AS at_floor, round(avg((w >= hi - 1e-8)::INT), 9) AS at_cap FROM lg GROUP BY bank, key")
+def teacher_health(s, d):
+    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
+    return rounded(diagnosis.weight_summary(records, "bank"))
+
+
+@query(_LONG + ", ch AS (SELECT bank, key, arg_max(w, k) - arg_min(w, k) AS change FROM lg GROUP BY bank, key) SELECT bank, row_number() OVER (PARTITION BY bank ORDER BY abs(change) DESC, key)::INT AS rank, key, round(change, 9) AS change FROM ch QUALIFY row_number() OVER (PARTITION BY bank ORDER BY abs(change) DESC, key) <= 3")
+def weight_movers(s, d):
+    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
+    return rounded(reports.movers(records, "bank"))
+
+
+def _tier_states(old: str, new: str, n: str) -> str:
+    """A tier's average after a batch that has n rows of it (or none)."""
+    return f"CASE WHEN {n} IS NULL THEN {old} WHEN {old} IS NULL THEN {new} ELSE pow(0.9, {n}) * {old} + (1 - pow(0.9, {n})) * {new} END"
 
 
+_TIER_SET = ("easy", "medium", "hard")
+_NEAR = lambda t: f"CASE WHEN l_{t} IS NULL THEN 1.0 WHEN l_{t} < 0.5 THEN exp(-((l_{t} - 0.5) ** 2) / 0.125) ELSE exp(-((e_{t} - 0.175) ** 2) / 0.045) END"
+
+
+@query(
+    f"""WITH RECURSIVE tb AS (SELECT bank, line_no // 16 AS batch, {', '.join(f"nullif(count(*) FILTER (difficulty = '{t}'), 0) AS n_{t}, avg({_m('valid_expression')}) FILTER (difficulty = '{t}') AS v_{t}, avg({_m('correct')}) FILTER (difficulty = '{t}') AS c_{t}" for t in _TIER_SET)} FROM candidates WHERE difficulty IS NOT NULL GROUP BY bank, line_no // 16),
+bt AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY batch) AS k FROM tb), rc AS (SELECT bank, 0::BIGINT AS k, {', '.join(f'NULL::DOUBLE AS l_{t}, NULL::DOUBLE AS e_{t}' for t in _TIER_SET)} FROM banks UNION ALL SELECT r.bank, b.k, {', '.join(_tier_states(f'r.l_{t}', f'b.v_{t}', f'b.n_{t}') + ', ' + _tier_states(f'r.e_{t}', f'b.c_{t}', f'b.n_{t}') for t in _TIER_SET)} FROM rc r JOIN bt b ON b.bank = r.bank AND b.k = r.k + 1),
+nr AS (SELECT *, {', '.join(f'{_NEAR(t)} AS s_{t}' for t in _TIER_SET)} FROM rc WHERE k > 0) SELECT nr.bank, bt.batch::BIGINT AS batch, nr.k AS updates, {', '.join(f'round(CASE WHEN nr.k < 25 THEN 1 / 3.0::DOUBLE ELSE 0.1 + 0.7 * (0.8 * s_{t} / (s_easy + s_medium + s_hard) + 0.2 / 3) END, 9) AS {t}' for t in _TIER_SET)} FROM nr JOIN bt USING (bank, k)"""
+)
 def curriculum_replay(s, d):
     t = control.tier_batches(_candidates(s, d), ["bank"], F.floor(F.col("line_no") / 16).cast("long"))
     return control.replay_tiers(t, "bank").select("bank", "batch", "updates", *(F.round(F.col("shares")[x], 9).alias(x) for x in ("easy", "medium", "hard")))
@@ -734,7 +810,7 @@ def controller_simulations(s, d):
     return rounded(last.select("setting", "strategy", "primary", F.col("behaviours")["format"].alias("hack"), F.col("weights")["format"].alias("hack_weight")))
 
 
-QUERIES |= {f.__name__: f for f in (teacher_replay, curriculum_replay, bandit_replay, bandit_control, generated_tasks, generated_splits, controller_simulations)}
+QUERIES |= {f.__name__: f for f in (bandit_replay, bandit_control, generated_tasks, generated_splits, controller_simulations)}
 
 
 # ---- combined reports
@@ -823,14 +899,6 @@ def health_gate(s, d):
     return diagnosis.health_gate(_candidates(s, d), ["bank"])
 
 
-def teacher_health(s, d):
-    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
-    return rounded(diagnosis.weight_summary(records, "bank"))
-
-
-QUERIES["teacher_health"] = teacher_health
-
-
 # ---- further reports
 
 _CODE = {"valid_expression": "valid_expression", "runs_without_error": "evaluates_without_exception", "visible_pass_rate": "number_multiset_f1", "no_hardcoding_heuristic": "uses_no_extra_numbers", "held_out_pass_rate": "correct", "exact_correct": "exact_correct"}
@@ -926,19 +994,21 @@ def train_exposure(s, d):
     return audit.train_exposure(ids, t)
 
 
-def audit_verdict(s, d):
-    return audit.audit_verdict(table(s, d, "tasks"))
+_CHECKED = f"SELECT id, lower(trim(split)) AS split, difficulty, {_VALID} AS ok, CASE WHEN numbers IS NOT NULL AND target IS NOT NULL AND allowed_ops IS NOT NULL THEN {_KEY} END AS k, CASE WHEN numbers IS NOT NULL AND target IS NOT NULL THEN (list_sort(numbers), target) END AS l FROM tasks"
 
 
-def weight_movers(s, d):
-    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
-    return rounded(reports.movers(records, "bank"))
+@query(
+    f"""WITH t AS ({_CHECKED}), pi AS (SELECT split, id, count(*) AS c FROM t GROUP BY split, id), pk AS (SELECT split, k, count(*) AS c FROM t WHERE k IS NOT NULL GROUP BY split, k), un AS (SELECT DISTINCT id, k FROM t WHERE id IS NOT NULL AND k IS NOT NULL)
+SELECT 'rows that lack what a task needs' AS "check", 'integrity' AS level, count(*) FILTER (NOT ok) AS failures FROM t UNION ALL SELECT 'ids that repeat in a split', 'integrity', count(*) FILTER (c > 1) FROM pi UNION ALL SELECT 'tasks that repeat in a split', 'warning', count(*) FILTER (c > 1) FROM pk
+UNION ALL SELECT 'ids that stand for several tasks', 'integrity', count(*) FROM (SELECT id FROM un GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'tasks that have several ids', 'warning', count(*) FROM (SELECT k FROM un GROUP BY k HAVING count(*) > 1) UNION ALL SELECT 'rows without a split', 'integrity', count(*) FILTER (split IS NULL) FROM t
+UNION ALL SELECT 'tiers that their split may not hold', 'integrity', count(*) FILTER (NOT CASE WHEN split LIKE 'test\\_ood\\_%' ESCAPE '\\' THEN difficulty = substring(split, 6) ELSE difficulty IN ('easy', 'medium', 'hard') END) FROM t
+UNION ALL SELECT 'evaluation ids whose task is in train', 'leak', count(DISTINCT id) FROM t WHERE split <> 'train' AND k IN (SELECT k FROM t WHERE split = 'train' AND k IS NOT NULL) UNION ALL SELECT 'evaluation ids whose numbers and target are in train', 'warning', count(DISTINCT id) FROM t WHERE split <> 'train' AND l IN (SELECT l FROM t WHERE split = 'train' AND l IS NOT NULL)"""
+)
+def audit_verdict(s, d):
+    return audit.audit_verdict(table(s, d, "tasks"))
 
 
 @query("SELECT bank, count(DISTINCT line_no // 16) AS records, 0::BIGINT AS drifted, 0::BIGINT AS off_budget FROM candidates GROUP BY bank")
 def weight_health(s, d):
     records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_stable", delay=5))
     return reports.weight_health(records, "bank", "adaptive_stable", 5)
-
-
-QUERIES |= {f.__name__: f for f in (audit_verdict, weight_movers)}

@@ -143,5 +143,5 @@ def test_word_counts_of_every_completion(spark, tmp_path):
 
     texts = {0: "two words", 1: "a\ttab", 2: "un café “noisette” ✓", 3: " \n ", 4: "", 5: None, 6: "no\u00a0break\u2003em\u3000wide", 7: "\x85next\u2028line ", 8: "每个数字"}
     spark.createDataFrame(list(texts.items()), "line_no long, completion string").write.parquet(str(tmp_path / "candidates.parquet"))
-    got = {r.line_no: r.words for r in queries.QUERIES["word_counts_all"](spark, str(tmp_path)).collect()}
+    got = {r.line_no: r.words for r in queries.QUERIES["word_counts"](spark, str(tmp_path)).collect()}
     assert got == {k: len(t.split()) for k, t in texts.items() if t is not None}
