@@ -9,6 +9,7 @@ from pyspark.sql.functions import udtf
 
 from evalmill.functions import verifier
 from evalmill.functions.code import code_is_legal
+from evalmill.functions.scoring import flip_p
 from evalmill.operators.generate import SCHEMA, TIERS, propose
 
 
@@ -23,7 +24,8 @@ class ProposeTasks:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes verify_expression, code_is_legal and propose_tasks known to the session."""
+    """Makes verify_expression, code_is_legal, the aggregate flip_p and propose_tasks known to the session."""
     spark.udf.register("verify_expression", verifier._judge)
     spark.udf.register("code_is_legal", code_is_legal)
+    spark.udf.register("flip_p", flip_p)
     spark.udtf.register("propose_tasks", ProposeTasks)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions import arrays as A
 from evalmill.functions import keys as K
 from evalmill.functions.verifier import judge
 
@@ -141,3 +142,33 @@ def manifest(tasks: DataFrame, quotas: dict[str, dict[str, int]]) -> DataFrame:
     asked = tasks.sparkSession.createDataFrame([(s, t, n) for s, tiers in quotas.items() for t, n in tiers.items()], "split string, difficulty string, quota int")
     built = K.set_digest(tasks.select("split", "difficulty", K.semantic_key().alias("k")), "k", ["split", "difficulty"])
     return asked.join(built, ["split", "difficulty"], "left").select("split", "difficulty", "quota", F.coalesce("members", F.lit(0)).alias("rows"), "digest")
+
+
+#: Templates of code tasks: functions of one list.
+LIST_TASKS = ("max_list", "count_even", "sum_positive", "sum_pos_even", "prefix_sum", "running_max", "running_min", "dedupe", "unique_sorted", "is_sorted_asc", "is_palindrome_list", "pairwise_diff", "last", "first")
+
+
+def code_tasks(spark: SparkSession, per_template: int, templates: tuple[str, ...] = LIST_TASKS, visible: int = 3, held_out: int = 5, seed: int = 0) -> DataFrame:
+    """(id, fn_name, prompt, visible_tests, held_out_tests): tasks to write a function of a list, with their tests.
+
+    The lists are hashed from seed, template, task and case; what is expected is computed by the engine's own list
+    functions. Tests are JSON lists of [[argument], expected]. No two tests of a task have the same list.
+    """
+    every = None
+    for name in templates:
+        f = A.LIST_FUNCTIONS[name]
+        draw = lambda case, i: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id"), case, i), F.lit(21)) - 5  # noqa: B023, E731
+        size = lambda case: (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id"), case), F.lit(6)) + 2).cast("int")  # noqa: B023, E731
+        lists = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4 * (visible + held_out))), lambda c: F.transform(F.sequence(F.lit(1), size(c)), lambda i: draw(c, i))))  # noqa: B023
+        rows = spark.range(per_template).select("id", F.slice(lists, 1, visible + held_out).alias("lists"))
+        shown = rows.select("id", F.transform("lists", lambda a: F.concat(F.lit("[["), F.to_json(a), F.lit("], "), _as_json(f(a)), F.lit("]"))).alias("tests"))  # noqa: B023
+        part = lambda first, n: F.concat(F.lit("["), F.array_join(F.slice("tests", first, n), ", "), F.lit("]"))
+        tests = shown.select(F.concat(F.lit(f"{name}-"), F.col("id").cast("string")).alias("id"), F.lit(name).alias("fn_name"), part(1, visible).alias("visible_tests"), part(visible + 1, held_out).alias("held_out_tests"))
+        every = tests if every is None else every.unionByName(tests)
+    prompt = F.concat(F.lit("Write a Python function "), F.col("fn_name"), F.lit(" of one list of integers. Some of its tests, as [[argument], result]: "), F.col("visible_tests"), F.lit(". Answer in <answer></answer>."))
+    return every.select("id", "fn_name", prompt.alias("prompt"), "visible_tests", "held_out_tests")
+
+
+def _as_json(c: Column) -> Column:
+    """A number, a boolean or a list as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r"^\{\"v\":(.*)\}$", 1)

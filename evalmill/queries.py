@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from evalmill.functions import arrays as A
 from evalmill.functions import keys as K
 from evalmill.functions import measures as M
+from evalmill.functions import scoring
 from evalmill.functions import text as X
 from evalmill.functions import verifier as V
 from evalmill.operators import audit, banks, control, diagnosis, generate, inference, pairing, reports, sampling
@@ -1012,3 +1013,52 @@ def audit_verdict(s, d):
 def weight_health(s, d):
     records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_stable", delay=5))
     return reports.weight_health(records, "bank", "adaptive_stable", 5)
+
+
+# ---- flags of candidates
+
+
+@query(
+    """SELECT line_no, regexp_matches(coalesce(completion, ''), '(?i)<answer>') AS open_tag, regexp_matches(coalesce(completion, ''), '(?i)</answer>') AS close_tag, regexp_matches(coalesce(completion, ''), '(?is)<answer>.*?</answer>') AS span, coalesce(completion_token_count >= 256, false) AS hit_cap,
+ CASE WHEN finish_reason = 'eos' THEN 'eos' WHEN completion_token_count >= 256 THEN 'length' ELSE 'other' END AS reason, """
+    + f"(CASE WHEN {_m('has_extractable_answer_span')} > 0 AND {_m('correct')} < 1 AND ({_m('uses_numbers')} < 1 OR {_m('evaluates_without_exception')} < 1) THEN 1.0 ELSE 0.0 END)::DOUBLE AS hacking, coalesce(contains(extracted_expression, '/'), false) AS division FROM candidates"
+)
+def candidate_flags(s, d):
+    tags, tokens = X.tag_signals(F.col("completion")), F.col("completion_token_count")
+    ended = F.coalesce(F.col("finish_reason") == "eos", F.lit(False))
+    return _candidates(s, d).select(
+        "line_no", tags["open"].alias("open_tag"), tags["close"].alias("close_tag"), tags["span"].alias("span"), F.coalesce(M.hit_cap(tokens, F.lit(256), F.lit(False)), F.lit(False)).alias("hit_cap"), M.finish_reason(tokens, F.lit(256), ended).alias("reason"), M.hacking_candidate().alias("hacking"), M.uses_division(F.col("extracted_expression")).alias("division")
+    )
+
+
+@query("""WITH o AS (SELECT line_no, list_distinct(regexp_extract_all(metrics.expression, '[-+*/]')) AS used, allowed_ops, numbers FROM candidates WHERE metrics.expression IS NOT NULL AND allowed_ops IS NOT NULL AND numbers IS NOT NULL)
+SELECT line_no, round(CASE WHEN len(used) = 0 THEN CASE WHEN len(numbers) <= 1 THEN 1.0 ELSE 0.0 END ELSE len(list_filter(used, lambda x: list_contains(allowed_ops, x))) / len(used)::DOUBLE END, 9) AS share FROM o""")
+def operator_shares(s, d):
+    rows = _candidates(s, d).where("metrics.expression is not null and allowed_ops is not null and numbers is not null")
+    used = F.regexp_extract_all(F.col("metrics.expression"), F.lit("([-+*/])"))
+    return rounded(rows.select("line_no", A.operator_share(used, F.col("allowed_ops"), F.col("numbers")).alias("share")))
+
+
+@query(_SHIFT.replace("FROM b) GROUP BY difficulty)", "FROM b JOIN (SELECT bank, method FROM banks) USING (bank)) GROUP BY difficulty, method)").replace("w AS (SELECT difficulty,", "w AS (SELECT difficulty, method,") + ", sh AS (SELECT difficulty, method, lh - lm AS loss FROM w WHERE nh > 0 AND nm > 0), ad AS (SELECT a.loss - z.loss AS x FROM sh a JOIN sh z ON a.difficulty = z.difficulty AND a.method = 'stable' AND z.method = 'static') SELECT count(*) AS pairs, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS spread, coalesce(bool_and(x > 0), false) OR coalesce(bool_and(x < 0), false) AS consistent FROM ad")
+def shift_interaction(s, d):
+    rows = _candidates(s, d).join(table(s, d, "banks").select("bank", "method"), "bank")
+    shift = diagnosis.prompt_shift(rows, ["difficulty", "method"], weak="prompt_low")
+    return rounded(diagnosis.shift_interaction(shift, "method", ["difficulty"], "stable", "static"))
+
+
+@query("SELECT 'split' AS \"column\", count(DISTINCT split) AS n FROM banks HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'prompt_field', count(DISTINCT prompt_field) FROM banks HAVING count(DISTINCT prompt_field) > 1 UNION ALL SELECT 'n_candidates', count(DISTINCT n_candidates) FROM banks HAVING count(DISTINCT n_candidates) > 1")
+def signature_differences(s, d):
+    """Which choices the banks do not share."""
+    return inference.same_signature(table(s, d, "banks"), ["split", "prompt_field", "n_candidates"]).select("column", F.size("values").cast("long").alias("n"))
+
+
+def scored_completions(s, d):
+    rows = _candidates(s, d).where("numbers is not null and target is not null and allowed_ops is not null").select("line_no", "completion", "numbers", "target", "allowed_ops")
+    return rounded(scoring.scored(rows).select("line_no", "reward", "components.valid_expression", "components.exact_correct"))
+
+
+def code_task_sets(s, d):
+    return generate.code_tasks(s, 20)
+
+
+QUERIES |= {"scored_completions": scored_completions, "code_task_sets": code_task_sets}

@@ -186,3 +186,29 @@ def test_set_digests_are_streams(spark):
     want = hashlib.sha256("a\nb\nb\né\n".encode()).hexdigest()
     assert {tuple(r) for r in K.set_digest(df, "v", ["g"]).collect()} == {("a", want, 4), (None, want, 4)}
     assert K.set_digest(df.limit(0), "v").count() == 0
+
+
+def test_scorers_are_exchanged(spark):
+    from evalmill.functions import scoring
+    from evalmill.functions.register import register
+
+    df = spark.createDataFrame([("<answer>(4+9)</answer>", [4, 9], 13, ["+"]), (None, [4, 9], 13, ["+"])], "completion string, numbers array<long>, target long, allowed_ops array<string>")
+    a, b = scoring.scored(df, weights={"format": 0.5, "unknown": 9.0}, primary_weight=2.0).collect()
+    assert (a.reward, b.reward, a.components.correct) == (2.5, 0.0, 1.0)
+    tasks = generate.code_tasks(spark, 2, ("running_max", "is_sorted_asc")).withColumn("completion", F.lit("<answer>def running_max(a):\n    out = []\n    for x in a:\n        out.append(max(out + [x]))\n    return out</answer>"))
+    got = {r.id: (r.reward, r.components.visible_pass_rate) for r in scoring.scored(tasks, scorer=scoring.programs(True), weights={}).collect()}
+    assert got == {"running_max-0": (1.0, 1.0), "running_max-1": (1.0, 1.0), "is_sorted_asc-0": (0.0, 0.0), "is_sorted_asc-1": (0.0, 0.0)}
+    register(spark)
+    rows = spark.createDataFrame([("a", 1.0)] * 4 + [("b", 0.0), ("b", None)], "g string, e double")
+    rows.createOrReplaceTempView("effects")
+    assert {tuple(r) for r in spark.sql("select g, flip_p(e) as p from effects group by g").collect()} == {("a", 0.125), ("b", 1.0)}
+
+
+def test_code_tasks_have_distinct_tests(spark):
+    rows = generate.code_tasks(spark, 3).collect()
+    assert len(rows) == 3 * len(generate.LIST_TASKS) and rows == generate.code_tasks(spark, 3).collect()
+    for r in rows:
+        seen, hidden = json.loads(r.visible_tests), json.loads(r.held_out_tests)
+        assert len(seen) == 3 and len(hidden) == 5 and len({str(args) for args, _ in seen + hidden}) == 8
+        if r.fn_name == "dedupe":
+            assert all(out == list(dict.fromkeys(a)) for (a,), out in seen + hidden)
