@@ -57,6 +57,7 @@ Nie mogę użyć 5 dwa razy. To niemożliwe z 4. Muszę jeszcze odjąć 3. Odpow
 
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+|</?\w+>")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\d+")
+_NUMBER = re.compile(r"\d+")
 _EXPRESSION = re.compile(r"[\d)]\s*[-+*/×÷−]\s*[\d(]")
 
 
@@ -86,21 +87,11 @@ def weights() -> dict[str, float]:
 
 @functools.lru_cache(20_000)
 def log_odds(sentence: str) -> float:
-    """Log-odds that a sentence declines; features that no training sentence has tell nothing."""
+    """Log-odds that a sentence declines; features that no training sentence has tell nothing. Numbers are alike."""
     known = weights()
     return PRIOR + sum(known.get(f, 0.0) for f in features(sentence))
 
 
-@functools.cache
-def triggers() -> str:
-    """A pattern of the words that speak most for declining; a sentence without any of them is not searched where an expression is offered."""
-    words = sorted(f for f, w in weights().items() if " " not in f and w >= 1.5 and f != "0")
-    by_first: dict[str, list[str]] = {}
-    for w in words:
-        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + r")(?![\p{L}\p{N}])"
-
-
 def declines(text: str | None, broken_off: bool = False) -> bool:
     """Whether a sentence of a text declines and no other one offers an expression; false for null and empty texts.
 
@@ -109,7 +100,7 @@ def declines(text: str | None, broken_off: bool = False) -> bool:
     parts = sentences(text or "")
     refused = offered = False
     for k, s in enumerate(parts, 1):
-        if log_odds(s) > (BROKEN_OFF if broken_off and k == len(parts) else 0):
+        if log_odds(_NUMBER.sub("0", s)) > (BROKEN_OFF if broken_off and k == len(parts) else 0):
             refused = True
         elif _EXPRESSION.search(s):
             offered = True
