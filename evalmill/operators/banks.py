@@ -163,12 +163,14 @@ def near_mass(units: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def headroom(df: DataFrame, n: int = 8) -> DataFrame:
-    """Solved share, unsolved, clip bound and legal diversity over all units, by tier and by bank, in one pass."""
+def headroom(df: DataFrame, n: int = 8, target: int = 64) -> DataFrame:
+    """What more samples or tokens could bring, over all units, by tier and by bank, in one pass: solved and unsolved
+    units, the bound of clipped ones, near and legal unsolved ones, diversity, and the share that ``target`` samples would solve."""
     u = full_units(df, n)
     none = F.col("first_exact").isNull()
     return u.groupingSets([[], [F.col("difficulty")], [F.col("bank")]], F.col("difficulty"), F.col("bank")).agg(
-        F.count(F.lit(1)).alias("units"), F.count_if(~none).alias("solved"), F.count_if(none & (F.col("clipped_legalish") | F.col("clipped_unclosed"))).alias("clip_bound"), F.avg("distinct_legal").alias("avg_distinct_legal"), F.grouping_id().alias("level")
+        F.count(F.lit(1)).alias("units"), F.count_if(~none).alias("solved"), F.count_if(none & (F.col("clipped_legalish") | F.col("clipped_unclosed"))).alias("clip_bound"), F.count_if(none & (F.col("legal") > 0)).alias("any_legal"), F.count_if(none & (F.col("best_distance") >= 0.5)).alias("near"),
+        F.avg("distinct_legal").alias("avg_distinct_legal"), F.avg("distinct_all").alias("avg_distinct_all"), F.avg(1 - F.pow(1 - F.col("exact") / n, F.lit(target))).alias("predicted"), F.grouping_id().alias("level"),
     )
 
 

@@ -163,3 +163,11 @@ def weight_summary(records: DataFrame, run: str) -> DataFrame:
         F.min_by("w", "step").alias("first"), F.max_by("w", "step").alias("last"), F.min("w").alias("least"), F.max("w").alias("most"), F.avg("w").alias("mean"),
         F.avg(F.array_contains("at_floor", F.col("key")).cast("double")).alias("at_floor"), F.avg(F.array_contains("at_cap", F.col("key")).cast("double")).alias("at_cap"),
     )
+
+
+def phase_shares(records: DataFrame, run: str) -> DataFrame:
+    """(run, phase, records, share, flips): how long a controller was in each phase, and how often it changed by its end."""
+    n = F.count(F.lit(1))
+    per = records.groupBy(run, "phase").agg(n.alias("records"), F.max("flips").alias("_f"))
+    every = records.groupBy(F.col(run).alias("_run")).agg(n.alias("_all"), F.max("flips").alias("flips"))
+    return per.join(every, F.col(run).eqNullSafe(F.col("_run"))).select(run, "phase", "records", (F.col("records") / F.col("_all")).alias("share"), "flips")

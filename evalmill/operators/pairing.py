@@ -46,9 +46,10 @@ def in_subsets(df: DataFrame, tier: str = "difficulty") -> DataFrame:
 
 
 def dilution(counts: DataFrame) -> DataFrame:
-    """The difference in the easy subset over that in all; null where the latter is 0."""
-    one = counts.agg(F.max(F.when(F.col("subset") == "easy", F.col("delta"))).alias("easy"), F.max(F.when(F.col("subset") == "all", F.col("delta"))).alias("all"))
-    return one.select("easy", "all", F.when(F.col("all") != 0, F.try_divide("easy", "all")).alias("ratio"))
+    """The difference in the easy subset over that in all (null where the latter is 0), and the tasks of both."""
+    of = lambda name, c: F.max(F.when(F.col("subset") == name, F.col(c)))
+    one = counts.agg(of("easy", "delta").alias("easy"), of("all", "delta").alias("all"), of("easy", "n").alias("easy_tasks"), of("all", "n").alias("all_tasks"))
+    return one.select("easy", "all", F.when(F.col("all") != 0, F.try_divide("easy", "all")).alias("ratio"), "easy_tasks", "all_tasks")
 
 
 def tier_rates(df: DataFrame, keys: list[str], fine: list[str], tier: str, value: str) -> DataFrame:

@@ -59,11 +59,12 @@ def contrasts(candidates: DataFrame, runs: DataFrame, base: str, n: int = 8, arm
 
 
 def macro_outcomes(candidates: DataFrame, runs: DataFrame, n: int = 8) -> DataFrame:
-    """Per bank: exact share of both selectors as the mean over tiers of their means, tokens, and tokens for an exact task."""
+    """Per bank: exact share of both selectors as the mean over tiers of their means, tokens, tokens for an exact task, share of candidates at the cap."""
     r = banks.best_of_n(candidates, (n,), ["bank", "difficulty"])
+    capped = banks.candidate_stats(candidates, ["bank"]).select("bank", F.col("clip_rate").alias("cap_share"))
     return r.groupBy("bank").agg(
         F.avg("practical_exact_correct").alias("practical"), F.avg("oracle_exact_correct").alias("oracle"), F.sum("tokens").alias("tokens"), F.try_divide(F.sum("tokens").cast("double"), F.sum(F.round(F.col("practical_exact_correct") * F.col("units")))).alias("tokens_per_exact")
-    ).join(runs.select("bank", "method", "split", "seed"), "bank")
+    ).join(capped, "bank").join(runs.select("bank", "method", "split", "seed"), "bank")
 
 
 def reverified(candidates: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def near_mass(s, d):
 
 @query(
     _UNITS
-    + """ SELECT difficulty, bank, count(*) AS units, count(*) FILTER (first_exact IS NOT NULL) AS solved, count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS clip_bound, round(avg(distinct_legal), 9) AS avg_distinct_legal, (2 * grouping(difficulty) + grouping(bank))::BIGINT AS level
+    + """ SELECT difficulty, bank, count(*) AS units, count(*) FILTER (first_exact IS NOT NULL) AS solved, count(*) FILTER (first_exact IS NULL AND (clipped_legalish OR clipped_unclosed)) AS clip_bound, count(*) FILTER (first_exact IS NULL AND legal > 0) AS any_legal, count(*) FILTER (first_exact IS NULL AND best_distance >= 0.5) AS near, round(avg(distinct_legal), 9) AS avg_distinct_legal, round(avg(distinct_all), 9) AS avg_distinct_all, round(avg(1 - pow(1 - exact / 8.0::DOUBLE, 64)), 9) AS predicted, (2 * grouping(difficulty) + grouping(bank))::BIGINT AS level
 FROM f GROUP BY GROUPING SETS ((), (difficulty), (bank))"""
 )
 def headroom_report(s, d):
@@ -338,7 +338,7 @@ def tier_subset_pairs(s, d):
     return rounded(pairing.paired_counts(pairing.in_subsets(_pairs(s, d)), ["method", "subset"]))
 
 
-@query(_OUT + _SUB + f", q AS (SELECT subset, {_COUNTS} FROM sb GROUP BY subset), o AS (SELECT max(delta) FILTER (subset = 'easy') AS easy, max(delta) FILTER (subset = 'all') AS \"all\" FROM q) SELECT easy, \"all\", round(CASE WHEN \"all\" <> 0 THEN easy / \"all\" END, 9) AS ratio FROM o")
+@query(_OUT + _SUB + f", q AS (SELECT subset, {_COUNTS} FROM sb GROUP BY subset), o AS (SELECT max(delta) FILTER (subset = 'easy') AS easy, max(delta) FILTER (subset = 'all') AS \"all\", max(n) FILTER (subset = 'easy') AS easy_tasks, max(n) FILTER (subset = 'all') AS all_tasks FROM q) SELECT easy, \"all\", round(CASE WHEN \"all\" <> 0 THEN easy / \"all\" END, 9) AS ratio, easy_tasks, all_tasks FROM o")
 def dilution(s, d):
     return rounded(pairing.dilution(rounded(pairing.paired_counts(pairing.in_subsets(_pairs(s, d)), ["subset"]))))
 
@@ -722,6 +722,12 @@ def teacher_health(s, d):
     return rounded(diagnosis.weight_summary(records, "bank"))
 
 
+@query(_teacher_sql(True) + ", fp AS (SELECT bank, k, ph, ph <> lag(ph, 1, 'A') OVER (PARTITION BY bank ORDER BY k) AS f FROM st) SELECT bank, ph AS phase, count(*) AS records, round(count(*) / sum(count(*)) OVER (PARTITION BY bank), 9) AS share, (SELECT count(*) FILTER (g.f) FROM fp g WHERE g.bank = fp.bank) AS flips FROM fp GROUP BY bank, ph")
+def phase_shares(s, d):
+    records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
+    return rounded(diagnosis.phase_shares(records, "bank"))
+
+
 @query(_LONG + ", ch AS (SELECT bank, key, arg_max(w, k) - arg_min(w, k) AS change FROM lg GROUP BY bank, key) SELECT bank, row_number() OVER (PARTITION BY bank ORDER BY abs(change) DESC, key)::INT AS rank, key, round(change, 9) AS change FROM ch QUALIFY row_number() OVER (PARTITION BY bank ORDER BY abs(change) DESC, key) <= 3")
 def weight_movers(s, d):
     records = control.replay_weights(_batches(s, d), "bank", control.WeightSettings(strategy="adaptive_phased", delay=5))
@@ -839,7 +845,7 @@ def score_matrix(s, d):
 
 @query(
     re.sub(r"round\((avg\([po]\.\w+\)), 9\)", r"\1", _report_sql("difficulty")).replace("w.difficulty, w.n,", "w.bank, w.difficulty, w.n,").replace("SELECT w.bank, w.difficulty,", ", per AS (SELECT w.bank, w.difficulty,", 1).replace("GROUP BY w.difficulty, w.n", "GROUP BY w.bank, w.difficulty, w.n")
-    + """) SELECT bank, method, split, seed, round(practical, 9) AS practical, round(oracle, 9) AS oracle, tokens, round(tokens_per_exact, 9) AS tokens_per_exact FROM (SELECT bank, avg(practical_exact_correct) AS practical, avg(oracle_exact_correct) AS oracle, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE / nullif(sum(round(practical_exact_correct * units)), 0) AS tokens_per_exact FROM per WHERE n = 8 GROUP BY bank) JOIN banks USING (bank)"""
+    + """) SELECT bank, method, split, seed, round(practical, 9) AS practical, round(oracle, 9) AS oracle, tokens, round(tokens_per_exact, 9) AS tokens_per_exact, (SELECT round(avg(coalesce(completion_token_count >= 256, false)::INT), 9) FROM b WHERE b.bank = o.bank) AS cap_share FROM (SELECT bank, avg(practical_exact_correct) AS practical, avg(oracle_exact_correct) AS oracle, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE / nullif(sum(round(practical_exact_correct * units)), 0) AS tokens_per_exact FROM per WHERE n = 8 GROUP BY bank) o JOIN banks USING (bank)"""
 )
 def macro_outcomes(s, d):
     return rounded(scorecard.macro_outcomes(_candidates(s, d), table(s, d, "banks")))
