@@ -57,3 +57,39 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, transform: Callabl
         (transform(batch) if transform else batch).write.mode("overwrite").json(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reward_steps(stream: DataFrame, path: str, checkpoint: str, settings: WeightSettings | None = None, completion: str = "completion", scorer: Callable | None = None):
+    """Starts a query whose every micro-batch is one step of the reward loop: rows are scored with the weights so far,
+    their means move the controller, and rows and record are logged. Batches that arrive empty move nothing.
+
+    Under ``path``: rewards/batch=N (scored rows), steps/batch=N (the record, and the controller's state after it). A batch
+    that runs again after a failure begins with the state before it and overwrites its own folders, so it counts once.
+    """
+    from evalmill.functions import scoring
+    from evalmill.sources import files
+
+    s = settings or WeightSettings()
+
+    def before(spark, number: int) -> dict | None:
+        for earlier in range(number - 1, -1, -1):
+            if files.published(spark, f"{path}/steps/batch={earlier}"):
+                return json.loads(spark.read.schema("state string").json(f"{path}/steps/batch={earlier}").first().state)
+        return None
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        controller = WeightController(s, before(spark, number))
+        used = dict(controller.state["weights"])
+        rows = scoring.scored(batch, completion, scorer or scoring.arithmetic, used)
+        rows.write.mode("overwrite").json(f"{path}/rewards/batch={number}")
+        logged = spark.read.schema(rows.schema).json(f"{path}/rewards/batch={number}")  # what was scored once is not scored again
+        known = [k for k in s.keys if k in rows.schema["components"].dataType.names]
+        mean = lambda c: F.avg(F.coalesce(F.col(f"components.{c}"), F.lit(0.0))).alias(c)
+        m = logged.agg(F.count(F.lit(1)).alias("rows"), F.avg("reward").alias("reward"), F.coalesce(F.stddev_pop("reward"), F.lit(0.0)).alias("spread"), mean("correct"), *(mean(k) for k in known if k != "correct")).first()
+        record = controller.update(m["correct"], {k: m[k] for k in known}) if m["rows"] else {}
+        line = {"batch": number, "rows": m["rows"], "reward": m["reward"], "spread": m["spread"], "used": used, "record": json.dumps(record), "state": json.dumps(controller.state)}
+        kinds = "batch long, rows long, reward double, spread double, used map<string,double>, record string, state string"
+        spark.createDataFrame([tuple(line.values())], kinds).coalesce(1).write.mode("overwrite").json(f"{path}/steps/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

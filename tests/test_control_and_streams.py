@@ -143,3 +143,26 @@ def C_summary(df):
     from evalmill.operators.diagnosis import weight_summary
 
     return weight_summary(df, "run")
+
+
+def test_reward_steps_over_a_stream(spark, tmp_path):
+    from evalmill.streaming import controllers
+
+    schema = "completion string, numbers array<long>, target long, allowed_ops array<string>"
+    for k, answer in enumerate(("(4+9)", "nothing", "(9+4)")):
+        spark.createDataFrame([(f"<answer>{answer}</answer>", [4, 9], 13, ["+"])] * 4, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        q = controllers.reward_steps(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), C.WeightSettings(strategy="adaptive"))
+        q.awaitTermination()
+        assert q.exception() is None
+    steps = spark.read.json(str(tmp_path / "out" / "steps")).orderBy("batch").collect()
+    assert [r.batch for r in steps] == [0, 1, 2] and [r["rows"] for r in steps] == [4, 4, 4]
+    want = C.WeightController(C.WeightSettings(strategy="adaptive"))
+    for r in steps:
+        used = r.used.asDict()
+        assert used == pytest.approx(want.state["weights"])
+        means = {k: 0.0 for k in used}
+        rows = spark.read.json(str(tmp_path / "out" / "rewards")).where(f"batch = {r.batch}").collect()
+        means = {k: sum((x.components[k] or 0.0) for x in rows) / 4 for k in used}
+        want.update(sum((x.components["correct"] or 0.0) for x in rows) / 4, means)
+        assert json.loads(r.state)["weights"] == pytest.approx(want.state["weights"]) and json.loads(r.state)["step"] == r.batch + 1
+    assert steps[0].reward > steps[1].reward
