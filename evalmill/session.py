@@ -32,29 +32,33 @@ def session(app: str = "evalmill", cpus: int | None = None, **conf: str) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local."""
+    """The folder that ``spark.checkpoint.dir`` of the session names; one of our own only where it is unset and the master is local."""
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()  # a folder of this application under the one that was set
+    if given := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
+        return given
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    given = sc.getConf().get("spark.checkpoint.dir")
-    if not given:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        given = tempfile.mkdtemp(prefix="evalmill-checkpoint-")
-    sc.setCheckpointDir(given)
-    return given
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="evalmill-checkpoint-")
+    sc.setCheckpointDir(own)
+    return own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written once as Parquet into the shared checkpoint folder and read from there.
 
     It cuts lineage as a checkpoint does, but is compressed and read by column, and executors that are lost take
-    nothing with them. The folder is named after the application, so that it can be removed with it.
+    nothing with them. Its folder is that of the application, which the driver removes when it ends.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/evalmill-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/evalmill-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
